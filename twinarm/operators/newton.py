@@ -77,7 +77,7 @@ def climb(p: int, *, start: np.ndarray | None = None, free: np.ndarray | None =
         theta, sums = trial, answer
         if abs(gain) <= tolerance * (1 + abs(sums["value"])):
             converged = True
-            if moved < 1e-7 * (1 + float(np.abs(theta).max())) or moved > 1e-3:
+            if moved < 1e-9 * (1 + float(np.abs(theta).max())) or moved > 1e-3:
                 break
     used = np.zeros(p, bool)
     used[use] = True

@@ -124,7 +124,7 @@ def finite(c: str | Column) -> Column:
 
 def fixed(c: str | Column, digits: int) -> Column:
     """Text with a fixed number of decimals."""
-    return F.format_string(f"%.{digits}f", col(c).cast("double"))
+    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", col(c).cast("double")))
 
 
 def half_even(c: str | Column, digits: int = 0) -> Column:

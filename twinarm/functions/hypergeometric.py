@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
 SLACK = 1e-7  # relative slack when comparing table probabilities
+GRID = 500_000.0  # combinations listed at once
 
 
 def log_factorial(n) -> np.ndarray:
@@ -147,27 +149,58 @@ def log_table(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return log_choose(rows, counts).sum(axis=-1)
 
 
+@lru_cache(maxsize=64)
+def _row(total: int) -> np.ndarray:
+    return log_choose(total, np.arange(total + 1))
+
+
+@lru_cache(maxsize=256)
+def _last_two(a: int, b: int, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ln P of every split of ``left`` over the last two rows, and sums of P up to each."""
+    low, high = max(0, left - b), min(a, left)
+    if low > high:
+        return np.zeros(0), np.zeros(1)
+    lp = np.sort(_row(a)[low : high + 1] + _row(b)[left - high : left - low + 1][::-1])
+    top = lp[-1]
+    return lp, np.concatenate([[0.0], np.cumsum(np.exp(lp - top))])
+
+
 def tail_given_first(rows: np.ndarray, column: int, first: int, log_p: float) -> float:
     """Probability of all tables whose first row holds ``first``, counting those with ln P <= ``log_p``.
 
-    ``rows`` are the row totals, ``column`` the total of the counted column. The
-    free rows between the first and the last are walked in blocks.
+    ``rows`` are the row totals, ``column`` the total of the counted column. Rows
+    between are listed, the last two are looked up in a sorted list of their splits.
     """
-    whole = log_choose(rows.sum(), column)
-    start = log_choose(rows[0], first) - whole
-    return _tail(rows[1:], column - first, float(start), log_p)
+    totals = [int(r) for r in rows]
+    if first > totals[0]:
+        return 0.0
+    start = float(_row(totals[0])[first] - log_choose(sum(totals), column))
+    return _tail(totals[1:], column - first, start, log_p)
 
 
-def _tail(rows: np.ndarray, left: int, so_far: float, log_p: float) -> float:
-    if left < 0 or left > rows.sum():
+def _tail(rows: list[int], left: int, so_far: float, log_p: float) -> float:
+    if left < 0 or left > sum(rows):
         return 0.0
     if len(rows) == 1:
-        lp = so_far + float(log_choose(rows[0], left))
+        lp = so_far + float(_row(rows[0])[left])
         return math.exp(lp) if lp <= log_p + SLACK else 0.0
-    low, high = max(0, left - int(rows[1:].sum())), min(int(rows[0]), left)
-    here = np.arange(low, high + 1)
-    if len(rows) == 2:
-        lp = so_far + log_choose(rows[0], here) + log_choose(rows[1], left - here)
-        return float(np.exp(lp[lp <= log_p + SLACK]).sum())
-    steps = so_far + log_choose(rows[0], here)
-    return sum(_tail(rows[1:], left - int(x), float(s), log_p) for x, s in zip(here, steps))
+    middle = rows[:-2]
+    if np.prod([float(min(r, left) + 1) for r in middle]) > GRID:
+        here = np.arange(min(rows[0], left) + 1)
+        return sum(_tail(rows[1:], left - int(x), so_far + float(_row(rows[0])[x]), log_p) for x in here)
+    lp, taken = np.array([so_far]), np.array([0])
+    for r in middle:
+        counts = np.arange(min(r, left) + 1)
+        lp = (lp[:, None] + _row(r)[counts]).ravel()
+        taken = (taken[:, None] + counts).ravel()
+        lp, taken = lp[taken <= left], taken[taken <= left]
+    total = 0.0
+    order = np.argsort(taken, kind="stable")
+    lp, taken = lp[order], taken[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(taken) != 0])
+    for a, b in zip(starts, np.r_[starts[1:], len(taken)]):
+        splits, sums = _last_two(rows[-2], rows[-1], left - int(taken[a]))
+        if len(splits):
+            upto = np.searchsorted(splits, log_p + SLACK - lp[a:b], side="right")
+            total += float((np.exp(lp[a:b] + splits[-1]) * sums[upto]).sum())
+    return total

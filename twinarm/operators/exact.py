@@ -13,7 +13,7 @@ from twinarm.functions.hypergeometric import Table, log_table, tail_given_first
 from twinarm.functions.tails import chi2_p
 from twinarm.operators.scan import join_groups, strata
 
-EXACT_TABLES = 2e7  # largest number of tables listed one by one
+EXACT_WORK = 1e8  # largest number of listed combinations and splits
 REPLICATES = 20_000  # random tables beyond that
 BLOCK = 500
 DRAW_LIMIT = 900_000_000  # largest total that random tables can be drawn for
@@ -42,12 +42,12 @@ def fisher_2x2(df: DataFrame, *, arm: str, flag: str, by: Sequence[str] = ()) ->
 
 def fisher_levels(
     df: DataFrame, *, level: str, arm: str, by: Sequence[str] = (), most_levels: int = 50,
-    exact_tables: float = EXACT_TABLES, replicates: int = REPLICATES, seed: int = 1
+    exact_work: float = EXACT_WORK, replicates: int = REPLICATES, seed: int = 1
 ) -> DataFrame:
     """Exact test of a category with any levels by a 0/1 arm: one p per stratum.
 
-    Up to ``exact_tables`` tables with the same margins are listed, spread over
-    tasks by the count of one cell. Beyond, p comes from ``replicates`` random
+    Up to ``exact_work`` combinations all tables with the same margins are covered,
+    spread over tasks by the count of one cell. Beyond, p comes from ``replicates`` random
     tables with these margins, drawn in blocks over tasks, and for totals too
     large to draw from the chi-square limit. ``method`` says which. A category
     with more than ``most_levels`` levels is an error, not a longer row.
@@ -67,12 +67,15 @@ def fisher_levels(
         *keys, F.transform("_cells", lambda c: c["_n"]).alias("_rows"), F.transform("_cells", lambda c: c["_a"]).alias("_ones"),
         total.alias("n"), column.alias("_column"), F.size("_cells").alias("levels"),
     )
-    free = F.slice("_rows", 1, F.greatest(F.col("levels") - 1, F.lit(0)))
-    work = F.aggregate(free, F.lit(1.0), lambda s, r: s * (F.least(r, F.col("_column")) + 1))
-    tables = tables.withColumn("_work", work)
+    # Rows before the last two are listed; for each sum they leave, the splits of the last two.
+    listed_rows = F.slice("_rows", 1, F.greatest(F.col("levels") - 2, F.lit(0)))
+    combos = F.aggregate(listed_rows, F.lit(1.0), lambda s, r: s * (F.least(r, F.col("_column")) + 1))
+    sums_left = F.least(F.aggregate(listed_rows, F.lit(1.0), lambda s, r: s + r), F.col("_column") + 1.0)
+    splits = sums_left * F.when(F.col("levels") >= 2, F.least(F.element_at("_rows", -2), F.col("_column")) + 1).otherwise(1)
+    tables = tables.withColumn("_work", F.greatest(combos, splits))
     trivial = (F.col("levels") < 2) | (F.col("_column") == 0) | (F.col("_column") == F.col("n"))
     method = (
-        F.when(trivial, "none").when(F.col("_work") <= exact_tables, "exact")
+        F.when(trivial, "none").when(F.col("_work") <= exact_work, "exact")
         .when(F.col("n") <= DRAW_LIMIT, "random tables").otherwise("chi-square limit")
     )
     tables = tables.withColumn("method", method)

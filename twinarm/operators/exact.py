@@ -87,8 +87,10 @@ def fisher_levels(
         "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(np.ceil(replicates / BLOCK)) - 1).cast("long")))
     )
     pieces = listed.unionByName(drawn)
-    # Spread by the cell count or block number, so one large table uses every task.
-    pieces = pieces.repartition(*[F.col(k) for k in keys], F.col("_first"))
+    # Spread by the cell count or block number, so one large table uses every task. The number of
+    # partitions is given because the rows are small and would otherwise be merged into one task.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(width, *[F.col(k) for k in keys], F.col("_first"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.select(*keys, "method", "n", "levels").schema)
 
     def work_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

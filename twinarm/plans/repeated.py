@@ -32,11 +32,11 @@ def outcome_rows(
     timed = visits.where(F.col("ID_Drug").isNotNull()).withColumn("visit_code", recode("Time", visit_codes))
     timed = timed.withColumn(PERIOD, band("visit_code", v.PERIOD_RANGES))
     timed = timed.withColumns({"y": pick_by(PERIOD, v.OUTCOME_BY_PERIOD), ARM: recode("Condition", arm_codes).cast("int")})
-    days = {"days": F.min_by("days_under_obs", F.when(F.col("days_under_obs").isNotNull(), F.struct(*order_by)))}
+    days = {"_observed": F.min_by("days_under_obs", F.when(F.col("days_under_obs").isNotNull(), F.struct(*order_by)))}
     rows = attach_aggregate(timed.where(F.col("y").isNotNull()), timed, subject, days)
     rows = fill(rows, subject=subject, order_by=order_by, cols=["Gender", "AB_Per_PreContact"], scope=fill_scope)
     return rows.select(
-        F.col(subject).alias("subject"), PERIOD, "y", F.col("Gender").alias("gender"), ARM, "days",
+        F.col(subject).alias("subject"), PERIOD, "y", F.col("Gender").alias("gender"), ARM, F.col("_observed").alias("days"),
         F.col("AB_Per_PreContact").alias("baseline"),
     )
 

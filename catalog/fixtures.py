@@ -226,7 +226,8 @@ def study_visits(spark: SparkSession, sf: str) -> DataFrame:
         F.when(pct > 60, pct).otherwise(0.0).alias("Per_Can"), F.when(pct > 90, pct).otherwise(0.0).alias("Per_Dep"),
         F.when(pct > 80, pct).alias("Per_Stim"), F.when(pct > 95, pct).otherwise(0.0).alias("Per_Opi"),
         F.when(pct > 97, pct).otherwise(0.0).alias("Per_Her"),
-        *[pct.alias(c) for c in ("AB_Per_PreContact", "AB_Per_PreTX", "AB_Per_Preps", "AB_Per_PostDrugTX", "AB_Per_Follow_Ups")],
+        F.when(F.col("slot") == 0, pct).alias("AB_Per_PreContact"),
+        *[pct.alias(c) for c in ("AB_Per_PreTX", "AB_Per_Preps", "AB_Per_PostDrugTX", "AB_Per_Follow_Ups")],
         said("purchase", pct).alias("AB_Per_DA_to_180"), said("click", (30 + user % 20).cast("double")).alias("days_under_obs"),
         F.when(F.col("value") > 150, F.col("day").cast("double")).alias("DAYS"),
         F.when(user % 7 == 0, 1).otherwise(0).alias("STATUS"),

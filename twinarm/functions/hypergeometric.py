@@ -154,7 +154,7 @@ def _row(total: int) -> np.ndarray:
     return log_choose(total, np.arange(total + 1))
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=4096)
 def _last_two(a: int, b: int, left: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ln P of every split of ``left`` over the last two rows, and sums of P up to each."""
     low, high = max(0, left - b), min(a, left)
@@ -185,22 +185,30 @@ def _tail(rows: list[int], left: int, so_far: float, log_p: float) -> float:
         lp = so_far + float(_row(rows[0])[left])
         return math.exp(lp) if lp <= log_p + SLACK else 0.0
     middle = rows[:-2]
-    if np.prod([float(min(r, left) + 1) for r in middle]) > GRID:
+    if np.prod([r + 1.0 for r in middle]) > GRID:
         here = np.arange(min(rows[0], left) + 1)
         return sum(_tail(rows[1:], left - int(x), so_far + float(_row(rows[0])[x]), log_p) for x in here)
-    lp, taken = np.array([so_far]), np.array([0])
-    for r in middle:
-        counts = np.arange(min(r, left) + 1)
-        lp = (lp[:, None] + _row(r)[counts]).ravel()
-        taken = (taken[:, None] + counts).ravel()
-        lp, taken = lp[taken <= left], taken[taken <= left]
+    taken, starts, lp = _listed(tuple(middle))
     total = 0.0
-    order = np.argsort(taken, kind="stable")
-    lp, taken = lp[order], taken[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(taken) != 0])
-    for a, b in zip(starts, np.r_[starts[1:], len(taken)]):
-        splits, sums = _last_two(rows[-2], rows[-1], left - int(taken[a]))
+    for t, a, b in zip(taken, starts[:-1], starts[1:]):
+        if t > left:
+            break
+        splits, sums = _last_two(rows[-2], rows[-1], left - int(t))
         if len(splits):
-            upto = np.searchsorted(splits, log_p + SLACK - lp[a:b], side="right")
-            total += float((np.exp(lp[a:b] + splits[-1]) * sums[upto]).sum())
+            here = so_far + lp[a:b]
+            upto = np.searchsorted(splits, log_p + SLACK - here, side="right")
+            total += float((np.exp(here + splits[-1]) * sums[upto]).sum())
     return total
+
+
+@lru_cache(maxsize=16)
+def _listed(rows: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every combination of counts of ``rows``: distinct sums, where each starts, ln weights sorted within."""
+    lp, taken = np.array([0.0]), np.array([0])
+    for r in rows:
+        lp = (lp[:, None] + _row(r)).ravel()
+        taken = (taken[:, None] + np.arange(r + 1)).ravel()
+    order = np.lexsort((lp, taken))
+    lp, taken = lp[order], taken[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(taken) != 0])
+    return taken[starts], np.r_[starts, len(taken)], lp

@@ -13,6 +13,7 @@ from twinarm.operators.exact import fisher_levels
 from twinarm.operators.ranks import quantiles, rank_sum
 from twinarm.operators.reshape import to_long
 from twinarm.operators.scan import join_groups, strata
+from twinarm.session import materialise
 
 
 def count_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -135,22 +136,22 @@ def summary_table(
     denominator. Percentages show no decimals, quartiles ``digits``. With
     ``tests`` each row also has the p-value of its variable: exact for
     categories, rank-sum for numbers (the first two of ``arms``).
+
+    The rows are read twice, for categories and for numbers; everything else works
+    on the counts per value made there.
     """
     df, keys = strata(df.where(F.col(arm).isin(list(arms))), by)
-    cats = {n: v for n, v in variables.items() if isinstance(v, Categorical)}
-    nums = {n: v for n, v in variables.items() if isinstance(v, Continuous)}
+    cats, nums, levels, values = _value_counts(df, variables, keys, arm)
     place = {n: i for i, n in enumerate(variables)}
     spark = df.sparkSession
     parts = []
     if cats:
-        long = _long_categories(df, cats, [*keys, arm])
-        counted = long.groupBy(*keys, arm, "variable", "level").agg(F.count(F.lit(1)).alias("n"))
-        whole = counted.groupBy(*keys, arm, "variable").agg(F.sum("n").alias("n_known"))
+        whole = levels.groupBy(*keys, arm, "variable").agg(F.sum("n").alias("n_known"))
         # Every declared level of every variable, so that empty cells are shown.
         rows = [(n, lv, i) for n, v in cats.items() for i, lv in enumerate(v.levels) if v.show is None or lv in v.show]
         grid = spark.createDataFrame(rows, "variable string, level string, level_order int")
         cells = whole.join(F.broadcast(grid), "variable")
-        cells = join_groups(cells, counted, [*keys, arm, "variable", "level"])
+        cells = join_groups(cells, levels, [*keys, arm, "variable", "level"])
         n = F.coalesce(F.col("n"), F.lit(0))
         pct = 100.0 * n / F.col("n_known")
         text = F.concat(n.cast("string"), F.lit(" ("), fixed(F.bround(pct, 0), 0), F.lit("%)"))
@@ -160,8 +161,7 @@ def summary_table(
             F.lit(None).cast("double").alias("q3"), text.alias("text"),
         ))
     if nums:
-        long = _long_numbers(df, nums, [*keys, arm])
-        q = quantiles(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[*keys, arm, "variable"], kind=kind)
+        q = quantiles(values, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[*keys, arm, "variable"], kind=kind, weight="n")
         shown = {d: [n for n, v in nums.items() if v.digits == d] for d in {v.digits for v in nums.values()}}
         text = F.lit(None).cast("string")
         for d, names in shown.items():
@@ -181,7 +181,8 @@ def summary_table(
     columns = [*by, "variable", "label", "variable_order", "level", "level_order", arm, "n_known", "n", "percent",
                "median", "q1", "q3", "text"]
     if tests:
-        table = join_groups(table, summary_tests(df, variables, arm=arm, arms=arms, by=keys), [*keys, "variable"])
+        p_values = _tests_from_counts(cats, levels, values, arm=arm, arms=arms, keys=keys)
+        table = join_groups(table, p_values, [*keys, "variable"])
         columns += ["p", "p_text"]
     return table.select(*columns)
 
@@ -190,20 +191,39 @@ def summary_tests(
     df: DataFrame, variables: Mapping[str, Categorical | Continuous], *, arm: str, arms: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """One p-value per variable: exact test for categories, rank-sum for numbers."""
-    df, keys = strata(df, by)
-    df = df.withColumn("_arm", F.when(F.col(arm) == arms[0], 1).when(F.col(arm) == arms[1], 0))
+    df, keys = strata(df.where(F.col(arm).isin(list(arms))), by)
+    cats, _, levels, values = _value_counts(df, variables, keys, arm)
+    return _tests_from_counts(cats, levels, values, arm=arm, arms=arms, keys=keys).select(*by, "variable", "p", "p_text")
+
+
+def _value_counts(df: DataFrame, variables: Mapping[str, Categorical | Continuous], keys: list[str], arm: str):
+    """Categories, numbers, and their written counts per (variable, value, arm)."""
     cats = {n: v for n, v in variables.items() if isinstance(v, Categorical)}
     nums = {n: v for n, v in variables.items() if isinstance(v, Continuous)}
-    parts = []
+    levels = values = None
     if cats:
-        long = _long_categories(df, cats, [*keys, "_arm"])
-        most = max(len(v.levels) for v in cats.values())
-        parts.append(fisher_levels(long, level="level", arm="_arm", by=[*keys, "variable"], most_levels=most).select(*keys, "variable", "p"))
+        long = _long_categories(df, cats, [*keys, arm])
+        levels = materialise(long.groupBy(*keys, arm, "variable", "level").agg(F.count(F.lit(1)).alias("n")))
     if nums:
-        long = _long_numbers(df, nums, [*keys, "_arm"])
-        parts.append(rank_sum(long, "value", arm="_arm", by=[*keys, "variable"]).select(*keys, "variable", "p"))
+        long = _long_numbers(df, nums, [*keys, arm])
+        values = materialise(long.groupBy(*keys, arm, "variable", "value").agg(F.count(F.lit(1)).alias("n")))
+    return cats, nums, levels, values
+
+
+def _tests_from_counts(cats, levels, values, *, arm: str, arms: Sequence[str], keys: list[str]) -> DataFrame:
+    side = F.when(F.col(arm) == arms[0], 1).when(F.col(arm) == arms[1], 0)
+    parts = []
+    if levels is not None:
+        most = max(len(v.levels) for v in cats.values())
+        parts.append(fisher_levels(
+            levels.withColumn("_arm", side), level="level", arm="_arm", by=[*keys, "variable"], most_levels=most, weight="n"
+        ).select(*keys, "variable", "p"))
+    if values is not None:
+        parts.append(rank_sum(
+            values.withColumn("_arm", side), "value", arm="_arm", by=[*keys, "variable"], weight="n"
+        ).select(*keys, "variable", "p"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select(*by, "variable", "p", p_text("p").alias("p_text"))
+    return out.withColumn("p_text", p_text("p"))
 
 
 def _long_categories(df: DataFrame, cats: Mapping[str, Categorical], ids: list[str]) -> DataFrame:

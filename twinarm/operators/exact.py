@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from twinarm.functions.hypergeometric import Table, log_table, tail_given_first
 from twinarm.functions.tails import chi2_p
 from twinarm.operators.scan import join_groups, strata
+from twinarm.session import materialise
 
 EXACT_WORK = 1e8  # largest number of listed combinations and splits
 REPLICATES = 20_000  # random tables beyond that
@@ -42,7 +43,7 @@ def fisher_2x2(df: DataFrame, *, arm: str, flag: str, by: Sequence[str] = ()) ->
 
 def fisher_levels(
     df: DataFrame, *, level: str, arm: str, by: Sequence[str] = (), most_levels: int = 50,
-    exact_work: float = EXACT_WORK, replicates: int = REPLICATES, seed: int = 1
+    exact_work: float = EXACT_WORK, replicates: int = REPLICATES, seed: int = 1, weight: str | None = None
 ) -> DataFrame:
     """Exact test of a category with any levels by a 0/1 arm: one p per stratum.
 
@@ -50,12 +51,15 @@ def fisher_levels(
     spread over tasks by the count of one cell. Beyond, p comes from ``replicates`` random
     tables with these margins, drawn in blocks over tasks, and for totals too
     large to draw from the chi-square limit. ``method`` says which. A category
-    with more than ``most_levels`` levels is an error, not a longer row.
+    with more than ``most_levels`` levels is an error, not a longer row. ``weight``
+    names a column of counts when the rows are already counted.
     """
     df, keys = strata(df.where(F.col(level).isNotNull() & F.col(arm).isin(0, 1)), by)
-    cells = df.groupBy(*keys, level).agg(
-        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(arm) == 1, 1)).alias("_a")
-    )
+    amount = F.lit(1).cast("long") if weight is None else F.col(weight)
+    # The counts are used by several branches below: written once, so the rows are read once.
+    cells = materialise(df.groupBy(*keys, level).agg(
+        F.sum(amount).alias("_n"), F.sum(F.when(F.col(arm) == 1, amount).otherwise(0)).alias("_a")
+    ))
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_levels"))
     few = F.when(F.col("_levels") > most_levels, F.raise_error(F.lit("too many levels for an exact test"))).otherwise(F.col("_levels"))
     cells = join_groups(cells, sizes, keys).where(few > 0)

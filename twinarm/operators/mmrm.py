@@ -273,7 +273,7 @@ def result_rows(fit: dict | None, columns, contrasts: dict, level: float) -> lis
     wanted = [("coefficient", n, {n: 1.0}) for n in names]
     wanted += [("contrast", n, w) for n, w in contrasts.items()]
     at = {names[i]: k for k, i in enumerate(np.flatnonzero(fit["keep"]))}
-    tail = (fit["n"], fit["subjects"], fit["rho"], math.sqrt(fit["s2"]), fit["rms"], fit["value"], fit["border"])
+    tail = (fit["n"], fit["subjects"], fit["rho"], math.sqrt(max(fit["s2"], 0.0)), fit["rms"], fit["value"], fit["border"])
     rows = []
     for kind, name, weights in wanted:
         if any(n not in at for n in weights) or fit["s2"] <= 0:

@@ -15,16 +15,25 @@ from twinarm.operators.scan import join_groups, range_chunks, running_sums, stra
 QUARTILE_SPAN = 1.3489795003921634  # distance of the normal quartiles
 
 
-def quantiles(df: DataFrame, c: str, probs: Mapping[str, float], *, by: Sequence[str] = (), kind: int = 7) -> DataFrame:
+def _amount(weight: str | None, test: Column | None = None) -> Column:
+    """Number of rows (of those that pass ``test``), or the sum of their counts."""
+    if weight is None:
+        return F.count(F.lit(1) if test is None else F.when(test, 1))
+    return F.sum(weight if test is None else F.when(test, F.col(weight)).otherwise(0))
+
+
+def quantiles(df: DataFrame, c: str, probs: Mapping[str, float], *, by: Sequence[str] = (), kind: int = 7,
+              weight: str | None = None) -> DataFrame:
     """Exact quantiles per group, one column per entry of ``probs``, and ``n_known``.
 
     ``kind`` 7 interpolates linearly between order statistics, 2 averages at
-    jumps. Works on value counts, so no group is held in one task.
+    jumps. Works on value counts, so no group is held in one task. ``weight``
+    names a column of counts when the rows are already counted.
     """
     if kind not in (2, 7):
         raise ValueError("kind must be 2 or 7")
     df, keys = strata(df, by)
-    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("_v")).agg(_amount(weight).alias("_n"))
     chunked = range_chunks(counts, [*keys, "_v"])
     ranked = running_sums(chunked, by=keys, order_by=["_v"], sums={"_upto": "_n"})
     totals = chunked.groupBy(*keys).agg(F.sum("_n").alias("n_known"))
@@ -84,7 +93,8 @@ def normal_plot_line(df: DataFrame, c: str, *, by: Sequence[str] = ()) -> DataFr
     return q.select(*by, "q1", "q3", slope.alias("slope"), ((F.col("q1") + F.col("q3")) / 2).alias("intercept"))
 
 
-def rank_sum(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact: bool | None = False, first: int = 1) -> DataFrame:
+def rank_sum(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact: bool | None = False, first: int = 1,
+             weight: str | None = None) -> DataFrame:
     """Wilcoxon rank-sum test of two arms (1 and 0) with mid-ranks.
 
     ``first`` is the arm whose rank sum gives W. The normal form is continuity and tie corrected. ``exact=None``
@@ -92,7 +102,7 @@ def rank_sum(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact:
     """
     df, keys = strata(df.where(F.col(y).isNotNull() & F.col(arm).isin(0, 1)), by)
     counts = df.groupBy(*keys, F.col(y).alias("_v")).agg(
-        F.count(F.when(F.col(arm) == first, 1)).alias("_a"), F.count(F.lit(1)).alias("_t")
+        _amount(weight, F.col(arm) == first).alias("_a"), _amount(weight).alias("_t")
     )
     chunked = range_chunks(counts, [*keys, "_v"])
     ranked = running_sums(chunked, by=keys, order_by=["_v"], sums={"_upto": "_t"})

@@ -33,9 +33,8 @@ def arm_moments(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = ()) -> D
     return df.groupBy(*by).agg(*parts)
 
 
-def welch_statistic(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = ()) -> DataFrame:
-    """Welch statistic and its degrees of freedom, built-in expressions only."""
-    m = arm_moments(df, y, arm=arm, by=by)
+def with_welch(m: DataFrame) -> DataFrame:
+    """Add difference, standard error, t and degrees of freedom to arm moments."""
     a, b = F.col("var1") / F.col("n1"), F.col("var0") / F.col("n0")
     enough = (F.col("n1") >= 2) & (F.col("n0") >= 2) & (a + b > 0)
     m = m.withColumn("difference", F.col("mean1") - F.col("mean0")).withColumn("se", F.when(enough, F.sqrt(a + b)))
@@ -44,63 +43,73 @@ def welch_statistic(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = ())
     )
 
 
+def with_welch_test(m: DataFrame, level: float = 0.95) -> DataFrame:
+    """Add p and interval to ``with_welch``."""
+    m = m.withColumn("p", t_p(F.col("t"), F.col("df"))).withColumn("_half", t_multiplier(F.col("df"), level) * F.col("se"))
+    return m.withColumns({"ci_low": F.col("difference") - F.col("_half"), "ci_high": F.col("difference") + F.col("_half")}).drop("_half")
+
+
+def with_hedges(m: DataFrame, level: float = 0.95) -> DataFrame:
+    """Add the corrected standardised difference, its error, interval and magnitude word to arm moments."""
+    n1, n0 = F.col("n1"), F.col("n0")
+    dof = n1 + n0 - 2
+    pooled = F.sqrt(((n1 - 1) * F.col("var1") + (n0 - 1) * F.col("var0")) / dof)
+    m = m.withColumn("sd_pooled", F.when((n1 >= 2) & (n0 >= 2), pooled))
+    d = F.when(F.col("sd_pooled") > 0, (F.col("mean1") - F.col("mean0")) / F.col("sd_pooled"))
+    m = m.withColumn("cohen_d", d).withColumn("g", F.col("cohen_d") * (1 - 3 / (4 * (n1 + n0) - 9)))
+    error = F.sqrt(((n1 + n0) / (n1 * n0) + F.col("g") * F.col("g") / (2 * dof)) * ((n1 + n0) / dof))
+    known = F.col("g").isNotNull()
+    m = m.withColumn("g_se", F.when(known, error)).withColumn("_half", t_multiplier(F.when(known, dof), level) * F.col("g_se"))
+    size = F.abs("g")
+    word = F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").when(known, "large")
+    return m.withColumns({
+        "g_low": F.col("g") - F.col("_half"), "g_high": F.col("g") + F.col("_half"), "magnitude": word
+    }).drop("_half")
+
+
+def with_smd(m: DataFrame) -> DataFrame:
+    """Add the mean difference over the root of the averaged variances to arm moments."""
+    unit = F.sqrt((F.col("var1") + F.col("var0")) / 2)
+    return m.withColumn("smd", F.when(unit > 0, (F.col("mean1") - F.col("mean0")) / unit))
+
+
+def welch_statistic(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = ()) -> DataFrame:
+    """Welch statistic and its degrees of freedom, built-in expressions only."""
+    return with_welch(arm_moments(df, y, arm=arm, by=by))
+
+
 def welch(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """Welch t-test: both means, difference, t, df, p and interval.
 
     With fewer than two values in an arm, or no spread at all, the statistic is NULL.
     """
-    m = welch_statistic(df, y, arm=arm, by=by)
-    m = m.withColumn("p", t_p(F.col("t"), F.col("df"))).withColumn("_half", t_multiplier(F.col("df"), level) * F.col("se"))
+    m = with_welch_test(welch_statistic(df, y, arm=arm, by=by), level)
     return m.select(
-        *by, "n1", "n0", "mean1", "mean0", "difference", "se", "t", "df", "p",
-        (F.col("difference") - F.col("_half")).alias("ci_low"), (F.col("difference") + F.col("_half")).alias("ci_high"),
+        *by, "n1", "n0", "mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high",
         F.lit(DIRECTION).alias("direction"),
     )
 
 
 def hedges_g(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """Standardised difference with small-sample correction, interval and magnitude word."""
-    m = arm_moments(df, y, arm=arm, by=by)
-    n1, n0 = F.col("n1"), F.col("n0")
-    dof = n1 + n0 - 2
-    pooled = F.sqrt(((n1 - 1) * F.col("var1") + (n0 - 1) * F.col("var0")) / dof)
-    usable = (n1 >= 2) & (n0 >= 2)
-    m = m.withColumn("sd_pooled", F.when(usable, pooled))
-    d = F.when(F.col("sd_pooled") > 0, (F.col("mean1") - F.col("mean0")) / F.col("sd_pooled"))
-    g = d * (1 - 3 / (4 * (n1 + n0) - 9))
-    m = m.withColumn("cohen_d", d).withColumn("g", g)
-    se = F.sqrt(((n1 + n0) / (n1 * n0) + F.col("g") * F.col("g") / (2 * dof)) * ((n1 + n0) / dof))
-    m = m.withColumn("se", F.when(F.col("g").isNotNull(), se)).withColumn("_df", F.when(F.col("g").isNotNull(), dof))
-    m = m.withColumn("_half", t_multiplier(F.col("_df"), level) * F.col("se"))
-    size = F.abs("g")
-    word = (
-        F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").when(size.isNotNull(), "large")
-    )
+    m = with_hedges(arm_moments(df, y, arm=arm, by=by), level)
     return m.select(
-        *by, "n1", "n0", "mean1", "mean0", "sd_pooled", "cohen_d", "g", "se",
-        (F.col("g") - F.col("_half")).alias("ci_low"), (F.col("g") + F.col("_half")).alias("ci_high"),
-        word.alias("magnitude"), F.lit(DIRECTION).alias("direction"),
+        *by, "n1", "n0", "mean1", "mean0", "sd_pooled", "cohen_d", "g", F.col("g_se").alias("se"),
+        F.col("g_low").alias("ci_low"), F.col("g_high").alias("ci_high"), "magnitude", F.lit(DIRECTION).alias("direction"),
     )
 
 
 def standardised_difference(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean difference over the root of the averaged variances."""
-    m = arm_moments(df, y, arm=arm, by=by)
-    unit = F.sqrt((F.col("var1") + F.col("var0")) / 2)
-    return m.select(
-        *by, "n1", "n0", (F.col("mean1") - F.col("mean0")).alias("difference"),
-        F.when(unit > 0, (F.col("mean1") - F.col("mean0")) / unit).alias("smd"),
-    )
+    m = with_smd(arm_moments(df, y, arm=arm, by=by))
+    return m.select(*by, "n1", "n0", (F.col("mean1") - F.col("mean0")).alias("difference"), "smd")
 
 
 def balance_tests(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
-    """Welch and rank-sum rows side by side with the standardised difference."""
+    """Welch and rank-sum rows with the standardised difference."""
     df, keys = strata(df, by)
-    t = welch(df, y, arm=arm, by=keys)
-    smd = standardised_difference(df, y, arm=arm, by=keys).select(*keys, "smd")
-    t = join_groups(t, smd, keys).select(
-        *keys, F.lit("Welch t-test").alias("test"), "difference", F.col("t").alias("statistic"), "p", "smd"
-    )
+    m = with_welch_test(with_welch(with_smd(arm_moments(df, y, arm=arm, by=keys))))
+    t = m.select(*keys, F.lit("Welch t-test").alias("test"), "difference", F.col("t").alias("statistic"), "p", "smd")
     w = rank_sum(df, y, arm=arm, by=keys, exact=exact).select(
         *keys, F.lit("Wilcoxon rank-sum").alias("test"), F.lit(None).cast("double").alias("difference"),
         F.col("w").alias("statistic"), "p", F.lit(None).cast("double").alias("smd"),
@@ -113,20 +122,18 @@ def compare_totals(
 ) -> DataFrame:
     """Day totals per subject and window, compared between arms: moments, t-test and g per variable.
 
-    ``arms`` holds one row per subject; a second row is an error.
+    ``arms`` holds one row per subject; a second row is an error. All statistics
+    come from one pass over the totals.
     """
     per_subject = totals(days, columns, by=[subject])
     joined = lookup_join(per_subject, arms.select(subject, arm), subject, how="inner")
     long = to_long(joined, ids=[subject, arm], columns=list(columns))
-    t = welch(long, "value", arm=arm, by=["variable"])
-    g = hedges_g(long, "value", arm=arm, by=["variable"]).select(
-        "variable", "g", F.col("ci_low").alias("g_low"), F.col("ci_high").alias("g_high"), "magnitude"
-    )
-    sd = long.groupBy("variable").agg(
-        F.stddev_samp(F.when(F.col(arm) == 1, F.col("value"))).alias("sd1"),
-        F.stddev_samp(F.when(F.col(arm) == 0, F.col("value"))).alias("sd0"),
+    m = with_hedges(with_welch_test(with_welch(arm_moments(long, "value", arm=arm, by=["variable"]))))
+    return m.select(
+        "variable", "n1", "n0", "mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high",
+        F.lit(DIRECTION).alias("direction"), F.sqrt("var1").alias("sd1"), F.sqrt("var0").alias("sd0"),
+        "g", "g_low", "g_high", "magnitude",
     )
-    return t.join(sd, "variable").join(g, "variable")
 
 
 def compare_scales(scores: DataFrame, *, score: str, arm: str, by: Sequence[str]) -> DataFrame:

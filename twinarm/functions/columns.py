@@ -123,8 +123,8 @@ def finite(c: str | Column) -> Column:
 
 
 def fixed(c: str | Column, digits: int) -> Column:
-    """Text with a fixed number of decimals."""
-    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", col(c).cast("double")))
+    """Text with a fixed number of decimals, halves to the even neighbour."""
+    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", F.bround(col(c).cast("double"), digits)))
 
 
 def half_even(c: str | Column, digits: int = 0) -> Column:

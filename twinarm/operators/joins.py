@@ -1,8 +1,9 @@
-"""Joins on one key, with a guard against fan-out.
+"""Joins on one key, with guards against fan-out and against hot keys.
 
-No side is broadcast by a hint here: lookups come from the caller and may be as
-long as the subject list, so Spark picks the join by measured size and splits
-skewed keys at run time.
+Lookups come from the caller and may be as long as the subject list, so Spark
+picks the join by measured size. Only keys that hold a large share of the rows are
+taken out and joined to a broadcast of their own few lookup rows, so a hot key is
+never shuffled into one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from twinarm.functions.columns import col
 
+HOT_ROWS = 500_000
+MOST_HEAVY = 1000
+
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -37,22 +41,52 @@ def one_per_key(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return checked.select(*keys, *[F.col("_rest")[c].alias(c) for c in rest])
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and 1/1000 of all rows, at most 1000 of them; None without any.
+
+    One counting pass over the key columns, combined before the shuffle.
+    """
+    counts = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    large = counts.orderBy(F.desc("count")).limit(MOST_HEAVY).collect()
+    if not large:
+        return None
+    rows = df.count()
+    large = [tuple(r[k] for k in keys) for r in large if r["count"] * MOST_HEAVY >= rows]
+    return df.sparkSession.createDataFrame(large, df.select(*keys).schema) if large else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join to a table with at most one row per key, whatever share of ``left`` a key holds.
+
+    The rows of hot keys meet a broadcast of at most 1000 lookup rows; all others
+    join as usual.
+    """
+    keys = list(keys)
+    heavy = heavy_keys(left, keys, hot_rows)
+    if heavy is None:
+        return left.join(right, keys, how)
+    marks = F.broadcast(heavy)
+    few = right.join(marks, keys, "left_semi")
+    hot = left.join(marks, keys, "left_semi").join(F.broadcast(few), keys, how)
+    return left.join(marks, keys, "left_anti").join(right, keys, how).unionByName(hot)
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str | Sequence[str], *, how: str = "left") -> DataFrame:
     """Left or inner join to a lookup that must hold one row per key."""
-    return df.join(one_per_key(lookup, key), _keys(key), how)
+    return spread_join(df, one_per_key(lookup, key), _keys(key), how)
 
 
 def attach_by_text_key(df: DataFrame, lookup: DataFrame, *, key: str, lookup_key: str) -> DataFrame:
     """Left join where the left key is read as text."""
     renamed = one_per_key(lookup, lookup_key).withColumnRenamed(lookup_key, "_text_key")
-    return df.join(renamed, F.col(key).cast("string") == F.col("_text_key"), "left").drop("_text_key")
+    return spread_join(df.withColumn("_text_key", F.col(key).cast("string")), renamed, ["_text_key"]).drop("_text_key")
 
 
 def attach_aggregate(df: DataFrame, source: DataFrame, key: str | Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
     """Left join to per-key aggregates of another table, aggregated before the join."""
     keys = _keys(key)
     summary = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
-    return df.join(summary, keys, "left")
+    return spread_join(df, summary, keys)
 
 
 def keys_where(df: DataFrame, key: str | Sequence[str], test: Column) -> DataFrame:
@@ -62,7 +96,7 @@ def keys_where(df: DataFrame, key: str | Sequence[str], test: Column) -> DataFra
 
 def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key is in ``keys``."""
-    return df.join(keys, keys.columns, "left_semi")
+    return spread_join(df, keys, keys.columns, "left_semi")
 
 
 def study_day(df: DataFrame, date: str | Column, *, out: str = "study_day") -> DataFrame:

@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinarm.functions.columns import col
+from twinarm.operators.joins import HOT_ROWS
 from twinarm.operators.scan import CHUNK, join_groups, largest_group, range_chunks
 
-HOT_ROWS = 500_000
-
 
 def _order(order_by: Sequence[str | Column]) -> Column:
     return F.struct(*[col(o) for o in order_by])
 
 
-def _local_fill(c: str, keys: list[str], order_by, direction: str) -> Column:
-    ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[col(o) for o in order_by])
-    down = F.last(c, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    up = F.first(c, ignorenulls=True).over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+def _local_fill(c: str, keys: list[str], order_by: list[str], direction: str) -> Column:
+    # Both directions are running frames: looking ahead is a running frame of the reversed order,
+    # because Spark evaluates a frame that ends at the last row anew for every row.
+    forward = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[F.asc(o) for o in order_by])
+    back = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[F.desc(o) for o in order_by])
+    running = (Window.unboundedPreceding, Window.currentRow)
+    down = F.last(c, ignorenulls=True).over(forward.rowsBetween(*running))
+    up = F.last(c, ignorenulls=True).over(back.rowsBetween(*running))
     return {"down": down, "up": up, "downup": F.coalesce(down, up)}[direction]
 
 
@@ -33,21 +36,23 @@ def fill(
     direction: str = "downup",
     scope: str = "subject",
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Replace missing values by the last known one before, else the first one after.
 
     ``direction`` may also be ``"down"`` or ``"up"``. ``scope="table"`` carries
     values across subjects in the order (subject, order_by).
 
-    The largest subject is counted first. Up to ``hot_rows`` rows it is a window
-    per subject; beyond that, and for the whole table, the rows are range-split
-    and only the last and first known values of each piece travel.
+    The largest subject is counted first, unless ``largest`` bounds it. Up to
+    ``hot_rows`` rows it is a window per subject; beyond that, and for the whole
+    table, the rows are range-split and only the last and first known values of
+    each piece travel.
     """
     if scope not in ("subject", "table"):
         raise ValueError(f"unknown scope: {scope}")
     keys = [subject] if scope == "subject" else []
     order = list(order_by) if keys else [subject, *order_by]
-    if keys and largest_group(df, keys) <= hot_rows:
+    if keys and (largest_group(df, keys) if largest is None else largest) <= hot_rows:
         return df.withColumns({c: _local_fill(c, keys, order, direction) for c in cols})
     return _fill_in_chunks(df, keys, order, list(cols), direction)
 
@@ -62,14 +67,14 @@ def _fill_in_chunks(df: DataFrame, keys: list[str], order: list[str], cols: list
         *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_last_{c}") for c in cols],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_first_{c}") for c in cols],
     )
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = group.orderBy(F.asc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    after = group.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         CHUNK, *keys,
         (F.count(F.lit(1)).over(before) + F.count(F.lit(1)).over(after)).alias("_others"),
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_from_before_{c}") for c in cols],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_from_after_{c}") for c in cols],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_from_after_{c}") for c in cols],
     ).where("_others > 0").drop("_others")
     # A group that spans chunks is the first or the last of each: at most two rows per chunk.
     joined = join_groups(local, F.broadcast(carried), [CHUNK, *keys])

@@ -12,6 +12,7 @@ from twinarm.functions.columns import (
     among_users, any_use, band, collapse_with_bands, exactly, is_in, keep_levels, recode, to_number, two_flags, yes_no,
 )
 from twinarm.operators.describe import Categorical, Continuous, summary_table
+from twinarm.operators.scan import largest_group
 from twinarm.operators.sequence import collapse, fill, first_row
 from twinarm.sources.tables import apply_overrides
 
@@ -81,7 +82,7 @@ def use_history(
     timed = timed.withColumn("period", band("visit_code", v.PERIOD_RANGES)).where(F.col("period").isNotNull())
     timed = timed.withColumn("Condition", keep_levels("Condition", arms))
     filled = fill(
-        timed, subject=subject, order_by=order_by,
+        timed, subject=subject, order_by=order_by, largest=largest_group(visits, [subject]),
         cols=["Condition", "Gender", "Age_First_Use", "Age_Reg_Use", "Quit_Attempts", "Quit_Long", "Treatment"],
     )
     intake = first_row(filled.where(F.col("period") == 1), subject=subject, order_by=order_by)

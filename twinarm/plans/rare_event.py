@@ -14,6 +14,7 @@ from twinarm.operators.reshape import append_labelled
 from twinarm.operators.sequence import collapse
 from twinarm.operators.survival import follow_up_time
 from twinarm.operators.two_sample import hedges_g
+from twinarm.session import materialise
 
 
 def binary_frame(
@@ -43,6 +44,7 @@ def exact_test(people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def penalised_models(people: DataFrame, *, response: str = "status", window: str = "Integration", by: Sequence[str] = ()) -> DataFrame:
     """Odds ratios of the arm, alone and with the observed window."""
+    people = materialise(people)
     return append_labelled({
         "No Covariates": odds_ratios(firth(people, response=response, terms=["arm"], by=by)),
         "With Covariates": odds_ratios(firth(people, response=response, terms=["arm", window], by=by)),

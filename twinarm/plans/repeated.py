@@ -13,8 +13,10 @@ from twinarm.operators.design import crossed
 from twinarm.operators.joins import attach_aggregate, attach_by_text_key, centre, lookup_join, study_day
 from twinarm.operators.mmrm import arm_contrasts, mmrm
 from twinarm.operators.reshape import append_labelled
+from twinarm.operators.scan import largest_group
 from twinarm.operators.sequence import collapse, fill
 from twinarm.operators.two_sample import welch
+from twinarm.session import materialise
 
 ARM, PERIOD = "arm", "period"
 
@@ -34,7 +36,11 @@ def outcome_rows(
     timed = timed.withColumns({"y": pick_by(PERIOD, v.OUTCOME_BY_PERIOD), ARM: recode("Condition", arm_codes).cast("int")})
     days = {"_observed": F.min_by("days_under_obs", F.when(F.col("days_under_obs").isNotNull(), F.struct(*order_by)))}
     rows = attach_aggregate(timed.where(F.col("y").isNotNull()), timed, subject, days)
-    rows = fill(rows, subject=subject, order_by=order_by, cols=["Gender", "AB_Per_PreContact"], scope=fill_scope)
+    # Counted on the source table, where it reads one column instead of running the join.
+    largest = largest_group(visits, [subject])
+    rows = fill(
+        rows, subject=subject, order_by=order_by, cols=["Gender", "AB_Per_PreContact"], scope=fill_scope, largest=largest
+    )
     return rows.select(
         F.col(subject).alias("subject"), PERIOD, "y", F.col("Gender").alias("gender"), ARM, F.col("_observed").alias("days"),
         F.col("AB_Per_PreContact").alias("baseline"),
@@ -83,8 +89,11 @@ def fit_models(
     rows: DataFrame, *, genders: Sequence[str] = v.GENDER_LEVELS, by: Sequence[str] = (), specs: Mapping[str, dict] | None = None,
     periods: Sequence | None = None,
 ) -> DataFrame:
-    """Coefficient rows of every model, and the arm contrasts of those with a product term."""
-    tables = {}
+    """Coefficient rows of every model, and the arm contrasts of those with a product term.
+
+    The frame is written once; each fit is one pass over it.
+    """
+    rows, tables = materialise(rows), {}
     for name, spec in (specs or model_specs()).items():
         levels = {ARM: [0, 1], PERIOD: [p for p in spec["periods"] if periods is None or p in periods], "gender": list(genders)}
         contrasts = arm_contrasts(ARM, 1, PERIOD, levels[PERIOD]) if (ARM, PERIOD) in spec["terms"] else None

@@ -12,6 +12,7 @@ from twinarm.operators.cox import cox
 from twinarm.operators.reshape import append_labelled
 from twinarm.operators.sequence import collapse, first_row
 from twinarm.operators.survival import follow_up_time, hazard_label, kaplan_meier, logrank, risk_table
+from twinarm.session import materialise
 
 
 def survival_frame(
@@ -64,6 +65,7 @@ def arm_test(people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def cox_table(people: DataFrame, *, genders: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Hazard ratios of the arm, alone and adjusted for gender."""
+    people = materialise(people)
     fit = {"time": "time", "event": "event", "by": by}
     return append_labelled({
         "Unadjusted": cox(people, terms=["arm"], **fit),
@@ -73,6 +75,7 @@ def cox_table(people: DataFrame, *, genders: Sequence[str], by: Sequence[str] =
 
 def annotation(people: DataFrame) -> DataFrame:
     """Hazard ratio with interval and log-rank p as one text."""
+    people = materialise(people)
     hr = cox(people, time="time", event="event", terms=["arm"]).select("hr", "hr_low", "hr_high")
     test = arm_test(people).select(F.col("p"))
     both = hr.withColumn("p", test.scalar())

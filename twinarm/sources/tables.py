@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinarm.functions.columns import col, recode
-from twinarm.operators.joins import one_per_key
+from twinarm.operators.joins import one_per_key, spread_join
 
 
 def load_long(
@@ -75,7 +75,7 @@ def apply_overrides(
     exceptions before every rule, position k after the first k rules.
     """
     known = one_per_key(overrides, key).withColumn("_has_override", F.lit(True))
-    joined = df.join(known, list(key), "left")
+    joined = spread_join(df, known, list(key))
     chain = list(rules)
     chain.insert(position, (F.coalesce(F.col("_has_override"), F.lit(False)), col(value)))
     result = default

@@ -4,9 +4,9 @@ Errors of one subject at period positions i and j correlate as rho^|i-j|, so a r
 depends on earlier ones only through the subject's previous observed row. The
 whole likelihood is therefore a function of cross-products of each row with its
 predecessor, grouped by the factor levels of both rows and the gap between them.
-Spark makes these in one window per subject (at most one row per period) and one
-aggregation; the groups are bounded by the declared levels, whatever the number
-of subjects. Each stratum is finished from its groups in one task.
+Spark makes these with one aggregation per subject (a slot per period) and one by
+group; the groups are bounded by the declared levels, whatever the number of
+subjects. Each stratum is finished from its groups in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinarm.functions.tails import t_point, t_two_sided
@@ -53,21 +53,25 @@ def cross_products(
         F.lit(1.0).alias("_v__one"), *[F.col(n).cast("double").alias(f"_v_{n}") for n in numbers[1:-1]],
         F.col(y).cast("double").alias("_v__y"),
     )
-    # One row per subject and period, combined before the shuffle: a duplicated key is refused
-    # here, so no subject ever brings more rows to the window than there are periods.
-    kept = [c for c in rows.columns if c not in (*by, "_subject", "_place")]
-    single = rows.groupBy(*by, "_subject", "_place").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in kept]
-    )
-    twice = F.raise_error(F.lit("a subject has more than one row in a period"))
-    single = single.withColumn("_place", F.when(F.col("_rows") > 1, twice).otherwise(F.col("_place")))
-    earlier = Window.partitionBy(*by, "_subject").orderBy("_place")
+    # One record per subject with a slot per period: an aggregation of fixed-width values, combined
+    # before the only large shuffle. A second row in a slot is refused.
     fs = [f"_f_{f}" for f in factors]
     vs = [f"_v_{n}" for n in numbers]
-    paired = single.select(
-        *by, *fs, *vs, F.coalesce(F.col("_place") - F.lag("_place").over(earlier), F.lit(0)).alias("gap"),
-        *[F.coalesce(F.lag(f).over(earlier), F.lit(0)).alias(f"_p{f}") for f in fs],
-        *[F.coalesce(F.lag(v).over(earlier), F.lit(0.0)).alias(f"_p{v}") for v in vs],
+    slots, record = [], []
+    for k in range(1, len(period_levels) + 1):
+        here = F.col("_place") == k
+        slots.append(F.count(F.when(here, 1)).alias(f"_c{k}"))
+        slots += [F.max(F.when(here, F.col(c))).alias(f"{c}@{k}") for c in (*fs, *vs)]
+        twice = F.when(F.col(f"_c{k}") > 1, F.raise_error(F.lit("a subject has more than one row in a period")))
+        cells = [F.col(f"`{c}@{k}`").alias(c) for c in (*fs, *vs)]
+        record.append(F.when(F.col(f"_c{k}") > 0, F.struct(F.coalesce(twice.cast("int"), F.lit(k)).alias("_place"), *cells)))
+    wide = rows.groupBy(*by, "_subject").agg(*slots).select(*by, F.array_compact(F.array(*record)).alias("_rows"))
+    pairs = F.transform("_rows", lambda row, i: F.struct(row.alias("own"), F.get("_rows", i - 1).alias("prev")))
+    paired = wide.select(*by, F.inline(pairs)).select(
+        *by, *[F.col("own")[c].alias(c) for c in (*fs, *vs)],
+        F.coalesce(F.col("own")["_place"] - F.col("prev")["_place"], F.lit(0)).alias("gap"),
+        *[F.coalesce(F.col("prev")[f], F.lit(0)).alias(f"_p{f}") for f in fs],
+        *[F.coalesce(F.col("prev")[v], F.lit(0.0)).alias(f"_p{v}") for v in vs],
     )
     sums = [F.count(F.lit(1)).alias("rows")]
     for i, a in enumerate(vs):

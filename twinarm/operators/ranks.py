@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinarm.functions import rank_exact
 from twinarm.functions.normal import normal_quantile
 from twinarm.functions.tails import normal_p
-from twinarm.operators.scan import join_groups, range_chunks, running_sums, strata
+from twinarm.operators.scan import CHUNK, join_groups, range_chunks, running_sums, strata
 
 QUARTILE_SPAN = 1.3489795003921634  # distance of the normal quartiles
 
@@ -35,27 +35,40 @@ def quantiles(df: DataFrame, c: str, probs: Mapping[str, float], *, by: Sequence
     df, keys = strata(df, by)
     counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("_v")).agg(_amount(weight).alias("_n"))
     chunked = range_chunks(counts, [*keys, "_v"])
-    ranked = running_sums(chunked, by=keys, order_by=["_v"], sums={"_upto": "_n"})
-    totals = chunked.groupBy(*keys).agg(F.sum("_n").alias("n_known"))
-    ranked = join_groups(ranked, totals, keys)
-
-    def order_statistic(k: Column) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_v")))
+    pieces = chunked.groupBy(CHUNK, *keys).agg(F.sum("_n").alias("_rows"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(
+        CHUNK, *keys, "_rows", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(group).alias("n_known"),
+    )
 
     n = F.col("n_known")
-    picks, finals = [], []
-    for i, (name, q) in enumerate(probs.items()):
+    places = []
+    for q in probs.values():
         if kind == 7:
             place = (n - 1) * F.lit(float(q))
-            low, high = F.floor(place), F.ceil(place)
-            share = place - low
+            places.append((F.floor(place), F.ceil(place), place - F.floor(place)))
         else:
             place = n * F.lit(float(q))
             whole = F.abs(place - F.round(place)) < 1e-9
             at = F.when(whole, F.round(place)).otherwise(F.floor(place)).cast("long")
-            low = F.when(whole, F.greatest(at - 1, F.lit(0))).otherwise(at)
             high = F.least(at, n - 1)
-            share = F.lit(0.5)
+            places.append((F.when(whole, F.greatest(at - 1, F.lit(0))).otherwise(high), high, F.lit(0.5)))
+    # Only the pieces that hold a wanted order statistic are ordered.
+    wanted = F.lit(False)
+    for low, high, _ in places:
+        for k in (low, high):
+            wanted = wanted | ((F.col("_before") <= k) & (k < F.col("_before") + F.col("_rows")))
+    held = join_groups(chunked, pieces.where(wanted), [CHUNK, *keys], "inner")
+    inside = Window.partitionBy(CHUNK, *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+
+    def order_statistic(k: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_v")))
+
+    picks, finals = [], []
+    for i, (name, (low, high, share)) in enumerate(zip(probs, places)):
         picks += [order_statistic(low).alias(f"_low{i}"), order_statistic(high).alias(f"_high{i}"), F.max(share).alias(f"_s{i}")]
         finals.append((F.col(f"_low{i}") + F.col(f"_s{i}") * (F.col(f"_high{i}") - F.col(f"_low{i}"))).alias(name))
     return ranked.groupBy(*keys).agg(*picks, F.max("n_known").alias("n_known")).select(*by, "n_known", *finals)

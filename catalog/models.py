@@ -92,6 +92,23 @@ E["logrank_many_arms"] = Entry(
     digits("chi_square", "p", *[f"expected_{i}" for i in range(1, 6)]),
 )
 
+E["logrank_three_arms"] = Entry(
+    lambda s, d: survival.logrank(
+        waits(s, d).withColumn("arm", F.when(F.col("priority") < "2", 0).when(F.col("priority") < "4", 1).otherwise(2)),
+        time="time", event="event", arm="arm", arms=[0, 1, 2]).drop("p"),
+    f"""WITH {ORDERS}, w AS (SELECT time, event, CASE WHEN priority < '2' THEN 0 WHEN priority < '4' THEN 1 ELSE 2 END AS arm FROM waits),
+        ct AS (SELECT time, """ + ", ".join(
+        f"count(CASE WHEN arm = {a} THEN 1 END) AS m{a}, sum(CASE WHEN arm = {a} THEN event ELSE 0 END) AS d{a}" for a in range(3)) + """ FROM w GROUP BY time),
+        rk AS (SELECT *, """ + ", ".join(f"CAST(sum(m{a}) OVER (ORDER BY time DESC) AS DOUBLE) AS n{a}" for a in range(3)) + """ FROM ct),
+        t AS (SELECT *, n0 + n1 + n2 AS n, d0 + d1 + d2 AS d, CASE WHEN n0 + n1 + n2 > 1 THEN (d0 + d1 + d2) * (n0 + n1 + n2 - d0 - d1 - d2) / (n0 + n1 + n2 - 1) ELSE 0 END AS c FROM rk),
+        s AS (SELECT """ + ", ".join(f"CAST(sum(d{a}) AS BIGINT) AS observed_{a}, sum(d * n{a} / n) AS expected_{a}" for a in range(3)) + """,
+              sum(c * n1 / n * (1 - n1 / n)) AS v11, sum(c * n2 / n * (1 - n2 / n)) AS v22, -sum(c * n1 / n * n2 / n) AS v12 FROM t)
+        SELECT observed_0, observed_1, observed_2, expected_0, expected_1, expected_2,
+          (pow(observed_1 - expected_1, 2) * v22 - 2 * (observed_1 - expected_1) * (observed_2 - expected_2) * v12
+           + pow(observed_2 - expected_2, 2) * v11) / (v11 * v22 - v12 * v12) AS chi_square, 2 AS df FROM s""",
+    digits("chi_square", "expected_0", "expected_1", "expected_2"),
+)
+
 
 def newton_cox(source: str, steps: int = 7) -> str:
     """One binary covariate, Efron ties: Newton steps as chained CTEs ending in ``fit``."""
@@ -109,7 +126,7 @@ def newton_cox(source: str, steps: int = 7) -> str:
     return sums + f", fit AS (SELECT b, 1 / sqrt(i) AS se, ll, (SELECT ll FROM s0) AS ll0 FROM s{steps - 1})"
 
 
-COX_COLS = digits("estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high", "loglik", "loglik_null")
+COX_COLS = digits("estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high") | digits("loglik", "loglik_null", places=3)
 COX_SELECT = f"""SELECT 'arm' AS term, b AS estimate, se AS std_error, b / se AS z, {m.normal_p('(b / se)')} AS p, exp(b) AS hr,
     exp(b - 1.959963984540054 * se) AS hr_low, exp(b + 1.959963984540054 * se) AS hr_high, ll AS loglik, ll0 AS loglik_null FROM fit"""
 E["cox_one_covariate"] = Entry(
@@ -122,6 +139,39 @@ E["cox_distributed_steps"] = Entry(
         "term", "estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high", "loglik", "loglik_null"),
     f"WITH {ORDERS}, {newton_cox('waits')} {COX_SELECT}", COX_COLS,
 )
+
+
+def newton_cox_two(steps: int = 8) -> str:
+    """Arm and gender, Efron ties: Newton steps in two coefficients ending in ``fit``."""
+    cells = [(a, g) for a in (0, 1) for g in (0, 1)]
+    tag = lambda a, g: f"{a}{g}"
+    counts = ", ".join(
+        f"count(CASE WHEN arm = {a} AND man = {g} THEN 1 END) AS m{tag(a, g)}, "
+        f"sum(CASE WHEN arm = {a} AND man = {g} THEN event ELSE 0 END) AS d{tag(a, g)}" for a, g in cells)
+    risk = ", ".join(f"CAST(sum(m{tag(a, g)}) OVER (ORDER BY time DESC) AS DOUBLE) AS n{tag(a, g)}" for a, g in cells)
+    d = " + ".join(f"d{tag(a, g)}" for a, g in cells)
+    weight = {c: f"(exp(b1 * {c[0]} + b2 * {c[1]}) * (n{tag(*c)} - f * d{tag(*c)}))" for c in cells}
+    total = "(" + " + ".join(weight.values()) + ")"
+    text = f"""g AS (SELECT *, CASE WHEN gender = 'M' THEN 1 ELSE 0 END AS man FROM survival WHERE gender IS NOT NULL),
+        ct AS (SELECT time, {counts} FROM g GROUP BY time), rk AS (SELECT *, {risk} FROM ct),
+        ties AS (SELECT *, l / CAST({d} AS DOUBLE) AS f FROM rk, LATERAL (SELECT unnest(range(CAST({d} AS BIGINT))) AS l)),
+        p0 AS (SELECT CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2)"""
+    for i in range(steps):
+        text += f""", e{i} AS (SELECT *, ({weight[(1, 0)]} + {weight[(1, 1)]}) / {total} AS ea, ({weight[(0, 1)]} + {weight[(1, 1)]}) / {total} AS eg,
+              {weight[(1, 1)]} / {total} AS eag, ln({total}) AS lt, CASE WHEN l = 0 THEN d10 + d11 ELSE 0 END AS xa, CASE WHEN l = 0 THEN d01 + d11 ELSE 0 END AS xg FROM ties, p{i}),
+            s{i} AS (SELECT b1, b2, sum(xa - ea) AS u1, sum(xg - eg) AS u2, sum(ea * (1 - ea)) AS i11, sum(eg * (1 - eg)) AS i22, sum(eag - ea * eg) AS i12,
+              sum(xa * b1 + xg * b2 - lt) AS ll FROM e{i} GROUP BY b1, b2),
+            p{i + 1} AS (SELECT b1 + (i22 * u1 - i12 * u2) / (i11 * i22 - i12 * i12) AS b1, b2 + (i11 * u2 - i12 * u1) / (i11 * i22 - i12 * i12) AS b2 FROM s{i})"""
+    last = f"s{steps - 1}"
+    return text + f""", fit AS (SELECT 'arm' AS term, b1 AS b, sqrt(i22 / (i11 * i22 - i12 * i12)) AS se, ll, (SELECT ll FROM s0) AS ll0 FROM {last}
+        UNION ALL SELECT 'gender[M]', b2, sqrt(i11 / (i11 * i22 - i12 * i12)), ll, (SELECT ll FROM s0) FROM {last})"""
+
+
+E["cox_two_covariates"] = Entry(
+    lambda s, d: cox(x.survival(s, d), time="time", event="event", terms=["arm", "gender"], levels=GENDER).select(
+        "term", "estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high", "loglik", "loglik_null"),
+    f"WITH {S}, {newton_cox_two()} {COX_SELECT.replace(chr(39) + 'arm' + chr(39) + ' AS term', 'term')}", COX_COLS,
+)
 E["cox_table_two_models"] = Entry(
     lambda s, d: append_labelled({
         "Unadjusted": cox(x.survival(s, d), time="time", event="event", terms=["arm"]),
@@ -238,19 +288,36 @@ def reml_sql() -> str:
         rss = f"({q['yy']} - {b0} * {q['y0']} - {b1} * {q['y1']})"
         return f"((total - 2) * ln({rss} / (total - 2)) + {q['ld']} + ln({det}))"
 
-    q = parts("rho")
+    def columns(rho: str, tail: str) -> str:
+        return ", ".join(f"{e} AS {n}{tail}" for n, e in parts(rho).items())
+
+    h = 1e-3  # central differences in rho
+    ends = {"": "rho", "_m": f"(rho - {h})", "_p": f"(rho + {h})"}
+    solved = []
+    for t in ends:
+        det = f"(x00{t} * x01{t} - x01{t} * x01{t})"
+        solved.append(
+            f"{det} AS det{t}, (x01{t} * y0{t} - x01{t} * y1{t}) / {det} AS b0{t}, (x00{t} * y1{t} - x01{t} * y0{t}) / {det} AS b1{t}")
+    rss = ", ".join(f"yy{t} - b0{t} * y0{t} - b1{t} * y1{t} AS rss{t}, ld{t} + ln(det{t}) AS lg{t}, x01{t} / det{t} AS k0{t}, x00{t} / det{t} AS k1{t}" for t in ends)
+    rows = []
+    for i, term in ((0, "(Intercept)"), (1, "arm[1]")):
+        v, g1, g2 = f"(s2 * k{i})", f"k{i}", f"(s2 * (k{i}_p - k{i}_m) / {2 * h})"
+        df = f"(2 * {v} * {v} * (h11 * h22 - h12 * h12) / ({g1} * {g1} * h22 - 2 * {g1} * {g2} * h12 + {g2} * {g2} * h11))"
+        rows.append(f"SELECT '{term}' AS term, b{i} AS estimate, sqrt{v} AS std_error, {df} AS df, b{i} / sqrt{v} AS t, rho, sqrt(s2) AS sigma FROM he")
     return f"""WITH RECURSIVE {cte},
         search(i, lo, hi) AS (SELECT 0, CAST(-0.99 AS DOUBLE), CAST(0.99 AS DOUBLE) UNION ALL
           SELECT i + 1, CASE WHEN {crit('(lo + (hi - lo) / 3)')} > {crit('(hi - (hi - lo) / 3)')} THEN lo + (hi - lo) / 3 ELSE lo END,
                  CASE WHEN {crit('(lo + (hi - lo) / 3)')} > {crit('(hi - (hi - lo) / 3)')} THEN hi ELSE hi - (hi - lo) / 3 END
           FROM search, st WHERE i < 48),
         best AS (SELECT (lo + hi) / 2 AS rho FROM search WHERE i = 48),
-        pt AS (SELECT rho, total, {', '.join(f'{e} AS {n}' for n, e in q.items())} FROM best, st),
-        co AS (SELECT *, x00 * x01 - x01 * x01 AS det, (x01 * y0 - x01 * y1) / (x00 * x01 - x01 * x01) AS b0,
-                 (x00 * y1 - x01 * y0) / (x00 * x01 - x01 * x01) AS b1 FROM pt),
-        va AS (SELECT *, (yy - b0 * y0 - b1 * y1) / (total - 2) AS s2 FROM co)
-        SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(s2 * x01 / det) AS std_error, rho, sqrt(s2) AS sigma FROM va
-        UNION ALL SELECT 'arm[1]', b1, sqrt(s2 * x00 / det), rho, sqrt(s2) FROM va"""
+        pt AS (SELECT rho, total, {', '.join(columns(r, t) for t, r in ends.items())} FROM best, st),
+        co AS (SELECT *, {', '.join(solved)} FROM pt),
+        rs AS (SELECT *, {rss} FROM co),
+        va AS (SELECT *, rss / (total - 2) AS s2 FROM rs),
+        he AS (SELECT *, (total - 2) / (2 * s2 * s2) AS h11, -(rss_p - rss_m) / {2 * h} / (2 * s2 * s2) AS h12,
+               0.5 * ((lg_p - 2 * lg + lg_m) / {h * h} + (rss_p - 2 * rss + rss_m) / {h * h} / s2) AS h22 FROM va),
+        fitted AS ({' UNION ALL '.join(rows)})
+        SELECT *, {m.t_p('t', 'df')} AS p, estimate - {m.t_point('df')} * std_error AS ci_low, estimate + {m.t_point('df')} * std_error AS ci_high FROM fitted"""
 
 
 def fit(s, d, terms, *, by=(), contrasts=None):
@@ -261,8 +328,8 @@ def fit(s, d, terms, *, by=(), contrasts=None):
 MM_COLS = digits("estimate", "std_error", "df", "t", "p", "ci_low", "ci_high", "std_contrast", "std_contrast_corrected", "rho",
                  "sigma", "rms_residual", "reml_loglik", places=4)
 E["mmrm_arm_only"] = Entry(
-    lambda s, d: fit(s, d, ["arm"]).select("term", "estimate", "std_error", "rho", "sigma"), reml_sql(),
-    digits("estimate", "std_error", "rho", "sigma", places=3),
+    lambda s, d: fit(s, d, ["arm"]).select("term", "estimate", "std_error", "df", "t", "rho", "sigma", "p", "ci_low", "ci_high"), reml_sql(),
+    digits("estimate", "std_error", "t", "rho", "sigma", "p", "ci_low", "ci_high", places=3) | digits("df", places=1),
 )
 E["mmrm_adjusted"] = Entry(lambda s, d: fit(s, d, ["arm", "period", "days", "gender"]), None, MM_COLS)
 E["mmrm_with_interaction_and_contrasts"] = Entry(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as x
 from catalog.fixtures import Entry, digits
 from twinarm.functions import columns as c
 from twinarm.operators import describe, joins, ranks, reshape, sequence
-from twinarm.sources import tables
+from twinarm.session import shared_folder
+from twinarm.sources import sinks, tables
 
 E: dict[str, Entry] = {}
 V, L, P = x.VISITS, x.LONG, x.PEOPLE
@@ -26,6 +29,18 @@ E["source_label_decode"] = Entry(
 )
 
 
+def _csv_copy(s, d):
+    """Customers written as CSV beside the checkpoints and read back with a declared schema."""
+    path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    sinks.save_table(x.people(s, d).select("c_custkey", "region", "segment", "balance"), path, fmt="csv")
+    return tables.load_long(s, path, schema="c_custkey bigint, region string, segment string, balance double")
+
+
+E["source_csv_round_trip"] = Entry(
+    _csv_copy, f"WITH {P} SELECT c_custkey, region, segment, balance FROM cohort", digits("balance"),
+)
+
+
 def _overrides(s, d):
     people = x.people(s, d)
     known = x.table(s, d, "orders").where(F.col("o_totalprice") > 490000).groupBy("o_custkey").agg(
@@ -390,6 +405,10 @@ E["first_available_column"] = Entry(
 )
 
 # --- ranking -------------------------------------------------------------------------------
+E["change_scores"] = Entry(
+    lambda s, d: x.change(s, d),
+    f"WITH {x.CHANGE} SELECT user_id, arm, change, prep_change FROM changes", digits("change", "prep_change"),
+)
 E["waterfall_ranking"] = Entry(
     lambda s, d: ranks.rank_rows(x.change(s, d), "prep_change", tie=["user_id"]).select("user_id", "prep_change", "rank"),
     f"""WITH {x.CHANGE} SELECT user_id, prep_change, row_number() OVER (ORDER BY prep_change DESC NULLS LAST, user_id) AS rank FROM changes""",

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", app: str = "twinarm") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -23,17 +24,29 @@ def local_session(cores: str = "*", app: str = "twinarm") -> SparkSession:
     )
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    session without any (tests, local runs) gets a temporary one. The written
-    rows do not depend on executors, so a lost executor never changes the
-    chunk borders or counts that later steps rely on.
+    It is the one named in ``spark.checkpoint.dir``. Only a local session without
+    any gets a temporary folder; on a cluster that would be machine-local, so there
+    the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="twinarm-checkpoint-"))
+        if named is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="twinarm-checkpoint-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and read it back from there.
+
+    The written rows do not depend on executors, so a lost executor never changes
+    the chunk borders or counts that later steps rely on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -52,13 +52,13 @@ def rank_sql(source: str, y: str, by: str, first: int = 1) -> str:
     return f"""vals AS (SELECT {by}, {y} AS v, count(CASE WHEN arm = {first} THEN 1 END) AS a, count(*) AS t FROM {source}
               WHERE {y} IS NOT NULL AND arm IN (0, 1) GROUP BY ALL),
         mid AS (SELECT *, sum(t) OVER (PARTITION BY {by} ORDER BY v) - t + (t + 1) / 2.0 AS mid FROM vals),
-        rs AS (SELECT {by}, CAST(sum(a) AS BIGINT) AS na, CAST(sum(t - a) AS BIGINT) AS nb, sum(a * mid) AS ra,
+        rs AS (SELECT {by}, CAST(sum(a) AS BIGINT) AS na, CAST(sum(t - a) AS BIGINT) AS nb, CAST(sum(a * mid) AS DOUBLE) AS ra,
               CAST(sum(t * t * t - t) AS DOUBLE) AS tie_term FROM mid GROUP BY ALL),
         rw AS (SELECT *, ra - na * (na + 1) / 2.0 AS w,
               sqrt(na * nb / 12.0 * ((na + nb + 1) - tie_term / ((na + nb) * (na + nb - 1.0)))) AS sigma FROM rs),
         rz AS (SELECT *, (w - na * nb / 2.0 - sign(w - na * nb / 2.0) * 0.5) / sigma AS z FROM rw WHERE na > 0 AND nb > 0),
-        r AS (SELECT {by}, {'na AS n1, nb AS n0' if first == 1 else 'nb AS n1, na AS n0'}, w, tie_term, z, {m.normal_p('z')} AS p, w / (na * nb * 1.0) - 0.5 AS rbc_half,
-              2 * w / (na * nb * 1.0) - 1 AS rank_biserial FROM rz)"""
+        r AS (SELECT {by}, {'na AS n1, nb AS n0' if first == 1 else 'nb AS n1, na AS n0'}, w, tie_term, z, {m.normal_p('z')} AS p, w / (CAST(na AS DOUBLE) * nb) - 0.5 AS rbc_half,
+              2 * (w / (CAST(na AS DOUBLE) * nb) - 0.5) AS rank_biserial FROM rz)"""
 
 
 WELCH = digits("mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high")

@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as x
+from catalog.comparisons import g_sql, moments, rank_sql, welch_sql
 from catalog.fixtures import Entry, digits
+from catalog.models import KM, newton_cox
+from twinarm.functions.fixed_values import VISIT_CODES
 from twinarm.plans import ancillary, baseline, change, rare_event, repeated, time_to_event
 
 E: dict[str, Entry] = {}
+
+# The study's visit table as SQL: the first event of every subject and visit slot.
+STUDY = x.VISITS + """, study AS (
+  SELECT * FROM (SELECT *, CAST(least(floor(day * 19 / 30.0), 18) AS INTEGER) AS slot, round(value % 100, 2) AS pct FROM visits)
+  QUALIFY row_number() OVER (PARTITION BY user_id, slot ORDER BY event_id) = 1)"""
+PERIOD = "CASE WHEN slot = 0 THEN 1 WHEN slot <= 5 THEN 2 WHEN slot <= 11 THEN 3 WHEN slot <= 16 THEN 4 WHEN slot = 17 THEN 5 ELSE 6 END"
+NAMES = "[" + ", ".join(f"'{n}'" for n in VISIT_CODES) + "]"
+FRAME = """subjects AS (SELECT user_id, any_value(arm) AS arm, arg_min(day, event_id) FILTER (value > 150) AS days,
+    max(CASE WHEN event_type = 'signup' THEN 20 + user_id % 10 END) AS win FROM study GROUP BY user_id),
+  survival AS (SELECT * FROM (SELECT arm, CASE WHEN days IS NOT NULL THEN 1 ELSE 0 END AS event,
+    CAST(CASE WHEN user_id % 7 = 0 THEN win + 180 ELSE days + 1 END AS DOUBLE) AS time FROM subjects) WHERE time IS NOT NULL)"""
+ITEM = {"Cred": "event_type IN ('view', 'click', 'error')", "Exp": "event_type IN ('signup', 'purchase', 'view')"}
 ARMS = ["Active", "Control"]
 ORDER = {"order_by": ["event_id"]}
 CODED = {**ORDER, "arm_codes": x.ARM_CODES}
@@ -36,7 +51,9 @@ def analysis_rows(s, d):
 
 
 E["study_period_tests"] = Entry(
-    lambda s, d: repeated.period_tests(analysis_rows(s, d)), None,
+    lambda s, d: repeated.period_tests(analysis_rows(s, d)),
+    f"""WITH {STUDY}, o AS (SELECT user_id, any_value(arm) AS arm, {PERIOD} AS period, max(pct) AS y FROM study GROUP BY user_id, {PERIOD}),
+        {welch_sql('o', 'y', 'period')} SELECT * FROM w""",
     digits("mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high"),
 )
 E["study_repeated_models"] = Entry(
@@ -51,7 +68,14 @@ def survival_people(s, d):
 
 
 E["study_survival_curves"] = Entry(
-    lambda s, d: time_to_event.curves(survival_people(s, d)), None, digits("survival", "std_error", "ci_low", "ci_high"))
+    lambda s, d: time_to_event.curves(survival_people(s, d)), f"WITH {STUDY}, {FRAME}, " + KM.format(by="arm", source="survival"),
+    digits("survival", "std_error", "ci_low", "ci_high"))
+E["study_hazard_ratio"] = Entry(
+    lambda s, d: time_to_event.annotation(survival_people(s, d)).select("hr", "hr_low", "hr_high"),
+    f"""WITH {STUDY}, {FRAME}, {newton_cox('survival')} SELECT exp(b) AS hr, exp(b - 1.959963984540054 * se) AS hr_low,
+          exp(b + 1.959963984540054 * se) AS hr_high FROM fit""",
+    digits("hr", "hr_low", "hr_high"),
+)
 E["study_cox_table"] = Entry(
     lambda s, d: time_to_event.cox_table(survival_people(s, d), genders=["Male", "Female"]), None,
     digits("estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high", "loglik", "loglik_null"),
@@ -61,14 +85,32 @@ E["study_penalised_models"] = Entry(
     digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", "odds_ratio", "or_low", "or_high", places=5),
 )
 E["study_change_waterfall"] = Entry(
-    lambda s, d: change.waterfall(change.change_frame(x.study_visits(s, d), arm_names={1: "Active", 0: "Control"}, **CODED)), None,
+    lambda s, d: change.waterfall(change.change_frame(x.study_visits(s, d), arm_names={1: "Active", 0: "Control"}, **CODED)),
+    f"""WITH {STUDY}, c AS (SELECT user_id, any_value(arm) AS arm, arg_min(pct, event_id) FILTER (slot = 0) AS base,
+            arg_min(pct, event_id) AS prep, arg_min(pct, event_id) FILTER (event_type = 'purchase') AS post FROM study GROUP BY user_id)
+        SELECT CAST(user_id AS INTEGER) AS subject, arm, CASE arm WHEN 1 THEN 'Active' ELSE 'Control' END AS "group",
+          CASE arm WHEN 1 THEN 1 ELSE 2 END AS group_order, post - base AS change, post - prep AS prep_change,
+          row_number() OVER (ORDER BY round(post - base, 6) DESC, user_id) AS rank FROM c WHERE base IS NOT NULL AND post IS NOT NULL""",
     digits("change", "prep_change"),
 )
 E["study_observed_days"] = Entry(
-    lambda s, d: ancillary.observed_days(x.study_visits(s, d), **CODED), None,
+    lambda s, d: ancillary.observed_days(x.study_visits(s, d), **CODED),
+    f"""WITH {STUDY}, tot AS (SELECT user_id, any_value(arm) AS arm, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN value % 40 END), 0) AS DOUBLE) AS Days_Prescreen,
+            CAST(coalesce(sum(CASE WHEN event_type = 'click' THEN value % 30 END), 0) AS DOUBLE) AS Days_Preparation,
+            CAST(coalesce(sum(CASE WHEN event_type = 'signup' THEN 20 + user_id % 10 END), 0) AS DOUBLE) AS Days_Integration FROM study GROUP BY 1),
+        lg AS (SELECT arm, variable, value FROM tot UNPIVOT (value FOR variable IN (Days_Prescreen, Days_Preparation, Days_Integration))),
+        {welch_sql('lg', 'value', 'variable')}, {g_sql('lg', 'value', 'variable')}
+        SELECT w.*, sqrt(var1) AS sd1, sqrt(var0) AS sd0, gg.g, gg.ci_low AS g_low, gg.ci_high AS g_high, magnitude
+        FROM w JOIN mom USING (variable) JOIN gg USING (variable)""",
     digits("mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high", "sd1", "sd0", "g", "g_low", "g_high"),
 )
 E["study_scale_tests"] = Entry(
-    lambda s, d: ancillary.scale_tests(ancillary.scale_frame(x.study_visits(s, d), arm_codes=x.ARM_CODES)), None,
+    lambda s, d: ancillary.scale_tests(ancillary.scale_frame(x.study_visits(s, d), arm_codes=x.ARM_CODES)),
+    f"WITH {STUDY}, sc AS (" + " UNION ALL ".join(
+        f"SELECT arm, '{scale}' AS scale, ({NAMES})[slot + 1] AS visit, round(value % 10, 0) AS score_mean FROM study WHERE {test}"
+        for scale, test in ITEM.items()) + f"""), {rank_sql('sc', 'score_mean', 'scale, visit')},
+        mo AS ({moments('score_mean', 'sc', 'scale, visit')})
+        SELECT scale, visit, mo.n1, mo.n0, mean1, sqrt(var1) AS sd1, mean0, sqrt(var0) AS sd0, w, p, rbc_half, rank_biserial
+        FROM mo JOIN r USING (scale, visit)""",
     digits("mean1", "sd1", "mean0", "sd0", "w", "p", "rbc_half", "rank_biserial"),
 )

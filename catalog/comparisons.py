@@ -63,7 +63,9 @@ def rank_sql(source: str, y: str, by: str, first: int = 1) -> str:
 
 WELCH = digits("mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high")
 GCOLS = digits("mean1", "mean0", "sd_pooled", "cohen_d", "g", "se", "ci_low", "ci_high")
-RANK = digits("z", "p", "rbc_half", "rank_biserial", "w", "tie_term")
+# Half-integers over products of small counts end on a 5 often: more places keep ties away from rounding.
+SHARES = digits("rbc_half", "rank_biserial", places=9)
+RANK = digits("z", "p", "w", "tie_term") | SHARES
 
 E["welch_per_period"] = Entry(
     lambda s, d: two_sample.welch(x.visits(s, d), "y", arm="arm", by=["period"]),
@@ -160,7 +162,7 @@ E["balance_table"] = Entry(
 E["rank_biserial_whole_table"] = Entry(
     lambda s, d: ranks.rank_sum(study_day_frame(s, d), "study_day", arm="arm").select("w", "rbc_half", "rank_biserial"),
     f"WITH {DAYS}, {rank_sql('days', 'study_day', 'one')} SELECT w, rbc_half, rank_biserial FROM r",
-    digits("w", "rbc_half", "rank_biserial"),
+    digits("w") | SHARES,
 )
 E["scale_comparison"] = Entry(
     lambda s, d: two_sample.compare_scales(
@@ -169,7 +171,7 @@ E["scale_comparison"] = Entry(
         mo AS ({moments('score_mean', 'sc', 'stratum')})
         SELECT stratum, mo.n1, mo.n0, mean1, sqrt(var1) AS sd1, mean0, sqrt(var0) AS sd0, w, p, rbc_half, rank_biserial
         FROM mo JOIN r USING (stratum)""",
-    digits("mean1", "sd1", "mean0", "sd0", "w", "p", "rbc_half", "rank_biserial"),
+    digits("mean1", "sd1", "mean0", "sd0", "w", "p") | SHARES,
 )
 TOTALS = {"Days_Prescreen": "a", "Days_Preparation": "b", "Days_Integration": "c"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as x
-from catalog.comparisons import g_sql, moments, rank_sql, welch_sql
+from catalog.comparisons import SHARES, g_sql, moments, rank_sql, welch_sql
 from catalog.fixtures import Entry, digits
 from catalog.models import KM, newton_cox
 from twinarm.functions.fixed_values import VISIT_CODES
@@ -90,7 +90,7 @@ E["study_change_waterfall"] = Entry(
             arg_min(pct, event_id) AS prep, arg_min(pct, event_id) FILTER (event_type = 'purchase') AS post FROM study GROUP BY user_id)
         SELECT CAST(user_id AS INTEGER) AS subject, arm, CASE arm WHEN 1 THEN 'Active' ELSE 'Control' END AS "group",
           CASE arm WHEN 1 THEN 1 ELSE 2 END AS group_order, post - base AS change, post - prep AS prep_change,
-          row_number() OVER (ORDER BY round(post - base, 6) DESC, user_id) AS rank FROM c WHERE base IS NOT NULL AND post IS NOT NULL""",
+          row_number() OVER (ORDER BY post - base DESC, user_id) AS rank FROM c WHERE base IS NOT NULL AND post IS NOT NULL""",
     digits("change", "prep_change"),
 )
 E["study_observed_days"] = Entry(
@@ -112,5 +112,5 @@ E["study_scale_tests"] = Entry(
         mo AS ({moments('score_mean', 'sc', 'scale, visit')})
         SELECT scale, visit, mo.n1, mo.n0, mean1, sqrt(var1) AS sd1, mean0, sqrt(var0) AS sd0, w, p, rbc_half, rank_biserial
         FROM mo JOIN r USING (scale, visit)""",
-    digits("mean1", "sd1", "mean0", "sd0", "w", "p", "rbc_half", "rank_biserial"),
+    digits("mean1", "sd1", "mean0", "sd0", "w", "p") | SHARES,
 )

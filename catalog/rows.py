@@ -183,6 +183,19 @@ E["number_text_formats"] = Entry(
     digits("three_digits"),
 )
 
+E["filter_rows"] = Entry(
+    lambda s, d: x.visits(s, d).where(F.col("y").isNotNull() & F.col("period").isin(2, 3, 4) & (F.col("arm") == 1)).select("event_id", "y"),
+    f"WITH {V} SELECT event_id, y FROM visits WHERE y IS NOT NULL AND period IN (2, 3, 4) AND arm = 1", digits("y"),
+)
+E["project_rename_convert"] = Entry(
+    lambda s, d: reshape.change_columns(
+        reshape.change_columns(x.table(s, d, "lineitem").drop("absent", "l_tax"), ["l_orderkey", "l_linenumber"], lambda k: k.cast("string")),
+        ["l_extendedprice", "l_quantity"], lambda k: c.half_even(k, 0)
+    ).withColumnsRenamed({"l_orderkey": "order", "l_linenumber": "line"}).select("order", "line", "l_extendedprice", "l_quantity"),
+    """SELECT CAST(l_orderkey AS VARCHAR) AS "order", CAST(l_linenumber AS VARCHAR) AS line, round_even(l_extendedprice, 0) AS l_extendedprice,
+              round_even(l_quantity, 0) AS l_quantity FROM lineitem""",
+)
+
 # --- joins ---------------------------------------------------------------------------------
 E["join_lookup_unique"] = Entry(
     lambda s, d: joins.lookup_join(

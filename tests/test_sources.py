@@ -57,7 +57,8 @@ def test_lookup_must_be_unique(spark):
 
 
 def test_hot_key_join_equals_plain_join(spark):
-    left = spark.range(3000).select((F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 50)).alias("k"), "id")
+    key = F.when(F.col("id") < 1000, 0).when(F.col("id") < 1900, None).otherwise(F.col("id") % 50)
+    left = spark.range(3000).select(key.cast("long").alias("k"), "id")
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner", "left_semi"):
         spread = spread_join(left, right, ["k"], how, hot_rows=500)

@@ -58,17 +58,23 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame |
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join to a table with at most one row per key, whatever share of ``left`` a key holds.
 
-    The rows of hot keys meet a broadcast of at most 1000 lookup rows; all others
-    join as usual.
+    The rows of hot keys meet a broadcast of at most 1000 lookup rows, rows with a
+    missing key meet none; all others join as usual.
     """
     keys = list(keys)
     heavy = heavy_keys(left, keys, hot_rows)
     if heavy is None:
         return left.join(right, keys, how)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    # A missing key matches nothing; such rows need no shuffle and may be the hottest of all.
+    blank = left.where(~known).join(F.broadcast(right.limit(0)), keys, how)
+    left, heavy = left.where(known), heavy.where(known)
     marks = F.broadcast(heavy)
     few = right.join(marks, keys, "left_semi")
     hot = left.join(marks, keys, "left_semi").join(F.broadcast(few), keys, how)
-    return left.join(marks, keys, "left_anti").join(right, keys, how).unionByName(hot)
+    return left.join(marks, keys, "left_anti").join(right, keys, how).unionByName(hot).unionByName(blank)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str | Sequence[str], *, how: str = "left") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def change_columns(df: DataFrame, columns: Sequence[str], change: Callable[[Column], Column]) -> DataFrame:
+    """The same change (a cast, a rounding) applied to several columns."""
+    return df.withColumns({c: change(F.col(c)) for c in columns})
+
+
 def to_long(df: DataFrame, *, ids: Sequence[str], columns: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
     """Several columns stacked into (name, value) rows; one expansion, no shuffle."""
     return df.unpivot(list(ids), list(columns), name, value)

@@ -81,9 +81,12 @@ def use_history(
     timed = visits.where(F.col("ID_Drug").isNotNull()).withColumn("visit_code", recode("Time", visit_codes))
     timed = timed.withColumn("period", band("visit_code", v.PERIOD_RANGES)).where(F.col("period").isNotNull())
     timed = timed.withColumn("Condition", keep_levels("Condition", arms))
+    history = ["Condition", "Age_First_Use", "Age_Reg_Use", "Quit_Attempts", "Quit_Long", "Treatment"]
+    used = ["Days_Crack", "Days_Cocaine", "Per_Tob", "Per_Heavy_GenSpec", "Per_Can", "Per_Dep", "Per_Stim", "Per_Opi", "Per_Her"]
+    # Only these columns travel: the first row below is taken as one record.
+    timed = timed.select(subject, *[o for o in order_by if o != subject], "ID_Drug", "period", *history, *used)
     filled = fill(
-        timed, subject=subject, order_by=order_by, largest=largest_group(visits, [subject]),
-        cols=["Condition", "Gender", "Age_First_Use", "Age_Reg_Use", "Quit_Attempts", "Quit_Long", "Treatment"],
+        timed, subject=subject, order_by=order_by, cols=history, largest=largest_group(visits, [subject])
     )
     intake = first_row(filled.where(F.col("period") == 1), subject=subject, order_by=order_by)
     return intake.select(

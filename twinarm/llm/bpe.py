@@ -153,3 +153,17 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         return lambda rows: {out: [coder.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows]}
 
     return per_row(df.withColumn("_ids", df[f"`{ids}`"]), "_ids", f"{out} binary", make).drop("_ids")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Both of the above in one pass: the packed ids of each whole text, and the bytes decoded from them."""
+    def make():
+        coder = Coder(path, pattern)
+
+        def compute(texts):
+            coded = [coder.encode(t) for t in texts]
+            return {ids: [np.array(c, "<u4").tobytes() for c in coded], out: [coder.decode(c) for c in coded]}
+
+        return compute
+
+    return per_row(df.withColumn("_text", df[f"`{text}`"]), "_text", f"{ids} binary,{out} binary", make).drop("_text")

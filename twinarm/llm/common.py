@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from twinarm.session import shared_folder
 
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rows, and bytes, that a Python worker gets at once.
+BATCH_ROWS = 2000
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +50,21 @@ def replace_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.Recor
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send fewer rows at once to Python workers than the default, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches into pieces of a few megabytes, so that what is made from them stays small too."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def per_row(df: DataFrame, source: str, outputs: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
     """Add columns computed from one column, Arrow batch by Arrow batch.
 
@@ -62,13 +79,14 @@ def per_row(df: DataFrame, source: str, outputs: str, make: Callable[[], Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = None
-        for batch in batches:
+        for batch in small_batches(batches):
             compute = compute or make()
             found = compute(batch.column("_source").to_pylist())
             made = {f.name: pa.array(found[f.name], f.type) for f in schema}
             base = batch.select([f.name for f in kept])
             yield replace_columns(base, made)
 
+    bound_batches(df.sparkSession)
     return df.select(F.col(f"`{source}`").alias("_source"), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, target)
 
 

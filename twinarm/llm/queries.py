@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinarm.llm import bpe, chat, language, quality, token_counts, url_filter
+from twinarm.llm import bpe, chat, jaccard, language, quality, token_counts, url_filter
 from twinarm.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,9 +18,8 @@ EXTRA_TEXT = "</s>[INST] ok [/INST]"
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")
-    back = bpe.decode(coded, RANKS, public_tokenizers.PATTERN)
-    return back.select(
+    coded = bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -45,6 +44,10 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_alike(table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -69,5 +72,5 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality_model(spark, folder)).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_rules, op4_chat_format, op7_language, op8_token_counts, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_rules, op4_chat_format, op5_shingle_join, op7_language, op8_token_counts, op10_quality)}
 SQL: dict[str, str] = {}

@@ -27,7 +27,9 @@ THRESHOLD = 0.5
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 CHUNK_CHARS = 1_000_000
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
+#: Keeps buckets that few labelled texts use from getting large weights.
+RARE = 1e-5
 
 
 class _Hashes(dict):
@@ -190,14 +192,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     place, share = np.concatenate(places), np.concatenate(shares).astype(float)
     balance = np.where(labels == 1, 0.5 / max(1, labels[~kept_out].sum()), 0.5 / max(1, (1 - labels[~kept_out]).sum())) * ~kept_out
     used = ~kept_out[index]
-    scale = np.sqrt(np.bincount(place[used], share[used] ** 2 * balance[index[used]], 2 * BUCKETS) + 1e-7)
+    scale = np.sqrt(np.bincount(place[used], share[used] ** 2 * balance[index[used]], 2 * BUCKETS) + RARE)
     share = share / scale[place]
     weight, constant = np.zeros(2 * BUCKETS), 0.0
     moment, second = np.zeros(2 * BUCKETS + 1), np.zeros(2 * BUCKETS + 1)
     for step in range(1, steps + 1):
         score = np.bincount(index, share * weight[place], len(rows)) + constant
         error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) * balance
-        grad = np.append(np.bincount(place, share * error[index], 2 * BUCKETS) + 1e-5 * weight, error.sum())
+        grad = np.append(np.bincount(place, share * error[index], 2 * BUCKETS) + 1e-3 * weight, error.sum())
         moment, second = 0.9 * moment + 0.1 * grad, 0.99 * second + 0.01 * grad ** 2
         move = 0.02 * (moment / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-9)
         weight, constant = weight - move[:-1], constant - move[-1]

@@ -45,7 +45,9 @@ DENSE = 64
 #: Texts of a shingle up to which all pairs are taken.
 SMALL_GROUP = 24
 PIVOTS = 8
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
+#: Bytes of a shingle's digest.
+DIGEST_BYTES = 6
 
 _PACKED = "part int, pack long, kind int, a binary, b binary, c binary, d binary, ids array<bigint>"
 _ARROW = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in "abcd"), ("ids", pa.list_(pa.int64()))])
@@ -54,6 +56,20 @@ _DOCS_ARROW = pa.schema([
     ("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("single", pa.int32()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary())])
 
 
+def squeeze(digests: np.ndarray) -> bytes:
+    """Ordered digests as differences, one plane of bytes after the other, so that the shuffle's codec finds the empty high bytes."""
+    steps = np.diff(digests, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES].T).tobytes()
+
+
+def expand(data: bytes) -> np.ndarray:
+    """The digests that were squeezed."""
+    planes = np.frombuffer(data, np.uint8).reshape(DIGEST_BYTES, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :DIGEST_BYTES] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 class _Digests(dict):
     """64-bit digest of a word; common words are remembered."""
 
@@ -78,12 +94,13 @@ def shingle_digests(lists: list[list[bytes]], memo: dict, size: int = SHINGLE) -
     mixed = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     for k in range(size):
         mixed = (mixed ^ words[k:k + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed ^= mixed >> np.uint64(31)
+        mixed ^= mixed >> np.uint64(29)
+    mixed = (mixed * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - 8 * DIGEST_BYTES)
     whole = owner[:n] == owner[size - 1:size - 1 + n]
     mixed, owner = mixed[whole], owner[:n][whole]
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        told = np.array([xxhash.xxh3_64_intdigest(b" ".join(lists[i]), 1) for i in short], np.uint64)
+        told = np.array([xxhash.xxh3_64_intdigest(b" ".join(lists[i]), 1) for i in short], np.uint64) >> np.uint64(64 - 8 * DIGEST_BYTES)
         mixed, owner = np.concatenate([mixed, told]), np.concatenate([owner, short])
     order = np.lexsort((owner, mixed)) if len(short) else np.argsort(mixed, kind="stable")
     mixed, owner = mixed[order], owner[order]
@@ -111,20 +128,20 @@ def _pack(ids: list, texts: list, memo: dict, bits: int, pack: int, size: int) -
     starts, lengths = _runs(digests)
     dense = np.repeat(lengths >= DENSE, lengths)
     heavy = lengths >= DENSE
-    shift = np.uint64(64 - bits)
-    listed, listed_owner = digests[~dense], owner[~dense].astype("<u4")
+    shift = np.uint64(8 * DIGEST_BYTES - bits)
+    listed, listed_owner = digests[~dense], owner[~dense].astype("<u2")
     counted, counts = digests[starts[heavy]], lengths[heavy].astype("<u4")
     parts = np.arange(1 << bits)
     cuts = np.searchsorted(listed >> shift, np.append(parts, 1 << bits))
     heavy_cuts = np.searchsorted(counted >> shift, np.append(parts, 1 << bits))
     rows = [
-        {"part": int(p), "pack": pack, "kind": 0, "a": listed[cuts[p]:cuts[p + 1]].tobytes(), "b": listed_owner[cuts[p]:cuts[p + 1]].tobytes(),
-         "c": counted[heavy_cuts[p]:heavy_cuts[p + 1]].tobytes(), "d": counts[heavy_cuts[p]:heavy_cuts[p + 1]].tobytes(), "ids": None}
+        {"part": int(p), "pack": pack, "kind": 0, "a": squeeze(listed[cuts[p]:cuts[p + 1]]), "b": listed_owner[cuts[p]:cuts[p + 1]].tobytes(),
+         "c": squeeze(counted[heavy_cuts[p]:heavy_cuts[p + 1]]), "d": counts[heavy_cuts[p]:heavy_cuts[p + 1]].tobytes(), "ids": None}
         for p in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(heavy_cuts) > 0)).tolist()
     ]
     rows.append({
         "part": xxhash.xxh3_64_intdigest(str(pack)) % (1 << bits), "pack": pack, "kind": 1, "a": b"".join(nodes),
-        "b": np.concatenate([copy_of, sizes]).astype("<u4").tobytes(), "c": digests[dense].tobytes(), "d": owner[dense].astype("<u4").tobytes(), "ids": ids})
+        "b": np.concatenate([copy_of, sizes]).astype("<u4").tobytes(), "c": squeeze(digests[dense]), "d": owner[dense].astype("<u2").tobytes(), "ids": ids})
     return rows
 
 
@@ -153,24 +170,25 @@ def _count_range(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     out = [r for r in rows if r["kind"] == 1]
     rows = [r for r in rows if r["kind"] == 0]
-    digests = [np.frombuffer(r["a"], "<u8") for r in rows]
-    dense = [np.frombuffer(r["c"], "<u8") for r in rows]
+    digests = [expand(r["a"]) for r in rows]
+    dense = [expand(r["c"]) for r in rows]
     told = np.concatenate([*digests, *dense, np.zeros(0, np.uint64)])
     weight = np.concatenate([np.ones(sum(map(len, digests)), np.int64), *(np.frombuffer(r["d"], "<u4").astype(np.int64) for r in rows)])
     order = np.argsort(told, kind="stable")
     starts, _ = _runs(told[order])
     kinds = told[order][starts]
     counts = np.add.reduceat(weight[order], starts) if len(starts) else np.zeros(0, np.int64)
-    kinds, counts = kinds[counts > 1], np.minimum(counts[counts > 1], 2**32 - 1)
+    # Only the order matters from here on: six steps for each doubling.
+    kinds, levels = kinds[counts > 1], np.minimum(255, 6 * np.log2(counts[counts > 1])).astype(np.uint8)
     for r, d, h in zip(rows, digests, dense, strict=True):
-        owner = np.frombuffer(r["b"], "<u4")
+        owner = np.frombuffer(r["b"], "<u2")
         for kind, values, owners in ((0, d, owner), (2, h, None)):
             at = np.minimum(np.searchsorted(kinds, values), max(0, len(kinds) - 1))
             keep = kinds[at] == values if len(kinds) else np.zeros(len(values), bool)
             if keep.any():
                 out.append({
-                    "part": r["part"], "pack": r["pack"], "kind": kind, "a": values[keep].tobytes(), "b": b"" if owners is None else owners[keep].tobytes(),
-                    "c": counts[at[keep]].astype("<u4").tobytes(), "d": None, "ids": None})
+                    "part": r["part"], "pack": r["pack"], "kind": kind, "a": squeeze(values[keep]), "b": b"" if owners is None else owners[keep].tobytes(),
+                    "c": levels[at[keep]].tobytes(), "d": None, "ids": None})
     return pa.Table.from_pylist(out, _ARROW)
 
 
@@ -184,15 +202,15 @@ def _order_pack(percent: int):
         copy_of, sizes = np.split(np.frombuffer(info["b"], "<u4").astype(np.int64), 2)
         listed = [r for r in rows if r["kind"] == 0]
         heavy = [r for r in rows if r["kind"] == 2]
-        digests = [np.frombuffer(r["a"], "<u8") for r in listed] + [np.frombuffer(info["c"], "<u8")]
-        owner = np.concatenate([np.frombuffer(r["b"], "<u4") for r in listed] + [np.frombuffer(info["d"], "<u4")]).astype(np.int64)
-        known = np.concatenate([np.frombuffer(r["a"], "<u8") for r in heavy] + [np.zeros(0, np.uint64)])
-        known_counts = np.concatenate([np.frombuffer(r["c"], "<u4") for r in heavy] + [np.zeros(0, np.uint32)])
+        digests = [expand(r["a"]) for r in listed] + [expand(info["c"])]
+        owner = np.concatenate([np.frombuffer(r["b"], "<u2") for r in listed] + [np.frombuffer(info["d"], "<u2")]).astype(np.int64)
+        known = np.concatenate([expand(r["a"]) for r in heavy] + [np.zeros(0, np.uint64)])
+        known_levels = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in heavy] + [np.zeros(0, np.uint8)])
         by_digest = np.argsort(known)
-        extra = known_counts[by_digest][np.searchsorted(known[by_digest], digests[-1])] if len(known) else np.zeros(0, np.uint32)
-        counts = np.concatenate([np.frombuffer(r["c"], "<u4") for r in listed] + [extra]).astype(np.int64)
+        extra = known_levels[by_digest][np.searchsorted(known[by_digest], digests[-1])] if len(known) else np.zeros(0, np.uint8)
+        levels = np.concatenate([np.frombuffer(r["c"], np.uint8) for r in listed] + [extra])
         told = np.concatenate(digests)
-        order = np.lexsort((told, counts, owner))
+        order = np.lexsort((told, levels, owner))
         told, owner = told[order], owner[order]
         ends = np.searchsorted(owner, np.arange(n), side="right")
         starts = np.searchsorted(owner, np.arange(n), side="left")
@@ -202,7 +220,7 @@ def _order_pack(percent: int):
         return pa.Table.from_pydict({
             "doc_id": info["ids"], "node": [info["a"][16 * i:16 * i + 16] for i in range(n)], "n_shingles": sizes, "single": single.astype(np.int32),
             "prefix": [told[s:s + k].view(np.int64) if k else None for s, k in zip(starts, take, strict=True)],
-            "grams": [np.sort(told[s:e]).tobytes() if k else None for s, e, k in zip(starts, ends, take, strict=True)],
+            "grams": [squeeze(np.sort(told[s:e])) if k else None for s, e, k in zip(starts, ends, take, strict=True)],
         }, _DOCS_ARROW)
 
     return run
@@ -230,7 +248,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             a, b = batch.column("a"), batch.column("b")
             keep = []
             for n_a, n_b, g_a, g_b in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "g_a", "g_b")), strict=True):
-                x, y = np.frombuffer(g_a, "<u8"), np.frombuffer(g_b, "<u8")
+                x, y = expand(g_a), expand(g_b)
                 need = -(-percent * (n_a + n_b) // (100 + percent))
                 edges = np.arange(1, 8) * len(x) // 8
                 # Parts of different length on both sides of an edge cannot be shared in full.

@@ -24,11 +24,13 @@ from twinarm.llm.common import per_row
 EDIT_PERCENT = 20
 #: Items with fewer words are not searched, as any text may have them.
 LEAST_WORDS = 5
-WALKS, DRAWS, PLACES = 8, 10, 3
+WALKS, DRAWS, PLACES = 6, 12, 3
 BLOCK_ITEMS = 20_000
 #: Places for each pair of words in the table of pairs; some other pairs fall on the same ones.
 PAIR_PLACES = 64
-CHUNK_WORDS = 400_000
+BANDS = 8
+CHUNK_WORDS = 1_000_000
+CHUNK_WINDOWS = 20_000
 MEMO_ENTRIES = 400_000
 
 
@@ -49,14 +51,16 @@ def _mix(values: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _outputs(words: np.ndarray, starts: np.ndarray, n: int, walk: int, places: np.ndarray) -> np.ndarray:
-    """Symbols at some places of the walk over each window of ``n`` words; 0 is the end, words are shifted by 1."""
+def walk_outputs(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
+    """Symbols that a walk copies from windows, a row for each step; 0 after the end, words are shifted by 1.
+
+    A walk takes about two steps for each word, so twice the longest window is walked.
+    """
     at = np.zeros(len(starts), np.int64)
-    out = np.zeros((len(places), len(starts)), np.int64)
-    for step in range(int(places.max()) + 1):
-        symbol = np.where(at < n, words[starts + np.minimum(at, n - 1)] + 1, 0)
-        for k in np.flatnonzero(places == step):
-            out[k] = symbol
+    out = np.zeros((2 * int(sizes.max(initial=0)), len(starts)), np.int32)
+    for step in range(len(out)):
+        symbol = np.where(at < sizes, words[starts + np.minimum(at, sizes - 1)] + 1, 0)
+        out[step] = symbol
         at += (_mix(symbol, walk * 0x10001 + step * 0x3779B1) >> np.uint64(63)).astype(np.int64)
     return out
 
@@ -88,17 +92,27 @@ class Finder:
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for words in known for w in words}), 1)}
         self.ids = _Ids(self.vocabulary)
         self.percent = percent
-        by_length: dict[int, list] = {}
-        for words, ids in known.items():
-            by_length.setdefault(len(words), []).append((np.array([self.vocabulary[w] for w in words], np.int64), ids))
-        self.groups = {n: (np.stack([w for w, _ in group]), [ids for _, ids in group]) for n, group in sorted(by_length.items())}
-        self.keys = {n: self._item_keys(n) for n in self.groups}
-        pairs = sum(words.shape[0] * (n - 1) for n, (words, _) in self.groups.items())
-        self.pair_bits = max(10, int(pairs * PAIR_PLACES).bit_length())
-        self.pairs = np.zeros(1 << self.pair_bits, bool)
-        for words, _ in self.groups.values():
-            self.pairs[self._pair_places(words[:, :-1].ravel(), words[:, 1:].ravel())] = True
-        self.pad = max((self.edits(n) for n in self.groups), default=0) + 1
+        listed = sorted(known.items(), key=lambda x: (len(x[0]), x[0]))
+        self.item_ids = [ids for _, ids in listed]
+        self.sizes = np.array([len(words) for words, _ in listed], np.int64)
+        self.lengths = np.unique(self.sizes)
+        self.flat = np.array([self.vocabulary[w] for words, _ in listed for w in words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.draws = np.random.default_rng(17).random((WALKS, DRAWS, PLACES))
+        self.keys = [
+            [(key[order], order) for key in self._walk_keys(self.flat, self.starts, self.sizes, walk) for order in [np.argsort(key, kind="stable")]]
+            for walk in range(WALKS)
+        ]
+        # The table of pairs has a bit for each band of item lengths.
+        self.bands = [band.tolist() for band in np.array_split(self.lengths, BANDS) if len(band)]
+        inner = np.setdiff1d(np.arange(max(0, len(self.flat) - 1)), self.starts - 1)
+        self.pair_bits = max(10, int(len(inner) * PAIR_PLACES).bit_length())
+        self.pairs = np.zeros(1 << self.pair_bits, np.uint8)
+        size = np.repeat(self.sizes, self.sizes)[inner]
+        places = self._pair_places(self.flat[inner], self.flat[inner + 1]) if len(inner) else inner
+        for bit, band in enumerate(self.bands):
+            self.pairs[places[(size >= band[0]) & (size <= band[-1])]] |= np.uint8(1 << bit)
+        self.pad = self.edits(int(self.sizes.max(initial=0))) + 1
 
     def edits(self, n: int) -> int:
         return self.percent * n // 100
@@ -106,52 +120,37 @@ class Finder:
     def _pair_places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (_mix(first * len(self.vocabulary) + second, 11) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
 
-    def _draws(self, n: int, walk: int) -> np.ndarray:
-        """Places of each draw in the output of a walk over ``n`` words, which takes about 2 n steps."""
-        return np.random.default_rng(1000 * n + walk).integers(0, 2 * n, (DRAWS, PLACES))
-
-    def _walk_keys(self, words: np.ndarray, starts: np.ndarray, n: int, walk: int) -> np.ndarray:
-        """One key for each draw and window."""
-        draws = self._draws(n, walk)
-        places, back = np.unique(draws, return_inverse=True)
-        seen = _outputs(words, starts, n, walk, places)[back.reshape(draws.shape)]
-        key = np.zeros((DRAWS, len(starts)), np.uint64)
-        for k in range(PLACES):
-            key = _mix(key ^ seen[:, k].astype(np.uint64), k + 1)
-        return key
-
-    def _item_keys(self, n: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        items = self.groups[n][0]
-        flat, starts = items.ravel(), np.arange(len(items)) * n
-        out = []
-        for walk in range(WALKS):
-            keys = self._walk_keys(flat, starts, n, walk)
-            orders = [np.argsort(k, kind="stable") for k in keys]
-            out.append([(k[o], o) for k, o in zip(keys, orders, strict=True)])
-        return out
-
-    def _windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each item length, the starts of windows that have enough words and pairs of the benchmark."""
+    def _walk_keys(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> Iterator[np.ndarray]:
+        """For each draw, a key for each window: its size and its symbols at the drawn places."""
+        out, window = walk_outputs(words, starts, sizes, walk), np.arange(len(starts))
+        for draw in self.draws[walk]:
+            key = sizes.astype(np.uint64)
+            for k, share in enumerate(draw):
+                key = _mix(key ^ out[(share * 2 * sizes).astype(np.int64), window].astype(np.uint64), k + 1)
+            yield key
+
+    def _windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the windows that have enough words and pairs of the benchmark."""
         known = words > 0
-        both = np.zeros(len(words), bool)
+        both = np.zeros(len(words), np.uint8)
         at = np.flatnonzero(known[:-1] & known[1:])
-        both[at] = self.pairs[self._pair_places(words[at], words[at + 1])]
+        both[at] = self.pairs[self._pair_places(words[at], words[at + 1])] if len(at) else 0
         hits = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
-        pairs = np.concatenate([[0], np.cumsum(both, dtype=np.int32)])
-        lengths = list(self.groups)
-        k = 0
-        while k < len(lengths):
-            band = [n for n in lengths[k:] if n <= max(lengths[k] + 2, lengths[k] * 11 // 10)]
-            k += len(band)
+        found, lengths = [], []
+        for bit, band in enumerate(self.bands):
             low = band[0]
             if len(words) < low:
                 break
+            pairs = np.concatenate([[0], np.cumsum((both >> bit) & 1, dtype=np.int32)])
             # What the first words of a longer window have at least.
             least = min(n - 1 - 2 * self.edits(n) - (n - low) for n in band)
             some = np.flatnonzero(pairs[low - 1:-1] - pairs[:len(pairs) - low] >= least)
             for n in band:
                 at = some[some + n <= len(words)]
-                yield n, at[(hits[at + n] - hits[at] >= n - self.edits(n)) & (pairs[at + n - 1] - pairs[at] >= n - 1 - 2 * self.edits(n))]
+                found.append(at[(hits[at + n] - hits[at] >= n - self.edits(n)) & (pairs[at + n - 1] - pairs[at] >= n - 1 - 2 * self.edits(n))])
+                lengths.append(n)
+        sizes = np.repeat(np.array(lengths, np.int64), list(map(len, found)))
+        return (np.concatenate(found) if found else np.zeros(0, np.int64)), sizes
 
     def _distances(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
         """Least number of edits between each item and a passage that starts at each start; over ``edits`` it may be more than the least."""
@@ -195,25 +194,26 @@ class Finder:
         words = np.concatenate(parts) if parts else gap
         firsts = np.array(firsts)
         best: list[dict] = [{} for _ in lists]
-        for n, starts in self._windows(words):
-            if not len(starts):
-                continue
-            items, ids = self.groups[n]
-            pairs = []
+        starts, sizes = self._windows(words)
+        pairs = []
+        for part in np.array_split(np.arange(len(starts)), max(1, len(starts) // CHUNK_WINDOWS)) if len(starts) else ():
             for walk in range(WALKS):
-                for key, (known, order) in zip(self._walk_keys(words, starts, n, walk), self.keys[n][walk], strict=True):
+                for key, (known, order) in zip(self._walk_keys(words, starts[part], sizes[part], walk), self.keys[walk], strict=True):
                     low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
                     hit = np.flatnonzero(high > low)
                     for k in range(int((high - low)[hit].max(initial=0))):
                         still = hit[low[hit] + k < high[hit]]
-                        pairs.append(still * len(items) + order[low[still] + k])
-            pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-            for part in np.array_split(pairs, max(1, len(pairs) // 20_000)):
-                begin, item = starts[part // len(items)], part % len(items)
-                distance = self._distances(words, begin, items[item], n) if len(part) else np.zeros(0, int)
+                        pairs.append(part[still] * len(self.sizes) + order[low[still] + k])
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        window, item = pairs // max(1, len(self.sizes)), pairs % max(1, len(self.sizes))
+        for n in np.unique(sizes[window]).tolist():
+            mine = np.flatnonzero(sizes[window] == n)
+            for part in np.array_split(mine, max(1, len(mine) // CHUNK_WINDOWS)):
+                begin = starts[window[part]]
+                distance = self._distances(words, begin, self.flat[self.starts[item[part]][:, None] + np.arange(n)], n)
                 for k in np.flatnonzero(distance <= self.edits(n)):
                     text = int(np.searchsorted(firsts, begin[k], "right")) - 1
-                    for item_id in ids[item[k]]:
+                    for item_id in self.item_ids[item[part[k]]]:
                         told = (int(distance[k]), int(begin[k] - firsts[text]))
                         best[text][item_id] = min(best[text].get(item_id, told), told)
         return [sorted(((i, s, d) for i, (d, s) in found.items()), key=lambda x: (x[0] is None, x[0] or 0)) for found in best]

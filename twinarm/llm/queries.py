@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinarm.llm import bpe, chat, jaccard, language, quality, token_counts, url_filter
+from twinarm.llm import bpe, chat, decontaminate, html_text, jaccard, language, quality, substring, token_counts, url_filter
 from twinarm.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,11 @@ def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, BLOCK_RULES, ALLOW_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("removed_starts").cast("long").alias("n_removed"), "removed_starts", "removed_ends", "text")
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -48,6 +53,11 @@ def op5_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join_alike(table(spark, folder, "documents"))
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -61,6 +71,14 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
+def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_items(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    leaks = F.explode(F.arrays_zip("leak_items", "leak_starts", "leak_edits")).alias("leak")
+    return found.select("doc_id", leaks).select(
+        "doc_id", F.col("leak.leak_items").alias("item_id"), F.col("leak.leak_starts").cast("long").alias("first_word"),
+        F.col("leak.leak_edits").cast("long").alias("edits"))
+
+
 def quality_model(spark: SparkSession, folder: str):
     """The quality model from the labelled documents of a folder."""
     labelled = table(spark, folder, "documents").select("doc_id", "text").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
@@ -72,5 +90,47 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality_model(spark, folder)).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_rules, op4_chat_format, op5_shingle_join, op7_language, op8_token_counts, op10_quality)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_bpe, op2_url_rules, op3_substring, op4_chat_format, op5_shingle_join, op6_main_text, op7_language, op8_token_counts, op9_benchmark_leaks,
+        op10_quality)
+}
+
+SQL = {
+    "op2_url_rules": r"""
+        WITH parts AS (
+            SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+            FROM parts
+        ), rules(rule, rhost, rpath, rverdict) AS (
+            VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+        ), fits AS (
+            SELECT s.page_id, s.host, s.path, max_by(r.rule, length(r.rule)) AS rule, max_by(r.rverdict, length(r.rule)) AS rverdict
+            FROM split s LEFT JOIN rules r
+                ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath)
+            GROUP BY ALL
+        )
+        SELECT page_id, host, path, rule,
+            coalesce(rverdict, CASE WHEN len(list_intersect(regexp_split_to_array(host, '[.\-]'), ['adult', 'casino', 'porn', 'spam', 'xxx'])) > 0
+                THEN 'block' ELSE 'allow' END) AS verdict
+        FROM fits""",
+    "op5_shingle_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words
+        ), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), edges AS (SELECT x AS u, y AS v FROM shared UNION SELECT y, x FROM shared
+        ), reach(u, v) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(r.v) AS component_id FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY ALL""",
+}

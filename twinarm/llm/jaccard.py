@@ -295,10 +295,13 @@ def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     roots = components(found)
     if many.isEmpty():
         return roots
-    labelled = written(many_entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "entries")
+    labelled = written(
+        many_entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "prefix"), "node"), "entries")
     largest = labelled.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
     apart = labelled.join(largest, "gram").where(F.col("root") != F.col("largest")).drop("largest")
-    rest = _pairs(apart, labelled, percent, F.expr("l.root != r.root")).join(pairs, ["a", "b"], "left_anti")
+    # A pair is taken at the first shingle that both prefixes have, not at each.
+    first = F.expr("l.root != r.root and l.gram = array_intersect(l.prefix, r.prefix)[0]")
+    rest = _pairs(apart, labelled, percent, first).join(pairs, ["a", "b"], "left_anti")
     more = written(_verified(rest, texts, percent), "links")
     return roots if more.isEmpty() else components(found.unionByName(more))
 

@@ -49,18 +49,26 @@ def coding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return coded.select(*docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), exact.alias("exact"))
 
 
+def shipped(stage):
+    """The stage with the package sent to the executors first."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_stage),
-    ("n-gram Jaccard join", near_duplicate_stage),
-    ("substring dedup", passage_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("byte-level BPE", coding_stage),
+    ("quality rules", shipped(quality_stage)),
+    ("n-gram Jaccard join", shipped(near_duplicate_stage)),
+    ("substring dedup", shipped(passage_stage)),
+    ("benchmark decontamination", shipped(benchmark_stage)),
+    ("byte-level BPE", shipped(coding_stage)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents of a folder."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")

@@ -163,7 +163,7 @@ def test_quality_counts():
 def test_quality_model_on_unseen_rows(spark):
     folder = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
-    model = quality.fit(rows.where("doc_id % 2 = 0"))
+    model = quality.fit(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 0").select("doc_id", "quality"))
     out = quality.score(rows.where("doc_id % 2 = 1"), model).where("not base_failed")
     good, bad = out.where("quality = 1"), out.where("quality = 0")
     assert good.where("kept").count() >= 0.99 * good.count()
@@ -171,11 +171,11 @@ def test_quality_model_on_unseen_rows(spark):
 
 
 def test_quality_of_odd_rows(spark):
-    labelled = docs(spark).withColumn("quality", F.lit(1))
-    out = quality.score(docs(spark, note="kept"), quality.fit(labelled))
+    labels = docs(spark).select("doc_id", F.lit(1).alias("quality"))
+    out = quality.score(docs(spark, note="kept"), quality.fit(docs(spark), labels))
     assert by_id(out, "doc_id", "kept") == sorted(((i, i == 5) for i, _, _ in ODD), key=repr)
     assert out.columns[:2] == ["doc_id", "text"]
-    assert quality.score(docs(spark, []), quality.fit(labelled.limit(0))).count() == 0
+    assert quality.score(docs(spark, []), quality.fit(docs(spark), labels.limit(0))).count() == 0
 
 
 # ---- repeated passages

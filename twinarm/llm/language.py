@@ -180,8 +180,8 @@ class Labeller:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language with the most letters under the labels, and its share of the letters; ``und`` and 0 without letters."""
         texts = [t or "" for t in texts]
-        ids, counts = self.ids(texts)
-        if not self.names or not len(ids):
+        ids, counts = self.ids(texts) if self.names else ([], [])
+        if not len(ids):
             return ["und"] * len(texts), [0.0] * len(texts)
         label, letters = self.spans(ids, counts), self.letters[ids]
         text = np.repeat(np.arange(len(texts)), counts)
@@ -193,8 +193,8 @@ class Labeller:
 
     def label_spans(self, text: str) -> list[tuple[str, int, int]]:
         """Spans of one text: language, first word and the word after the last."""
-        ids, counts = self.ids([text])
-        if not len(ids) or not self.names:
+        ids, counts = self.ids([text]) if self.names else ([], [])
+        if not len(ids):
             return []
         label = self.spans(ids, counts)
         cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]

@@ -165,20 +165,21 @@ def _features(rows: DataFrame, text: str) -> DataFrame:
     return per_row(rows, text, "places binary,shares binary", make)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most_rows: int = MOST_ROWS, steps: int = 150) -> np.ndarray:
+def fit(
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most_rows: int = MOST_ROWS, steps: int = 150
+) -> np.ndarray:
     """Weights by bucket, the constant, and the slope and shift of the calibration.
 
-    Of each label the ``most_rows`` rows with the lowest digest of ``key`` are used
-    (rows without label or key are not). Three of four are fitted; the fourth
-    calibrates. With one label only, or none, every text gets that label's verdict, or
-    is kept.
+    Of each label the ``most_rows`` rows of ``labels`` with the lowest digest of ``key``
+    are used (rows without label or key are not), with their texts from ``docs``. Three of
+    four are fitted; the fourth calibrates. With one label only, or none, every text
+    gets that label's verdict, or is kept.
     """
-    known = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label)
     order = F.xxhash64(F.col(key), F.lit(7))
-    sample = None
-    for value in (0, 1):
-        part = known.where(F.col(label) == value).select(key, label, text).orderBy(order, key, text).limit(most_rows)
-        sample = part if sample is None else sample.unionByName(part)
+    zeros, ones = (known.where(F.col(label) == value).orderBy(order, key).limit(most_rows) for value in (0, 1))
+    # At most twice ``most_rows`` labels are sent to the documents; these are not shuffled.
+    sample = docs.select(key, text).join(F.broadcast(zeros.unionByName(ones)), key)
     rows = sorted(_features(sample, text).select(key, label, "places", "shares").collect())
     out = np.zeros(2 * BUCKETS + 3)
     out[-2], labels = 1.0, np.array([r[1] for r in rows], float)

@@ -81,8 +81,7 @@ def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, folder: str):
     """The quality model from the labelled documents of a folder."""
-    labelled = table(spark, folder, "documents").select("doc_id", "text").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
-    return quality.fit(labelled)
+    return quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:

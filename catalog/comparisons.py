@@ -78,17 +78,17 @@ E["welch_whole_table"] = Entry(
         {welch_sql('days', 'study_day', '')} SELECT * FROM w""", WELCH,
 )
 E["rank_sum_per_period"] = Entry(
-    lambda s, d: ranks.rank_sum(x.visits(s, d), "y", arm="arm", by=["period"]),
+    lambda s, d: ranks.rank_sum(x.visits(s, d), "y", arm="arm", by=["period"]).drop("method"),
     f"WITH {V}, {rank_sql('visits', 'y', 'period')} SELECT * FROM r", RANK,
 )
 E["rank_sum_control_first"] = Entry(
     lambda s, d: ranks.rank_sum(x.table(s, d, "lineitem").withColumn("arm", F.when(F.col("l_linestatus") == "F", 1).otherwise(0)),
-                                "l_quantity", arm="arm", by=["l_returnflag"], first=0),
+                                "l_quantity", arm="arm", by=["l_returnflag"], first=0).drop("method"),
     f"""WITH li AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS arm FROM lineitem),
         {rank_sql('li', 'l_quantity', 'l_returnflag', 0)} SELECT * FROM r""", RANK,
 )
 E["rank_sum_exact_small"] = Entry(
-    lambda s, d: ranks.rank_sum(x.long(s, d), "y", arm="arm", by=["period"], exact=None).select("period", "n1", "n0", "w", "p"),
+    lambda s, d: ranks.rank_sum(x.long(s, d), "y", arm="arm", by=["period"], method="exact_if_small").select("period", "n1", "n0", "w", "p", "method"),
     None, digits("w", "p"),
 )
 E["fisher_exact_2x2"] = Entry(
@@ -153,7 +153,7 @@ E["standardised_difference"] = Entry(
     digits("difference", "smd"),
 )
 E["balance_table"] = Entry(
-    lambda s, d: two_sample.balance_tests(study_day_frame(s, d), "study_day", arm="arm"),
+    lambda s, d: two_sample.balance_tests(study_day_frame(s, d), "study_day", arm="arm").drop("method"),
     f"""WITH {DAYS}, {welch_sql('days', 'study_day', '')}, {rank_sql('days', 'study_day', 'one')}
         SELECT 'Welch t-test' AS test, w.difference, t AS statistic, p, w.difference / sqrt((var1 + var0) / 2) AS smd FROM w, mom
         UNION ALL SELECT 'Wilcoxon rank-sum', NULL, w, p, NULL FROM r""",

@@ -44,7 +44,7 @@ def analysis_rows(s, d):
     rows = repeated.outcome_rows(visits, **CODED)
     dates = visits.select(F.col("ID_Drug").cast("string").alias("key"), (F.col("ID_Sub") % 400).alias("shift")).distinct().select(
         "key", F.date_add(F.lit("2016-01-01").cast("date"), F.col("shift").cast("int")).alias("index_date"))
-    # One outcome per subject and period: the last visit of the period.
+    # One row per subject and period: the largest outcome of the period, and what each column of the subject has at most.
     last = rows.groupBy("subject", "period").agg(
         *[F.max(c).alias(c) for c in ("y", "gender", "arm", "days", "baseline")])
     return repeated.with_study_day(last, visits, dates, order_by=["event_id"])

@@ -250,3 +250,24 @@ def test_mmrm_aliased_and_unknown_terms(spark, rows, panel):
     assert found["twin"] is None and found["d"] is not None
     with pytest.raises(ValueError, match="unknown coefficients"):
         mmrm(df, terms=["arm"], levels=LEVELS, contrasts={"c": {"absent": 1.0}}, **FIT)
+
+
+def test_mmrm_keeps_covariates_far_from_zero(spark, rows, panel):
+    """A covariate like a day number or Unix seconds gives the same effect as the centred one."""
+    near = panel.assign(d=np.sin(np.arange(len(panel))) / 2)
+    terms = ["arm", "p", "d", ("d", "arm")]
+    want = {r["term"]: r for r in rows(mmrm(spark.createDataFrame(near), terms=terms, levels=LEVELS, **FIT))}
+    for far in (19_000.0, 1.7e9):
+        got = {r["term"]: r for r in rows(mmrm(spark.createDataFrame(near.assign(d=near.d + far)), terms=terms, levels=LEVELS, **FIT))}
+        for name in [n for n in want if n.startswith(("d", "p["))]:
+            assert got[name]["estimate"] == pytest.approx(want[name]["estimate"], rel=1e-5)
+            assert got[name]["std_error"] == pytest.approx(want[name]["std_error"], rel=1e-5)
+        assert got["arm[1]"]["estimate"] == pytest.approx(want["arm[1]"]["estimate"] - far * want["d:arm[1]"]["estimate"], rel=1e-4)
+
+
+def test_mmrm_shows_strata_that_cannot_be_fitted(spark, rows, panel):
+    df = spark.createDataFrame(panel)
+    small = df.where("s = 1").limit(1).withColumn("g", F.lit("tiny")) if "s" in panel else df.limit(1).withColumn("g", F.lit("tiny"))
+    out = rows(mmrm(df.unionByName(small), terms=["arm", "p"], levels=LEVELS, by=["g"], **FIT), "g", "term")
+    tiny = [r for r in out if r["g"] == "tiny"]
+    assert tiny and all(r["estimate"] is None and r["n"] == 1 for r in tiny)

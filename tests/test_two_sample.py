@@ -65,7 +65,7 @@ def test_rank_sum_by_hand(spark, rows):
 def test_rank_sum_exact_only_without_ties(spark, rows):
     df = spark.createDataFrame([("u", 1, 1.0), ("u", 1, 2.0), ("u", 0, 3.0), ("u", 0, 4.0), ("u", 0, 5.0),
                                 ("t", 1, 1.0), ("t", 1, 2.0), ("t", 0, 2.0), ("t", 0, 4.0)], "s string, arm int, y double")
-    found = {r["s"]: r["p"] for r in rows(ranks.rank_sum(df, "y", arm="arm", by=["s"], exact=None))}
+    found = {r["s"]: r["p"] for r in rows(ranks.rank_sum(df, "y", arm="arm", by=["s"], method="exact_if_small"))}
     assert found["u"] == pytest.approx(2 / 10)
     normal = {r["s"]: r["p"] for r in rows(ranks.rank_sum(df, "y", arm="arm", by=["s"]))}
     assert found["t"] == normal["t"] and found["u"] != normal["u"]
@@ -95,17 +95,38 @@ def test_exact_levels_and_random_tables(spark, rows):
     df = table(spark, {"a": (5, 1), "b": (2, 6), "c": (3, 4), "d": (1, 7)})
     (full,) = rows(exact.fisher_levels(df, level="level", arm="arm"))
     assert full["method"] == "exact"
-    (drawn,) = rows(exact.fisher_levels(df, level="level", arm="arm", exact_work=0, replicates=40000))
-    assert drawn["method"] == "random tables"
+    (drawn,) = rows(exact.fisher_levels(df, level="level", arm="arm", method="random", replicates=40000))
+    assert drawn["method"] == "random"
     assert drawn["p"] == pytest.approx(full["p"], abs=4 * math.sqrt(full["p"] / 40000))
     (two,) = rows(exact.fisher_levels(table(spark, {"a": (3, 1), "b": (1, 3)}), level="level", arm="arm"))
     assert two["p"] == pytest.approx(34 / 70)
     (alone,) = rows(exact.fisher_levels(table(spark, {"a": (3, 1)}), level="level", arm="arm"))
     assert (alone["method"], alone["p"]) == ("none", 1.0)
-    with pytest.raises(Exception, match="too many levels"):
+    with pytest.raises(Exception, match="more levels"):
         exact.fisher_levels(df, level="level", arm="arm", most_levels=3).collect()
 
 
+def test_method_is_the_one_asked_for(spark, rows):
+    """The number of rows never changes the method: not for two levels, not for more."""
+    for scale in (1, 40):
+        df = table(spark, {"a": (5 * scale, scale), "b": (2 * scale, 6 * scale), "c": (3 * scale, 4 * scale)})
+        assert {exact.fisher_levels(df, level="level", arm="arm", method=m).first()["method"] for m in exact.METHODS} == set(exact.METHODS)
+    counted = spark.createDataFrame([("a", 0, 1_000_000), ("a", 1, 1_010_000), ("b", 0, 1_020_000), ("b", 1, 1_000_000)], "level string, arm int, n long")
+    (two,) = rows(exact.fisher_levels(counted, level="level", arm="arm", weight="n"))
+    assert two["method"] == "exact" and 0 < two["p"] < 1e-20
+    with pytest.raises(Exception, match="too many combinations"):
+        exact.fisher_levels(df, level="level", arm="arm", most_work=10).collect()
+
+
+def test_summary_table_shows_every_cell(spark, rows):
+    df = spark.createDataFrame([(1, "x", 2.0), (1, "y", 4.0), (0, None, None), (0, None, None)], "arm int, c string, z double")
+    spec = {"c": describe.Categorical(("x", "y")), "z": describe.Continuous()}
+    out = rows(describe.summary_table(df, spec, arm="arm", arms=[1, 0], tests=True), "variable", "level", "arm")
+    assert [(r["variable"], r["level"], r["arm"], r["n_known"], r["n"]) for r in out] == [
+        ("c", "x", 0, 0, 0), ("c", "x", 1, 2, 1), ("c", "y", 0, 0, 0), ("c", "y", 1, 2, 1), ("z", None, 0, 0, None), ("z", None, 1, 2, None)]
+    assert {(r["variable"], r["method"]) for r in out if r["method"]} == {("c", "none")}
+
+
 def test_totals_need_one_arm_per_subject(spark):
     days = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0)], "s int, d double")
     arms = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0)], "s int, arm int")

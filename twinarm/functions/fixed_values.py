@@ -44,7 +44,6 @@ OUTCOME_BY_PERIOD = {
 # Category labels -> groups of the demographic summary, and level orders.
 GENDER_LEVELS = ["Male", "Female"]
 RACE_GROUPS = {"Caucasian/White": "White"}
-RACE_OTHER = "Black"
 RACE_LEVELS = ["Black", "White"]
 ORIENTATION_GROUPS = {
     "Heterosexual": "Heterosexual",

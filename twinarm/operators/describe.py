@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinarm.functions.columns import fixed, p_text
 from twinarm.operators.exact import fisher_levels
@@ -129,13 +130,17 @@ def summary_table(
     interval: str = "%s (%s, %s)",
     kind: int = 7,
     tests: bool = False,
+    category_test: str = "exact",
+    number_test: str = "normal",
 ) -> DataFrame:
     """Many variables described by arm: counts with percent, or median and quartiles.
 
-    One row per (variable, level, arm). Missing values are outside numerator and
+    One row per declared (variable, level) and arm of every stratum, also where no
+    value is known: then ``n_known`` is 0 and the rest NULL. Missing values are outside numerator and
     denominator. Percentages show no decimals, quartiles ``digits``. With
-    ``tests`` each row also has the p-value of its variable: exact for
-    categories, rank-sum for numbers (the first two of ``arms``).
+    ``tests`` each row also has the p-value of its variable and its ``method``: by
+    ``category_test`` for categories (see ``fisher_levels``), the rank-sum test for
+    numbers, ``exact`` or ``normal`` (the first two of ``arms``).
 
     The rows are read twice, for categories and for numbers; everything else works
     on the counts per value made there.
@@ -145,23 +150,31 @@ def summary_table(
     place = {n: i for i, n in enumerate(variables)}
     spark = df.sparkSession
     parts = []
+    # Every stratum with every arm, so that cells without a known value are shown.
+    arm_type = df.schema[arm].dataType
+    sides = spark.createDataFrame([(a,) for a in arms], T.StructType([T.StructField(arm, arm_type)]))
+    base = df.select(*keys).distinct().join(F.broadcast(sides)) if keys else sides
     if cats:
         whole = levels.groupBy(*keys, arm, "variable").agg(F.sum("n").alias("n_known"))
         # Every declared level of every variable, so that empty cells are shown.
         rows = [(n, lv, i) for n, v in cats.items() for i, lv in enumerate(v.levels) if v.show is None or lv in v.show]
         grid = spark.createDataFrame(rows, "variable string, level string, level_order int")
-        cells = whole.join(F.broadcast(grid), "variable")
+        cells = join_groups(base.join(F.broadcast(grid)), whole, [*keys, arm, "variable"])
         cells = join_groups(cells, levels, [*keys, arm, "variable", "level"])
-        n = F.coalesce(F.col("n"), F.lit(0))
-        pct = 100.0 * n / F.col("n_known")
+        known = F.coalesce(F.col("n_known"), F.lit(0).cast("long"))
+        n = F.coalesce(F.col("n"), F.lit(0).cast("long"))
+        pct = F.when(known > 0, 100.0 * n / known)
         text = F.concat(n.cast("string"), F.lit(" ("), fixed(F.bround(pct, 0), 0), F.lit("%)"))
         parts.append(cells.select(
-            *keys, arm, "variable", "level", "level_order", "n_known", n.alias("n"), pct.alias("percent"),
+            *keys, arm, "variable", "level", "level_order", known.alias("n_known"), n.alias("n"), pct.alias("percent"),
             F.lit(None).cast("double").alias("median"), F.lit(None).cast("double").alias("q1"),
             F.lit(None).cast("double").alias("q3"), text.alias("text"),
         ))
     if nums:
         q = quantiles(values, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[*keys, arm, "variable"], kind=kind, weight="n")
+        names = spark.createDataFrame([(n,) for n in nums], "variable string")
+        q = join_groups(base.join(F.broadcast(names)), q, [*keys, arm, "variable"])
+        q = q.withColumn("n_known", F.coalesce(F.col("n_known"), F.lit(0).cast("long")))
         shown = {d: [n for n, v in nums.items() if v.digits == d] for d in {v.digits for v in nums.values()}}
         text = F.lit(None).cast("string")
         for d, names in shown.items():
@@ -181,19 +194,21 @@ def summary_table(
     columns = [*by, "variable", "label", "variable_order", "level", "level_order", arm, "n_known", "n", "percent",
                "median", "q1", "q3", "text"]
     if tests:
-        p_values = _tests_from_counts(cats, levels, values, arm=arm, arms=arms, keys=keys)
+        p_values = _tests_from_counts(cats, levels, values, arm=arm, arms=arms, keys=keys, category_test=category_test, number_test=number_test)
         table = join_groups(table, p_values, [*keys, "variable"])
-        columns += ["p", "p_text"]
+        columns += ["p", "p_text", "method"]
     return table.select(*columns)
 
 
 def summary_tests(
-    df: DataFrame, variables: Mapping[str, Categorical | Continuous], *, arm: str, arms: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame, variables: Mapping[str, Categorical | Continuous], *, arm: str, arms: Sequence[str], by: Sequence[str] = (),
+    category_test: str = "exact", number_test: str = "normal",
 ) -> DataFrame:
-    """One p-value per variable: exact test for categories, rank-sum for numbers."""
+    """One p-value per variable, with its method: ``category_test`` for categories, the rank-sum test for numbers."""
     df, keys = strata(df.where(F.col(arm).isin(list(arms))), by)
     cats, _, levels, values = _value_counts(df, variables, keys, arm)
-    return _tests_from_counts(cats, levels, values, arm=arm, arms=arms, keys=keys).select(*by, "variable", "p", "p_text")
+    found = _tests_from_counts(cats, levels, values, arm=arm, arms=arms, keys=keys, category_test=category_test, number_test=number_test)
+    return found.select(*by, "variable", "p", "p_text", "method")
 
 
 def _value_counts(df: DataFrame, variables: Mapping[str, Categorical | Continuous], keys: list[str], arm: str):
@@ -210,18 +225,19 @@ def _value_counts(df: DataFrame, variables: Mapping[str, Categorical | Continuou
     return cats, nums, levels, values
 
 
-def _tests_from_counts(cats, levels, values, *, arm: str, arms: Sequence[str], keys: list[str]) -> DataFrame:
+def _tests_from_counts(
+    cats, levels, values, *, arm: str, arms: Sequence[str], keys: list[str], category_test: str, number_test: str
+) -> DataFrame:
     side = F.when(F.col(arm) == arms[0], 1).when(F.col(arm) == arms[1], 0)
     parts = []
     if levels is not None:
-        most = max(len(v.levels) for v in cats.values())
         parts.append(fisher_levels(
-            levels.withColumn("_arm", side), level="level", arm="_arm", by=[*keys, "variable"], most_levels=most, weight="n"
-        ).select(*keys, "variable", "p"))
+            levels.withColumn("_arm", side), level="level", arm="_arm", by=[*keys, "variable"], method=category_test, weight="n"
+        ).select(*keys, "variable", "p", "method"))
     if values is not None:
         parts.append(rank_sum(
-            values.withColumn("_arm", side), "value", arm="_arm", by=[*keys, "variable"], weight="n"
-        ).select(*keys, "variable", "p"))
+            values.withColumn("_arm", side), "value", arm="_arm", by=[*keys, "variable"], weight="n", method=number_test
+        ).select(*keys, "variable", "p", "method"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumn("p_text", p_text("p"))
 

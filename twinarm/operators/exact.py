@@ -14,10 +14,10 @@ from twinarm.functions.tails import chi2_p
 from twinarm.operators.scan import join_groups, strata
 from twinarm.session import materialise
 
-EXACT_WORK = 1e8  # largest number of listed combinations and splits
-REPLICATES = 20_000  # random tables beyond that
+MOST_WORK = 1e9  # listed combinations and splits beyond which an exact test is refused
+REPLICATES = 20_000  # random tables, if asked for
 BLOCK = 500
-DRAW_LIMIT = 900_000_000  # largest total that random tables can be drawn for
+METHODS = ("exact", "random", "chi_square")
 
 
 def fisher_2x2(df: DataFrame, *, arm: str, flag: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,18 +42,22 @@ def fisher_2x2(df: DataFrame, *, arm: str, flag: str, by: Sequence[str] = ()) ->
 
 
 def fisher_levels(
-    df: DataFrame, *, level: str, arm: str, by: Sequence[str] = (), most_levels: int = 50,
-    exact_work: float = EXACT_WORK, replicates: int = REPLICATES, seed: int = 1, weight: str | None = None
+    df: DataFrame, *, level: str, arm: str, by: Sequence[str] = (), method: str = "exact", most_levels: int | None = None,
+    most_work: float = MOST_WORK, replicates: int = REPLICATES, seed: int = 1, weight: str | None = None
 ) -> DataFrame:
-    """Exact test of a category with any levels by a 0/1 arm: one p per stratum.
-
-    Up to ``exact_work`` combinations all tables with the same margins are covered,
-    spread over tasks by the count of one cell. Beyond, p comes from ``replicates`` random
-    tables with these margins, drawn in blocks over tasks, and for totals too
-    large to draw from the chi-square limit. ``method`` says which. A category
-    with more than ``most_levels`` levels is an error, not a longer row. ``weight``
-    names a column of counts when the rows are already counted.
+    """Test of a category with any levels by a 0/1 arm: one p per stratum, by the ``method`` asked for.
+
+    ``exact`` covers all tables with the same margins: two levels by the 2x2 routine,
+    more spread over tasks by the count of one cell; a table that needs more than
+    ``most_work`` combinations is an error, never another method. ``random`` takes p from
+    ``replicates`` random tables with these margins, drawn in blocks over tasks, and
+    ``chi_square`` from the limit distribution. The method is a column of the result; it
+    is ``none`` (p = 1) where only one table is possible. ``most_levels``, if given, makes
+    more levels an error. ``weight`` names a column of counts when the rows are
+    already counted.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
     df, keys = strata(df.where(F.col(level).isNotNull() & F.col(arm).isin(0, 1)), by)
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
     # The counts are used by several branches below: written once, so the rows are read once.
@@ -61,9 +65,11 @@ def fisher_levels(
         F.sum(amount).alias("_n"), F.sum(F.when(F.col(arm) == 1, amount).otherwise(0)).alias("_a")
     ))
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_levels"))
-    few = F.when(F.col("_levels") > most_levels, F.raise_error(F.lit("too many levels for an exact test"))).otherwise(F.col("_levels"))
-    cells = join_groups(cells, sizes, keys).where(few > 0)
-    # At most ``most_levels`` cells per stratum; largest row last, so it is the dependent one.
+    cells = join_groups(cells, sizes, keys)
+    if most_levels is not None:
+        few = F.when(F.col("_levels") > most_levels, F.raise_error(F.lit("more levels than allowed"))).otherwise(F.col("_levels"))
+        cells = cells.where(few > 0)
+    # One cell per level and stratum; largest row last, so it is the dependent one.
     tables = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", "_a"))).alias("_cells"))
     total = F.aggregate("_cells", F.lit(0).cast("long"), lambda s, c: s + c["_n"])
     column = F.aggregate("_cells", F.lit(0).cast("long"), lambda s, c: s + c["_a"])
@@ -78,16 +84,23 @@ def fisher_levels(
     splits = sums_left * F.when(F.col("levels") >= 2, F.least(F.element_at("_rows", -2), F.col("_column")) + 1).otherwise(1)
     tables = tables.withColumn("_work", F.greatest(combos, splits))
     trivial = (F.col("levels") < 2) | (F.col("_column") == 0) | (F.col("_column") == F.col("n"))
-    method = (
-        F.when(trivial, "none").when(F.col("_work") <= exact_work, "exact")
-        .when(F.col("n") <= DRAW_LIMIT, "random tables").otherwise("chi-square limit")
-    )
-    tables = tables.withColumn("method", method)
-
-    listed = tables.where("method = 'exact'").withColumn(
+    tables = tables.withColumn("method", F.when(trivial, "none").otherwise(method))
+    if method == "exact":
+        refused = F.raise_error(F.lit("an exact test of this table needs too many combinations; ask for random or chi_square"))
+        feasible = F.when(trivial | (F.col("levels") == 2) | (F.col("_work") <= most_work), F.lit(True)).otherwise(refused)
+        tables = tables.where(feasible)
+
+    @F.pandas_udf("double")
+    def two_levels(rows: pd.Series, ones: pd.Series) -> pd.Series:
+        found = [Table(int(o[0]), int(sum(o)), int(sum(r) - sum(o)), int(r[0])).two_sided_p() for r, o in zip(rows, ones)]
+        return pd.Series(found, dtype=float)
+
+    two = tables.where("method = 'exact' and levels = 2").select(
+        *keys, "levels", "n", "method", two_levels("_rows", "_ones").alias("p"))
+    listed = tables.where("method = 'exact' and levels > 2").withColumn(
         "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_rows")[0], F.col("_column"))))
     )
-    drawn = tables.where("method = 'random tables'").withColumn(
+    drawn = tables.where("method = 'random'").withColumn(
         "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(np.ceil(replicates / BLOCK)) - 1).cast("long")))
     )
     pieces = listed.unionByName(drawn)
@@ -128,11 +141,11 @@ def fisher_levels(
         lambda s, c: s + F.pow(c["_ones"] - c["_rows"] * F.col("_column") / F.col("n"), F.lit(2.0))
         / (c["_rows"] * F.col("_column") / F.col("n") * (1 - F.col("_column") / F.col("n"))),
     )
-    rest = tables.where("method in ('none', 'chi-square limit')").withColumn(
+    rest = tables.where("method in ('none', 'chi_square')").withColumn(
         "_x2", F.when(F.col("method") == "none", F.lit(0.0)).otherwise(expected)
     )
     rest = rest.select(
         *keys, "levels", "n", "method",
         F.when(F.col("method") == "none", F.lit(1.0)).otherwise(chi2_p(F.col("_x2"), F.col("levels") - 1)).alias("p"),
     )
-    return done.unionByName(rest).select(*by, "levels", "n", "method", "p")
+    return two.unionByName(done).unionByName(rest).select(*by, "levels", "n", "method", "p")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from twinarm.functions.tails import t_point, t_two_sided
 from twinarm.operators.design import DesignColumn, Term, complete_rows, design_columns, variables
 from twinarm.operators.newton import independent
-from twinarm.operators.scan import strata
+from twinarm.operators.scan import join_groups, strata
 
 RESULT = (
     "kind string, term string, estimate double, std_error double, df double, t double, p double, ci_low double, "
@@ -95,13 +95,28 @@ def mmrm(
     are Satterthwaite's. ``std_contrast`` is the estimate in units of the root mean
     square residual and ``std_contrast_corrected`` the same with the small-sample
     factor of the degrees of freedom. An aliased coefficient is NULL; ``at_border`` marks a
-    correlation at the edge of its range.
+    correlation at the edge of its range. A stratum with no more rows than coefficients
+    has its rows with ``n`` and ``subjects`` and NULL for all that a fit would give.
+
+    Numbers are centred in each stratum before their products are summed, so that a
+    covariate far from zero keeps its digits, and coefficients are turned back after the
+    fit. A number in a product without its main effects is left as it is.
     """
     df, keys = strata(df, by)
+    columns = design_columns(terms, levels, intercept=True)
+    shapes = {(c.factors, c.numbers) for c in columns}
+    centred = [
+        v for v in variables(terms) if v not in levels
+        and all((c.factors, ()) in shapes for c in columns if c.numbers == (v,)) and not any(v in c.numbers and len(c.numbers) > 1 for c in columns)
+    ]
+    means = [f"_mean_{v}" for v in centred]
+    if centred:
+        known = complete_rows(df.where(F.col(y).isNotNull() & F.col(period).isin(list(period_levels))), terms, levels)
+        centre = known.groupBy(*keys).agg(*[F.avg(F.col(v).cast("double")).alias(m) for v, m in zip(centred, means)])
+        df = join_groups(df, centre, keys, "inner").withColumns({v: F.col(v).cast("double") - F.col(m) for v, m in zip(centred, means)})
     table, factors, numbers = cross_products(
-        df, y=y, subject=subject, period=period, period_levels=period_levels, terms=terms, levels=levels, by=keys
+        df, y=y, subject=subject, period=period, period_levels=period_levels, terms=terms, levels=levels, by=[*keys, *means]
     )
-    columns = design_columns(terms, levels, intercept=True)
     wanted = {name: dict(weights) for name, weights in (contrasts or {}).items()}
     for name, weights in wanted.items():
         unknown = set(weights) - {c.name for c in columns}
@@ -112,10 +127,11 @@ def mmrm(
 
     def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         fit = fit_from_products(part, factors, level_lists, numbers, columns)
-        rows = result_rows(fit, columns, wanted, level)
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*keys, *FIELDS])
+        shift = dict(zip(centred, key[len(keys):]))
+        rows = result_rows(fit, columns, wanted, level, shift)
+        return pd.DataFrame([(*key[: len(keys)], *r) for r in rows], columns=[*keys, *FIELDS])
 
-    return table.groupBy(*keys).applyInPandas(finish, f"{key_types}, {RESULT}").select(*by, *FIELDS)
+    return table.groupBy(*keys, *means).applyInPandas(finish, f"{key_types}, {RESULT}").select(*by, *FIELDS)
 
 
 def arm_contrasts(arm: str, arm_level, period: str, period_levels: Sequence) -> dict[str, dict[str, float]]:
@@ -228,13 +244,13 @@ def _slopes(f, x: float, h: float):
     return (m2 - 8 * m1 + 8 * p1 - p2) / (12 * h), (-m2 + 16 * m1 - 30 * z + 16 * p1 - p2) / (12 * h * h)
 
 
-def fit_from_products(part: pd.DataFrame, factors, levels, numbers, columns) -> dict | None:
-    """REML estimates of one stratum; None when it has no more rows than coefficients."""
+def fit_from_products(part: pd.DataFrame, factors, levels, numbers, columns) -> dict:
+    """REML estimates of one stratum; only its size when it has no more rows than coefficients."""
     gaps = gather(part, factors, levels, numbers, columns)
     model = Restricted(gaps, len(columns))
     dof = model.n - model.q
     if dof <= 0 or model.q == 0:
-        return None
+        return {"n": model.n, "subjects": gaps.get(0, [0])[0], "beta": None}
     paired = any(g > 0 for g in gaps)
     rho = 0.0
     if paired:
@@ -270,12 +286,16 @@ def fit_from_products(part: pd.DataFrame, factors, levels, numbers, columns) ->
     }
 
 
-def result_rows(fit: dict | None, columns, contrasts: dict, level: float) -> list[tuple]:
-    if fit is None:
-        return []
+def result_rows(fit: dict, columns, contrasts: dict, level: float, means: Mapping[str, float]) -> list[tuple]:
+    """Rows of coefficients and contrasts; ``means`` are what was taken off numbers before the fit."""
     names = [c.name for c in columns]
     wanted = [("coefficient", n, {n: 1.0}) for n in names]
     wanted += [("contrast", n, w) for n, w in contrasts.items()]
+    if fit["beta"] is None:
+        return [(kind, name, *[None] * 9, fit["n"], fit["subjects"], *[None] * 5) for kind, name, _ in wanted]
+    # In centred numbers, the coefficient of a column without the number holds the mean times that with it.
+    lower = {c.name: (next(d.name for d in columns if d.factors == c.factors and not d.numbers), means[c.numbers[0]])
+             for c in columns if c.numbers and c.numbers[0] in means}
     at = {names[i]: k for k, i in enumerate(np.flatnonzero(fit["keep"]))}
     tail = (fit["n"], fit["subjects"], fit["rho"], math.sqrt(max(fit["s2"], 0.0)), fit["rms"], fit["value"], fit["border"])
     rows = []
@@ -285,7 +305,10 @@ def result_rows(fit: dict | None, columns, contrasts: dict, level: float) -> lis
             continue
         c = np.zeros(len(at))
         for n, w in weights.items():
-            c[at[n]] = w
+            c[at[n]] += w
+            for with_number, (without, mean) in lower.items():
+                if without == n and with_number in at:
+                    c[at[with_number]] -= mean * w
         estimate = float(c @ fit["beta"])
         unit = float(c @ fit["inverse"] @ c)
         v = fit["s2"] * unit

@@ -106,13 +106,16 @@ def normal_plot_line(df: DataFrame, c: str, *, by: Sequence[str] = ()) -> DataFr
     return q.select(*by, "q1", "q3", slope.alias("slope"), ((F.col("q1") + F.col("q3")) / 2).alias("intercept"))
 
 
-def rank_sum(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact: bool | None = False, first: int = 1,
+def rank_sum(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), method: str = "normal", first: int = 1,
              weight: str | None = None) -> DataFrame:
     """Wilcoxon rank-sum test of two arms (1 and 0) with mid-ranks.
 
-    ``first`` is the arm whose rank sum gives W. The normal form is continuity and tie corrected. ``exact=None``
-    takes the exact distribution where both arms are below 50 and untied.
+    ``first`` is the arm whose rank sum gives W. The normal form is continuity and tie corrected.
+    ``exact_if_small`` asks for the usual rule: the exact distribution where both arms are below 50
+    and untied, the normal form elsewhere. The form used is in the column ``method``.
     """
+    if method not in ("normal", "exact_if_small"):
+        raise ValueError(f"unknown method: {method}")
     df, keys = strata(df.where(F.col(y).isNotNull() & F.col(arm).isin(0, 1)), by)
     counts = df.groupBy(*keys, F.col(y).alias("_v")).agg(
         _amount(weight, F.col(arm) == first).alias("_a"), _amount(weight).alias("_t")
@@ -133,13 +136,15 @@ def rank_sum(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact:
     z = F.when(F.col("sigma") > 0, (gap - F.signum(gap) * 0.5) / F.col("sigma"))
     out = sums.where((F.col("na") > 0) & (F.col("nb") > 0)).withColumn("w", w).withColumn("sigma", sigma).withColumn("z", z)
     p = F.least(normal_p(F.col("z")), F.lit(1.0))
-    if exact is None:
+    used = F.lit("normal")
+    if method == "exact_if_small":
         small = (F.col("na") < 50) & (F.col("nb") < 50) & (F.col("tie_term") == 0)
         p = F.when(small, rank_exact.exact_p("w", "na", "nb", small)).otherwise(p)
-    out = out.withColumn("p", p)
+        used = F.when(small, "exact").otherwise(used)
+    out = out.withColumn("p", p).withColumn("method", used)
     n1, n0 = ("na", "nb") if first == 1 else ("nb", "na")
     half = F.col("w") / (na * nb) - 0.5
     return out.select(
         *by, F.col(n1).alias("n1"), F.col(n0).alias("n0"), "w", "tie_term", "z", "p",
-        half.alias("rbc_half"), (2 * half).alias("rank_biserial"),
+        half.alias("rbc_half"), (2 * half).alias("rank_biserial"), "method",
     )

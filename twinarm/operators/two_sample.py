@@ -105,16 +105,16 @@ def standardised_difference(df: DataFrame, y: str, *, arm: str, by: Sequence[str
     return m.select(*by, "n1", "n0", (F.col("mean1") - F.col("mean0")).alias("difference"), "smd")
 
 
-def balance_tests(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
-    """Welch and rank-sum rows with the standardised difference."""
+def balance_tests(df: DataFrame, y: str, *, arm: str, by: Sequence[str] = (), method: str = "normal") -> DataFrame:
+    """Welch and rank-sum rows with the standardised difference; ``method`` is that of ``rank_sum``."""
     df, keys = strata(df, by)
     m = with_welch_test(with_welch(with_smd(arm_moments(df, y, arm=arm, by=keys))))
-    t = m.select(*keys, F.lit("Welch t-test").alias("test"), "difference", F.col("t").alias("statistic"), "p", "smd")
-    w = rank_sum(df, y, arm=arm, by=keys, exact=exact).select(
+    t = m.select(*keys, F.lit("Welch t-test").alias("test"), "difference", F.col("t").alias("statistic"), "p", "smd", F.lit("t").alias("method"))
+    w = rank_sum(df, y, arm=arm, by=keys, method=method).select(
         *keys, F.lit("Wilcoxon rank-sum").alias("test"), F.lit(None).cast("double").alias("difference"),
-        F.col("w").alias("statistic"), "p", F.lit(None).cast("double").alias("smd"),
+        F.col("w").alias("statistic"), "p", F.lit(None).cast("double").alias("smd"), "method",
     )
-    return t.unionByName(w).select(*by, "test", "difference", "statistic", "p", "smd")
+    return t.unionByName(w).select(*by, "test", "difference", "statistic", "p", "smd", "method")
 
 
 def compare_totals(

@@ -26,7 +26,7 @@ def study_day_summary(people: DataFrame) -> DataFrame:
 
 def study_day_balance(people: DataFrame) -> DataFrame:
     """Welch and rank-sum test of the study day with the standardised difference."""
-    return balance_tests(people, "study_day", arm="arm")
+    return balance_tests(people, "study_day", arm="arm", method="exact_if_small")
 
 
 def observed_days(visits: DataFrame, *, order_by: Sequence[str], arm_codes: Mapping, subject: str = "ID_Sub") -> DataFrame:

@@ -20,13 +20,13 @@ from twinarm.sources.tables import apply_overrides
 def demographics(
     visits: DataFrame, *, order_by: Sequence[str], arms: Sequence[str], subject: str = "ID_Sub",
     orientation_exceptions: DataFrame | None = None, race_groups: Mapping[str, str] = v.RACE_GROUPS,
-    race_other: str | None = v.RACE_OTHER,
+    race_other: str | None = None,
 ) -> DataFrame:
     """One row per randomised subject with the collapsed demographic variables.
 
     ``orientation_exceptions(subject, override_value)`` come before the label
-    groups. A race that is not in ``race_groups`` becomes ``race_other``; pass
-    None to leave it missing.
+    groups. A race that is not in ``race_groups`` is missing, or
+    becomes ``race_other``.
     """
     people = collapse(
         visits.where(F.col("ID_Drug").isNotNull() & F.col("Condition").isNotNull()), subject=subject, order_by=order_by,

@@ -20,12 +20,14 @@ def change_frame(
     Subjects need baseline and follow-up; a missing preparation value leaves that
     change missing. ``group_order`` follows the order of ``arm_names``.
     """
+    # Labels are recoded row by row, so that an unknown one does not hide a known one after it.
+    coded = visits.where(F.col("Time").isNotNull()).withColumn("_arm", recode("Condition", arm_codes).cast("int"))
     people = collapse(
-        visits.where(F.col("Time").isNotNull()), subject=subject, order_by=order_by,
-        cols=["Condition", "AB_Per_PreContact", "AB_Per_Preps", "AB_Per_DA_to_180"],
+        coded, subject=subject, order_by=order_by,
+        cols=["_arm", "AB_Per_PreContact", "AB_Per_Preps", "AB_Per_DA_to_180"],
     )
     known = people.where(F.col("AB_Per_PreContact").isNotNull() & F.col("AB_Per_DA_to_180").isNotNull())
-    arm = recode("Condition", arm_codes).cast("int")
+    arm = F.col("_arm")
     return known.select(
         F.col(subject).alias("subject"), arm.alias("arm"), recode(arm, arm_names).alias("group"),
         recode(arm, {k: i + 1 for i, k in enumerate(arm_names)}).alias("group_order"),

@@ -21,7 +21,11 @@ def binary_frame(
     visits: DataFrame, *, order_by: Sequence[str], arm_codes: Mapping, subject: str = "ID_Sub",
     exceptions: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per subject: event flag from the status, arm, raw status, windows, follow-up time."""
+    """One row per subject: event flag from the status, arm, raw status, windows, follow-up time.
+
+    The label of the arm is filled before it is recoded, so the first known label
+    counts, also an unknown one.
+    """
     windows = ["Prescreen", "Preparation", "Drug", "Integration"]
     people = collapse(
         visits, subject=subject, order_by=order_by,

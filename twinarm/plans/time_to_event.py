@@ -26,9 +26,9 @@ def survival_frame(
     event noted on a later row counts; ``'first_row'`` looks at the first row only.
     ``exceptions(subject, scale, offset)`` replace the follow-up time of single subjects.
     """
-    people = collapse(
-        visits, subject=subject, order_by=order_by, cols=["Condition", "Gender", "DAYS", "STATUS", "Integration"]
-    )
+    # Labels are recoded row by row, so that an unknown one does not hide a known one after it.
+    coded = visits.withColumn("_arm", recode("Condition", arm_codes).cast("int"))
+    people = collapse(coded, subject=subject, order_by=order_by, cols=["_arm", "Gender", "DAYS", "STATUS", "Integration"])
     rule = {"time": "DAYS"} if event_rule == "time_present" else {"status": "STATUS"}
     if event_from == "subject":
         people = people.withColumn("event", event_flag(event_rule, **rule))
@@ -43,7 +43,7 @@ def survival_frame(
         overrides=exceptions, subject=subject,
     )
     return timed.select(
-        F.col(subject).alias("subject"), "time", "event", recode("Condition", arm_codes).cast("int").alias("arm"),
+        F.col(subject).alias("subject"), "time", "event", F.col("_arm").alias("arm"),
         F.col("Gender").alias("gender"),
     )
 

@@ -25,7 +25,7 @@ from twinarm.session import materialise
 LOCAL_ROWS = 200_000
 RESULT = (
     "term string, estimate double, std_error double, z double, p double, hr double, hr_low double, hr_high double, "
-    "n long, events long, loglik double, loglik_null double, steps int, diverging boolean"
+    "n long, events long, loglik double, loglik_null double, steps int, diverging boolean, converged boolean"
 )
 
 
@@ -36,7 +36,8 @@ def cox(
     """Coefficients, errors, z, p, hazard ratios and intervals per stratum and term.
 
     Rows with a missing time, event or term are left out. ``diverging`` marks a
-    coefficient that has no finite maximum (an arm without events).
+    coefficient that has no finite maximum (an arm without events), ``converged`` a fit
+    whose criterion stood still at its last step.
     """
     levels = levels or {}
     columns = design_columns(terms, levels, intercept=False)
@@ -74,7 +75,7 @@ def result_rows(fit: dict, names: list[str], n: int, events: int) -> list[tuple]
         cov[np.ix_(used, used)] = np.linalg.inv(fit["sums"]["info"][np.ix_(used, used)])
     rows = []
     for i, name in enumerate(names):
-        tail = (n, events, float(fit["sums"]["value"]), float(fit["first"]), fit["steps"], fit["diverging"])
+        tail = (n, events, float(fit["sums"]["value"]), float(fit["first"]), fit["steps"], fit["diverging"], fit["converged"])
         if not used[i]:
             rows.append((name, None, None, None, None, None, None, None, *tail))
             continue
@@ -164,8 +165,10 @@ def _fit_distributed(reduced: DataFrame, keys: list[str], names: list[str], xs:
     """Newton steps for the large strata together; one job per step, fixed-size answers."""
     spark = reduced.sparkSession
     chunked = range_chunks(reduced, [*keys, F.desc("_time")])
-    heads = chunked.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_e").alias("e")).collect()
+    ends = [f(x).alias(f"{tag}{x}") for x in xs for tag, f in (("min", F.min), ("max", F.max))]
+    heads = chunked.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_e").alias("e"), *ends).collect()
     sizes = {tuple(r[k] for k in keys): (r["n"], r["e"]) for r in heads}
+    reach = {tuple(r[k] for k in keys): [(r[f"min{x}"], r[f"max{x}"]) for x in xs] for r in heads}
     p = len(xs)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.select(*keys).schema)
@@ -176,11 +179,13 @@ def _fit_distributed(reduced: DataFrame, keys: list[str], names: list[str], xs:
         return pd.DataFrame({"logs": a, "h1": b, "h2": c})
 
     def evaluate(waiting: dict) -> dict:
-        rows = [(*k, *[float(v) for v in theta]) for k, theta in waiting.items()]
-        params = spark.createDataFrame(rows, key_types + "".join(f", _b{i} double" for i in range(p)))
+        # The linear predictor is taken from its largest possible value, so that its exponential stays finite.
+        shift = {k: float(sum(max(b * low, b * high) for b, (low, high) in zip(theta, reach[k]))) for k, theta in waiting.items()}
+        rows = [(*k, *[float(v) for v in theta], shift[k]) for k, theta in waiting.items()]
+        params = spark.createDataFrame(rows, key_types + "".join(f", _b{i} double" for i in range(p)) + ", _shift double")
         at = join_groups(chunked, params, keys, "inner")
         eta = sum((F.col(x) * F.col(f"_b{i}") for i, x in enumerate(xs)), F.lit(0.0))
-        at = at.withColumn("_eta", eta).withColumn("_w", F.exp("_eta"))
+        at = at.withColumn("_eta", eta).withColumn("_w", F.exp(F.col("_eta") - F.col("_shift")))
         sums = [F.sum("_e").alias("d"), F.sum(F.col("_e") * F.col("_eta")).alias("_ee")]
         sums += [F.sum(F.col("_e") * F.col(x)).alias(f"_ex{i}") for i, x in enumerate(xs)]
         weights = {"": F.lit(1.0), **{f"{i}": F.col(x) for i, x in enumerate(xs)},
@@ -206,8 +211,9 @@ def _fit_distributed(reduced: DataFrame, keys: list[str], names: list[str], xs:
             info = np.zeros((p, p))
             for i, j in pairs:
                 info[i, j] = info[j, i] = r[f"i{i}_{j}"]
-            answers[tuple(r[k] for k in keys)] = {
-                "value": r["value"], "score": np.array([r[f"u{i}"] for i in range(p)]), "info": info
+            key = tuple(r[k] for k in keys)
+            answers[key] = {
+                "value": r["value"] - sizes[key][1] * shift[key], "score": np.array([r[f"u{i}"] for i in range(p)]), "info": info
             }
         return answers
 

@@ -27,7 +27,7 @@ DROP = 3.841458820694124 / 2  # half of the 95% point of chi-square with one deg
 LONGEST = 5.0
 RESULT = (
     "term string, estimate double, std_error double, ci_low double, ci_high double, chi_square double, p double, "
-    "n long, events long, penalised_loglik double, steps int"
+    "n long, events long, penalised_loglik double, steps int, converged boolean, limits_converged boolean"
 )
 
 
@@ -37,7 +37,8 @@ def firth(
 ) -> DataFrame:
     """Penalised coefficients with profile intervals and likelihood-ratio p per stratum and term.
 
-    ``response`` is 0/1; rows with a missing response or term are left out.
+    ``response`` is 0/1; rows with a missing response or term are left out. ``converged``
+    is that of the fit, ``limits_converged`` that of both limits and of the fit behind p.
     """
     levels = levels or {}
     columns = design_columns(terms, levels, intercept=True)
@@ -106,14 +107,15 @@ def result_rows(done: tuple, names: list[str], n: int, events: int) -> list[tupl
         cov[np.ix_(used, used)] = np.linalg.inv(fit["sums"]["info"][np.ix_(used, used)])
     rows = []
     for j, name in enumerate(names):
-        tail = (n, events, float(fit["sums"]["value"]), fit["steps"])
+        tail = (n, events, float(fit["sums"]["value"]), fit["steps"], fit["converged"])
         if not used[j]:
-            rows.append((name, None, None, None, None, None, None, *tail))
+            rows.append((name, None, None, None, None, None, None, *tail, None))
             continue
         chi = max(2 * (fit["sums"]["value"] - profiles[f"null{j}"]["sums"]["value"]), 0.0)
         rows.append((
             name, float(fit["theta"][j]), float(np.sqrt(cov[j, j])), float(profiles[f"low{j}"]["limit"]),
             float(profiles[f"high{j}"]["limit"]), float(chi), float(chi2_upper(chi, 1)), *tail,
+            all(profiles[f"{kind}{j}"]["converged"] for kind in ("null", "low", "high")),
         ))
     return rows
 
@@ -139,7 +141,6 @@ def _fit_distributed(reduced: DataFrame, keys: list[str], names: list[str], xs:
     """The same fits over large pattern tables: one job evaluates every waiting vector."""
     spark = reduced.sparkSession
     p = len(xs)
-    reduced = materialise(reduced)
     heads = reduced.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_e").alias("e")).collect()
     sizes = {tuple(r[k] for k in keys): (r["n"], r["e"]) for r in heads}
     pairs = list(combinations_with_replacement(range(p), 2))

@@ -98,7 +98,7 @@ def profile_limit(j: int, side: int, best: dict, drop: float, longest: float = 5
         int(best["used"][:j].sum()), int(best["used"][:j].sum())], 1e-12))
     target = math.sqrt(2 * drop)
     inner, outer = best["theta"][j], None
-    at = inner + side * error * target
+    at, converged = inner + side * error * target, False
     for _ in range(60):
         theta[j] = at
         fit = yield from climb(len(theta), start=theta, free=free, longest=longest)
@@ -106,6 +106,7 @@ def profile_limit(j: int, side: int, best: dict, drop: float, longest: float = 5
         root = math.sqrt(max(2 * (top - fit["sums"]["value"]), 0.0))
         gap = root - target
         if abs(gap) < 1e-9:
+            converged = True
             break
         if gap < 0:
             inner = at
@@ -117,10 +118,11 @@ def profile_limit(j: int, side: int, best: dict, drop: float, longest: float = 5
             far = inner + side * 4 * max(error, abs(inner - best["theta"][j]))
             new = far if not math.isfinite(new) or abs(new - inner) > abs(far - inner) else new
             if abs(at - best["theta"][j]) > 700:
-                return {"limit": side * math.inf}
+                return {"limit": side * math.inf, "converged": True}
         elif not math.isfinite(new) or not min(inner, outer) < new < max(inner, outer):
             new = 0.5 * (inner + outer)
         if abs(new - at) < 1e-12 * (1 + abs(at)):
+            converged = True
             break
         at = new
-    return {"limit": at}
+    return {"limit": at, "converged": converged}

@@ -172,23 +172,23 @@ class Finder:
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text the items in it: id, first word, edits. The place with the fewest edits counts, then the first."""
-        lists = [list(map(self.ids.__getitem__, (t or "").split())) for t in texts]
+        lists = [np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)) for words in ((t or "").split() for t in texts)]
         out: list[list[tuple[int, int, int]]] = []
         start = size = 0
         for i, numbers in enumerate([*lists, None]):
             if numbers is None or size and size + len(numbers) > CHUNK_WORDS:
                 out += self._find(lists[start:i])
                 start, size = i, 0
-            size += len(numbers or ())
+            size += 0 if numbers is None else len(numbers)
         return out
 
-    def _find(self, lists: list[list[int]]) -> list[list[tuple[int, int, int]]]:
+    def _find(self, lists: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         gap = np.zeros(self.pad, np.int64)
-        parts, firsts, at = [], [], 0
+        parts, firsts, ends, at = [], [], [], 0
         for numbers in lists:
-            words = np.array(numbers, np.int64)
-            words = words[words >= 0]
+            words = numbers[numbers >= 0]
             firsts.append(at)
+            ends.append(at + len(words))
             parts += [words, gap]
             at += len(words) + len(gap)
         words = np.concatenate(parts) if parts else gap
@@ -213,6 +213,8 @@ class Finder:
                 distance = self._distances(words, begin, self.flat[self.starts[item[part]][:, None] + np.arange(n)], n)
                 for k in np.flatnonzero(distance <= self.edits(n)):
                     text = int(np.searchsorted(firsts, begin[k], "right")) - 1
+                    if begin[k] >= ends[text]:  # a passage of the next text, with the gap before it
+                        continue
                     for item_id in self.item_ids[item[part[k]]]:
                         told = (int(distance[k]), int(begin[k] - firsts[text]))
                         best[text][item_id] = min(best[text].get(item_id, told), told)

@@ -118,12 +118,12 @@ SQL = {
         FROM fits""",
     "op5_shingle_join": r"""
         WITH RECURSIVE words AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
             FROM documents
         ), sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+                ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
             FROM words
         ), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
         ), shared AS (

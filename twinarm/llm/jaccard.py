@@ -16,8 +16,8 @@ Steps and what they move:
    are all that a verification needs.
 4. Shingles of few texts give all their pairs. For shingles of many texts, each text is
    paired with some pivots; texts that pivots did not bring into the group's largest
-   component are then paired with all its others. No link is lost: pairs that are
-   left out are connected already.
+   component are then paired with all its others that pass a filter on marked bits. No
+   link is lost: pairs that are left out are connected already.
 """
 
 from __future__ import annotations
@@ -48,12 +48,15 @@ PIVOTS = 8
 MEMO_ENTRIES = 400_000
 #: Bytes of a shingle's digest.
 DIGEST_BYTES = 6
+#: Bits that mark the repeated shingles of a text.
+MARK_BITS = 2048
 
 _PACKED = "part int, pack long, kind int, a binary, b binary, c binary, d binary, ids array<bigint>"
 _ARROW = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in "abcd"), ("ids", pa.list_(pa.int64()))])
-_DOCS = "doc_id bigint, node binary, n_shingles bigint, single int, prefix array<bigint>, grams binary"
+_DOCS = "doc_id bigint, node binary, n_shingles bigint, single int, prefix array<bigint>, grams binary, marks array<bigint>"
 _DOCS_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("single", pa.int32()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary())])
+    ("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("single", pa.int32()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary()),
+    ("marks", pa.list_(pa.int64()))])
 
 
 def squeeze(digests: np.ndarray) -> bytes:
@@ -70,6 +73,13 @@ def expand(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def mark_bits(digests: np.ndarray) -> np.ndarray:
+    """A bit for each shingle. Two texts whose bits differ at h places have at least h shingles that only one of them has."""
+    bits = np.zeros(MARK_BITS, np.uint8)
+    bits[(digests % np.uint64(MARK_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 class _Digests(dict):
     """64-bit digest of a word; common words are remembered."""
 
@@ -221,6 +231,7 @@ def _order_pack(percent: int):
             "doc_id": info["ids"], "node": [info["a"][16 * i:16 * i + 16] for i in range(n)], "n_shingles": sizes, "single": single.astype(np.int32),
             "prefix": [told[s:s + k].view(np.int64) if k else None for s, k in zip(starts, take, strict=True)],
             "grams": [squeeze(np.sort(told[s:e])) if k else None for s, e, k in zip(starts, ends, take, strict=True)],
+            "marks": [mark_bits(told[s:e]) if k else None for s, e, k in zip(starts, ends, take, strict=True)],
         }, _DOCS_ARROW)
 
     return run
@@ -277,7 +288,7 @@ def shingle_table(df: DataFrame, text: str = "text", doc_id: str = "doc_id", per
 def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """(node, root) of all nodes that are linked to others, from ``shingle_table`` rows; None if no shingle is shared."""
     texts = written(
-        rows.where(F.col("prefix").isNotNull()).dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "single", "prefix", "grams"), "prefixes")
+        rows.where(F.col("prefix").isNotNull()).dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "single", "prefix", "grams", "marks"), "prefixes")
     entries = texts.select("node", "n", F.posexplode("prefix").alias("k", "gram"), "single").select(
         "gram", "node", "n", (F.col("single") + F.col("k")).alias("at"))
     pivots = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "at")).alias(f"p{k}") for k in range(PIVOTS)]
@@ -296,11 +307,15 @@ def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     if many.isEmpty():
         return roots
     labelled = written(
-        many_entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "prefix"), "node"), "entries")
+        many_entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(
+            texts.select("node", "prefix", "marks", (F.col("n") - F.col("single")).alias("repeated")), "node"), "entries")
     largest = labelled.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
     apart = labelled.join(largest, "gram").where(F.col("root") != F.col("largest")).drop("largest")
     # A pair is taken at the first shingle that both prefixes have, not at each.
-    first = F.expr("l.root != r.root and l.gram = array_intersect(l.prefix, r.prefix)[0]")
+    # What their marks say they can share at most is compared before a pair goes anywhere.
+    differ = "aggregate(zip_with(l.marks, r.marks, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
+    most = f"l.repeated + r.repeated - {differ} >= 2 * ceil({percent} * (l.n + r.n) / {100 + percent}.0D)"
+    first = F.expr(f"l.root != r.root and l.gram = array_intersect(l.prefix, r.prefix)[0] and {most}")
     rest = _pairs(apart, labelled, percent, first).join(pairs, ["a", "b"], "left_anti")
     more = written(_verified(rest, texts, percent), "links")
     return roots if more.isEmpty() else components(found.unionByName(more))

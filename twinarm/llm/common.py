@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, most_rows: int, salt: int) -> DataFrame:
+    """The rows of the ``most_rows`` keys with the lowest digests.
+
+    Only keys are ordered; at most ``most_rows`` of them are sent to the rows, which
+    are not moved. Rows without a key are left out, rows with the same key stay together.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key, F.lit(salt)), key).limit(most_rows)
+    return df.join(F.broadcast(keys), key)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """An Arrow schema from ``name type, ...`` with the few types used here."""
     kinds = {

@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import per_row
+from twinarm.llm.common import bounded_sample, per_row
 
 #: Labelled pages that weights are learned from, at most.
 MOST_PAGES = 2000
@@ -138,7 +138,7 @@ def learn(pages: DataFrame, page: str = "html", key: str = "page_id", most_pages
     A page is labelled by its own markup if it has exactly one article element; others
     teach nothing. Without a labelled page every tag has the least cost.
     """
-    sample = pages.where(F.col(page).isNotNull()).orderBy(F.xxhash64(key, F.lit(5)), key).limit(most_pages).select(page)
+    sample = bounded_sample(pages.where(F.col(page).isNotNull()).select(page, key), key, most_pages, 5).select(page)
 
     def make():
         def compute(texts):

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import per_row
+from twinarm.llm.common import bound_batches, bounded_sample, per_row
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -76,8 +76,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     Learned from the ``most_rows`` rows with the lowest digest of ``key`` among those
     with a language, a key and a text; their texts are counted whole, in tasks.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
-    sample = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key).orderBy(F.xxhash64(key, F.lit(3)), key, text).limit(most_rows)
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sample = bounded_sample(known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("_key")), "_key", most_rows, 3)
 
     def run(batches):
         import pyarrow as pa
@@ -96,9 +96,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             [pa.array(names, pa.string()), pa.array([counts[n].astype("<i8").tobytes() for n in names], pa.binary()),
              pa.array([scripts[n].astype("<f8").tobytes() for n in names], pa.binary())], names=["lang", "grams", "scripts"])
 
-    spread = sample.select("lang", "text").repartition(4)
+    # A task has one row of counts for each language; they are added up in two steps, so that few reach the driver.
+    bound_batches(labelled.sparkSession)
+    counted = sample.select("lang", "text").mapInArrow(run, "lang string, grams binary, scripts binary")
+    slot = F.pmod(F.spark_partition_id(), F.lit(8)).alias("slot")
     totals: dict[str, list] = {}
-    for row in spread.mapInArrow(run, "lang string, grams binary, scripts binary").collect():
+    for row in counted.select("lang", slot, "grams", "scripts").groupBy("lang", "slot").applyInArrow(_added, "lang string, grams binary, scripts binary").collect():
         grams, scripts = np.frombuffer(row["grams"], "<i8"), np.frombuffer(row["scripts"], "<f8")
         old = totals.get(row["lang"])
         totals[row["lang"]] = [grams, scripts] if old is None else [old[0] + grams, old[1] + scripts]
@@ -110,6 +113,15 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return names, np.log(grams / grams.sum(1, keepdims=True)), scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
 
 
+def _added(table):
+    """One row for the counts of a language from several tasks."""
+    import pyarrow as pa
+
+    grams = sum(np.frombuffer(x, "<i8") for x in table.column("grams").to_pylist())
+    scripts = sum(np.frombuffer(x, "<f8") for x in table.column("scripts").to_pylist())
+    return pa.table({"lang": table.column("lang").slice(0, 1), "grams": pa.array([grams.tobytes()], pa.binary()), "scripts": pa.array([scripts.tobytes()], pa.binary())})
+
+
 class _Words(dict):
     """Row of the score table of each word that was seen."""
 

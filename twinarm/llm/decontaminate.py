@@ -24,7 +24,7 @@ from twinarm.llm.common import per_row
 EDIT_PERCENT = 20
 #: Items with fewer words are not searched, as any text may have them.
 LEAST_WORDS = 5
-WALKS, DRAWS, PLACES = 6, 12, 3
+WALKS, DRAWS, PLACES = 5, 14, 3
 BLOCK_ITEMS = 20_000
 #: Places for each pair of words in the table of pairs; some other pairs fall on the same ones.
 PAIR_PLACES = 64

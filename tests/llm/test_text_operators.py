@@ -273,6 +273,31 @@ def test_benchmark_against_brute_force():
     assert hit >= 0.97 * total
 
 
+@pytest.mark.parametrize("size", [15, 60, 120, 250])
+@pytest.mark.parametrize("kind", ["deleted", "inserted", "replaced", "mixed"])
+def test_benchmark_passages_with_all_edits_allowed(size, kind):
+    rng = random.Random(size)
+    items = [[f"w{i}x{k}" for k in range(size)] for i in range(10)]
+    finder = decontaminate.Finder([(i, " ".join(w)) for i, w in enumerate(items)])
+    for i, item in enumerate(items):
+        words = list(item)
+        for k in sorted(rng.sample(range(1, size - 1), size // 5), reverse=True):
+            how = rng.choice(["deleted", "inserted", "replaced"]) if kind == "mixed" else kind
+            words[k:k + 1] = {"deleted": [], "inserted": [words[k], "other"], "replaced": ["other"]}[how]
+        found = finder.find([" ".join(["before"] * 30 + words + ["after"] * 30)])[0]
+        assert [(x, d <= size // 5) for x, _, d in found] == [(i, True)]
+
+
+def test_benchmark_places_against_brute_force():
+    rng = random.Random(16)
+    items = [[rng.choice("abcdefgh") for _ in range(rng.randint(5, 16))] for _ in range(30)]
+    finder = decontaminate.Finder([(i, " ".join(w)) for i, w in enumerate(items)])
+    for _ in range(20):
+        text = [rng.choice("abcdefghxyz") for _ in range(40)]
+        told = [(i, min((min(edits(item, text[s:s + len(item) * 6 // 5])), s) for s in range(len(text)))) for i, item in enumerate(items)]
+        assert finder.find([" ".join(text)])[0] == [(i, s, d) for i, (d, s) in told if d <= len(items[i]) // 5]
+
+
 def test_benchmark_of_odd_rows(spark):
     items = spark.createDataFrame(
         [(1, "Alpha, beta gamma delta epsilon zeta."), (2, None), (3, ""), (4, "too short"), (5, "alpha BETA gamma delta epsilon zeta"), (None, "eta theta iota kappa lambda mu")],

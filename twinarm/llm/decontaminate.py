@@ -1,19 +1,17 @@
-"""Benchmark passages in texts, by an embedding of edit distance and bit sampling.
-
-A random walk copies the words of a window to its output and steps on, or stays, by a
-random bit of the word and the step; two windows that differ by few edits then agree at
-most places of their outputs. Some places are drawn again and again, and windows that
-agree with an item at all drawn places of one draw are verified by exact edit distance.
-Edits are insertions, deletions and replacements of words. Windows start at every word
-and are as long as the item. Before the walk a window must have enough words of the
-benchmark, and enough of its pairs of neighbouring words; an edit costs at most one of
-the former and two of the latter, so no window within the allowed distance is lost.
+"""Benchmark passages in texts: pieces of items that edits left whole, then exact edit distance.
+
+Edits are insertions, deletions and replacements of words. An item with k edits allowed
+is cut into k + 1 pieces, so a passage within k edits has a piece unchanged. More than
+that: it has an unchanged piece j with just j edits before it, so the passage starts at
+most j words from where that piece puts it. All these starts are verified by exact edit
+distance, so no passage within the allowed distance is lost. Passages start at any word.
+Before that, the words from a start on, as many as the item has, must hold enough words
+of the benchmark and enough of its pairs of neighbouring words; an edit costs at most
+one of the former and two of the latter, so this loses nothing either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +22,14 @@ from twinarm.llm.common import per_row
 EDIT_PERCENT = 20
 #: Items with fewer words are not searched, as any text may have them.
 LEAST_WORDS = 5
-WALKS, DRAWS, PLACES = 5, 14, 3
 BLOCK_ITEMS = 20_000
 #: Places for each pair of words in the table of pairs; some other pairs fall on the same ones.
 PAIR_PLACES = 64
 BANDS = 8
 CHUNK_WORDS = 1_000_000
 CHUNK_WINDOWS = 20_000
+#: Piece matches that are followed up together.
+CHUNK_MATCHES = 500_000
 MEMO_ENTRIES = 400_000
 
 
@@ -51,18 +50,12 @@ def _mix(values: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def walk_outputs(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
-    """Symbols that a walk copies from windows, a row for each step; 0 after the end, words are shifted by 1.
-
-    A walk takes about two steps for each word, so twice the longest window is walked.
-    """
-    at = np.zeros(len(starts), np.int64)
-    out = np.zeros((2 * int(sizes.max(initial=0)), len(starts)), np.int32)
-    for step in range(len(out)):
-        symbol = np.where(at < sizes, words[starts + np.minimum(at, sizes - 1)] + 1, 0)
-        out[step] = symbol
-        at += (_mix(symbol, walk * 0x10001 + step * 0x3779B1) >> np.uint64(63)).astype(np.int64)
-    return out
+def gram_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A key for the ``size`` words from each place on."""
+    keys = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        keys = _mix(keys ^ words[at + k].astype(np.uint64), k + 1)
+    return keys
 
 
 class _Ids(dict):
@@ -98,11 +91,7 @@ class Finder:
         self.lengths = np.unique(self.sizes)
         self.flat = np.array([self.vocabulary[w] for words, _ in listed for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.draws = np.random.default_rng(17).random((WALKS, DRAWS, PLACES))
-        self.keys = [
-            [(key[order], order) for key in self._walk_keys(self.flat, self.starts, self.sizes, walk) for order in [np.argsort(key, kind="stable")]]
-            for walk in range(WALKS)
-        ]
+        self.pieces = self._pieces()
         # The table of pairs has a bit for each band of item lengths.
         self.bands = [band.tolist() for band in np.array_split(self.lengths, BANDS) if len(band)]
         inner = np.setdiff1d(np.arange(max(0, len(self.flat) - 1)), self.starts - 1)
@@ -120,14 +109,60 @@ class Finder:
     def _pair_places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (_mix(first * len(self.vocabulary) + second, 11) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
 
-    def _walk_keys(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> Iterator[np.ndarray]:
-        """For each draw, a key for each window: its size and its symbols at the drawn places."""
-        out, window = walk_outputs(words, starts, sizes, walk), np.arange(len(starts))
-        for draw in self.draws[walk]:
-            key = sizes.astype(np.uint64)
-            for k, share in enumerate(draw):
-                key = _mix(key ^ out[(share * 2 * sizes).astype(np.int64), window].astype(np.uint64), k + 1)
-            yield key
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of words the pieces of all items: keys in order, item, first word in it, number of the piece."""
+        told: dict[int, list] = {}
+        for n in self.lengths.tolist():
+            mine, parts = np.flatnonzero(self.sizes == n), self.edits(n) + 1
+            cuts = [j * n // parts for j in range(parts + 1)]
+            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                told.setdefault(b - a, []).append((gram_keys(self.flat, self.starts[mine] + a, b - a), mine, np.full(len(mine), a), np.full(len(mine), j)))
+        out = {}
+        for size, parts in told.items():
+            keys, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            out[size] = (keys[order], *(x[order] for x in more))
+        return out
+
+    def _candidates(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Windows and items, as window x items + item, that have an unchanged piece where a passage within the edits has one."""
+        none = np.zeros(0, np.int64)
+        if not len(starts):
+            return none
+        total, n_items = len(words), len(self.sizes)
+        step = np.bincount(starts, minlength=total + 1)
+        step -= np.bincount(np.minimum(starts + sizes + self.percent * sizes // 100, total), minlength=total + 1)
+        covered = np.cumsum(step)[:total] > 0
+        known = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int32)])
+        codes = np.searchsorted(self.lengths, sizes) * total + starts
+        order = np.argsort(codes, kind="stable")
+        codes, row = codes[order], np.searchsorted(self.lengths, self.sizes) * total
+        out = [none]
+        for size, (keys, items, offsets, numbers) in self.pieces.items():
+            if size > total:
+                continue
+            at = np.flatnonzero(covered[:total - size + 1] & (known[size:] - known[:total - size + 1] == size))
+            key = gram_keys(words, at, size)
+            low = np.searchsorted(keys, key, "left")
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == key)
+            at, low = at[hit], low[hit]
+            many = np.searchsorted(keys, key[hit], "right") - low
+            ends = np.cumsum(many)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends // CHUNK_MATCHES)) + 1):
+                if not len(part):
+                    continue
+                each = np.repeat(part, many[part])
+                entry = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+                begin, item, number = at[each] - offsets[entry], items[entry], numbers[entry]
+                found = [none]
+                for shift in range(-int(number.max()), int(number.max()) + 1):
+                    near = np.flatnonzero((number >= abs(shift)) & (begin + shift >= 0) & (begin + shift < total))
+                    code = row[item[near]] + begin[near] + shift
+                    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                    ok = codes[place] == code
+                    found.append(order[place[ok]] * n_items + item[near][ok])
+                out.append(np.unique(np.concatenate(found)))
+        return np.unique(np.concatenate(out))
 
     def _windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and sizes of the windows that have enough words and pairs of the benchmark."""
@@ -195,16 +230,7 @@ class Finder:
         firsts = np.array(firsts)
         best: list[dict] = [{} for _ in lists]
         starts, sizes = self._windows(words)
-        pairs = []
-        for part in np.array_split(np.arange(len(starts)), max(1, len(starts) // CHUNK_WINDOWS)) if len(starts) else ():
-            for walk in range(WALKS):
-                for key, (known, order) in zip(self._walk_keys(words, starts[part], sizes[part], walk), self.keys[walk], strict=True):
-                    low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                    hit = np.flatnonzero(high > low)
-                    for k in range(int((high - low)[hit].max(initial=0))):
-                        still = hit[low[hit] + k < high[hit]]
-                        pairs.append(part[still] * len(self.sizes) + order[low[still] + k])
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        pairs = self._candidates(words, starts, sizes)
         window, item = pairs // max(1, len(self.sizes)), pairs % max(1, len(self.sizes))
         for n in np.unique(sizes[window]).tolist():
             mine = np.flatnonzero(sizes[window] == n)

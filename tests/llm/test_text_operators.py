@@ -310,6 +310,14 @@ def test_benchmark_of_odd_rows(spark):
     assert decontaminate.find_items(docs(spark), items.limit(0)).where(F.size("leak_items") > 0).count() == 0
 
 
+def test_benchmark_items_that_are_short_or_without_spaces():
+    items = [(1, "Paris"), (2, "forty two"), (3, "one two, three four"), (4, "北京是中国的首都。"), (5, "กรุงเทพ")]
+    texts = [
+        "It is paris, not forty-two.", "Say forty two. One two three four!", "one two three five four", "我说：北京是中国旧的首都。好",
+        "เมืองกรุงเทพ", "北京", None]
+    assert decontaminate.Finder(items).find(texts) == [[(1, 2, 0)], [(2, 1, 0), (3, 3, 0)], [], [(4, 2, 1)], [(5, 4, 0)], [], []]
+
+
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

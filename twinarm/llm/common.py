@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,15 @@ from twinarm.session import shared_folder
 #: Rows, and bytes, that a Python worker gets at once.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4_000_000
+#: Letters of scripts that are written without spaces between words: Thai, Lao, Burmese, Khmer, kana, bopomofo, Han (fixed values).
+UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+    "\U00020000-\U0003ffff]")
+
+
+def spaced(text: str) -> str:
+    """The text with white space on both sides of each letter of a script without spaces."""
+    return text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

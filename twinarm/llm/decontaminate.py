@@ -7,7 +7,10 @@ most j words from where that piece puts it. All these starts are verified by exa
 distance, so no passage within the allowed distance is lost. Passages start at any word.
 Before that, the words from a start on, as many as the item has, must hold enough words
 of the benchmark and enough of its pairs of neighbouring words; an edit costs at most
-one of the former and two of the latter, so this loses nothing either.
+one of the former and two of the latter, so this loses nothing either. Items too short
+for an edit are one piece and are found as they stand.
+
+In scripts without spaces between words each letter is a word.
 """
 
 from __future__ import annotations
@@ -16,12 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import per_row
+from twinarm.llm.common import UNSPACED, per_row, spaced
 
 #: Edits allowed, in hundredths of an item's words.
 EDIT_PERCENT = 20
-#: Items with fewer words are not searched, as any text may have them.
-LEAST_WORDS = 5
 BLOCK_ITEMS = 20_000
 #: Places for each pair of words in the table of pairs; some other pairs fall on the same ones.
 PAIR_PLACES = 64
@@ -40,7 +41,7 @@ def plain(word: str) -> str:
 
 def plain_words(text: str | None) -> list[str]:
     """The plain words of a text."""
-    return [w for w in map(plain, (text or "").split()) if w]
+    return [w for w in map(plain, spaced(text or "").split()) if w]
 
 
 def _mix(values: np.ndarray, salt: int) -> np.ndarray:
@@ -59,7 +60,7 @@ def gram_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 class _Ids(dict):
-    """Number of a word as it stands: that of its plain form in the benchmark, 0 for others, -1 for none."""
+    """Number of a word as it stands: that of its plain form in the benchmark, 0 for others, -1 for none, -2 for several letters that are words of their own."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
@@ -68,6 +69,8 @@ class _Ids(dict):
     def __missing__(self, word: str) -> int:
         form = plain(word)
         value = self.vocabulary.get(form, 0) if form else -1
+        if len(form) > 1 and not form.isascii() and UNSPACED.search(form):
+            value = -2
         if len(self) < MEMO_ENTRIES and len(word) <= 48:
             self[word] = value
         return value
@@ -80,7 +83,7 @@ class Finder:
         known: dict[tuple[str, ...], list] = {}
         for item_id, text in items:
             words = tuple(plain_words(text))
-            if len(words) >= LEAST_WORDS:
+            if words:
                 known.setdefault(words, []).append(item_id)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for words in known for w in words}), 1)}
         self.ids = _Ids(self.vocabulary)
@@ -205,9 +208,15 @@ class Finder:
             row = fresh
         return row.min(1)
 
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text the items in it: id, first word, edits. The place with the fewest edits counts, then the first."""
-        lists = [np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)) for words in ((t or "").split() for t in texts)]
+        lists = []
+        for text in texts:
+            numbers = self._numbers((text or "").split())
+            lists.append(self._numbers(spaced(text).split()) if (numbers == -2).any() else numbers)
         out: list[list[tuple[int, int, int]]] = []
         start = size = 0
         for i, numbers in enumerate([*lists, None]):
@@ -250,8 +259,8 @@ class Finder:
 def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
     """Add ``leak_items``, ``leak_starts`` (first word) and ``leak_edits`` of the items found in each whole text.
 
-    Texts and items without words have none; items of fewer than five words are not
-    searched. The items, a stated set, are sent to the tasks in blocks of 20,000 at
+    Texts and items without words have none; items of fewer words than allow an edit are
+    found where they stand unchanged. The items, a stated set, are sent to the tasks in blocks of 20,000 at
     most, however many they are. Columns of these names are replaced.
     """
     names = ("leak_items", "leak_starts", "leak_edits")

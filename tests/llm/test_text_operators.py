@@ -220,6 +220,23 @@ def test_repeats_against_brute_force(spark):
     assert got == want
 
 
+def test_no_long_repeat_stays(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = [[word() for _ in range(300)] for _ in range(40)]
+    for i in range(1, 40):
+        a, b, source = rng.randrange(240), rng.randrange(300), rows[rng.randrange(i)]
+        rows[i][b:b] = source[a:a + 60]
+    rows.append([w if k % 75 else "edited" for k, w in enumerate(rows[0])])
+    rows.append(rows[0][:100] + rows[1][:20] + rows[0][:100])
+    out = [r["text"].split() for r in substring.remove_repeats(docs(spark, [(i, " ".join(w), None) for i, w in enumerate(rows)])).orderBy("doc_id").collect()]
+    windows = [" ".join(words[k:k + 50]) for words in out for k in range(len(words) - 49)]
+    assert len(windows) == len(set(windows))
+    assert out[0] == rows[0] and sum(map(len, rows)) - sum(map(len, out)) >= 0.75 * (39 * 60 + 300 + 200)
+    assert {w for words in out for w in words} >= {w for words in rows for w in words}
+    assert all(len(rows[i]) - len(out[i]) <= 60 for i in range(40))
+
+
 def test_repeats_of_odd_rows(spark):
     out = substring.remove_repeats(docs(spark))
     assert out.count() == len(ODD) and out.columns == ["doc_id", "text", "note", "removed_starts", "removed_ends"]

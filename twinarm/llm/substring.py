@@ -5,6 +5,16 @@ them, so that a passage pasted into the middle of a line starts a unit of its ow
 Digests of normalised units are grouped over all texts; each unit is kept where it
 occurs first (lowest rank, then place) and marked elsewhere. Runs of marked units of at
 least ``min_words`` words are removed, with their offsets in the original text.
+
+Besides, a text is cut by its content: of every ten neighbouring word pairs the one with
+the lowest digest is a cut, so equal stretches are cut alike wherever they stand, within
+ten words of their ends. Spans of two such pieces are marked in the same way, and runs
+of at least ``LONG_WORDS`` words are removed. So of each repeated passage of 44 words or
+more all but ten words at each end at most are removed, whatever the lines, sentences
+and capitals around it.
+
+Digests of some texts travel together, packed and once each, to ranges of digests, which
+return those that another pack has too, with their lowest rank.
 """
 
 from __future__ import annotations
@@ -16,15 +26,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import bound_batches, per_row, small_batches, written
+from twinarm.llm.common import UNSPACED, bound_batches, per_row, small_batches, spaced, written
 
 #: Words that a run of marked units has at least; shorter ones stay, as chance repeats them.
 MIN_WORDS = 8
+#: Word pairs of which one is a cut, and the words that a run of marked spans has at least.
+WINDOW, LONG_WORDS = 10, 24
+#: Digests for each range of them.
+RANGE_UNITS = 500_000
+MEMO_ENTRIES = 400_000
 LAST_RANK = (1 << 63) - 1
 _CAPITALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isupper())
+_WORD = re.compile(rf"{UNSPACED.pattern}|[^\s{UNSPACED.pattern[1:-1]}]+")
+_BASE = 0x9E3779B97F4A7C15
+_PACKED = "kind int, part int, pack bigint, total bigint, a binary, b binary, ranks array<bigint>, keys array<bigint>, n_units array<int>, n_all array<int>"
+_ARROW = pa.schema([
+    ("kind", pa.int32()), ("part", pa.int32()), ("pack", pa.int64()), ("total", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("ranks", pa.list_(pa.int64())),
+    ("keys", pa.list_(pa.int64())), ("n_units", pa.list_(pa.int32())), ("n_all", pa.list_(pa.int32()))])
 #: White space that ends a line or a sentence, or stands before a capital.
 _BREAK = re.compile(rf"\s(?:(?<=\n)|(?<=[.!?].)|(?=[{_CAPITALS}]))\s*", re.DOTALL)
 
@@ -42,29 +64,152 @@ def units(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _unit_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text: digests of its units, 0 for those it has had before, and the places of these."""
+class _Digests(dict):
+    """64-bit digest of a word; common words are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word.encode())
+        if len(self) < MEMO_ENTRIES and len(word) <= 48:
+            self[word] = value
+        return value
+
+
+def _hashed(text: str, memo: dict) -> np.ndarray:
+    """Digests of the words of a text, without case."""
+    words = spaced(text).lower().split()
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+def content_spans(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first word, word after the last and digest of the spans of two pieces that contents cut."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    words, owner = np.concatenate([*lists, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(lists)), counts)
+    if len(words) <= WINDOW:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    pair = (words[:-1] * np.uint64(_BASE) ^ words[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    pair ^= pair >> np.uint64(32)
+    last = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)[:, ::-1].argmin(1)
+    whole = np.flatnonzero(owner[WINDOW:] == owner[:-WINDOW])
+    cuts = np.unique(whole + WINDOW - 1 - last[whole])
+    start, end = cuts[:-2], cuts[2:]
+    inside = owner[start] == owner[end] if len(start) else np.zeros(0, bool)
+    start, end = start[inside], end[inside]
+    power = np.cumprod(np.full(len(words), _BASE, np.uint64))
+    back = np.cumprod(np.full(len(words), pow(_BASE, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power)])
+    told = (sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)
+    told = (told ^ (told >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    first = (np.cumsum(counts) - counts)[owner[start]]
+    return owner[start], start - first, end - first, np.maximum(told ^ (told >> np.uint64(29)), np.uint64(1))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, one plane of bytes after the other, so that the shuffle's codec finds the empty high bytes."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _row(**values) -> dict:
+    return dict.fromkeys(_ARROW.names) | values
+
+
+def _unit_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for some texts: digests of the units, then of the spans, of each (0 for none), and whether the text had them before."""
+    memo, number = _Digests(), TaskContext.get().partitionId() << 32
     for batch in small_batches(batches):
-        digests, again = [], []
-        for text in batch.column("text").to_pylist():
-            seen: set[int] = set()
-            told, places = [], []
-            for k, (a, b) in enumerate(units(text or "")):
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        owner, starts, ends, found = content_spans([_hashed(t, memo) for t in texts])
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        told, again, n_units, n_all = [], [], [], []
+        for i, text in enumerate(texts):
+            seen: dict[int, int] = {}
+            before, places = len(told), units(text)
+            for a, b in places:
                 words = " ".join(text[a:b].lower().split())
-                digest = xxhash.xxh3_64_intdigest(words.encode()) or 1
-                if not words:
-                    told.append(0)
-                elif digest in seen:
-                    told.append(0)
-                    places.append(k)
-                else:
-                    seen.add(digest)
-                    told.append(digest)
-            digests.append(np.array(told, np.uint64).view(np.int64))
-            again.append(np.array(places, np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rank"), batch.column("key"), pa.array(digests, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int32()))],
-            names=["rank", "key", "digests", "again"])
+                digest = (xxhash.xxh3_64_intdigest(words.encode()) or 1) if words else 0
+                told.append(digest)
+                again.append(bool(words) and digest in seen)
+                seen[digest] = 0
+            seen = {}
+            mine = slice(edges[i], edges[i + 1])
+            for a, b, digest in zip(starts[mine].tolist(), ends[mine].tolist(), found[mine].tolist(), strict=True):
+                # One that overlaps the first of its kind is no second one.
+                again.append(seen.setdefault(digest, b) <= a)
+                told.append(digest)
+            n_units.append(len(places))
+            n_all.append(len(told) - before)
+        yield pa.RecordBatch.from_pylist([_row(
+            kind=1, pack=number, total=len(told), a=np.array(told, np.uint64).tobytes(), b=np.array(again, bool).tobytes(), ranks=batch.column("rank").to_pylist(),
+            keys=batch.column("key").to_pylist(), n_units=n_units, n_all=n_all)], _ARROW)
+        number += 1
+
+
+def _by_range(bits: int):
+    """Rows for ranges of digests: each digest of a pack once, with its lowest rank there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                digests, ranks = _lowest(np.frombuffer(row["a"], np.uint64), np.repeat(np.array(row["ranks"], np.int64), row["n_all"]))
+                cuts = np.searchsorted(digests >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+                rows = [
+                    _row(kind=0, part=p, pack=row["pack"], a=_planes(np.diff(digests[a:b], prepend=np.uint64(0))), b=_planes(ranks[a:b]))
+                    for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return run
+
+
+def _lowest(digests: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct digests but 0, in order, and the lowest rank of each."""
+    order = np.lexsort((ranks, digests))
+    digests, ranks = digests[order], ranks[order]
+    fresh = digests != 0
+    fresh[1:] &= digests[1:] != digests[:-1]
+    return digests[fresh], ranks[fresh]
+
+
+def _shared_digests(table: pa.Table) -> pa.Table:
+    """Of one range, for each pack the digests that another one has too, with their lowest rank."""
+    rows = table.select(["pack", "a", "b"]).to_pylist()
+    lists = [np.cumsum(_numbers(r["a"]), dtype=np.uint64) for r in rows]
+    flat = np.concatenate(lists)
+    kinds, ranks = _lowest(flat, np.concatenate([_numbers(r["b"], np.int64) for r in rows]))
+    many = np.bincount(np.searchsorted(kinds, flat), minlength=len(kinds)) > 1
+    out = []
+    for row, digests in zip(rows, lists, strict=True):
+        at = np.searchsorted(kinds, digests)
+        keep = many[at]
+        if keep.any():
+            out.append(_row(kind=0, pack=row["pack"], a=_planes(np.diff(digests[keep], prepend=np.uint64(0))), b=_planes(ranks[at[keep]])))
+    return pa.Table.from_pylist(out, _ARROW)
+
+
+def _marks(table: pa.Table) -> pa.Table:
+    """Of one pack, the marked units and spans of each text that has some."""
+    rows = table.to_pylist()
+    info = next(r for r in rows if r["kind"] == 1)
+    digests, n_all = np.frombuffer(info["a"], np.uint64), np.array(info["n_all"], np.int64)
+    rank = np.repeat(np.array(info["ranks"], np.int64), n_all)
+    returned = [r for r in rows if r["kind"] == 0]
+    kinds, lowest = _lowest(
+        np.concatenate([digests, *(np.cumsum(_numbers(r["a"]), dtype=np.uint64) for r in returned)]), np.concatenate([rank, *(_numbers(r["b"], np.int64) for r in returned)]))
+    marked = np.frombuffer(info["b"], bool).copy()
+    some = digests != 0
+    marked[some] |= lowest[np.searchsorted(kinds, digests[some])] < rank[some]
+    keys, of_units, of_spans = [], [], []
+    for key, n, start, end in zip(info["keys"], info["n_units"], np.cumsum(n_all) - n_all, np.cumsum(n_all), strict=True):
+        at = np.flatnonzero(marked[start:end])
+        if len(at):
+            keys.append(key)
+            of_units.append(at[at < n])
+            of_spans.append(at[at >= n] - n)
+    ints = pa.list_(pa.int32())
+    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(of_units, ints), pa.array(of_spans, ints)], names=["_key", "_units", "_spans"])
 
 
 def cut_spans(text: str, marked: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -84,6 +229,30 @@ def cut_spans(text: str, marked: list[int], min_words: int) -> list[tuple[int, i
     return out
 
 
+def long_spans(text: str, marked: list[int], min_words: int, memo: dict) -> list[tuple[int, int]]:
+    """Character spans of the runs of marked content spans with enough words, up to the next word."""
+    _, starts, ends, _ = content_spans([_hashed(text, memo)])
+    runs: list[list[int]] = []
+    for a, b in zip(starts[sorted(marked)].tolist(), ends[sorted(marked)].tolist(), strict=True):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    places = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    return [(places[a], places[b]) for a, b in runs if b - a >= max(min_words, LONG_WORDS)]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows of ``df`` with the text cut, and ``removed_starts`` and ``removed_ends``, the offsets of what was cut.
 
@@ -94,21 +263,22 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     bound_batches(df.sparkSession)
     keyed = df.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
     told = keyed.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_RANK)).alias("rank"), F.col("_key").alias("key"), F.col(text).alias("text"))
-    parts = written(told.mapInArrow(_unit_digests, "rank bigint, key bigint, digests array<bigint>, again array<int>"), "units")
-    each = parts.select("rank", "key", F.posexplode("digests").alias("k", "digest")).where("digest != 0")
-    first = each.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("last > first").select("digest", "first")
-    later = each.join(first, "digest").where("rank > first").groupBy("key").agg(F.collect_set("k").alias("later"))
-    inside = parts.where(F.size("again") > 0).select("key", "again").dropDuplicates(["key"])
-    marks = later.join(inside, "key", "full").select(
-        F.col("key").alias("_key"), F.concat(F.coalesce("later", F.array().cast("array<int>")), F.coalesce("again", F.array().cast("array<int>"))).alias("_marks"))
+    packs = written(told.mapInArrow(_unit_packs, _PACKED), "units")
+    total = packs.agg(F.sum("total")).first()[0] or 0
+    bits = max(3, int(np.ceil(np.log2(max(1, total / RANGE_UNITS)))))
+    shared = packs.mapInArrow(_by_range(bits), _PACKED).groupBy("part").applyInArrow(_shared_digests, _PACKED)
+    marks = shared.unionByName(packs).groupBy("pack").applyInArrow(_marks, "_key bigint, _units array<int>, _spans array<int>").dropDuplicates(["_key"])
     joined = keyed.join(marks, "_key", "left").drop("_key")
 
     def make():
+        memo = _Digests()
+
         def compute(rows):
             texts, starts, ends = [], [], []
             for row in rows:
-                value, marked = row["text"], row["marks"]
+                value, marked, more = row["text"], row["units"], row["spans"]
                 spans = cut_spans(value, marked, min_words) if value and marked else []
+                spans = merged(spans + long_spans(value, more, min_words, memo)) if value and more else spans
                 if spans:
                     edges = [0, *(x for span in spans for x in span), len(value)]
                     value = "".join(value[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).rstrip()
@@ -119,6 +289,6 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
 
         return compute
 
-    source = joined.withColumn("_pair", F.struct(F.col(f"`{text}`").alias("text"), F.col("_marks").alias("marks"))).drop("_marks")
+    source = joined.withColumn("_pair", F.struct(F.col(f"`{text}`").alias("text"), F.col("_units").alias("units"), F.col("_spans").alias("spans"))).drop("_units", "_spans")
     out = per_row(source, "_pair", f"{text} string,removed_starts array<int>,removed_ends array<int>", make).drop("_pair")
     return out.select(*df.columns, *(c for c in ("removed_starts", "removed_ends") if c not in df.columns))

@@ -237,6 +237,13 @@ def test_no_long_repeat_stays(spark):
     assert all(len(rows[i]) - len(out[i]) <= 60 for i in range(40))
 
 
+def test_repeats_without_spaces(spark):
+    line = "".join(chr(0x4e00 + k * 7) for k in range(45)) + "。"
+    rows = [(1, f"{line}\nfirst of all", None), (2, f"second\n{line}\nto come", None), (3, f"{line[:20]}", None), (4, f"{line[:20]}\nthird", None)]
+    assert by_id(substring.remove_repeats(docs(spark, rows)), "doc_id", "text") == [
+        (1, f"{line}\nfirst of all"), (2, "second\nto come"), (3, line[:20]), (4, f"{line[:20]}\nthird")]
+
+
 def test_repeats_of_odd_rows(spark):
     out = substring.remove_repeats(docs(spark))
     assert out.count() == len(ODD) and out.columns == ["doc_id", "text", "note", "removed_starts", "removed_ends"]

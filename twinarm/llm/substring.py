@@ -39,6 +39,8 @@ WINDOW, LONG_WORDS = 10, 24
 #: Digests for each range of them.
 RANGE_UNITS = 500_000
 MEMO_ENTRIES = 400_000
+#: Letters that stand for a word in scripts without spaces, so that runs of 40 of them are long enough too.
+WORD_LETTERS = 5
 LAST_RANK = (1 << 63) - 1
 _CAPITALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isupper())
 _WORD = re.compile(rf"{UNSPACED.pattern}|[^\s{UNSPACED.pattern[1:-1]}]+")
@@ -212,6 +214,14 @@ def _marks(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(of_units, ints), pa.array(of_spans, ints)], names=["_key", "_units", "_spans"])
 
 
+def amount(text: str) -> float:
+    """Words of a text; letters of scripts without spaces count by the number that stands for a word."""
+    if text.isascii():
+        return len(text.split())
+    bare, letters = UNSPACED.subn(" ", text)
+    return len(bare.split()) + letters / WORD_LETTERS
+
+
 def cut_spans(text: str, marked: list[int], min_words: int) -> list[tuple[int, int]]:
     """Character spans of the runs of marked units with enough words, up to the next unit."""
     places, flags = units(text), set(marked)
@@ -222,7 +232,7 @@ def cut_spans(text: str, marked: list[int], min_words: int) -> list[tuple[int, i
             continue
         first, words = k, 0
         while k < len(places) and k in flags:
-            words += len(text[places[k][0]:places[k][1]].split())
+            words += amount(text[places[k][0]:places[k][1]])
             k += 1
         if words >= min_words:
             out.append((places[first][0], places[k][0] if k < len(places) else len(text)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.llm.helpers import LONG, ODD, by_id, docs
-from twinarm.llm import chat, decontaminate, html_text, language, quality, substring, url_filter
+from twinarm.llm import chat, decontaminate, html_text, jaccard, language, quality, substring, url_filter
 
 # ---- urls
 
@@ -178,6 +178,22 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs(spark, []), quality.fit(docs(spark), labels.limit(0))).count() == 0
 
 
+# ---- alike texts
+
+def test_links_of_large_groups_without_a_link_before(spark, monkeypatch):
+    real, calls = jaccard._pairs, []
+
+    def no_pairs_at_first(*args):
+        calls.append(1)
+        return real(*args) if len(calls) > 2 else real(*args).limit(0)
+
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", 1)
+    monkeypatch.setattr(jaccard, "_pairs", no_pairs_at_first)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words), None), (2, " ".join([*words[:-1], "x"]), None), (3, " ".join(words[:12]), None)]
+    assert by_id(jaccard.join_alike(docs(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+
+
 # ---- repeated passages
 
 def test_repeats(spark):

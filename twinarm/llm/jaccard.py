@@ -301,13 +301,13 @@ def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
         _pairs(few_entries, few_entries, percent, F.expr("l.node < r.node")).unionByName(
             _pairs(many_entries, pivot, percent, F.expr("l.node != r.node"))).distinct(), "pairs")
     found = written(_verified(pairs, texts, percent), "links")
-    if found.isEmpty():
-        return None
-    roots = components(found)
+    roots = None if found.isEmpty() else components(found)
     if many.isEmpty():
         return roots
+    # Without a link so far each text is its own root.
+    rooted = many_entries.withColumn("root", F.col("node")) if roots is None else many_entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = written(
-        many_entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(
+        rooted.join(
             texts.select("node", "prefix", "marks", (F.col("n") - F.col("single")).alias("repeated")), "node"), "entries")
     largest = labelled.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
     apart = labelled.join(largest, "gram").where(F.col("root") != F.col("largest")).drop("largest")

@@ -113,6 +113,18 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(docs(spark), none).collect()} == {"und"}
 
 
+def test_rare_and_many_languages(spark):
+    rows = [(i, "the words of a language that is everywhere", "en") for i in range(2000)] + [(5000 + i, "zażółć gęślą jaźń", "pl") for i in range(3)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=50)
+    assert model[0] == ["en", "pl"] and language.Labeller(*model).predict(["gęślą jaźń"])[0] == ["pl"]
+    grams = [[0.0] * language.BUCKETS for _ in range(200)]
+    grams[180] = [1.0] * language.BUCKETS
+    import numpy as np
+
+    tool = language.Labeller([f"l{k}" for k in range(200)], np.array(grams), np.ones((200, len(language.SCRIPTS) + 1)))
+    assert tool.predict(["some words here"]) == (["l180"], [1.0])
+
+
 def test_language_spans(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars between 600 and 3000").select("lang", "text").collect()
     model = language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))

@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import bound_batches, bounded_sample, per_row
+from twinarm.llm.common import bound_batches, per_row
 
 BITS = 16
 BUCKETS = 1 << BITS
-#: Labelled documents that the tables are learned from, at most.
+#: Labelled documents of each language that the tables are learned from, about, if it has more.
 MOST_ROWS = 20_000
 SWITCH = 12.0
 MEMO_ENTRIES = 400_000
@@ -73,11 +73,15 @@ class Letters:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most_rows: int = MOST_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log shares of 3-grams by language, and shares of scripts by language.
 
-    Learned from the ``most_rows`` rows with the lowest digest of ``key`` among those
-    with a language, a key and a text; their texts are counted whole, in tasks.
+    Learned from all rows with a language, a key and a text of a language that has up to
+    ``most_rows`` of them; of others, from those whose digest of ``key`` is in the share
+    that has about so many. Texts are counted whole, in tasks.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = bounded_sample(known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("_key")), "_key", most_rows, 3)
+    named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("_key"))
+    known = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("_key").isNotNull())
+    share = known.groupBy("lang").agg((F.lit(float(most_rows)) / F.count("*")).alias("_share"))
+    place = F.shiftrightunsigned(F.xxhash64("_key", F.lit(3)), 11) / F.lit(float(1 << 53))
+    sample = known.join(F.broadcast(share), "lang").where(place < F.col("_share"))
 
     def run(batches):
         import pyarrow as pa
@@ -172,16 +176,16 @@ class Labeller:
         starts = (np.cumsum(counts) - counts)[order]
         active = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), side="left")
         value = np.zeros((len(counts), n_lang), np.float32)
-        back = np.zeros((len(ids), n_lang), np.int8)
-        stay = np.arange(n_lang, dtype=np.int8)[None, :]
+        back = np.zeros((len(ids), n_lang), np.int16)
+        stay = np.arange(n_lang, dtype=np.int16)[None, :]
         for t, n in enumerate(active.tolist()):
             at, v = starts[:n] + t, value[:n]
             best = v.argmax(1)
             change = np.take_along_axis(v, best[:, None], 1) - np.float32(self.switch)
             taken = change > v
-            back[at] = np.where(taken, best[:, None].astype(np.int8), stay)
+            back[at] = np.where(taken, best[:, None].astype(np.int16), stay)
             value[:n] = np.where(taken, change, v) + self.table[ids[at]]
-        label, current = np.zeros(len(ids), np.int8), value.argmax(1)
+        label, current = np.zeros(len(ids), np.int16), value.argmax(1)
         for t in range(len(active) - 1, -1, -1):
             n = int(active[t])
             at = starts[:n] + t

@@ -86,6 +86,12 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0), html_text.learn(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_page_inside_a_form(name):
+    page = f'<body><form id="aspnetForm"><div>Search <input></div><{name}><p>One two three four.</p><p>Five six.</p></{name}></form><footer>me</footer></body>'
+    assert html_text.main_text(page, {}) == "One two three four. Five six."
+
+
 def test_pages_against_their_markup(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     import html

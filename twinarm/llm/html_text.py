@@ -78,7 +78,7 @@ def tokens(page: str, whole: bool = False) -> list[Token]:
             if name == skip:
                 depth += -1 if m["close"] else not m["rest"].endswith("/")
                 skip = skip if depth > 0 else ""
-            elif name in ("article", "main") and skip != "form" and not m["close"]:
+            elif name in ("article", "main") and not m["close"]:
                 skip = ""
                 out.append(("tag", name))
             continue

@@ -212,6 +212,17 @@ def test_links_of_large_groups_without_a_link_before(spark, monkeypatch):
     assert by_id(jaccard.join_alike(docs(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_one_of_alike_texts_with_one_id(spark):
+    words = [[f"{c}{k}" for k in range(40)] for c in "abc"]
+    near = lambda w: " ".join([*w[:-1], "x"])
+    rows = [
+        (1, " ".join(words[0]), None), (1, near(words[0]), None), (2, " ".join(words[1]), None), (3, near(words[1]), None), (3, " ".join(words[2]), None),
+        (4, "", None), (4, None, None), (4, "", None), (None, near(words[0]), None)]
+    out = by_id(jaccard.keep_one(docs(spark, rows)), "doc_id", "text")
+    assert [i for i, _ in out] == [1, 2, 3, 4, 4, None]
+    assert {(2, rows[2][1]), (3, rows[4][1]), (4, ""), (4, None), (None, rows[-1][1])} < set(out)
+
+
 # ---- repeated passages
 
 def test_repeats(spark):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import bound_batches, written
+from twinarm.llm.common import bound_batches, per_row, written
 from twinarm.llm.components import components
 
 SHINGLE = 5
@@ -321,6 +321,22 @@ def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     return roots if more.isEmpty() else components(found.unionByName(more))
 
 
+def _components(rows: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node and component_id of each text, from ``shingle_table`` rows, and ``chosen``, the node of the component that stands for it."""
+    roots = links(rows, percent)
+    named = rows.select("doc_id", "n_shingles", "node")
+    full = named.where("n_shingles > 0")
+    if roots is not None:
+        full = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        full = full.withColumn("root", F.col("node"))
+    # The least doc_id that is not null, and the least of its nodes.
+    least = full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")).select(
+        "root", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("chosen"))
+    return full.join(least, "root").select("doc_id", "n_shingles", "node", "component_id", "chosen").unionByName(
+        named.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "chosen": F.col("node")}))
+
+
 def join_alike(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per text: doc_id, n_shingles (size of its set), component_id.
 
@@ -331,27 +347,29 @@ def join_alike(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percen
     component's only if it has no other.
     """
     rows = shingle_table(df, text, doc_id, percent, size)
-    roots = links(rows, percent)
-    named = rows.select("doc_id", "n_shingles", "node")
-    full = named.where("n_shingles > 0")
-    if roots is not None:
-        full = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        full = full.withColumn("root", F.col("node"))
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return full.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(
-        named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return _components(rows, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The rows of one document of each component, that with the smallest doc_id.
 
-    Of rows with the same doc_id and text one stays; rows with a null doc_id all stay,
-    as they cannot be told apart.
+    Of alike rows with the same doc_id one stays, of rows with the same doc_id and text
+    too; rows with a null doc_id all stay, as they cannot be told apart.
     """
-    found = join_alike(df, text, doc_id, percent, size).where(F.col("doc_id") == F.col("component_id"))
-    kept = written(found.groupBy(F.col("doc_id").alias(doc_id)).count(), "kept")
+    rows = shingle_table(df, text, doc_id, percent, size)
+    found = written(_components(rows, percent).where(F.col("doc_id") == F.col("component_id")).where(F.col("node") == F.col("chosen")).select(
+        F.col("doc_id").alias(doc_id), F.col("node").alias("_node")).distinct(), "kept")
+    often = rows.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
+    often = written(often, "often")
     named = df.where(F.col(doc_id).isNotNull())
-    once = named.join(kept.where("count = 1").select(doc_id), doc_id, "left_semi")
-    repeated = named.join(kept.where("count > 1").select(doc_id), doc_id, "left_semi").dropDuplicates([doc_id, text])
-    return once.unionByName(repeated.select(df.columns)).unionByName(df.where(F.col(doc_id).isNull()))
+    once = named.join(found.join(often, doc_id, "left_anti").select(doc_id), doc_id, "left_semi")
+
+    def make():
+        return lambda texts: {"_node": [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]}
+
+    # Rows whose doc_id others have too are told apart by their words.
+    repeated = per_row(named.join(often, doc_id, "left_semi").withColumn("_text", F.col(f"`{text}`")), "_text", "_node binary", make).drop("_text")
+    repeated = repeated.join(found, [doc_id, "_node"], "left_semi")
+    empty = F.when(F.col("_node") == F.lit(xxhash.xxh3_128_digest(b"")), F.col(f"`{text}`"))
+    repeated = repeated.withColumn("_empty", empty).dropDuplicates([doc_id, "_node", "_empty"])
+    return once.select(df.columns).unionByName(repeated.select(df.columns)).unionByName(df.where(F.col(doc_id).isNull()))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinarm.session import shared_folder
@@ -58,16 +59,22 @@ def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(),
         "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+        "float": pa.float32(),
     }
     parts = [field.split() for field in ddl.split(",")]
     return pa.schema([(name, kinds[kind]) for name, kind in parts])
 
 
-def replace_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns set or appended."""
-    columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-    columns.update(new)
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def free_name(df: DataFrame, base: str) -> str:
+    """A name that starts with ``base`` and that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in (base + "_" * k for k in range(1, len(taken) + 2)) if name.lower() not in taken)
+
+
+def other_columns(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those named so, whatever their case."""
+    lowered = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in lowered]
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -85,29 +92,59 @@ def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch.slice(start, rows)
 
 
-def per_row(df: DataFrame, source: str, outputs: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+def per_batch(df: DataFrame, source: str | Column, outputs: str, make: Callable) -> DataFrame:
     """Add columns computed from one column, Arrow batch by Arrow batch.
 
-    ``make`` is called once per task and returns a function from the values of a batch
-    to the values of each output. Columns of ``df`` that are named like an output are
-    replaced; all others pass through.
+    ``source`` is a column's name or an expression. ``make`` is called once per task and
+    returns a function from the Arrow array of a batch to the values of each output and
+    the numbers of the rows that they stand for, or None for all in turn. Columns of
+    ``df`` that are named like an output, whatever their case, are replaced; all others
+    pass through under any name.
     """
     schema = arrow_schema(outputs)
-    kept = [f for f in df.schema.fields if f.name not in schema.names]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    target = ", ".join(filter(None, [fields, *(f"{part.split()[0]} {_ddl(part.split()[1])}" for part in outputs.split(","))]))
+    names = other_columns(df, *schema.names)
+    fields = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+    target = ", ".join(filter(None, [fields, *(f"`{f.split()[0]}` {_ddl(f.split()[1])}" for f in outputs.split(","))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = None
         for batch in small_batches(batches):
             compute = compute or make()
-            found = compute(batch.column("_source").to_pylist())
-            made = {f.name: pa.array(found[f.name], f.type) for f in schema}
-            base = batch.select([f.name for f in kept])
-            yield replace_columns(base, made)
+            found, rows = compute(batch.column(0))
+            base = batch.select(names) if rows is None else batch.select(names).take(pa.array(rows))
+            made = [pa.array(found[f.name], f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([*base.columns, *made], names=[*names, *schema.names])
 
     bound_batches(df.sparkSession)
-    return df.select(F.col(f"`{source}`").alias("_source"), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, target)
+    value = F.col(f"`{source}`") if isinstance(source, str) else source
+    hidden = free_name(df, "source")
+    return df.select(value.alias(hidden), *(F.col(f"`{n}`") for n in names)).mapInArrow(run, target)
+
+
+def per_row(df: DataFrame, source: str | Column, outputs: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+    """``per_batch`` for functions from a list of Python values to lists of values."""
+    def make_batch():
+        compute = make()
+        return lambda values: (compute(values.to_pylist()), None)
+
+    return per_batch(df, source, outputs, make_batch)
+
+
+def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], salt: Column, how: str = "inner", most: int = 100_000, salts: int = 64) -> DataFrame:
+    """Join ``groups``, a written table with one row per key, to ``rows`` whatever number of rows a key has.
+
+    Up to ``most`` groups are sent to the rows, which then are not moved. Beyond that
+    both sides are shuffled by key and by ``salt`` modulo ``salts``, so that the rows of
+    one key go to that many tasks. Keys are compared null-safe.
+    """
+    on = lambda left, right, names: functools.reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in names))
+    added = [F.col(f"g.{c}") for c in groups.columns if c not in keys]
+    if groups.count() <= most:
+        return rows.alias("r").join(F.broadcast(groups).alias("g"), on("r", "g", keys), how).select("r.*", *added)
+    part = free_name(rows, "salt")
+    left = rows.withColumn(part, F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    right = groups.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.alias("r").join(right.alias("g"), on("r", "g", [*keys, part]), how).select(*(F.col(f"r.{c}") for c in rows.columns), *added)
 
 
 def _ddl(kind: str) -> str:

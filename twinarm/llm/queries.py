@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinarm.llm import bpe, chat, decontaminate, html_text, jaccard, language, quality, substring, token_counts, url_filter
-from twinarm.llm.common import table
+from twinarm.llm import (
+    bpe, chat, decontaminate, exact_dedup, html_text, jaccard, language, quality, substring, token_counts, url_filter, vector_codes, whitening)
+from twinarm.llm.common import table, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,10 +90,63 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality_model(spark, folder)).drop("text")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    books = vector_codes.fit(vectors)
+    coded = written(vector_codes.encode(vectors, books).select("vec_id", "label", "code", "error"), "codes")
+    return vector_codes.with_group_error(coded, "label", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors)).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def codebook_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """SQL for the codes: long rows of (vector, part, place, number), a common table for each round."""
+    steps = [f"""
+        kept AS (
+            SELECT vec_id, label, embedding AS e, len(embedding) // {parts} AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cells AS MATERIALIZED (
+            SELECT vec_id, p, i, CAST(floor({scale} * CAST(e[p * w + i + 1] AS DOUBLE)) AS BIGINT) AS x
+            FROM kept, range({parts}) a(p), range(CAST(w AS BIGINT)) b(i)
+        ), first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}
+        ), book0 AS MATERIALIZED (SELECT p, entry, i, x AS c FROM cells JOIN first USING (vec_id)
+        )"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        near{k} AS MATERIALIZED (
+            SELECT vec_id, p, min((d, entry)) AS best FROM (
+                SELECT vec_id, p, entry, sum((x - c) * (x - c)) AS d FROM cells JOIN book{k} USING (p, i) GROUP BY ALL) GROUP BY ALL
+        )""")
+        if k < rounds:
+            steps.append(f"""
+        book{k + 1} AS MATERIALIZED (
+            SELECT b.p, b.entry, b.i, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (
+                SELECT n.p, n.best[2] AS entry, c.i, CAST((sum(c.x) - (sum(c.x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS c
+                FROM near{k} n JOIN cells c USING (vec_id, p) GROUP BY ALL) m USING (p, entry, i)
+        )""")
+    steps.append(f"""
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', CAST(best[2] AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+            FROM near{rounds} GROUP BY vec_id
+        ), digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, entry, i)) AS codebooks_sha256 FROM book{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), digest""")
+    return "WITH" + ",".join(steps[:-1]) + "," + steps[-1]
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_bpe, op2_url_rules, op3_substring, op4_chat_format, op5_shingle_join, op6_main_text, op7_language, op8_token_counts, op9_benchmark_leaks,
-        op10_quality)
+        op10_quality, op11_vector_codes, op12_whitening, op13_exact_dedup)
 }
 
 SQL = {
@@ -132,4 +186,9 @@ SQL = {
         ), edges AS (SELECT x AS u, y AS v FROM shared UNION SELECT y, x FROM shared
         ), reach(u, v) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u)
         SELECT s.doc_id, len(s.s) AS n_shingles, min(r.v) AS component_id FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY ALL""",
+    "op11_vector_codes": codebook_sql(),
+    "op13_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+            sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }

@@ -89,7 +89,12 @@ E["rank_sum_control_first"] = Entry(
 )
 E["rank_sum_exact_small"] = Entry(
     lambda s, d: ranks.rank_sum(x.long(s, d), "y", arm="arm", by=["period"], method="exact_if_small").select("period", "n1", "n0", "w", "p", "method"),
-    None, digits("w", "p"),
+    f"""WITH RECURSIVE {x.LONG}, {rank_sql('long', 'y', 'period')}, small AS (SELECT n1 AS m, n0 AS n FROM r WHERE n1 < 50 AND n0 < 50 AND tie_term = 0),
+        {', '.join(m.rank_counts_sql('small'))}
+        SELECT period, n1, n0, w, CASE WHEN counts IS NULL THEN p ELSE least(1, 2 * CAST(list_sum(CASE WHEN w > n1 * n0 / 2.0 THEN counts[CAST(w AS BIGINT) + 1:]
+            ELSE counts[1:CAST(w AS BIGINT) + 1] END) AS DOUBLE) / CAST(list_sum(counts) AS DOUBLE)) END AS p, CASE WHEN counts IS NULL THEN 'normal' ELSE 'exact' END AS method
+        FROM r LEFT JOIN ways ON n1 = m AND n0 = n AND n1 < 50 AND n0 < 50 AND tie_term = 0""",
+    digits("w", "p"),
 )
 E["fisher_exact_2x2"] = Entry(
     lambda s, d: exact.fisher_2x2(x.binary(s, d), arm="arm", flag="flag").select("n00", "n01", "n10", "n11", "p"),
@@ -102,7 +107,10 @@ E["fisher_exact_2x2"] = Entry(
     digits("p"),
 )
 E["fisher_exact_odds_ratio"] = Entry(
-    lambda s, d: exact.fisher_2x2(x.binary(s, d), arm="arm", flag="flag", by=["gender"]), None,
+    lambda s, d: exact.fisher_2x2(x.binary(s, d), arm="arm", flag="flag", by=["gender"]),
+    f"""WITH RECURSIVE {x.BINARY}, cells AS (SELECT gender, count(CASE WHEN arm = 0 AND flag = 0 THEN 1 END) AS n00, count(CASE WHEN arm = 0 AND flag = 1 THEN 1 END) AS n01,
+            count(CASE WHEN arm = 1 AND flag = 0 THEN 1 END) AS n10, count(CASE WHEN arm = 1 AND flag = 1 THEN 1 END) AS n11 FROM binary_rows GROUP BY gender),
+        {', '.join(m.odds_ratio_sql('cells', 'gender'))} SELECT * FROM odds""",
     digits("p", "odds_ratio", "ci_low", "ci_high"),
 )
 THREE = {"AFRICA": "South", "AMERICA": "West", "ASIA": "East", "EUROPE": "West", "MIDDLE EAST": "East"}
@@ -129,7 +137,10 @@ E["exact_test_three_levels"] = Entry(
     digits("p"),
 )
 E["exact_test_many_levels"] = Entry(
-    lambda s, d: exact.fisher_levels(x.people(s, d), level="segment", arm="arm", by=["region"]), None, digits("p", places=2),
+    lambda s, d: exact.fisher_levels(x.people(s, d), level="segment", arm="arm", by=["region"]),
+    f"""WITH RECURSIVE {P}, counted AS (SELECT region, segment, count(*) AS n, sum(arm) AS a FROM cohort WHERE segment IS NOT NULL GROUP BY ALL),
+        {', '.join(m.levels_sql('counted', 'region'))} SELECT * FROM x_p""",
+    digits("p"),
 )
 E["hedges_g_per_period"] = Entry(
     lambda s, d: two_sample.hedges_g(x.visits(s, d), "y", arm="arm", by=["period"]),
@@ -203,8 +214,9 @@ E["summary_table_p_values"] = Entry(
     digits("p"),
 )
 E["summary_table_with_tests"] = Entry(
-    lambda s, d: describe.summary_table(x.people(s, d), SUMMARY_SPEC, arm="arm", arms=[1, 0], tests=True), None,
-    digits("percent", "median", "q1", "q3", "p", places=2),
+    lambda s, d: describe.summary_table(x.people(s, d), SUMMARY_SPEC, arm="arm", arms=[1, 0], tests=True),
+    f"WITH RECURSIVE {P}, {', '.join(m.summary_sql('cohort', SUMMARY_SPEC, arm='arm', arms=[1, 0], tests=True, rank_sql=rank_sql))} SELECT * FROM summary",
+    digits("percent", "median", "q1", "q3", "p"),
 )
 E["welch_many_strata"] = Entry(
     lambda s, d: two_sample.welch_statistic(

@@ -9,7 +9,7 @@ from catalog import sqlmath as m
 from catalog.fixtures import Entry, digits
 from twinarm.operators import survival
 from twinarm.operators.cox import cox
-from twinarm.operators.design import crossed, design_columns, expression
+from twinarm.operators.design import crossed, design_columns, expression, variables
 from twinarm.operators.firth import firth, odds_ratios
 from twinarm.operators.mmrm import arm_contrasts, cross_products, mmrm
 from twinarm.operators.reshape import append_labelled
@@ -85,11 +85,33 @@ E["logrank_per_stratum"] = Entry(
     lambda s, d: survival.logrank(waits(s, d), time="time", event="event", arm="arm", arms=[0, 1], by=["priority"]),
     f"WITH {ORDERS}, " + logrank_sql("waits", "priority"), LR_COLS,
 )
+
+
+def logrank_arms_sql(source: str, arms: list) -> str:
+    """Log-rank test of any number of arms: the covariance without the first arm is swept beside the differences."""
+    k = len(arms)
+    each = lambda text, sep=", ": sep.join(text.format(i=i, a=a) for i, a in enumerate(arms))
+    cells = []
+    for i in range(1, k):
+        row = [f"sum(c * (n{i} / n) * ({'1 - ' if i == j else '-'}n{j} / n))" for j in range(1, k)]
+        cells += [*row, f"sum(d{i} - d * n{i} / n)"]
+    cells += [f"sum(d{i} - d * n{i} / n)" for i in range(1, k)] + ["0"]
+    return f"""ct AS (SELECT time, {each("count(CASE WHEN arm = {a} THEN 1 END) AS m{i}, sum(CASE WHEN arm = {a} THEN event ELSE 0 END) AS d{i}")} FROM {source} GROUP BY time),
+        rk AS (SELECT *, {each("CAST(sum(m{i}) OVER (ORDER BY time DESC) AS DOUBLE) AS n{i}")} FROM ct),
+        t AS (SELECT *, CASE WHEN n > 1 THEN d * (n - d) / (n - 1) ELSE 0 END AS c FROM (SELECT *, {each("n{i}", " + ")} AS n, {each("d{i}", " + ")} AS d FROM rk)),
+        mat AS (SELECT 0 AS key, 0 AS rid, CAST(0 AS DOUBLE) AS rho, [{", ".join(f"CAST({c} AS DOUBLE)" for c in cells)}] AS a FROM t),
+        {m.sweep("swept", "mat", k, k - 1)},
+        o AS (SELECT {each("CAST(sum(d{i}) AS BIGINT) AS observed_{a}, sum(d * n{i} / n) AS expected_{a}")} FROM t),
+        x2 AS (SELECT -a[{k * k}] AS chi_square, {k - 1} AS df FROM swept WHERE k = {k - 1})
+        SELECT o.*, chi_square, df, {m.chi_square_p("chi_square", "df")} AS p FROM o, x2"""
+
+
+MANY_ARMS = [1, 2, 3, 4, 5]
 E["logrank_many_arms"] = Entry(
     lambda s, d: survival.logrank(
-        waits(s, d).withColumn("arm", F.substring("priority", 1, 1).cast("int")), time="time", event="event", arm="arm",
-        arms=[1, 2, 3, 4, 5]), None,
-    digits("chi_square", "p", *[f"expected_{i}" for i in range(1, 6)]),
+        waits(s, d).withColumn("arm", F.substring("priority", 1, 1).cast("int")), time="time", event="event", arm="arm", arms=MANY_ARMS),
+    f"WITH RECURSIVE {ORDERS}, five AS (SELECT time, event, CAST(priority[1] AS INTEGER) AS arm FROM waits), " + logrank_arms_sql("five", MANY_ARMS),
+    digits("chi_square", "p", *[f"expected_{i}" for i in MANY_ARMS]),
 )
 
 E["logrank_three_arms"] = Entry(
@@ -110,23 +132,26 @@ E["logrank_three_arms"] = Entry(
 )
 
 
-def newton_cox(source: str, steps: int = 7) -> str:
+def newton_cox(source: str, steps: int = 7, by: str = "") -> str:
     """One binary covariate, Efron ties: Newton steps as chained CTEs ending in ``fit``."""
-    sums = f"""ct AS (SELECT time, count(CASE WHEN arm = 1 THEN 1 END) AS m1, count(CASE WHEN arm = 0 THEN 1 END) AS m0,
-            sum(CASE WHEN arm = 1 THEN event ELSE 0 END) AS d1, sum(CASE WHEN arm = 0 THEN event ELSE 0 END) AS d0 FROM {source} GROUP BY time),
-        rk AS (SELECT *, sum(m1) OVER (ORDER BY time DESC) AS n1, sum(m0) OVER (ORDER BY time DESC) AS n0 FROM ct),
-        ties AS (SELECT d1, d0, CAST(n1 AS DOUBLE) AS n1, CAST(n0 AS DOUBLE) AS n0, l, l / CAST(d1 + d0 AS DOUBLE) AS f
+    b, part, join = (f"{by}, ", f"PARTITION BY {by} ", f"USING ({by})") if by else ("", "", "ON true")
+    sums = f"""ct AS (SELECT {b}time, count(CASE WHEN arm = 1 THEN 1 END) AS m1, count(CASE WHEN arm = 0 THEN 1 END) AS m0,
+            sum(CASE WHEN arm = 1 THEN event ELSE 0 END) AS d1, sum(CASE WHEN arm = 0 THEN event ELSE 0 END) AS d0 FROM {source} GROUP BY {b}time),
+        rk AS (SELECT *, sum(m1) OVER ({part}ORDER BY time DESC) AS n1, sum(m0) OVER ({part}ORDER BY time DESC) AS n0 FROM ct),
+        ties AS (SELECT {b}d1, d0, CAST(n1 AS DOUBLE) AS n1, CAST(n0 AS DOUBLE) AS n0, l, l / CAST(d1 + d0 AS DOUBLE) AS f
                  FROM rk, LATERAL (SELECT unnest(range(CAST(d1 + d0 AS BIGINT))) AS l)),
-        b0 AS (SELECT CAST(0 AS DOUBLE) AS b)"""
+        size AS (SELECT {b}CAST(sum(m1 + m0) AS BIGINT) AS n, CAST(sum(d1 + d0) AS BIGINT) AS events FROM ct {f'GROUP BY {by}' if by else ''}),
+        b0 AS (SELECT {b}CAST(0 AS DOUBLE) AS b FROM size)"""
     for i in range(steps):
         share = "(exp(b) * (n1 - f * d1) / (n0 - f * d0 + exp(b) * (n1 - f * d1)))"
-        sums += f""", s{i} AS (SELECT b, sum(CASE WHEN l = 0 THEN d1 ELSE 0 END) - sum({share}) AS u, sum({share} * (1 - {share})) AS i,
-              sum(CASE WHEN l = 0 THEN d1 * b ELSE 0 END) - sum(ln(n0 - f * d0 + exp(b) * (n1 - f * d1))) AS ll FROM ties, b{i} GROUP BY b),
-            b{i + 1} AS (SELECT b + u / i AS b FROM s{i})"""
-    return sums + f", fit AS (SELECT b, 1 / sqrt(i) AS se, ll, (SELECT ll FROM s0) AS ll0 FROM s{steps - 1})"
+        sums += f""", s{i} AS (SELECT {b}b, sum(CASE WHEN l = 0 THEN d1 ELSE 0 END) - sum({share}) AS u, sum({share} * (1 - {share})) AS i,
+              sum(CASE WHEN l = 0 THEN d1 * b ELSE 0 END) - sum(ln(n0 - f * d0 + exp(b) * (n1 - f * d1))) AS ll FROM ties JOIN b{i} {join} GROUP BY {b}b),
+            b{i + 1} AS (SELECT {b}b + u / i AS b FROM s{i})"""
+    return sums + f", fit AS (SELECT {b.replace(by, 'z.' + by) if by else ''}z.b, 1 / sqrt(z.i) AS se, z.ll, y.ll AS ll0, n, events FROM s{steps - 1} z JOIN s0 y {join} JOIN size {join})"
 
 
 COX_COLS = digits("estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high") | digits("loglik", "loglik_null", places=3)
+COX_END = ", n, events, false AS diverging, true AS converged FROM fit"
 COX_SELECT = f"""SELECT 'arm' AS term, b AS estimate, se AS std_error, b / se AS z, {m.normal_p('(b / se)')} AS p, exp(b) AS hr,
     exp(b - 1.959963984540054 * se) AS hr_low, exp(b + 1.959963984540054 * se) AS hr_high, ll AS loglik, ll0 AS loglik_null FROM fit"""
 E["cox_one_covariate"] = Entry(
@@ -141,7 +166,7 @@ E["cox_distributed_steps"] = Entry(
 )
 
 
-def newton_cox_two(steps: int = 8) -> str:
+def newton_cox_two(steps: int = 8, source: str = "survival", second: str = "M") -> str:
     """Arm and gender, Efron ties: Newton steps in two coefficients ending in ``fit``."""
     cells = [(a, g) for a in (0, 1) for g in (0, 1)]
     tag = lambda a, g: f"{a}{g}"
@@ -152,9 +177,10 @@ def newton_cox_two(steps: int = 8) -> str:
     d = " + ".join(f"d{tag(a, g)}" for a, g in cells)
     weight = {c: f"(exp(b1 * {c[0]} + b2 * {c[1]}) * (n{tag(*c)} - f * d{tag(*c)}))" for c in cells}
     total = "(" + " + ".join(weight.values()) + ")"
-    text = f"""g AS (SELECT *, CASE WHEN gender = 'M' THEN 1 ELSE 0 END AS man FROM survival WHERE gender IS NOT NULL),
+    text = f"""g AS (SELECT *, CASE WHEN gender = '{second}' THEN 1 ELSE 0 END AS man FROM {source} WHERE gender IS NOT NULL),
         ct AS (SELECT time, {counts} FROM g GROUP BY time), rk AS (SELECT *, {risk} FROM ct),
         ties AS (SELECT *, l / CAST({d} AS DOUBLE) AS f FROM rk, LATERAL (SELECT unnest(range(CAST({d} AS BIGINT))) AS l)),
+        size AS (SELECT count(*) AS n, CAST(sum(event) AS BIGINT) AS events FROM g),
         p0 AS (SELECT CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2)"""
     for i in range(steps):
         text += f""", e{i} AS (SELECT *, ({weight[(1, 0)]} + {weight[(1, 1)]}) / {total} AS ea, ({weight[(0, 1)]} + {weight[(1, 1)]}) / {total} AS eg,
@@ -163,8 +189,8 @@ def newton_cox_two(steps: int = 8) -> str:
               sum(xa * b1 + xg * b2 - lt) AS ll FROM e{i} GROUP BY b1, b2),
             p{i + 1} AS (SELECT b1 + (i22 * u1 - i12 * u2) / (i11 * i22 - i12 * i12) AS b1, b2 + (i11 * u2 - i12 * u1) / (i11 * i22 - i12 * i12) AS b2 FROM s{i})"""
     last = f"s{steps - 1}"
-    return text + f""", fit AS (SELECT 'arm' AS term, b1 AS b, sqrt(i22 / (i11 * i22 - i12 * i12)) AS se, ll, (SELECT ll FROM s0) AS ll0 FROM {last}
-        UNION ALL SELECT 'gender[M]', b2, sqrt(i11 / (i11 * i22 - i12 * i12)), ll, (SELECT ll FROM s0) FROM {last})"""
+    return text + f""", fit AS (SELECT 'arm' AS term, b1 AS b, sqrt(i22 / (i11 * i22 - i12 * i12)) AS se, ll, (SELECT ll FROM s0) AS ll0, n, events FROM {last}, size
+        UNION ALL SELECT 'gender[{second}]', b2, sqrt(i11 / (i11 * i22 - i12 * i12)), ll, (SELECT ll FROM s0), n, events FROM {last}, size)"""
 
 
 E["cox_two_covariates"] = Entry(
@@ -172,14 +198,24 @@ E["cox_two_covariates"] = Entry(
         "term", "estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high", "loglik", "loglik_null"),
     f"WITH {S}, {newton_cox_two()} {COX_SELECT.replace(chr(39) + 'arm' + chr(39) + ' AS term', 'term')}", COX_COLS,
 )
+
+
+def cox_table_sql(tables: str, second: str, adjusted: str) -> str:
+    """SQL of the model with the arm alone and of that with gender, over ``survival``."""
+    one = f"WITH {newton_cox('survival')} {COX_SELECT.replace(' FROM fit', COX_END)}"
+    two = f"WITH {newton_cox_two(second=second)} {COX_SELECT.replace(chr(39) + 'arm' + chr(39) + ' AS term', 'term').replace(' FROM fit', COX_END)}"
+    return f"WITH {tables} SELECT 'Unadjusted' AS model, * FROM ({one}) UNION ALL SELECT '{adjusted}', * FROM ({two})"
+
+
 E["cox_table_two_models"] = Entry(
     lambda s, d: append_labelled({
         "Unadjusted": cox(x.survival(s, d), time="time", event="event", terms=["arm"]),
         "Adjusted": cox(x.survival(s, d), time="time", event="event", terms=["arm", "gender"], levels=GENDER),
-    }), None, COX_COLS,
+    }).drop("steps"), cox_table_sql(S, "M", "Adjusted"), COX_COLS,
 )
 E["cox_per_stratum"] = Entry(
-    lambda s, d: cox(waits(s, d), time="time", event="event", terms=["arm"], by=["priority"]), None, COX_COLS,
+    lambda s, d: cox(waits(s, d), time="time", event="event", terms=["arm"], by=["priority"]).drop("steps"),
+    f"WITH {ORDERS}, {newton_cox('waits', by='priority')} {COX_SELECT.replace(' FROM fit', COX_END).replace('SELECT', 'SELECT priority,', 1)}", COX_COLS,
 )
 
 
@@ -207,14 +243,29 @@ E["firth_one_binary_covariate"] = Entry(
     digits("estimate", "std_error"),
 )
 FIRTH_COLS = digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", "odds_ratio", "or_low", "or_high", places=5)
+
+
+def firth_tables(source: str, tables: str, response: str, models: dict[str, list[str]]) -> str:
+    """SQL of odds ratios of several models, with their names."""
+    parts, rows = [tables], []
+    for k, (name, terms) in enumerate(models.items()):
+        known = " AND ".join([f"{response} IN (0, 1)", *[f"{t} IS NOT NULL" for t in terms]])
+        parts += m.firth_sql(source, columns=design_columns(terms, {}, intercept=True), where=known, response=response, prefix=f"f{k}")
+        rows.append(m.firth_select(f"f{k}", extra=f"'{name}' AS model, ", odds=True))
+    return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
 E["firth_odds_ratio_tables"] = Entry(
     lambda s, d: append_labelled({
         "No Covariates": odds_ratios(firth(x.binary(s, d), response="flag", terms=["arm"])),
         "With Covariates": odds_ratios(firth(x.binary(s, d), response="flag", terms=["arm", "days"])),
-    }), None, FIRTH_COLS,
+    }).drop("steps"),
+    firth_tables("binary_rows", B, "flag", {"No Covariates": ["arm"], "With Covariates": ["arm", "days"]}), FIRTH_COLS,
 )
 E["firth_per_stratum"] = Entry(
-    lambda s, d: firth(x.binary(s, d), response="flag", terms=["arm"], by=["gender"]), None,
+    lambda s, d: firth(x.binary(s, d), response="flag", terms=["arm"], by=["gender"]).drop("steps"),
+    f"WITH RECURSIVE {B}, " + ", ".join(m.firth_sql(
+        "binary_rows", columns=design_columns(["arm"], {}, intercept=True), where="arm IS NOT NULL", response="flag", by="gender")) + " " + m.firth_select(by="gender"),
     digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", places=5),
 )
 
@@ -256,68 +307,12 @@ E["mmrm_cross_products"] = Entry(
 )
 
 
-def reml_sql() -> str:
-    """Arm-only model: criterion in rho from the products per gap, minimised by a shrinking bracket."""
-    sums = ["count(*)", "sum(arm)", "sum(y)", "sum(arm * y)", "sum(y * y)",  # own: n, a, y, ay, yy
-            "sum(py)", "sum(arm * py)", "sum(y * py)", "sum(py * py)"]
-    names = ["n", "a", "sy", "ay", "yy", "py", "apy", "ypy", "pyy"]
-    cte = f"""{L}, rr AS (SELECT period - lag(period) OVER w AS gap, arm, y, coalesce(lag(y) OVER w, 0) AS py FROM long
-               WINDOW w AS (PARTITION BY user_id ORDER BY period)),
-        gp AS (SELECT coalesce(gap, 0) AS gap, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for e, n in zip(sums, names))} FROM rr GROUP BY ALL),
-        st AS (SELECT list({{'gap': gap, {', '.join(f"'{n}': {n}" for n in names)}}}) AS g, sum(n) AS total FROM gp)"""
-
-    def agg(expr_first: str, expr_next: str, rho: str) -> str:
-        r = f"pow({rho}, k.gap)"
-        nxt = expr_next.replace("{r}", r)
-        return f"list_sum(list_transform(g, lambda k: CASE WHEN k.gap = 0 THEN {expr_first} ELSE ({nxt}) / (1 - {r} * {r}) END))"
-
-    def parts(rho: str) -> dict[str, str]:
-        return {
-            "x00": agg("k.n", "k.n * (1 - 2 * {r} + {r} * {r})", rho), "x01": agg("k.a", "k.a * (1 - 2 * {r} + {r} * {r})", rho),
-            "y0": agg("k.sy", "k.sy - {r} * k.sy - {r} * k.py + {r} * {r} * k.py", rho),
-            "y1": agg("k.ay", "k.ay - {r} * k.ay - {r} * k.apy + {r} * {r} * k.apy", rho),
-            "yy": agg("k.yy", "k.yy - 2 * {r} * k.ypy + {r} * {r} * k.pyy", rho),
-            "ld": f"list_sum(list_transform(g, lambda k: CASE WHEN k.gap = 0 THEN 0 ELSE k.n * ln(1 - pow({rho}, 2 * k.gap)) END))",
-        }
-
-    def crit(rho: str) -> str:
-        q = parts(rho)
-        det = f"({q['x00']} * {q['x01']} - pow({q['x01']}, 2))"
-        b1 = f"(({q['x00']} * {q['y1']} - {q['x01']} * {q['y0']}) / {det})"
-        b0 = f"(({q['x01']} * {q['y0']} - {q['x01']} * {q['y1']}) / {det})"
-        rss = f"({q['yy']} - {b0} * {q['y0']} - {b1} * {q['y1']})"
-        return f"((total - 2) * ln({rss} / (total - 2)) + {q['ld']} + ln({det}))"
-
-    def columns(rho: str, tail: str) -> str:
-        return ", ".join(f"{e} AS {n}{tail}" for n, e in parts(rho).items())
-
-    h = 1e-3  # central differences in rho
-    ends = {"": "rho", "_m": f"(rho - {h})", "_p": f"(rho + {h})"}
-    solved = []
-    for t in ends:
-        det = f"(x00{t} * x01{t} - x01{t} * x01{t})"
-        solved.append(
-            f"{det} AS det{t}, (x01{t} * y0{t} - x01{t} * y1{t}) / {det} AS b0{t}, (x00{t} * y1{t} - x01{t} * y0{t}) / {det} AS b1{t}")
-    rss = ", ".join(f"yy{t} - b0{t} * y0{t} - b1{t} * y1{t} AS rss{t}, ld{t} + ln(det{t}) AS lg{t}, x01{t} / det{t} AS k0{t}, x00{t} / det{t} AS k1{t}" for t in ends)
-    rows = []
-    for i, term in ((0, "(Intercept)"), (1, "arm[1]")):
-        v, g1, g2 = f"(s2 * k{i})", f"k{i}", f"(s2 * (k{i}_p - k{i}_m) / {2 * h})"
-        df = f"(2 * {v} * {v} * (h11 * h22 - h12 * h12) / ({g1} * {g1} * h22 - 2 * {g1} * {g2} * h12 + {g2} * {g2} * h11))"
-        rows.append(f"SELECT '{term}' AS term, b{i} AS estimate, sqrt{v} AS std_error, {df} AS df, b{i} / sqrt{v} AS t, rho, sqrt(s2) AS sigma FROM he")
-    return f"""WITH RECURSIVE {cte},
-        search(i, lo, hi) AS (SELECT 0, CAST(-0.99 AS DOUBLE), CAST(0.99 AS DOUBLE) UNION ALL
-          SELECT i + 1, CASE WHEN {crit('(lo + (hi - lo) / 3)')} > {crit('(hi - (hi - lo) / 3)')} THEN lo + (hi - lo) / 3 ELSE lo END,
-                 CASE WHEN {crit('(lo + (hi - lo) / 3)')} > {crit('(hi - (hi - lo) / 3)')} THEN hi ELSE hi - (hi - lo) / 3 END
-          FROM search, st WHERE i < 48),
-        best AS (SELECT (lo + hi) / 2 AS rho FROM search WHERE i = 48),
-        pt AS (SELECT rho, total, {', '.join(columns(r, t) for t, r in ends.items())} FROM best, st),
-        co AS (SELECT *, {', '.join(solved)} FROM pt),
-        rs AS (SELECT *, {rss} FROM co),
-        va AS (SELECT *, rss / (total - 2) AS s2 FROM rs),
-        he AS (SELECT *, (total - 2) / (2 * s2 * s2) AS h11, -(rss_p - rss_m) / {2 * h} / (2 * s2 * s2) AS h12,
-               0.5 * ((lg_p - 2 * lg + lg_m) / {h * h} + (rss_p - 2 * rss + rss_m) / {h * h} / s2) AS h22 FROM va),
-        fitted AS ({' UNION ALL '.join(rows)})
-        SELECT *, {m.t_p('t', 'df')} AS p, estimate - {m.t_point('df')} * std_error AS ci_low, estimate + {m.t_point('df')} * std_error AS ci_high FROM fitted"""
+def reml(terms, *, by: str = "", contrasts=None) -> str:
+    """SQL of ``fit`` with the same terms."""
+    tables = m.reml_sql(
+        "long", columns=design_columns(terms, LEVELS, intercept=True), levels=LEVELS, variables=variables(terms), y="y", subject="user_id", period="period",
+        period_levels=PERIODS, by=by, contrasts=contrasts)
+    return f"WITH RECURSIVE {', '.join([L, *tables])} {m.reml_select(by=by)}"
 
 
 def fit(s, d, terms, *, by=(), contrasts=None):
@@ -325,18 +320,17 @@ def fit(s, d, terms, *, by=(), contrasts=None):
                 by=by, contrasts=contrasts)
 
 
-MM_COLS = digits("estimate", "std_error", "df", "t", "p", "ci_low", "ci_high", "std_contrast", "std_contrast_corrected", "rho",
-                 "sigma", "rms_residual", "reml_loglik", places=4)
-E["mmrm_arm_only"] = Entry(
-    lambda s, d: fit(s, d, ["arm"]).select("term", "estimate", "std_error", "df", "t", "rho", "sigma", "p", "ci_low", "ci_high"), reml_sql(),
-    digits("estimate", "std_error", "t", "rho", "sigma", "p", "ci_low", "ci_high", places=3) | digits("df", places=1),
-)
-E["mmrm_adjusted"] = Entry(lambda s, d: fit(s, d, ["arm", "period", "days", "gender"]), None, MM_COLS)
-E["mmrm_with_interaction_and_contrasts"] = Entry(
-    lambda s, d: fit(s, d, [*crossed("arm", "period"), "days", "gender"], contrasts=arm_contrasts("arm", 1, "period", PERIODS)),
-    None, MM_COLS,
-)
-E["mmrm_number_by_arm"] = Entry(
-    lambda s, d: fit(s, d, [*crossed("arm", "period"), "first_day", ("first_day", "arm"), "baseline"]), None, MM_COLS,
-)
-E["mmrm_per_stratum"] = Entry(lambda s, d: fit(s, d, ["arm", "period"], by=["gender"]), None, MM_COLS)
+MM_COLS = digits("estimate", "std_error", "t", "p", "ci_low", "ci_high", "std_contrast", "std_contrast_corrected", "rho",
+                 "sigma", "rms_residual", "reml_loglik", places=5) | digits("df", places=3)
+
+
+def repeated(terms, **more) -> Entry:
+    return Entry(lambda s, d: fit(s, d, terms, **{k: [v] if k == "by" else v for k, v in more.items()}), reml(terms, **more), MM_COLS)
+
+
+E["mmrm_arm_only"] = repeated(["arm"])
+E["mmrm_adjusted"] = repeated(["arm", "period", "days", "gender"])
+E["mmrm_with_interaction_and_contrasts"] = repeated(
+    [*crossed("arm", "period"), "days", "gender"], contrasts=arm_contrasts("arm", 1, "period", PERIODS))
+E["mmrm_number_by_arm"] = repeated([*crossed("arm", "period"), "first_day", ("first_day", "arm"), "baseline"])
+E["mmrm_per_stratum"] = repeated(["arm", "period"], by="gender")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as x
+from catalog import sqlmath
 from catalog.comparisons import SHARES, g_sql, moments, rank_sql, welch_sql
 from catalog.fixtures import Entry, digits
-from catalog.models import KM, newton_cox
-from twinarm.functions.fixed_values import VISIT_CODES
+from catalog.models import KM, MM_COLS, cox_table_sql, firth_tables, newton_cox
+from twinarm.functions.fixed_values import GENDER_LEVELS, VISIT_CODES
+from twinarm.operators.design import design_columns, variables
+from twinarm.operators.mmrm import arm_contrasts
 from twinarm.plans import ancillary, baseline, change, rare_event, repeated, time_to_event
 
 E: dict[str, Entry] = {}
@@ -20,8 +23,9 @@ STUDY = x.VISITS + """, study AS (
 PERIOD = "CASE WHEN slot = 0 THEN 1 WHEN slot <= 5 THEN 2 WHEN slot <= 11 THEN 3 WHEN slot <= 16 THEN 4 WHEN slot = 17 THEN 5 ELSE 6 END"
 NAMES = "[" + ", ".join(f"'{n}'" for n in VISIT_CODES) + "]"
 FRAME = """subjects AS (SELECT user_id, any_value(arm) AS arm, arg_min(day, event_id) FILTER (value > 150) AS days,
-    max(CASE WHEN event_type = 'signup' THEN 20 + user_id % 10 END) AS win FROM study GROUP BY user_id),
-  survival AS (SELECT * FROM (SELECT arm, CASE WHEN days IS NOT NULL THEN 1 ELSE 0 END AS event,
+    max(CASE WHEN event_type = 'signup' THEN 20 + user_id % 10 END) AS win,
+    max(CASE WHEN event_type = 'signup' THEN CASE WHEN user_id % 3 = 0 THEN 'Female' ELSE 'Male' END END) AS gender FROM study GROUP BY user_id),
+  survival AS (SELECT * FROM (SELECT arm, gender, CASE WHEN days IS NOT NULL THEN 1 ELSE 0 END AS event,
     CAST(CASE WHEN user_id % 7 = 0 THEN win + 180 ELSE days + 1 END AS DOUBLE) AS time FROM subjects) WHERE time IS NOT NULL)"""
 ITEM = {"Cred": "event_type IN ('view', 'click', 'error')", "Exp": "event_type IN ('signup', 'purchase', 'view')"}
 ARMS = ["Active", "Control"]
@@ -29,13 +33,53 @@ ORDER = {"order_by": ["event_id"]}
 CODED = {**ORDER, "arm_codes": x.ARM_CODES}
 SUMMARY = digits("percent", "median", "q1", "q3", places=4)
 
+
+
+def _said(kind: str, value: str) -> str:
+    """What a visit column that events of one kind fill holds for a subject: it is the same on all of them."""
+    return f"CASE WHEN bool_or(event_type = '{kind}') THEN {value} END"
+
+
+def _picked(options: list[str], step: int) -> str:
+    """The label that ``fixtures._pick`` takes, NULL where it has no group (None)."""
+    listed = ", ".join("NULL" if o is None else "'" + o.replace("'", "''") + "'" for o in options)
+    return f"([{listed}])[(user_id * {step} + user_id // 7) % {len(options)} + 1]"
+
+
+DEMOGRAPHICS = f"""study_people AS (SELECT user_id, CASE WHEN user_id % 2 = 1 THEN 'Active' ELSE 'Control' END AS arm,
+    {_said('signup', "CASE WHEN user_id % 3 = 0 THEN 'Female' ELSE 'Male' END")} AS gender, {_said('click', "CASE WHEN user_id % 5 < 2 THEN 'White' END")} AS race,
+    CAST(20 + user_id % 45 AS DOUBLE) AS age, {_said('view', _picked(['Heterosexual', 'Gay', 'Bisexual', 'Heterosexual', 'Pansexual', 'Asexual'], 7))} AS orientation,
+    {_said('view', _picked(['Single, never married', 'Divorced or Separated', 'Married', 'Widowed'], 11))} AS marital,
+    {_said('error', _picked(['Employed', 'Unemployed', 'Retired or disabled', 'Homemaker', 'Student'], 13))} AS employment,
+    {_said('error', _picked(['Less than $10,000', '$11,000 - $20,000', '$21,000 - $30,000', '$31,000 - $40,000'], 3))} AS income,
+    coalesce({_said('click', 'CASE WHEN user_id % 4 <> 0 THEN ' + _picked(['High school degree', "Associate's degree/vocational training", "Bachelor's degree"], 5) + ' END')},
+      CASE WHEN 10 + user_id % 8 < 12 THEN 'Less than a high school degree' WHEN 10 + user_id % 8 = 12 THEN 'High school degree'
+        WHEN 10 + user_id % 8 < 16 THEN 'Associate''s degree/vocational training' ELSE 'Bachelor''s degree' END) AS education,
+    {_said('purchase', _picked(['Stable housing', 'Stable housing', 'Experiencing homelessness'], 17))} AS housing,
+    {_said('signup', "CASE WHEN user_id % 9 = 0 THEN 'Yes' ELSE 'No' END")} AS veteran FROM study GROUP BY user_id)"""
+# The first row of the intake visit decides the numbers of use; the other answers are those of any visit.
+_FIRST = "arg_min({0}, event_id) FILTER (slot = 0)"
+_PCT = _FIRST.format("pct")
+_YES = "CASE WHEN {0} THEN 'Yes' ELSE 'No' END"
+HISTORY = f"""study_history AS (SELECT * FROM (SELECT user_id, CASE WHEN user_id % 2 = 1 THEN 'Active' ELSE 'Control' END AS arm,
+    CASE WHEN {_FIRST.format("CASE WHEN event_type = 'click' THEN value ELSE 0 END")} > 0 THEN 'Smoking' WHEN {_FIRST.format("CASE WHEN event_type = 'view' THEN value ELSE 0 END")} > 0 THEN 'Snorting' END AS route,
+    {_said('signup', 'CAST(15 + user_id % 12 AS DOUBLE)')} AS age_first_use, {_said('click', 'CAST(18 + user_id % 15 AS DOUBLE)')} AS age_regular_use,
+    {_said('view', 'CASE WHEN user_id % 10 <> 0 THEN CAST(user_id % 6 AS DOUBLE) END')} AS quit_attempts, {_said('error', _picked(['Yes', 'No', 'Yes', 'No'], 1))} AS treatment,
+    {_said('purchase', 'CAST(user_id % 200 AS DOUBLE)')} AS quit_longest, {_YES.format(f'{_PCT} > 50')} AS tobacco_daily, {_YES.format(f'{_PCT} > 30')} AS any_heavy_drinking,
+    CASE WHEN {_PCT} > 30 THEN {_PCT} END AS heavy_drinking_pct, {_YES.format(f'{_PCT} > 60')} AS any_cannabis, CASE WHEN {_PCT} > 60 THEN {_PCT} END AS cannabis_pct,
+    {_YES.format(f'{_PCT} > 90')} AS any_depressant, {_YES.format(f'{_PCT} > 80')} AS any_stimulant, {_YES.format(f'{_PCT} > 95')} AS any_opioid, {_YES.format(f'{_PCT} > 97')} AS any_heroin,
+    CASE WHEN user_id IN (3, 8) THEN 'Yes' ELSE 'No' END AS prior_hallucinogen, bool_or(slot = 0) AS came FROM study GROUP BY user_id) WHERE came)"""
 E["study_demographics_table"] = Entry(
     lambda s, d: baseline.demographic_table(baseline.demographics(x.study_visits(s, d), arms=ARMS, **ORDER), arms=ARMS),
-    None, {**SUMMARY, **digits("p", places=2)},
+    f"""WITH RECURSIVE {STUDY}, {DEMOGRAPHICS}, {', '.join(sqlmath.summary_sql(
+        'study_people', baseline.demographic_variables(), arm='arm', arms=ARMS, tests=True, rank_sql=rank_sql))} SELECT * FROM summary""",
+    {**SUMMARY, **digits("p", places=6)},
 )
 E["study_use_history_table"] = Entry(
     lambda s, d: baseline.use_history_table(baseline.use_history(x.study_visits(s, d), arms=ARMS, prior_use=[1003, 1008], **ORDER), arms=ARMS),
-    None, SUMMARY,
+    f"""WITH RECURSIVE {STUDY}, {HISTORY}, {', '.join(sqlmath.summary_sql(
+        'study_history', baseline.use_history_variables(), arm='arm', arms=ARMS, interval='%s (%s-%s)'))} SELECT * FROM summary""",
+    SUMMARY,
 )
 
 
@@ -56,11 +100,27 @@ E["study_period_tests"] = Entry(
         {welch_sql('o', 'y', 'period')} SELECT * FROM w""",
     digits("mean1", "mean0", "difference", "se", "t", "df", "p", "ci_low", "ci_high"),
 )
-E["study_repeated_models"] = Entry(
-    lambda s, d: repeated.fit_models(analysis_rows(s, d)), None,
-    digits("estimate", "std_error", "df", "t", "p", "ci_low", "ci_high", "std_contrast", "std_contrast_corrected", "rho", "sigma",
-           "rms_residual", "reml_loglik", places=4),
-)
+ANALYSIS = f"""people AS (SELECT user_id, any_value(arm) AS arm, CASE WHEN bool_or(event_type = 'signup') THEN CASE WHEN user_id % 3 = 0 THEN 'Female' ELSE 'Male' END END AS gender,
+    CASE WHEN bool_or(event_type = 'click') THEN CAST(30 + user_id % 20 AS DOUBLE) END AS days, max(CASE WHEN slot = 0 THEN pct END) AS baseline,
+    user_id % 400 - (SELECT min(user_id % 400) FROM study) + 1 AS study_day FROM study GROUP BY user_id),
+  uncentred AS (SELECT user_id, {PERIOD} AS period, max(pct) AS y FROM study GROUP BY ALL),
+  analysis AS (SELECT *, study_day - avg(study_day) OVER () AS study_day_c FROM uncentred JOIN people USING (user_id))"""
+
+
+def repeated_sql() -> str:
+    """Every model of the plan over the analysis rows."""
+    tables, rows = [], []
+    for k, (name, spec) in enumerate(repeated.model_specs().items()):
+        levels = {"arm": [0, 1], "period": list(spec["periods"]), "gender": list(GENDER_LEVELS)}
+        contrasts = arm_contrasts("arm", 1, "period", levels["period"]) if ("arm", "period") in spec["terms"] else None
+        tables += sqlmath.reml_sql(
+            "analysis", columns=design_columns(spec["terms"], levels, intercept=True), levels=levels, variables=variables(spec["terms"]), y="y",
+            subject="user_id", period="period", period_levels=levels["period"], contrasts=contrasts, prefix=f"f{k}_")
+        rows.append(sqlmath.reml_select(f"f{k}_", extra=f"'{name}' AS model, "))
+    return f"WITH RECURSIVE {', '.join([STUDY, ANALYSIS, *tables])} {' UNION ALL '.join(rows)}"
+
+
+E["study_repeated_models"] = Entry(lambda s, d: repeated.fit_models(analysis_rows(s, d)), repeated_sql(), MM_COLS)
 
 
 def survival_people(s, d):
@@ -77,11 +137,15 @@ E["study_hazard_ratio"] = Entry(
     digits("hr", "hr_low", "hr_high"),
 )
 E["study_cox_table"] = Entry(
-    lambda s, d: time_to_event.cox_table(survival_people(s, d), genders=["Male", "Female"]), None,
+    lambda s, d: time_to_event.cox_table(survival_people(s, d), genders=["Male", "Female"]).drop("steps"),
+    cox_table_sql(f"{STUDY}, {FRAME}", "Female", "Adjusted for Gender"),
     digits("estimate", "std_error", "z", "p", "hr", "hr_low", "hr_high", "loglik", "loglik_null"),
 )
 E["study_penalised_models"] = Entry(
-    lambda s, d: rare_event.penalised_models(rare_event.binary_frame(x.study_visits(s, d), **CODED)), None,
+    lambda s, d: rare_event.penalised_models(rare_event.binary_frame(x.study_visits(s, d), **CODED)).drop("steps"),
+    firth_tables("rare", f"""{STUDY}, rare AS (SELECT user_id, any_value(arm) AS arm, CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS status,
+        max(CASE WHEN event_type = 'signup' THEN CAST(20 + user_id % 10 AS DOUBLE) END) AS Integration FROM study GROUP BY user_id)""",
+        "status", {"No Covariates": ["arm"], "With Covariates": ["arm", "Integration"]}),
     digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", "odds_ratio", "or_low", "or_high", places=5),
 )
 E["study_change_waterfall"] = Entry(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinarm.functions import columns as c
 from twinarm.functions import fixed_values as v
 from twinarm.functions import tails
-from twinarm.functions.hypergeometric import Table, log_choose, log_table, tail_given_first
+from twinarm.functions.hypergeometric import Network, Table, log_binomial
 from twinarm.functions.normal import normal_quantile
 from twinarm.functions.rank_exact import exact_rank_p, rank_sum_counts
 
@@ -114,22 +114,58 @@ def test_large_table_far_from_centre():
     assert Table(500_300, 10**6, 10**6, 10**6).two_sided_p() == pytest.approx(0.3969316, abs=1e-6)
 
 
-def test_tables_listed_against_counting():
+def test_tables_of_any_count():
+    """Counts of 1e10: the normal limit, a symmetric interval, and blocks of bounded size."""
+    n = 10**10
+    t = Table(n // 4 + 50_000, n // 2, n // 2, n // 2)
+    sd = math.sqrt(n / 16)
+    assert t.two_sided_p() == pytest.approx(math.erfc((50_000 - 0.5) / sd / math.sqrt(2)), rel=1e-4)
+    estimate, low, high = Table(n // 4, n // 2, n // 2, n // 2).odds_ratio()
+    assert estimate == pytest.approx(1.0, abs=1e-9) and low * high == pytest.approx(1.0, abs=1e-8)
+    assert math.log(high) == pytest.approx(1.959964 * math.sqrt(16 / n), rel=1e-3)
+    assert all(len(points) <= 8192 for points, _ in t.blocks(t.mode(0.0), 0.0, 1))
+
+
+def test_binomial_probabilities():
+    for n in (1, 2, 17, 40):
+        for share in (0.03, 0.5, 0.9):
+            want = [math.log(math.comb(n, k)) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(n + 1)]
+            assert np.allclose(log_binomial(n, np.arange(n + 1), share), want, rtol=1e-12, atol=1e-12)
+    assert log_binomial(5, [-1, 6], 0.5).tolist() == [-math.inf, -math.inf]
+
+
+def test_network_against_counting():
+    """Paths through the levels, extended and merged, give the sum over all tables listed."""
     from itertools import product
 
     rng = np.random.default_rng(3)
-    for _ in range(25):
-        rows = np.sort(rng.integers(1, 8, rng.integers(2, 6)))
+    for _ in range(40):
+        rows = np.sort(rng.integers(1, 9, rng.integers(2, 6)))
         seen = np.array([rng.integers(0, r + 1) for r in rows])
         column, total = int(seen.sum()), int(rows.sum())
+        if column in (0, total):
+            continue
         ways = lambda cells: math.prod(math.comb(int(r), int(k)) for r, k in zip(rows, cells))
         limit = ways(seen) * (1 + 1e-9)
         expected = sum(
             w for cells in product(*[range(r + 1) for r in rows]) if sum(cells) == column and (w := ways(cells)) <= limit
         ) / math.comb(total, column)
-        here = float(log_table(rows, seen) - log_choose(total, column))
-        found = sum(tail_given_first(rows, column, first, here) for first in range(min(rows[0], column) + 1))
-        assert found == pytest.approx(expected, abs=1e-10)
+        share = column / total
+        net = Network(rows, share, float(log_binomial(rows, seen, share).sum()) + 1e-7)
+        paths, found = {(float(column), 0.0): 1}, 0.0
+        for place in range(len(rows) - 1):
+            left, lp = (np.array(c) for c in zip(*paths)) if paths else (np.zeros(0), np.zeros(0))
+            times = np.array(list(paths.values()), float)
+            first, last = net.inner(place, left, lp)
+            found += float((times * np.exp(lp) * net.outer(place, left, first, last)).sum())
+            fresh: dict = {}
+            for m, p, k, a, b in zip(left, lp, times, first, last):
+                for x in np.arange(a, b + 1):
+                    step = p + float(log_binomial(rows[place], x, share))
+                    if step + net.shortest(place + 1, m - x) <= net.most:
+                        fresh[m - x, round(step, 9)] = fresh.get((m - x, round(step, 9)), 0) + k
+            paths = fresh
+        assert found / math.exp(float(log_binomial(total, column, share))) == pytest.approx(expected, abs=1e-8)
 
 
 def test_rank_sum_distribution():

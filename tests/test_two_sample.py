@@ -114,8 +114,28 @@ def test_method_is_the_one_asked_for(spark, rows):
     counted = spark.createDataFrame([("a", 0, 1_000_000), ("a", 1, 1_010_000), ("b", 0, 1_020_000), ("b", 1, 1_000_000)], "level string, arm int, n long")
     (two,) = rows(exact.fisher_levels(counted, level="level", arm="arm", weight="n"))
     assert two["method"] == "exact" and 0 < two["p"] < 1e-20
-    with pytest.raises(Exception, match="too many combinations"):
-        exact.fisher_levels(df, level="level", arm="arm", most_work=10).collect()
+
+
+def test_network_of_levels(spark, rows):
+    """Many levels, levels without rows of an arm, equal levels whose paths merge, several strata, large counts near the limit distribution."""
+    rng = np.random.default_rng(8)
+    cells, want = [], {}
+    for stratum, sizes in enumerate([(3, 3, 3, 3, 3, 3), (1, 2, 5, 9), (4, 4), (6, 1, 1, 1, 1, 1, 1, 1)]):
+        ones = [int(rng.integers(0, n + 1)) for n in sizes]
+        ones[0] = max(1, min(sizes[0] - 1, ones[0])) if sizes[0] > 1 else ones[0]
+        cells += [(stratum, f"l{k}", a, n) for k, (total, one) in enumerate(zip(sizes, ones)) for a, n in ((1, one), (0, total - one))]
+        ways = {(): 1}
+        for total in sizes:
+            ways = {(*k, c): w * math.comb(total, c) for k, w in ways.items() for c in range(total + 1)}
+        seen = math.prod(math.comb(t, o) for t, o in zip(sizes, ones))
+        want[stratum] = sum(w for k, w in ways.items() if sum(k) == sum(ones) and w <= seen * (1 + 1e-9)) / math.comb(sum(sizes), sum(ones))
+    df = spark.createDataFrame(cells, "stratum int, level string, arm int, n long")
+    found = rows(exact.fisher_levels(df, level="level", arm="arm", by=["stratum"], weight="n"), "stratum")
+    assert [r["p"] for r in found] == [pytest.approx(want[i], abs=1e-10) for i in range(4)]
+    large = spark.createDataFrame([(k, a, 40_000 + 150 * ((k + a) % 2)) for k in range(4) for a in (0, 1)], "level int, arm int, n long")
+    (big,) = rows(exact.fisher_levels(large, level="level", arm="arm", weight="n"))
+    (limit,) = rows(exact.fisher_levels(large, level="level", arm="arm", weight="n", method="chi_square"))
+    assert big["p"] == pytest.approx(limit["p"], rel=1e-3)
 
 
 def test_summary_table_shows_every_cell(spark, rows):

@@ -1,30 +1,57 @@
-"""Hypergeometric helpers for exact tests on one small table of counts."""
+"""Hypergeometric sums for exact tests, in memory that does not grow with the counts.
+
+Sums over a support are walked outwards from the most likely point in blocks of fixed
+size until what follows is beyond double precision; so a table of 1e10 subjects costs some
+million terms, a block at a time. Probabilities of a level's count are those of a
+binomial with the common share, in the saddle-point form, which keeps its digits at
+any count.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 SLACK = 1e-7  # relative slack when comparing table probabilities
-GRID = 500_000.0  # combinations listed at once
+BLOCK = 8192
+REACH = 45.0  # terms below exp(-REACH) of the largest are beyond the precision of a sum
+_SMALL = np.array([0.0] + [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 17)])
 
 
-def log_factorial(n) -> np.ndarray:
-    """ln n! for whole numbers, by Stirling's series above 16."""
-    n = np.asarray(n, float)
-    big = np.maximum(n, 16.0) + 1.0
-    series = (big - 0.5) * np.log(big) - big + 0.5 * math.log(2 * math.pi)
+def stirling_error(n: np.ndarray) -> np.ndarray:
+    """ln n! minus Stirling's formula."""
+    big = np.maximum(n, 16.0)
     inv = 1.0 / big
     sq = inv * inv
-    series += inv * (1 / 12 - sq * (1 / 360 - sq * (1 / 1260 - sq * (1 / 1680 - sq / 1188))))
-    small = np.array([math.lgamma(i + 1) for i in range(17)])
-    return np.where(n <= 16, small[np.clip(n, 0, 16).astype(int)], series)
-
-
-def log_choose(n, k) -> np.ndarray:
-    return log_factorial(n) - log_factorial(k) - log_factorial(np.asarray(n, float) - k)
+    series = inv * (1 / 12 - sq * (1 / 360 - sq * (1 / 1260 - sq * (1 / 1680 - sq / 1188))))
+    return np.where(n <= 16, _SMALL[np.clip(n, 0, 16).astype(int)], series)
+
+
+def deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x ln(x / mean) + mean - x, by a series where the two are close."""
+    v = (x - mean) / (x + mean)
+    near = np.abs(v) < 0.1
+    w = np.where(near, v, 0.0)
+    total, term = (x - mean) * w, 2 * x * w
+    for j in range(1, 12):
+        term = term * w * w
+        total = total + term / (2 * j + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = np.where(x > 0, x * np.log(x / mean), 0.0) + mean - x
+    return np.where(near, total, plain)
+
+
+def log_binomial(n, x, share) -> np.ndarray:
+    """ln of the binomial probability of ``x`` of ``n`` with a share strictly between 0 and 1; -inf outside the support."""
+    n, x, share = np.broadcast_arrays(*(np.asarray(a, float) for a in (n, x, share)))
+    inside = (x > 0) & (x < n)
+    m, k = np.where(inside, n, 2.0), np.where(inside, x, 1.0)
+    body = (stirling_error(m) - stirling_error(k) - stirling_error(m - k) - deviance(k, m * share) - deviance(m - k, m * (1 - share))
+            + 0.5 * np.log(m / (2 * math.pi * k * (m - k))))
+    ends = np.where(x == 0, n * np.log1p(-share), np.where(x == n, n * np.log(share), -np.inf))
+    return np.where(inside, body, ends)
 
 
 class Table:
@@ -53,162 +80,206 @@ class Table:
                 b = mid
         return a
 
-    def distribution(self, log_odds: float = 0.0, reach: float = 60.0):
-        """Support points around the mode and ln P relative to the mode.
-
-        Points whose probability is below exp(-reach) of the mode's are left
-        out: they are beyond double precision of any sum.
-        """
-        centre = self.mode(log_odds)
-        up = self._walk(centre, log_odds, reach, 1)
-        down = self._walk(centre, log_odds, reach, -1)
-        xs = np.concatenate([np.arange(centre - len(down), centre), [centre], np.arange(centre + 1, centre + 1 + len(up))])
-        return xs, np.concatenate([down[::-1], [0.0], up])
-
-    def _walk(self, start: int, log_odds: float, reach: float, step: int) -> np.ndarray:
-        pieces, total, width, at = [], 0.0, 256, start
-        end = self.high if step > 0 else self.low
+    def blocks(self, start: int, log_odds: float, step: int, reach: float = REACH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Points beyond ``start`` on one side, a block at a time, with ln P relative to that at ``start``, down to -reach."""
+        total, at, end = 0.0, start, self.high if step > 0 else self.low
         while at != end and total > -reach:
-            count = min(width, abs(end - at))
+            count = min(BLOCK, abs(end - at))
             if step > 0:
-                terms = self.log_ratio(np.arange(at, at + count), log_odds)
+                terms, points = self.log_ratio(np.arange(at, at + count), log_odds), np.arange(at + 1, at + count + 1)
             else:
-                terms = -self.log_ratio(np.arange(at - 1, at - count - 1, -1), log_odds)
-            piece = total + np.cumsum(terms)
-            pieces.append(piece)
-            total, at, width = piece[-1], at + step * count, width * 2
-        return np.concatenate(pieces) if pieces else np.zeros(0)
+                points = np.arange(at - 1, at - count - 1, -1)
+                terms = -self.log_ratio(points, log_odds)
+            lp = total + np.cumsum(terms)
+            yield points, lp
+            total, at = float(lp[-1]), at + step * count
+
+    def moments(self, log_odds: float) -> tuple[float, float, tuple[float, float], tuple[float, float]]:
+        """Mean and variance, then probability and mean of the points up to x and of those from x on."""
+        centre = self.mode(log_odds)
+        sums = np.zeros((3, 3))  # all, up to x, from x on: weight, distance from the mode, its square
+
+        def add(points: np.ndarray, weight: np.ndarray) -> None:
+            apart = (points - centre).astype(float)
+            for row, chosen in enumerate((slice(None), points <= self.x, points >= self.x)):
+                w, d = weight[chosen], apart[chosen]
+                sums[row] += w.sum(), w @ d, w @ (d * d)
+
+        add(np.array([centre]), np.ones(1))
+        for step in (1, -1):
+            for points, lp in self.blocks(centre, log_odds, step):
+                add(points, np.exp(lp))
+        weight, first, second = sums[0]
+        sides = tuple((float(row[0] / weight), float(centre + row[1] / row[0]) if row[0] > 0 else math.nan) for row in sums[1:])
+        return float(centre + first / weight), float(second / weight - (first / weight) ** 2), sides[0], sides[1]
 
     def two_sided_p(self) -> float:
         """Sum of the probabilities of all tables no likelier than this one."""
-        xs, lp = self.distribution()
-        if not xs[0] <= self.x <= xs[-1]:
-            return self._far_p(xs, lp)
-        here = lp[self.x - xs[0]]
-        p = np.exp(lp)
-        return float(min(1.0, p[lp <= here + SLACK].sum() / p.sum()))
-
-    def _far_p(self, xs, lp) -> float:
-        """p of a table beyond the points kept: the tail from it outwards, both sides."""
-        step = 1 if self.x > xs[-1] else -1
-        edge = xs[-1] if step > 0 else xs[0]
-        at_edge = lp[-1] if step > 0 else lp[0]
-        between = np.arange(edge, self.x) if step > 0 else np.arange(self.x, edge)
-        here = at_edge + step * self.log_ratio(between).sum()
-        if here < -745:
-            return 0.0
-        outward = self._walk(self.x, 0.0, 60.0, step)
-        tail = math.exp(here) * (1.0 + np.exp(outward).sum())
-        other = self._walk(self.mode(0.0), 0.0, -here + 60.0, -step)
-        tail += np.exp(other[other <= here + SLACK]).sum()
-        return float(tail / np.exp(lp).sum())
+        centre = self.mode(0.0)
+        here = 0.0
+        if self.x != centre:
+            step = 1 if self.x > centre else -1
+            for points, lp in self.blocks(centre, 0.0, step, 800.0):
+                if step * int(points[-1]) >= step * self.x:
+                    here = float(lp[abs(self.x - int(points[0]))])
+                    break
+            else:
+                return 0.0  # less likely than the smallest double
+        total, found = 1.0, 1.0 if here >= -SLACK else 0.0
+        for step in (1, -1):
+            for points, lp in self.blocks(centre, 0.0, step, REACH - here):
+                weight = np.exp(lp)
+                total += weight.sum()
+                found += weight[lp <= here + SLACK].sum()
+        return float(min(1.0, found / total))
 
     def mean(self, log_odds: float) -> float:
-        xs, lp = self.distribution(log_odds)
-        w = np.exp(lp)
-        return float((xs * w).sum() / w.sum())
+        return self.moments(log_odds)[0]
 
     def tail(self, log_odds: float, upper: bool) -> float:
-        xs, lp = self.distribution(log_odds)
-        w = np.exp(lp)
-        side = xs >= self.x if upper else xs <= self.x
-        return float(w[side].sum() / w.sum())
+        return self.moments(log_odds)[3 if upper else 2][0]
 
     def odds_ratio(self, level: float = 0.95) -> tuple[float, float, float]:
-        """Conditional maximum likelihood odds ratio and its exact interval."""
+        """Conditional maximum likelihood odds ratio and its exact interval, by root searches in the log of the odds."""
         if self.low == self.high:
             return float("nan"), 0.0, float("inf")
-        alpha = (1 - level) / 2
+        goal = math.log((1 - level) / 2)
         at_low, at_high = self.x == self.low, self.x == self.high
-        estimate = 0.0 if at_low else float("inf") if at_high else math.exp(_root(lambda t: self.mean(t) - self.x))
-        lower = 0.0 if at_low else math.exp(_root(lambda t: self.tail(t, True) - alpha))
-        upper = float("inf") if at_high else math.exp(_root(lambda t: alpha - self.tail(t, False)))
-        return estimate, lower, upper
-
-
-def _root(rising) -> float:
-    """Root of a rising function of the log odds, by bracketing and bisection."""
-    low, high = -1.0, 1.0
-    while rising(low) > 0 and low > -700:
-        low *= 2
-    while rising(high) < 0 and high < 700:
-        high *= 2
-    for _ in range(200):
-        mid = 0.5 * (low + high)
-        if high - low <= 1e-14 * max(1.0, abs(mid)):
-            break
-        if rising(mid) < 0:
-            low = mid
-        else:
-            high = mid
-    return 0.5 * (low + high)
-
-
-def log_table(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """ln of the product of C(row total, count), over the last axis."""
-    return log_choose(rows, counts).sum(axis=-1)
-
-
-@lru_cache(maxsize=64)
-def _row(total: int) -> np.ndarray:
-    return log_choose(total, np.arange(total + 1))
-
-
-@lru_cache(maxsize=4096)
-def _last_two(a: int, b: int, left: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ln P of every split of ``left`` over the last two rows, and sums of P up to each."""
-    low, high = max(0, left - b), min(a, left)
-    if low > high:
-        return np.zeros(0), np.zeros(1)
-    lp = np.sort(_row(a)[low : high + 1] + _row(b)[left - high : left - low + 1][::-1])
-    top = lp[-1]
-    return lp, np.concatenate([[0.0], np.cumsum(np.exp(lp - top))])
 
+        def centre(t: float) -> tuple[float, float]:
+            mean, variance, _, _ = self.moments(t)
+            return mean - self.x, variance
+
+        def side(t: float, upper: bool) -> tuple[float, float]:
+            """ln of a tail minus its goal, rising in t, and its slope: the mean there minus that of all."""
+            mean, _, below, above = self.moments(t)
+            p, inside = above if upper else below
+            if p <= 0:
+                return (-math.inf, math.nan) if upper else (math.inf, math.nan)
+            return (math.log(p) - goal, inside - mean) if upper else (goal - math.log(p), mean - inside)
+
+        inner = min(max(self.x, self.low + 0.5), self.high - 0.5)
+        start = math.log(inner * (self.n - self.k + inner) / ((self.m - inner) * (self.k - inner)))
+        width = 1 / math.sqrt(max(self.moments(start)[1], 1e-6))
+        middle = start if at_low or at_high else root(centre, start, width)
+        estimate = 0.0 if at_low else float("inf") if at_high else math.exp(middle)
+        lower = 0.0 if at_low else math.exp(root(lambda t: side(t, True), middle - 2 * width, width))
+        upper = float("inf") if at_high else math.exp(root(lambda t: side(t, False), middle + 2 * width, width))
+        return estimate, lower, upper
 
-def tail_given_first(rows: np.ndarray, column: int, first: int, log_p: float) -> float:
-    """Probability of all tables whose first row holds ``first``, counting those with ln P <= ``log_p``.
 
-    ``rows`` are the row totals, ``column`` the total of the counted column. Rows
-    between are listed, the last two are looked up in a sorted list of their splits.
+def root(rising, start: float, width: float) -> float:
+    """Root of a rising function that gives its value and slope: a bracket that doubles, then Newton's steps inside it."""
+    low = high = start
+    value, slope = rising(start)
+    step = width
+    while (value > 0 if low == high else rising(low)[0] > 0) and low > -700:
+        low, step = low - step, step * 2
+    step = width
+    while (value < 0 if low == high else rising(high)[0] < 0) and high < 700:
+        high, step = high + step, step * 2
+    at = start if low < start < high else 0.5 * (low + high)
+    for _ in range(100):
+        value, slope = rising(at)
+        if value == 0:
+            return at
+        low, high = (at, high) if value < 0 else (low, at)
+        new = at - value / slope if slope > 0 else math.nan
+        if not low < new < high:
+            new = 0.5 * (low + high)
+        if abs(new - at) <= 1e-14 * max(1.0, abs(at)) or high - low <= 1e-14 * max(1.0, abs(at)):
+            return new
+        at = new
+    return at
+
+
+class Network:
+    """Tables with given level totals and a given total of one column, level by level.
+
+    A node is the number of levels passed and what is left of the column; a path to it
+    has the log probability of the counts passed. The longest path on from a node is
+    bounded by the dual of the best split of what is left over the other levels: where
+    even that is no likelier than the observed table, all tables beyond count and their
+    probabilities add up in closed form. The shortest path on is that of full and empty
+    levels: where even that is too likely, no table beyond counts.
     """
-    totals = [int(r) for r in rows]
-    if first > totals[0]:
-        return 0.0
-    start = float(_row(totals[0])[first] - log_choose(sum(totals), column))
-    return _tail(totals[1:], column - first, start, log_p)
-
-
-def _tail(rows: list[int], left: int, so_far: float, log_p: float) -> float:
-    if left < 0 or left > sum(rows):
-        return 0.0
-    if len(rows) == 1:
-        lp = so_far + float(_row(rows[0])[left])
-        return math.exp(lp) if lp <= log_p + SLACK else 0.0
-    middle = rows[:-2]
-    if np.prod([r + 1.0 for r in middle]) > GRID:
-        here = np.arange(min(rows[0], left) + 1)
-        return sum(_tail(rows[1:], left - int(x), so_far + float(_row(rows[0])[x]), log_p) for x in here)
-    taken, starts, lp = _listed(tuple(middle))
-    total = 0.0
-    for t, a, b in zip(taken, starts[:-1], starts[1:]):
-        if t > left:
-            break
-        splits, sums = _last_two(rows[-2], rows[-1], left - int(t))
-        if len(splits):
-            here = so_far + lp[a:b]
-            upto = np.searchsorted(splits, log_p + SLACK - here, side="right")
-            total += float((np.exp(here + splits[-1]) * sums[upto]).sum())
-    return total
-
-
-@lru_cache(maxsize=16)
-def _listed(rows: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every combination of counts of ``rows``: distinct sums, where each starts, ln weights sorted within."""
-    lp, taken = np.array([0.0]), np.array([0])
-    for r in rows:
-        lp = (lp[:, None] + _row(r)).ravel()
-        taken = (taken[:, None] + np.arange(r + 1)).ravel()
-    order = np.lexsort((lp, taken))
-    lp, taken = lp[order], taken[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(taken) != 0])
-    return taken[starts], np.r_[starts, len(taken)], lp
+
+    def __init__(self, rows: Sequence[int], share: float, most: float):
+        self.rows, self.share, self.most = np.asarray(rows, float), share, most
+        self.after = np.concatenate([np.cumsum(self.rows[::-1])[::-1], [0.0]])
+
+    def longest(self, place: int, left: np.ndarray) -> np.ndarray:
+        """An upper bound of the log probability of any split of ``left`` over the levels from ``place`` on, exact for one level."""
+        levels = self.rows[place:]
+        if len(levels) == 1:
+            return log_binomial(levels[0], left, self.share)
+        t = (left + 0.5) / (self.after[place] + 1)
+        with np.errstate(invalid="ignore"):
+            price = np.log((1 - t) / t) + math.log(self.share / (1 - self.share))
+        taken, total = 0.0, 0.0
+        for n in levels:
+            x = np.floor((n + 1) * t)
+            taken = taken + x
+            total = total + log_binomial(n, x, self.share)
+        return np.where((left >= 0) & (left <= self.after[place]), total + price * (left - taken), -np.inf)
+
+    def shortest(self, place: int, left: np.ndarray) -> np.ndarray:
+        """A lower bound of the log probability of any split of ``left`` over the levels from ``place`` on: that of full and empty levels only."""
+        return left * math.log(self.share) + (self.after[place] - left) * math.log1p(-self.share)
+
+    def inner(self, place: int, left: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last count of level ``place`` whose longest path may be likelier than the observed table; empty where last < first.
+
+        Paths are concave in the count, so all counts beyond both ends are absorbed.
+        """
+        n, rest = self.rows[place], self.after[place + 1]
+        low, high = np.maximum(0, left - rest), np.minimum(n, left)
+        above = lambda x: lp + log_binomial(n, x, self.share) + self.longest(place + 1, left - x) > self.most
+        # Before one level more the bound is exact and so is the top; before several, counts near it are taken for inside.
+        single = place == len(self.rows) - 2
+        top = np.clip(np.floor((n + 1) * (left + 1) / (n + rest + 2) if single else (n + 1) * (left + 0.5) / (self.after[place] + 1)), low, high)
+        margin = 0.0 if single else len(self.rows) + 2.0
+        ends = []
+        for side, end in ((-1, low), (1, high)):
+            near, far = np.clip(top + side * margin, low, high), end + side
+            # ``near`` is taken for inside; the bisection moves it out to the last count that is.
+            while True:
+                open_ = np.abs(far - near) > 1
+                if not open_.any():
+                    break
+                mid = np.trunc((near + far) / 2)
+                inside = above(mid)
+                near, far = np.where(open_ & inside, mid, near), np.where(open_ & ~inside, mid, far)
+            ends.append(near)
+        first, last = ends
+        # What was only taken for inside is given up again.
+        for _ in range(1 if single else 2 * len(self.rows) + 6):
+            first = first + ((first <= last) & ~above(first))
+            last = last - ((first <= last) & ~above(last))
+        return first, last
+
+    def outer(self, place: int, left: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Probability, over the levels from ``place`` on, that their counts add up to ``left`` and the first is outside of first..last."""
+        n, rest = self.rows[place], self.after[place + 1]
+        total = np.zeros(len(left))
+        steps = np.arange(64)
+        for side, start in ((-1, first - 1), (1, last + 1)):
+            # A tail starts in the support at the earliest.
+            at = np.clip(start, np.maximum(0, left - rest), np.minimum(n, left))
+            todo = np.flatnonzero(side * (at - start) >= 0)
+            if side > 0:
+                todo = todo[start[todo] <= np.minimum(n, left[todo])]
+            else:
+                todo = todo[start[todo] >= np.maximum(0, left[todo] - rest)]
+            while len(todo):
+                # One probability a block, the others by ratios of neighbours.
+                x, m = at[todo, None] + side * steps, left[todo, None]
+                anchor = np.exp(log_binomial(n, x[:, :1], self.share) + log_binomial(rest, m - x[:, :1], self.share))
+                y = x[:, :-1]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = (n - y) * (m - y) / ((y + 1) * (rest - m + y + 1)) if side > 0 else y * (rest - m + y) / ((n - y + 1) * (m - y + 1))
+                terms = np.concatenate([anchor, anchor * np.cumprod(np.where(np.isfinite(ratio), np.maximum(ratio, 0), 0), axis=1)], axis=1)
+                total[todo] += terms.sum(1)
+                at[todo] += side * len(steps)
+                todo = todo[(terms[:, -1] > 1e-18 * total[todo]) & (terms[:, -1] > 0)]
+        return total

@@ -6,15 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.functions.hypergeometric import Table, log_table, tail_given_first
+from twinarm.functions.hypergeometric import SLACK, Network, Table, log_binomial
 from twinarm.functions.tails import chi2_p
-from twinarm.operators.scan import join_groups, strata
+from twinarm.operators.scan import strata
 from twinarm.session import materialise
 
-MOST_WORK = 1e9  # listed combinations and splits beyond which an exact test is refused
+PATHS = 20_000  # paths that a task makes at once; from there on they are shared among tasks
+PATH_DIGITS = 9  # paths that agree to so many decimals of ln P are one
 REPLICATES = 20_000  # random tables, if asked for
 BLOCK = 500
 METHODS = ("exact", "random", "chi_square")
@@ -43,13 +45,12 @@ def fisher_2x2(df: DataFrame, *, arm: str, flag: str, by: Sequence[str] = ()) ->
 
 def fisher_levels(
     df: DataFrame, *, level: str, arm: str, by: Sequence[str] = (), method: str = "exact", most_levels: int | None = None,
-    most_work: float = MOST_WORK, replicates: int = REPLICATES, seed: int = 1, weight: str | None = None
+    replicates: int = REPLICATES, seed: int = 1, weight: str | None = None
 ) -> DataFrame:
     """Test of a category with any levels by a 0/1 arm: one p per stratum, by the ``method`` asked for.
 
-    ``exact`` covers all tables with the same margins: two levels by the 2x2 routine,
-    more spread over tasks by the count of one cell; a table that needs more than
-    ``most_work`` combinations is an error, never another method. ``random`` takes p from
+    ``exact`` covers all tables with the same margins by a network: tasks extend
+    paths by a level at a time, and where there are many Spark merges those that meet in a node and deals them out anew. ``random`` takes p from
     ``replicates`` random tables with these margins, drawn in blocks over tasks, and
     ``chi_square`` from the limit distribution. The method is a column of the result; it
     is ``none`` (p = 1) where only one table is possible. ``most_levels``, if given, makes
@@ -60,82 +61,20 @@ def fisher_levels(
         raise ValueError(f"unknown method: {method}")
     df, keys = strata(df.where(F.col(level).isNotNull() & F.col(arm).isin(0, 1)), by)
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
-    # The counts are used by several branches below: written once, so the rows are read once.
-    cells = materialise(df.groupBy(*keys, level).agg(
-        F.sum(amount).alias("_n"), F.sum(F.when(F.col(arm) == 1, amount).otherwise(0)).alias("_a")
-    ))
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_levels"))
-    cells = join_groups(cells, sizes, keys)
-    if most_levels is not None:
-        few = F.when(F.col("_levels") > most_levels, F.raise_error(F.lit("more levels than allowed"))).otherwise(F.col("_levels"))
-        cells = cells.where(few > 0)
-    # One cell per level and stratum; largest row last, so it is the dependent one.
-    tables = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", "_a"))).alias("_cells"))
+    cells = df.groupBy(*keys, level).agg(F.sum(amount).alias("_n"), F.sum(F.when(F.col(arm) == 1, amount).otherwise(0)).alias("_a"))
+    # One cell per level and stratum; larger rows last, so the early stages are small.
+    tables = cells.where("_n > 0").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", "_a"))).alias("_cells"))
     total = F.aggregate("_cells", F.lit(0).cast("long"), lambda s, c: s + c["_n"])
     column = F.aggregate("_cells", F.lit(0).cast("long"), lambda s, c: s + c["_a"])
     tables = tables.select(
         *keys, F.transform("_cells", lambda c: c["_n"]).alias("_rows"), F.transform("_cells", lambda c: c["_a"]).alias("_ones"),
         total.alias("n"), column.alias("_column"), F.size("_cells").alias("levels"),
     )
-    # Rows before the last two are listed; for each sum they leave, the splits of the last two.
-    listed_rows = F.slice("_rows", 1, F.greatest(F.col("levels") - 2, F.lit(0)))
-    combos = F.aggregate(listed_rows, F.lit(1.0), lambda s, r: s * (F.least(r, F.col("_column")) + 1))
-    sums_left = F.least(F.aggregate(listed_rows, F.lit(1.0), lambda s, r: s + r), F.col("_column") + 1.0)
-    splits = sums_left * F.when(F.col("levels") >= 2, F.least(F.element_at("_rows", -2), F.col("_column")) + 1).otherwise(1)
-    tables = tables.withColumn("_work", F.greatest(combos, splits))
+    if most_levels is not None:
+        few = F.when(F.col("levels") > most_levels, F.raise_error(F.lit("more levels than allowed"))).otherwise(F.col("levels"))
+        tables = tables.where(few > 0)
     trivial = (F.col("levels") < 2) | (F.col("_column") == 0) | (F.col("_column") == F.col("n"))
-    tables = tables.withColumn("method", F.when(trivial, "none").otherwise(method))
-    if method == "exact":
-        refused = F.raise_error(F.lit("an exact test of this table needs too many combinations; ask for random or chi_square"))
-        feasible = F.when(trivial | (F.col("levels") == 2) | (F.col("_work") <= most_work), F.lit(True)).otherwise(refused)
-        tables = tables.where(feasible)
-
-    @F.pandas_udf("double")
-    def two_levels(rows: pd.Series, ones: pd.Series) -> pd.Series:
-        found = [Table(int(o[0]), int(sum(o)), int(sum(r) - sum(o)), int(r[0])).two_sided_p() for r, o in zip(rows, ones)]
-        return pd.Series(found, dtype=float)
-
-    two = tables.where("method = 'exact' and levels = 2").select(
-        *keys, "levels", "n", "method", two_levels("_rows", "_ones").alias("p"))
-    listed = tables.where("method = 'exact' and levels > 2").withColumn(
-        "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_rows")[0], F.col("_column"))))
-    )
-    drawn = tables.where("method = 'random'").withColumn(
-        "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(np.ceil(replicates / BLOCK)) - 1).cast("long")))
-    )
-    pieces = listed.unionByName(drawn)
-    # Spread by the cell count or block number, so one large table uses every task. The number of
-    # partitions is given because the rows are small and would otherwise be merged into one task.
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.repartition(width, *[F.col(k) for k in keys], F.col("_first"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.select(*keys, "method", "n", "levels").schema)
-
-    def work_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            shares = []
-            for rows, ones, column, first, how in zip(
-                batch["_rows"], batch["_ones"], batch["_column"], batch["_first"], batch["method"]
-            ):
-                rows, ones = np.asarray(rows, float), np.asarray(ones, float)
-                whole = log_table(rows.sum(), np.array([float(column)]))
-                seen = float(log_table(rows, ones) - whole)
-                if how == "exact":
-                    shares.append(tail_given_first(rows, int(column), int(first), seen))
-                else:
-                    rng = np.random.default_rng([seed, int(first), int(column)])
-                    draws = rng.multivariate_hypergeometric(rows.astype(np.int64), int(column), size=BLOCK)
-                    shares.append(float((log_table(rows, draws) - whole <= seen + 1e-7).sum()))
-            out = batch[[*keys, "method", "n", "levels"]].copy()
-            out["share"] = shares
-            yield out
-
-    done = pieces.mapInPandas(work_on, f"{schema}, share double").groupBy(*keys, "method", "n", "levels").agg(
-        F.sum("share").alias("_share"), F.count(F.lit(1)).alias("_blocks")
-    )
-    p = F.when(F.col("method") == "exact", F.least(F.col("_share"), F.lit(1.0))).otherwise(
-        (1 + F.col("_share")) / (1 + F.col("_blocks") * BLOCK)
-    )
-    done = done.select(*keys, "levels", "n", "method", p.alias("p"))
+    tables = materialise(tables.withColumn("method", F.when(trivial, "none").otherwise(method)))
     expected = F.aggregate(
         F.arrays_zip("_rows", "_ones"), F.lit(0.0),
         lambda s, c: s + F.pow(c["_ones"] - c["_rows"] * F.col("_column") / F.col("n"), F.lit(2.0))
@@ -144,8 +83,122 @@ def fisher_levels(
     rest = tables.where("method in ('none', 'chi_square')").withColumn(
         "_x2", F.when(F.col("method") == "none", F.lit(0.0)).otherwise(expected)
     )
-    rest = rest.select(
+    out = rest.select(
         *keys, "levels", "n", "method",
         F.when(F.col("method") == "none", F.lit(1.0)).otherwise(chi2_p(F.col("_x2"), F.col("levels") - 1)).alias("p"),
     )
-    return two.unionByName(done).unionByName(rest).select(*by, "levels", "n", "method", "p")
+    if method == "exact":
+        out = out.unionByName(_through_network(tables.where("method = 'exact'"), keys))
+    if method == "random":
+        out = out.unionByName(_random_tables(tables.where("method = 'random'"), keys, replicates, seed))
+    return out.select(*by, "levels", "n", "method", "p")
+
+
+def merged(left: np.ndarray, lp: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paths that meet in a node with the same probability as one."""
+    near = np.round(lp, PATH_DIGITS)
+    order = np.lexsort((near, left))
+    left, near, lp, paths = left[order], near[order], lp[order], paths[order]
+    if not len(left):
+        return left, lp, paths
+    starts = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (near[1:] != near[:-1])]))
+    return left[starts], lp[starts], np.add.reduceat(paths, starts)
+
+
+def _through_network(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """p of each table: paths extended level by level, merged where they meet, and dealt out anew where there are many."""
+    most = tables.agg(F.max("levels")).first()[0] or 0
+    width = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [*keys, "levels", "n", "method"]
+    tables = tables.withColumn("_table", F.monotonically_increasing_id())
+    fixed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tables.select(*names).schema)
+    state = f"{fixed}, _table bigint, _rows array<bigint>, _share double, _whole double, _most double, _place int, _left bigint, _lp double, _paths double"
+    fields = [*names, "_table", "_rows", "_share", "_whole", "_most", "_place", "_left", "_lp", "_paths"]
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            share = batch["_column"].to_numpy(float) / batch["n"].to_numpy(float)
+            seen = [float(log_binomial(np.asarray(r, float), np.asarray(o, float), s).sum()) for r, o, s in zip(batch["_rows"], batch["_ones"], share)]
+            whole = log_binomial(batch["n"].to_numpy(float), batch["_column"].to_numpy(float), share)
+            yield batch[[*names, "_table", "_rows"]].assign(
+                _share=share, _whole=whole, _most=np.array(seen) + SLACK, _place=0, _left=batch["_column"], _lp=0.0, _paths=1.0)[fields]
+
+    def row(batch: pa.RecordBatch, rows: np.ndarray, place: int, left, lp, paths, share) -> pa.RecordBatch:
+        taken = batch.take(pa.array(rows))
+        made = {"_place": pa.array(np.full(len(rows), place), pa.int32()), "_left": pa.array(np.asarray(left).astype(np.int64)), "_lp": pa.array(lp, pa.float64()),
+                "_paths": pa.array(paths, pa.float64())}
+        return pa.RecordBatch.from_arrays([*(made.get(f, taken.column(f)) for f in fields), share], names=[*fields, "share"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, places = batch.column("_table").to_numpy(), batch.column("_place").to_numpy()
+            for number, place in np.unique(np.stack([table, places]), axis=1).T.tolist():
+                mine = np.flatnonzero((table == number) & (places == place))
+                one = mine[:1]
+                head = batch.slice(int(one[0]), 1).to_pylist()[0]
+                net, total = Network(head["_rows"], head["_share"], head["_most"]), 0.0
+                left, lp, paths = (batch.column(c).to_numpy()[mine].astype(float) for c in ("_left", "_lp", "_paths"))
+                while len(left):
+                    first, last = net.inner(place, left, lp)
+                    total += float((paths * np.exp(lp - head["_whole"]) * net.outer(place, left, first, last)).sum())
+                    if place == len(head["_rows"]) - 2:
+                        break  # the last level takes what is left: what is inside is likelier than the observed table
+                    wide = np.maximum(last - first + 1, 0).astype(int)
+                    ends = np.cumsum(wide)
+                    place, on = place + 1, ends[-1] <= PATHS
+                    for rows in [np.arange(len(left))] if on else np.split(np.arange(len(left)), np.flatnonzero(np.diff(ends // PATHS)) + 1):
+                        node = np.repeat(rows, wide[rows])
+                        x = first[node] + np.arange(len(node)) - np.repeat(np.cumsum(wide[rows]) - wide[rows], wide[rows])
+                        further = lp[node] + log_binomial(net.rows[place - 1], x, net.share)
+                        kept = further + net.shortest(place, left[node] - x) <= net.most
+                        met = merged((left[node] - x)[kept], further[kept], paths[node[kept]])
+                        if not on:
+                            yield row(batch, np.repeat(one, len(met[0])), place, *met, pa.nulls(len(met[0]), pa.float64()))
+                    if not on:
+                        break  # from here on the nodes are shared among tasks
+                    left, lp, paths = met
+                yield row(batch, one, 0, [0], [0.0], [0.0], pa.array([total]))
+
+    nodes = tables.select(*names, "_table", "_rows", "_ones", "_column").repartition(width, "_table").mapInPandas(begin, state)
+    shares = None
+    for _ in range(max(most - 1, 0)):
+        done = materialise(nodes.mapInArrow(extend, f"{state}, share double"))
+        part = done.where("share is not null").groupBy(*names).agg(F.sum("share").alias("share"))
+        shares = part if shares is None else shares.unionByName(part)
+        left = done.where("share is null")
+        if left.isEmpty():
+            break
+        # The number of partitions is given: the rows are small, the work on each is not.
+        met = left.withColumn("_near", F.round("_lp", PATH_DIGITS)).repartition(width, "_table", "_place", "_left", "_near")
+        told = [F.any_value(c).alias(c) for c in fields if c not in ("_table", "_place", "_left", "_lp", "_paths")]
+        nodes = met.groupBy("_table", "_place", "_left", "_near").agg(F.min("_lp").alias("_lp"), F.sum("_paths").alias("_paths"), *told).select(*fields)
+    if shares is None:
+        return tables.select(*names, F.lit(None).cast("double").alias("p"))
+    return shares.groupBy(*names).agg(F.least(F.sum("share"), F.lit(1.0)).alias("p"))
+
+
+def _random_tables(tables: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """p of each table from random ones with its margins."""
+    names = [*keys, "levels", "n", "method"]
+    drawn = tables.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(np.ceil(replicates / BLOCK)) - 1).cast("long"))))
+    # Spread by block number, so one table uses every task. The number of partitions is given because
+    # the rows are small and would otherwise be merged into one task.
+    width = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.repartition(width, *[F.col(k) for k in keys], F.col("_first"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tables.select(*names).schema)
+
+    def work_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shares = []
+            for rows, ones, column, first in zip(batch["_rows"], batch["_ones"], batch["_column"], batch["_first"]):
+                rows, ones = np.asarray(rows, float), np.asarray(ones, float)
+                share = float(column) / rows.sum()
+                rng = np.random.default_rng([seed, int(first), int(column)])
+                draws = rng.multivariate_hypergeometric(rows.astype(np.int64), int(column), size=BLOCK)
+                seen = log_binomial(rows, ones, share).sum()
+                shares.append(float((log_binomial(rows, draws, share).sum(axis=1) <= seen + SLACK).sum()))
+            yield batch[names].assign(share=shares)
+
+    done = drawn.select(*names, "_rows", "_ones", "_column", "_first").mapInPandas(work_on, f"{schema}, share double").groupBy(*names).agg(
+        F.sum("share").alias("_share"), F.count(F.lit(1)).alias("_blocks"))
+    return done.select(*names, ((1 + F.col("_share")) / (1 + F.col("_blocks") * BLOCK)).alias("p"))

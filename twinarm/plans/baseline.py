@@ -54,20 +54,24 @@ def demographics(
     )
 
 
-def demographic_table(people: DataFrame, *, arms: Sequence[str], kind: int = 7) -> DataFrame:
-    """Demographics by arm with exact and rank-sum p-values."""
+def demographic_variables() -> dict[str, Categorical | Continuous]:
+    """The rows of the demographic table."""
     levels = {
         "gender": v.GENDER_LEVELS, "race": v.RACE_LEVELS, "age": None, "orientation": v.ORIENTATION_LEVELS,
         "marital": v.MARITAL_LEVELS, "employment": v.EMPLOYMENT_LEVELS, "income": v.INCOME_LEVELS,
         "education": v.EDUCATION_LEVELS, "housing": v.HOUSING_LEVELS, "veteran": v.YES_NO_LEVELS,
     }
-    spec = {
+    return {
         n: Continuous(v.DEMOGRAPHIC_LABELS[n], digits=0) if ls is None else Categorical(
             tuple(ls), v.DEMOGRAPHIC_LABELS[n], ("Yes",) if n == "veteran" else None
         )
         for n, ls in levels.items()
     }
-    return summary_table(people, spec, arm="arm", arms=arms, interval="%s (%s, %s)", kind=kind, tests=True)
+
+
+def demographic_table(people: DataFrame, *, arms: Sequence[str], kind: int = 7) -> DataFrame:
+    """Demographics by arm with exact and rank-sum p-values."""
+    return summary_table(people, demographic_variables(), arm="arm", arms=arms, interval="%s (%s, %s)", kind=kind, tests=True)
 
 
 def use_history(
@@ -104,8 +108,8 @@ def use_history(
     )
 
 
-def use_history_table(people: DataFrame, *, arms: Sequence[str], kind: int = 7) -> DataFrame:
-    """History of use by arm; Yes/No variables show their Yes row."""
+def use_history_variables() -> dict[str, Categorical | Continuous]:
+    """The rows of the table of use; Yes/No variables show their Yes row."""
     numbers = {"age_first_use", "age_regular_use", "quit_attempts", "quit_longest", "heavy_drinking_pct", "cannabis_pct"}
     spec = {}
     for name, label in v.USE_HISTORY_LABELS.items():
@@ -115,4 +119,9 @@ def use_history_table(people: DataFrame, *, arms: Sequence[str], kind: int = 7)
             spec[name] = Categorical(tuple(v.ROUTE_LEVELS), label)
         else:
             spec[name] = Categorical(tuple(v.YES_NO_LEVELS), label, ("Yes",))
-    return summary_table(people, spec, arm="arm", arms=arms, interval="%s (%s-%s)", kind=kind)
+    return spec
+
+
+def use_history_table(people: DataFrame, *, arms: Sequence[str], kind: int = 7) -> DataFrame:
+    """History of use by arm."""
+    return summary_table(people, use_history_variables(), arm="arm", arms=arms, interval="%s (%s-%s)", kind=kind)

@@ -77,6 +77,14 @@ _STEPS = np.exp(np.pi / 2 * np.sinh(_NODES))
 _WEIGHTS = _STEPS * np.pi / 2 * np.cosh(_NODES) / 32
 
 
+def _t_tail(t, df):
+    """ln of the density at t, and the tail beyond t over that density."""
+    tt, d = t[..., None], df[..., None]
+    grown = np.log1p((2 * tt * _STEPS + _STEPS * _STEPS) / (d + tt * tt))
+    beyond = (np.exp(-(d + 1) / 2 * grown) * _WEIGHTS).sum(-1)
+    return _log_gamma_step(df / 2) - 0.5 * np.log(df * np.pi) - (df + 1) / 2 * np.log1p(t * t / df), beyond
+
+
 def t_two_sided(t, df):
     """P(|T| >= |t|) for Student's t, by one quadrature of the density's tail for all degrees of freedom.
 
@@ -86,11 +94,7 @@ def t_two_sided(t, df):
     t, df = np.broadcast_arrays(np.abs(np.asarray(t, float)), np.asarray(df, float))
     out = np.full(t.shape, np.nan)
     ok = np.isfinite(t) & (df > 0) & np.isfinite(df)
-    tt, d = t[ok][..., None], df[ok][..., None]
-    grown = np.log1p((2 * tt * _STEPS + _STEPS * _STEPS) / (d + tt * tt))
-    beyond = (np.exp(-(d + 1) / 2 * grown) * _WEIGHTS).sum(-1)
-    tt, d = tt[..., 0], d[..., 0]
-    log_density = _log_gamma_step(d / 2) - 0.5 * np.log(d * np.pi) - (d + 1) / 2 * np.log1p(tt * tt / d)
+    log_density, beyond = _t_tail(t[ok], df[ok])
     out[ok] = np.minimum(1.0, 2 * np.exp(log_density) * beyond)
     out[np.isinf(t) & (df > 0)] = 0.0
     return out
@@ -121,10 +125,11 @@ def t_point(level, df):
     low, high = z * 0.0, np.where(d < 1, 1e12, z * 1000.0)
     t = z * (1 + (z * z + 1) / (4 * d))
     for _ in range(200):
-        p = t_two_sided(t, d)
-        low, high = np.where(p > tail, t, low), np.where(p > tail, high, t)
-        log_pdf = _log_gamma_step(d / 2) - 0.5 * np.log(d * math.pi) - (d + 1) / 2 * np.log1p(t * t / d)
-        step = t + (p - tail) / (2 * np.exp(log_pdf))
+        log_density, beyond = _t_tail(t, d)
+        # A step on the log of the tail, whose slope is the density over the tail.
+        over = math.log(2) + log_density + np.log(beyond) - math.log(tail)
+        low, high = np.where(over > 0, t, low), np.where(over > 0, high, t)
+        step = t + over * beyond
         new = np.where((step > low) & (step < high), step, 0.5 * (low + high))
         if np.all(np.abs(new - t) <= 1e-13 * np.abs(t)):
             t = new

@@ -70,6 +70,29 @@ def test_branches_are_ranked_by_score(spark):
     assert chat.format_trees(nodes, branches=2).count() == 3
 
 
+def test_long_conversations(spark):
+    """Thousands of turns: every turn comes back in order, and no plan grows with them."""
+    talk = spark.range(10_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    listed = chat.paths(chat.chain(talk.unionByName(talk.where("turn < 256").withColumn("conv_id", F.lit(2).cast("long")))))
+    short = chat.paths(chat.chain(talk.where("turn < 256")))
+    joins = [str(p._jdf.queryExecution().optimizedPlan()).count("Join") for p in (listed, short)]
+    assert joins == [0, 0] and listed.count() == 10_256
+    out = chat.format_trees(chat.chain(talk)).select(chat.read_turns(F.col("formatted")).alias("t"), F.size("loss_spans").alias("n")).first()
+    assert [x["text"] for x in out["t"]] == [f"t{i}" for i in range(10_000)] and out["n"] == 5000
+
+
+def test_deep_and_broken_trees(spark):
+    """A deep tree with branches, a leaf that hangs on a cycle, a cycle, and a parent that is missing."""
+    rows = [(1, i, i - 1 if i else None, "user", f"a{i}", 1.0) for i in range(300)] + [(1, 1000 + i, 10 * i, "assistant", f"b{i}", 0.0) for i in range(30)]
+    rows += [(2, 1, 3, "user", "x", 0.0), (2, 2, 1, "user", "x", 0.0), (2, 3, 2, "user", "x", 0.0), (2, 4, 3, "user", "on a cycle", 0.0), (2, 5, 99, "user", "orphan", 0.0)]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    found: dict = {}
+    for r in chat.paths(nodes).collect():
+        found.setdefault((r["_t"], r["leaf"]), {})[r["distance"]] = r["node"]
+    want = {("=1", 299): list(range(299, -1, -1)), ("=2", 5): [5]} | {("=1", 1000 + i): [1000 + i, *range(10 * i, -1, -1)] for i in range(30)}
+    assert {k: [v[d] for d in range(len(v))] for k, v in found.items()} == want
+
+
 # ---- pages
 
 def test_pages(spark):

@@ -2,8 +2,9 @@
 
 Every message knows the one it replies to. Paths from a root to a leaf are listed by
 self-joins of the parent table that double their reach each time, so their number is
-the logarithm of the deepest tree; each longer hop is written as a table. Branches are ranked by score, and each chosen path
-becomes one conversation in a template whose control strings are escaped in texts.
+the logarithm of the deepest path; each longer hop and what it adds to the paths are
+written as tables. Branches are ranked by score, and each chosen path becomes one
+conversation in a template whose control strings are escaped in texts.
 """
 
 from __future__ import annotations
@@ -56,23 +57,31 @@ def chain(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn") ->
 def paths(nodes: DataFrame) -> DataFrame:
     """Every root-to-leaf path: (tree, leaf, distance from the leaf, node) with the key columns ``_t``.
 
-    A node whose parent is missing is a root. Nodes on a cycle have no leaf and no path.
+    A node whose parent is missing is a root. Nodes that lead to a cycle have no path. The
+    rounds follow the deepest path: each hop and each round's new rows are written, so
+    the plan of a round reads files and does not grow with the ones before.
     """
     base = written(nodes.select(_key(F.col("tree")).alias("_t"), "node", "parent"), "reply-nodes")
+    up = written(base.select("_t", "node", F.col("parent").alias("above")).join(
+        base.select("_t", F.col("node").alias("above")).hint("merge"), ["_t", "above"], "left_semi").select("_t", "node", "above"), "reply-hops")
+    hops, reach, endless = [], 1, None
     largest = base.groupBy("_t").count().agg(F.max("count")).first()[0] or 1
-    up = base.select("_t", "node", F.col("parent").alias("above")).join(
-        base.select("_t", F.col("node").alias("above")), ["_t", "above"], "left_semi")
-    inner = up.select("_t", F.col("above").alias("node")).distinct()
-    found = base.join(inner, ["_t", "node"], "left_anti").select("_t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
-    reach = 1
-    while reach < largest:
-        hop = up.select("_t", "node", "above")
-        found = found.unionByName(
-            found.join(hop, ["_t", "node"]).select("_t", "leaf", F.col("above").alias("node"), (F.col("distance") + reach).alias("distance")))
+    while not up.isEmpty():
+        if reach >= largest:
+            endless = up  # more steps than the tree has nodes: these lead to a cycle
+            break
+        hops.append(up)
+        far = up.select("_t", F.col("node").alias("middle"), F.col("above").alias("far")).hint("merge")
+        up = written(up.withColumnRenamed("above", "middle").join(far, ["_t", "middle"]).select("_t", "node", F.col("far").alias("above")), "reply-hops")
         reach *= 2
-        if reach < largest:
-            up = written(up.select("_t", "node", F.col("above").alias("middle")).join(
-                hop.select("_t", F.col("node").alias("middle"), "above"), ["_t", "middle"]).select("_t", "node", "above"), "reply-hops")
+    inner = (hops[0] if hops else up).select("_t", F.col("above").alias("node")).distinct()
+    leaves = base.join(inner.hint("merge"), ["_t", "node"], "left_anti")
+    if endless is not None:
+        leaves = leaves.join(endless.select("_t", "node").hint("merge"), ["_t", "node"], "left_anti")
+    found = written(leaves.select("_t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")), "reply-paths")
+    for k, hop in enumerate(hops):
+        further = found.join(hop.hint("merge"), ["_t", "node"]).select("_t", "leaf", F.col("above").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
+        found = found.unionByName(written(further, "reply-paths"))
     return found
 
 

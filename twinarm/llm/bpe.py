@@ -142,8 +142,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         coder = Coder(path, pattern)
         return lambda texts: {ids: [np.array(coder.encode(t), "<u4").tobytes() for t in texts]}
 
-    out = per_row(df.withColumn("_text", df[f"`{text}`"]), "_text", f"{ids} binary", make)
-    return out.drop("_text")
+    return per_row(df, text, f"{ids} binary", make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -152,7 +151,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         coder = Coder(path, pattern)
         return lambda rows: {out: [coder.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows]}
 
-    return per_row(df.withColumn("_ids", df[f"`{ids}`"]), "_ids", f"{out} binary", make).drop("_ids")
+    return per_row(df, ids, f"{out} binary", make)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -166,4 +165,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
 
         return compute
 
-    return per_row(df.withColumn("_text", df[f"`{text}`"]), "_text", f"{ids} binary,{out} binary", make).drop("_text")
+    return per_row(df, text, f"{ids} binary,{out} binary", make)

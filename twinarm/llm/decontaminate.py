@@ -1,20 +1,25 @@
-"""Benchmark passages in texts: pieces of items that edits left whole, then exact edit distance.
-
-Edits are insertions, deletions and replacements of words. An item with k edits allowed
-is cut into k + 1 pieces, so a passage within k edits has a piece unchanged. More than
-that: it has an unchanged piece j with just j edits before it, so the passage starts at
-most j words from where that piece puts it. All these starts are verified by exact edit
-distance, so no passage within the allowed distance is lost. Passages start at any word.
-Before that, the words from a start on, as many as the item has, must hold enough words
-of the benchmark and enough of its pairs of neighbouring words; an edit costs at most
-one of the former and two of the latter, so this loses nothing either. Items too short
-for an edit are one piece and are found as they stand.
-
-In scripts without spaces between words each letter is a word.
+"""Benchmark passages in texts, by an embedding of edit distance and bit sampling.
+
+A random walk copies the words of a window to its output and steps on, or stays, by a
+random bit of the word and the step; two windows that differ by few edits then agree at
+most places of their outputs, so edit distance becomes Hamming distance (CGK). A walk
+drifts away from that of its copy with every edit, so an item is walked from several
+places: once for every ``SPAN`` words, each time over its share of the words. Some places of the
+output are drawn again and again; where a text agrees with an item at all places of
+one draw, the starts that the edits before it leave are verified by exact edit distance.
+The number of draws so follows the item's length.
+
+Edits are insertions, deletions and replacements of words; passages start at any word.
+Before the walk, the words from a start on, as many as the item has, must hold enough
+words of the benchmark and enough of its pairs of neighbouring words; an edit costs at
+most one of the former and two of the latter, so this loses nothing. Items too short for
+an edit are looked up as they stand. In scripts without spaces each letter is a word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +29,14 @@ from twinarm.llm.common import UNSPACED, per_row, spaced
 #: Edits allowed, in hundredths of an item's words.
 EDIT_PERCENT = 20
 BLOCK_ITEMS = 20_000
+#: Words that are walked at once, random walks, draws of places of each, and places of a draw.
+SPAN, WALKS, DRAWS, PLACES = 16, 5, 14, 3
 #: Places for each pair of words in the table of pairs; some other pairs fall on the same ones.
 PAIR_PLACES = 64
 BANDS = 8
 CHUNK_WORDS = 1_000_000
 CHUNK_WINDOWS = 20_000
-#: Piece matches that are followed up together.
+#: Matches that are followed up together.
 CHUNK_MATCHES = 500_000
 MEMO_ENTRIES = 400_000
 
@@ -59,6 +66,32 @@ def gram_keys(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return keys
 
 
+def walk_outputs(words: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """Symbols that a walk copies from the ``size`` words at each start, a row for each step; 0 after the end, words are shifted by 1.
+
+    A walk takes about two steps for each word, so there are twice as many steps.
+    """
+    at = np.zeros(len(starts), np.int64)
+    out = np.zeros((2 * size, len(starts)), np.int32)
+    for step in range(len(out)):
+        symbol = np.where(at < size, words[starts + np.minimum(at, size - 1)] + 1, 0)
+        out[step] = symbol
+        at += (_mix(symbol, walk * 0x10001 + step * 0x3779B1) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+def walk_keys(words: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """For each draw of each walk, a key for each window: its symbols at the drawn places."""
+    places = np.random.default_rng(17).random((WALKS, DRAWS, PLACES))
+    for walk in range(WALKS):
+        out = walk_outputs(words, starts, size, walk)
+        for draw in places[walk]:
+            key = np.full(len(starts), size, np.uint64)
+            for k, share in enumerate(draw):
+                key = _mix(key ^ out[int(share * 2 * size)].astype(np.uint64), k + 1)
+            yield key
+
+
 class _Ids(dict):
     """Number of a word as it stands: that of its plain form in the benchmark, 0 for others, -1 for none, -2 for several letters that are words of their own."""
 
@@ -94,7 +127,7 @@ class Finder:
         self.lengths = np.unique(self.sizes)
         self.flat = np.array([self.vocabulary[w] for words, _ in listed for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.pieces = self._pieces()
+        self.windows = self._item_windows()
         # The table of pairs has a bit for each band of item lengths.
         self.bands = [band.tolist() for band in np.array_split(self.lengths, BANDS) if len(band)]
         inner = np.setdiff1d(np.arange(max(0, len(self.flat) - 1)), self.starts - 1)
@@ -112,23 +145,42 @@ class Finder:
     def _pair_places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (_mix(first * len(self.vocabulary) + second, 11) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
 
-    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By number of words the pieces of all items: keys in order, item, first word in it, number of the piece."""
-        told: dict[int, list] = {}
+    def _item_windows(self) -> dict[tuple[int, bool], tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of words, and whether they are walked: ordered keys of each draw, then item, first word in it and most edits before it."""
+        told: dict[tuple[int, bool], list] = {}
         for n in self.lengths.tolist():
-            mine, parts = np.flatnonzero(self.sizes == n), self.edits(n) + 1
+            mine, walked = np.flatnonzero(self.sizes == n), self.edits(n) > 0
+            parts = -(-n // SPAN) if walked else 1
             cuts = [j * n // parts for j in range(parts + 1)]
-            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                told.setdefault(b - a, []).append((gram_keys(self.flat, self.starts[mine] + a, b - a), mine, np.full(len(mine), a), np.full(len(mine), j)))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                told.setdefault((b - a, walked), []).append((mine, np.full(len(mine), a), np.full(len(mine), min(self.edits(n), a // 2 + 2) if walked else 0)))
         out = {}
-        for size, parts in told.items():
-            keys, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys, kind="stable")
-            out[size] = (keys[order], *(x[order] for x in more))
+        for (size, walked), parts in told.items():
+            items, offsets, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = self.starts[items] + offsets
+            draws = walk_keys(self.flat, starts, size) if walked else [gram_keys(self.flat, starts, size)]
+            out[size, walked] = ([(key[order], order) for key in draws for order in [np.argsort(key, kind="stable")]], items, offsets, numbers)
         return out
 
+    def _matches(self, words: np.ndarray, at: np.ndarray, size: int, walked: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of texts and of items that agree at all places of a draw: start in the text, and number of the item's window."""
+        known = self.windows[size, walked][0]
+        found = [np.zeros(0, np.int64)]
+        n_entries = len(known[0][0])
+        for part in np.array_split(at, max(1, len(at) // CHUNK_WINDOWS)):
+            draws = walk_keys(words, part, size) if walked else [gram_keys(words, part, size)]
+            for key, (keys, order) in zip(draws, known, strict=True):
+                low = np.searchsorted(keys, key, "left")
+                hit = np.flatnonzero(keys[np.minimum(low, n_entries - 1)] == key)
+                many = np.searchsorted(keys, key[hit], "right") - low[hit]
+                each = np.repeat(hit, many)
+                entry = order[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)]
+                found.append(part[each] * n_entries + entry)
+        pairs = np.unique(np.concatenate(found))
+        return pairs // n_entries, pairs % n_entries
+
     def _candidates(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Windows and items, as window x items + item, that have an unchanged piece where a passage within the edits has one."""
+        """Windows and items, as window x items + item, that a match of a walked part leaves."""
         none = np.zeros(0, np.int64)
         if not len(starts):
             return none
@@ -136,29 +188,18 @@ class Finder:
         step = np.bincount(starts, minlength=total + 1)
         step -= np.bincount(np.minimum(starts + sizes + self.percent * sizes // 100, total), minlength=total + 1)
         covered = np.cumsum(step)[:total] > 0
-        known = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int32)])
         codes = np.searchsorted(self.lengths, sizes) * total + starts
         order = np.argsort(codes, kind="stable")
         codes, row = codes[order], np.searchsorted(self.lengths, self.sizes) * total
         out = [none]
-        for size, (keys, items, offsets, numbers) in self.pieces.items():
+        for (size, walked), (_, items, offsets, numbers) in self.windows.items():
             if size > total:
                 continue
-            at = np.flatnonzero(covered[:total - size + 1] & (known[size:] - known[:total - size + 1] == size))
-            key = gram_keys(words, at, size)
-            low = np.searchsorted(keys, key, "left")
-            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == key)
-            at, low = at[hit], low[hit]
-            many = np.searchsorted(keys, key[hit], "right") - low
-            ends = np.cumsum(many)
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(ends // CHUNK_MATCHES)) + 1):
-                if not len(part):
-                    continue
-                each = np.repeat(part, many[part])
-                entry = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
-                begin, item, number = at[each] - offsets[entry], items[entry], numbers[entry]
+            at, entry = self._matches(words, np.flatnonzero(covered[:total - size + 1]), size, walked)
+            for part in np.array_split(np.arange(len(at)), max(1, len(at) // CHUNK_MATCHES)):
+                begin, item, number = at[part] - offsets[entry[part]], items[entry[part]], numbers[entry[part]]
                 found = [none]
-                for shift in range(-int(number.max()), int(number.max()) + 1):
+                for shift in range(-int(number.max(initial=0)), int(number.max(initial=0)) + 1):
                     near = np.flatnonzero((number >= abs(shift)) & (begin + shift >= 0) & (begin + shift < total))
                     code = row[item[near]] + begin[near] + shift
                     place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
@@ -193,20 +234,23 @@ class Finder:
     def _distances(self, words: np.ndarray, starts: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
         """Least number of edits between each item and a passage that starts at each start; over ``edits`` it may be more than the least."""
         most = self.edits(n)
-        reach = np.minimum(starts[:, None] + np.arange(n + most)[None, :], len(words) - 1)
-        text = np.where(starts[:, None] + np.arange(n + most)[None, :] < len(words), words[reach], 0)
-        far = n + most + 1
-        row = np.tile(np.minimum(np.arange(n + most + 1), far), (len(starts), 1))
+        reach = starts[None, :] + np.arange(n + most)[:, None]
+        text = np.where(reach < len(words), words[np.minimum(reach, len(words) - 1)], 0)
+        far = np.int32(n + most + 1)
+        # A row for each place in the passage; within the band of ``most`` edits only.
+        row = np.repeat(np.arange(n + most + 1, dtype=np.int32)[:, None], len(starts), axis=1)
+        fresh = np.full_like(row, far)
         for i in range(1, n + 1):
             low, high = max(1, i - most), min(n + most, i + most)
-            fresh = np.full_like(row, far)
-            if i <= most:
-                fresh[:, 0] = i
+            fresh[low - 1] = i if i <= most else far
+            step = row[low - 1:high] + (text[low - 1:high] != items[:, i - 1])
+            fresh[low:high + 1] = np.minimum(step, row[low:high + 1] + 1)
             for j in range(low, high + 1):
-                change = row[:, j - 1] + (text[:, j - 1] != items[:, i - 1])
-                fresh[:, j] = np.minimum(np.minimum(change, row[:, j] + 1), fresh[:, j - 1] + 1)
-            row = fresh
-        return row.min(1)
+                np.minimum(fresh[j], fresh[j - 1] + 1, out=fresh[j])
+            if high < n + most:
+                fresh[high + 1] = far
+            row, fresh = fresh, row
+        return row[n - most:n + most + 1].min(0)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -261,32 +305,27 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
     Texts and items without words have none; items of fewer words than allow an edit are
     found where they stand unchanged. The items, a stated set, are sent to the tasks in blocks of 20,000 at
-    most, however many they are. Columns of these names are replaced.
+    most, however many they are; all blocks are looked up in one pass. Columns of these names are replaced.
     """
-    names = ("leak_items", "leak_starts", "leak_edits")
-    out = df.withColumns({"leak_items": F.array().cast("array<bigint>"), "leak_starts": F.array().cast("array<int>"), "leak_edits": F.array().cast("array<int>")})
-    block: list[tuple[int | None, str | None]] = []
-    rows = items.select(F.col(item_id).cast("long"), F.col(item_text)).orderBy(item_id, item_text).toLocalIterator()
-    for row in rows:
+    context = df.sparkSession.sparkContext
+    blocks, block = [], []
+    for row in items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).orderBy("i", "t").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == BLOCK_ITEMS:
-            out, block = _with_block(out, block, text, percent), []
-    return (_with_block(out, block, text, percent) if block else out).select(*(c for c in df.columns if c not in names), *names)
-
-
-def _with_block(df: DataFrame, block: list, text: str, percent: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(block)
+            blocks.append(context.broadcast(block))
+            block = []
+    blocks += [context.broadcast(block)] if block else []
 
     def make():
-        finder = Finder(shared.value, percent)
+        finders = [Finder(b.value, percent) for b in blocks]
 
         def compute(texts):
-            found = finder.find(texts)
-            return {name: [[leak[k] for leak in leaks] for leaks in found] for k, name in enumerate(("_i", "_s", "_e"))}
+            found: list[list] = [[] for _ in texts]
+            for finder in finders:
+                for mine, leaks in zip(found, finder.find(texts), strict=True):
+                    mine += leaks
+            return {name: [[leak[k] for leak in leaks] for leaks in found] for k, name in enumerate(("leak_items", "leak_starts", "leak_edits"))}
 
         return compute
 
-    added = per_row(df.withColumn("_text", F.col(f"`{text}`")), "_text", "_i array<long>,_s array<int>,_e array<int>", make)
-    return added.withColumns({
-        "leak_items": F.concat("leak_items", "_i"), "leak_starts": F.concat("leak_starts", "_s"), "leak_edits": F.concat("leak_edits", "_e"),
-    }).drop("_text", "_i", "_s", "_e")
+    return per_row(df, text, "leak_items array<long>,leak_starts array<int>,leak_edits array<int>", make)

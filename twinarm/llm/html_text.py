@@ -183,4 +183,4 @@ def extract(df: DataFrame, costs: dict[str, float], page: str = "html") -> DataF
 
         return compute
 
-    return per_row(df.withColumn("_page", F.col(f"`{page}`")), "_page", "text string,n_chars long", make).drop("_page")
+    return per_row(df, page, "text string,n_chars long", make)

@@ -77,7 +77,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     ``most_rows`` of them; of others, from those whose digest of ``key`` is in the share
     that has about so many. Texts are counted whole, in tasks.
     """
-    named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("_key"))
+    named = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("_key"))
     known = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("_key").isNotNull())
     share = known.groupBy("lang").agg((F.lit(float(most_rows)) / F.count("*")).alias("_share"))
     place = F.shiftrightunsigned(F.xxhash64("_key", F.lit(3)), 11) / F.lit(float(1 << 53))
@@ -234,4 +234,4 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text
 
         return compute
 
-    return per_row(df.withColumn("_text", F.col(f"`{text}`")), "_text", "lang_pred string,score double", make).drop("_text")
+    return per_row(df, text, "lang_pred string,score double", make)

@@ -249,4 +249,4 @@ def score(df: DataFrame, model: np.ndarray, text: str = "text", threshold: float
         return compute
 
     outputs = "n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,base_failed boolean,quality_score double,kept boolean"
-    return per_row(df.withColumn("_text", F.col(f"`{text}`")), "_text", outputs, make).drop("_text")
+    return per_row(df, text, outputs, make)

@@ -266,4 +266,4 @@ def count_tokens(df: DataFrame, path: str, limit: int, text: str = "text") -> Da
 
         return compute
 
-    return per_row(df.withColumn("_text", df[f"`{text}`"]), "_text", "n_tokens long,fit_chars long", make).drop("_text")
+    return per_row(df, text, "n_tokens long,fit_chars long", make)

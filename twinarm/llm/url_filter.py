@@ -68,7 +68,7 @@ class DigestIndex:
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path of a url; both empty where it is null or has no ``://``."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(_url, instr(_url, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -118,10 +118,8 @@ def judge(df: DataFrame, block: list[str], allow: list[str], url: str = "url", b
             np.maximum.at(best, who[is_rule], found[is_rule])
             word[who[found == len(order)]] = True
             rule = [order[b] if b >= 0 else None for b in best.tolist()]
-            return {"rule": rule, "verdict": [rules[r] if r is not None else "block" if w else "allow" for r, w in zip(rule, word.tolist(), strict=True)]}
+            return {"host": [h for h, _ in rows], "path": [p for _, p in rows], "rule": rule, "verdict": [rules[r] if r is not None else "block" if w else "allow" for r, w in zip(rule, word.tolist(), strict=True)]}
 
         return compute
 
-    host, path = url_parts(F.col("_url"))
-    parts = df.withColumn("_url", F.col(f"`{url}`")).withColumns({"host": host, "path": path})
-    return per_row(parts.withColumn("_parts", F.array("host", "path")), "_parts", "rule string,verdict string", make).drop("_url", "_parts")
+    return per_row(df, F.array(*url_parts(F.col(f"`{url}`"))), "host string,path string,rule string,verdict string", make)

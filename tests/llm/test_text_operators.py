@@ -115,6 +115,43 @@ def test_page_inside_a_form(name):
     assert html_text.main_text(page, {}) == "One two three four. Five six."
 
 
+@pytest.mark.parametrize("piece,count", [('"x" ', 250_000), ("<a ", 350_000), ('<a x=">" ', 110_000), ("<script ", 130_000), ("<", 1_000_000), ("<!--", 250_000), ("<div class='", 80_000),
+                                         ("<b>x", 250_000), ("</div>", 160_000), ("<nav>", 200_000), ("&amp;", 200_000)])
+def test_broken_pages_of_a_megabyte(piece, count):
+    """Time grows with the length whatever is broken: tags, quotes, comments and elements that never end."""
+    import time
+
+    for page in ("<p>one two</p><a " + piece * count, piece * count + ">", "<p>one two</p>" + piece * count):
+        start = time.perf_counter()
+        html_text.main_text(page, {})
+        assert time.perf_counter() - start < 20
+
+
+def test_comments_and_elements_without_an_end():
+    body = "<article><h1>Head</h1><p>One two three.</p>{}<p>Last.</p></article>"
+    for name in ("post-comments", "comment-body", "newsletter-content", "comments main", "CommentList", "ad-slot"):
+        for element in ("div", "li", "section"):
+            page = body.format(f'<{element} class="{name}"><p>I like this very much, it is the best I have read.</p></{element}>')
+            assert html_text.main_text(page, {}) == "Head One two three. Last.", name
+    assert html_text.main_text(body.format('<div class="post-body has-sidebar">Four</div>'), {}) == "Head One two three. Four Last."
+    for tag in ("<nav>", '<div class="menu">', "<form>", "<aside>"):
+        assert html_text.main_text(f"{tag}<p>One two three four.</p><p>Five.</p>", {}) == "One two three four. Five."
+    # Nothing of the article is lost behind tags that cost much.
+    page = "<article><h1>A</h1>" + "<x><y>" * 40 + "<p>" + "word " * 50 + "</p>" + "<x><y>" * 40 + "<p>Z</p></article><p>out</p>"
+    assert html_text.main_text(page, {"x": 8.0, "y": 8.0, "p": 3.0}) == "A " + "word " * 50 + "Z"
+
+
+def test_region_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.randint(1, 12)
+        gains, costs = [rng.randint(1, 9) * 1.0 for _ in range(n)], [rng.randint(0, 12) / 2 for _ in range(n)]
+        score = lambda a, b: sum(gains[a:b]) - sum(costs[a + 1:b])
+        a, b = html_text.best_region(gains, costs)
+        assert score(a, b) == max(score(x, y) for x in range(n) for y in range(x + 1, n + 1))
+    assert html_text.best_region([], []) == (0, 0)
+
+
 def test_pages_against_their_markup(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     import html

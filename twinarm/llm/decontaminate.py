@@ -30,7 +30,7 @@ from twinarm.llm.common import UNSPACED, per_row, spaced
 EDIT_PERCENT = 20
 BLOCK_ITEMS = 20_000
 #: Words that are walked at once, random walks, draws of places of each, and places of a draw.
-SPAN, WALKS, DRAWS, PLACES = 16, 5, 14, 3
+SPAN, WALKS, DRAWS, PLACES = 16, 4, 10, 3
 #: Places for each pair of words in the table of pairs; some other pairs fall on the same ones.
 PAIR_PLACES = 64
 BANDS = 8
@@ -39,11 +39,17 @@ CHUNK_WINDOWS = 20_000
 #: Matches that are followed up together.
 CHUNK_MATCHES = 500_000
 MEMO_ENTRIES = 400_000
+#: Marks that most words with marks have at their ends.
+MARKS = ".,;:!?\"'()[]-"
 
 
 def plain(word: str) -> str:
     """A word without case and without anything but letters and digits."""
-    return word.casefold() if word.isalnum() else "".join(c for c in word.casefold() if c.isalnum())
+    word = word.casefold()
+    if word.isalnum():
+        return word
+    bare = word.strip(MARKS)
+    return bare if bare.isalnum() else "".join(filter(str.isalnum, word))
 
 
 def plain_words(text: str | None) -> list[str]:

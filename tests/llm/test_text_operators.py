@@ -308,6 +308,22 @@ def test_repeats(spark):
     assert substring.remove_repeats(docs(spark, [])).count() == 0
 
 
+def cut_units(text, marked, min_words):
+    """Character spans of the runs of marked units with enough words, up to the next unit."""
+    places, flags, out, k = substring.units(text), set(marked), [], 0
+    while k < len(places):
+        if k not in flags:
+            k += 1
+            continue
+        first, words = k, 0
+        while k < len(places) and k in flags:
+            words += len(text[places[k][0]:places[k][1]].split())
+            k += 1
+        if words >= min_words:
+            out.append((places[first][0], places[k][0] if k < len(places) else len(text)))
+    return out
+
+
 def test_repeats_against_brute_force(spark):
     rng = random.Random(8)
     pool = [" ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(rng.randint(1, 9))).capitalize() + "." for _ in range(25)]
@@ -320,7 +336,7 @@ def test_repeats_against_brute_force(spark):
         for k, part in enumerate(parts):
             marked += [k] if part in seen or part in parts[:k] else []
         seen.update(parts)
-        want.append((i, substring.cut_spans(text, marked, substring.MIN_WORDS)))
+        want.append((i, cut_units(text, marked, substring.MIN_WORDS)))
     got = [(r["doc_id"], list(zip(r["removed_starts"], r["removed_ends"], strict=True))) for r in substring.remove_repeats(docs(spark, rows)).orderBy("doc_id").collect()]
     assert got == want
 

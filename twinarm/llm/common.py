@@ -112,7 +112,7 @@ def per_batch(df: DataFrame, source: str | Column, outputs: str, make: Callable)
             compute = compute or make()
             found, rows = compute(batch.column(0))
             base = batch.select(names) if rows is None else batch.select(names).take(pa.array(rows))
-            made = [pa.array(found[f.name], f.type) for f in schema]
+            made = [v.cast(f.type) if isinstance(v := found[f.name], pa.Array) else pa.array(v, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([*base.columns, *made], names=[*names, *schema.names])
 
     bound_batches(df.sparkSession)

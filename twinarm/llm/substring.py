@@ -14,7 +14,9 @@ more all but ten words at each end at most are removed, whatever the lines, sent
 and capitals around it.
 
 Digests of some texts travel together, packed and once each, to ranges of digests, which
-return those that another pack has too, with their lowest rank.
+return those that another pack has too, with their lowest rank. The offsets of units and
+spans stay in their pack, where runs of marked ones become what is cut; texts are read
+once more to cut them.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import UNSPACED, bound_batches, per_row, small_batches, spaced, written
+from twinarm.llm.common import UNSPACED, bound_batches, free_name, lookup, other_columns, per_batch, small_batches, spaced, written
 
 #: Words that a run of marked units has at least; shorter ones stay, as chance repeats them.
 MIN_WORDS = 8
@@ -39,16 +42,18 @@ WINDOW, LONG_WORDS = 10, 24
 #: Digests for each range of them.
 RANGE_UNITS = 500_000
 MEMO_ENTRIES = 400_000
+#: Cuts up to which they are sent to all tasks: 8 bytes each, and 40 for each text that loses some.
+FEW_CUTS = 1_000_000
 #: Letters that stand for a word in scripts without spaces, so that runs of 40 of them are long enough too.
 WORD_LETTERS = 5
 LAST_RANK = (1 << 63) - 1
 _CAPITALS = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isupper())
 _WORD = re.compile(rf"{UNSPACED.pattern}|[^\s{UNSPACED.pattern[1:-1]}]+")
 _BASE = 0x9E3779B97F4A7C15
-_PACKED = "kind int, part int, pack bigint, total bigint, a binary, b binary, ranks array<bigint>, keys array<bigint>, n_units array<int>, n_all array<int>"
+_PACKED = "kind int, part int, pack bigint, total bigint, a binary, b binary, c binary, ranks array<bigint>, ids array<bigint>, keys binary, n_units array<int>, n_all array<int>"
 _ARROW = pa.schema([
-    ("kind", pa.int32()), ("part", pa.int32()), ("pack", pa.int64()), ("total", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("ranks", pa.list_(pa.int64())),
-    ("keys", pa.list_(pa.int64())), ("n_units", pa.list_(pa.int32())), ("n_all", pa.list_(pa.int32()))])
+    ("kind", pa.int32()), ("part", pa.int32()), ("pack", pa.int64()), ("total", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ranks", pa.list_(pa.int64())),
+    ("ids", pa.list_(pa.int64())), ("keys", pa.binary()), ("n_units", pa.list_(pa.int32())), ("n_all", pa.list_(pa.int32()))])
 #: White space that ends a line or a sentence, or stands before a capital.
 _BREAK = re.compile(rf"\s(?:(?<=\n)|(?<=[.!?].)|(?=[{_CAPITALS}]))\s*", re.DOTALL)
 
@@ -114,38 +119,63 @@ def _numbers(data: bytes, kind: type = np.uint64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
+def _squeezed(table: np.ndarray) -> bytes:
+    """Rows of whole numbers as differences, one plane of bytes after the other."""
+    steps = np.diff(np.ascontiguousarray(table), axis=1, prepend=np.int32(0)).astype("<i4")
+    # Zigzag: small negative steps have empty high bytes too.
+    steps = ((steps << 1) ^ (steps >> 31)).astype("<u4")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unsqueezed(data: bytes, rows: int) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(rows, -1)
+    return np.cumsum((steps >> 1).astype(np.int32) ^ -(steps & 1).astype(np.int32), axis=1, dtype=np.int32)
+
+
 def _row(**values) -> dict:
     return dict.fromkeys(_ARROW.names) | values
 
 
 def _unit_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for some texts: digests of the units, then of the spans, of each (0 for none), and whether the text had them before."""
+    """One row for some texts: digests of the units, then of the spans, of each (0 for none), whether the text had them before, and where they are.
+
+    Of each its first and last place in the text, and the words before it and up to its end
+    (of units in fifths of a word, counted over the units alone).
+    """
     memo, number = _Digests(), TaskContext.get().partitionId() << 32
     for batch in small_batches(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         owner, starts, ends, found = content_spans([_hashed(t, memo) for t in texts])
         edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-        told, again, n_units, n_all = [], [], [], []
+        told, again, n_units, n_all, places = [], [], [], [], []
         for i, text in enumerate(texts):
             seen: dict[int, int] = {}
-            before, places = len(told), units(text)
-            for a, b in places:
+            before, parts = len(told), units(text)
+            upto = 0
+            for k, (a, b) in enumerate(parts):
                 words = " ".join(text[a:b].lower().split())
                 digest = (xxhash.xxh3_64_intdigest(words.encode()) or 1) if words else 0
                 told.append(digest)
                 again.append(bool(words) and digest in seen)
                 seen[digest] = 0
+                size = round(WORD_LETTERS * amount(text[a:b]))
+                places.append((a, parts[k + 1][0] if k + 1 < len(parts) else len(text), upto, upto + size))
+                upto += size
             seen = {}
             mine = slice(edges[i], edges[i + 1])
+            if edges[i] < edges[i + 1]:
+                at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
             for a, b, digest in zip(starts[mine].tolist(), ends[mine].tolist(), found[mine].tolist(), strict=True):
                 # One that overlaps the first of its kind is no second one.
                 again.append(seen.setdefault(digest, b) <= a)
                 told.append(digest)
-            n_units.append(len(places))
+                places.append((at[a], at[b], a, b))
+            n_units.append(len(parts))
             n_all.append(len(told) - before)
         yield pa.RecordBatch.from_pylist([_row(
-            kind=1, pack=number, total=len(told), a=np.array(told, np.uint64).tobytes(), b=np.array(again, bool).tobytes(), ranks=batch.column("rank").to_pylist(),
-            keys=batch.column("key").to_pylist(), n_units=n_units, n_all=n_all)], _ARROW)
+            kind=1, pack=number, total=len(told), a=np.array(told, np.uint64).tobytes(), b=np.packbits(np.array(again, bool)).tobytes(),
+            c=_squeezed(np.array(places, np.int32).reshape(-1, 4).T), ranks=batch.column("rank").to_pylist(), ids=batch.column("id").to_pylist(),
+            keys=b"".join(batch.column("key").to_pylist()), n_units=n_units, n_all=n_all)], _ARROW)
         number += 1
 
 
@@ -191,27 +221,62 @@ def _shared_digests(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _ARROW)
 
 
-def _marks(table: pa.Table) -> pa.Table:
-    """Of one pack, the marked units and spans of each text that has some."""
-    rows = table.to_pylist()
-    info = next(r for r in rows if r["kind"] == 1)
-    digests, n_all = np.frombuffer(info["a"], np.uint64), np.array(info["n_all"], np.int64)
-    rank = np.repeat(np.array(info["ranks"], np.int64), n_all)
-    returned = [r for r in rows if r["kind"] == 0]
-    kinds, lowest = _lowest(
-        np.concatenate([digests, *(np.cumsum(_numbers(r["a"]), dtype=np.uint64) for r in returned)]), np.concatenate([rank, *(_numbers(r["b"], np.int64) for r in returned)]))
-    marked = np.frombuffer(info["b"], bool).copy()
-    some = digests != 0
-    marked[some] |= lowest[np.searchsorted(kinds, digests[some])] < rank[some]
-    keys, of_units, of_spans = [], [], []
-    for key, n, start, end in zip(info["keys"], info["n_units"], np.cumsum(n_all) - n_all, np.cumsum(n_all), strict=True):
-        at = np.flatnonzero(marked[start:end])
-        if len(at):
-            keys.append(key)
-            of_units.append(at[at < n])
-            of_spans.append(at[at >= n] - n)
-    ints = pa.list_(pa.int32())
-    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(of_units, ints), pa.array(of_spans, ints)], names=["_key", "_units", "_spans"])
+def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of neighbours."""
+    if not len(marked):
+        return []
+    breaks = np.flatnonzero(np.diff(marked) > 1)
+    return list(zip(marked[np.concatenate([[0], breaks + 1])].tolist(), marked[np.concatenate([breaks, [len(marked) - 1]])].tolist(), strict=True))
+
+
+def unit_cuts(places: np.ndarray, marked: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Character spans of the runs of marked units with enough words, up to the next unit."""
+    first, last, before, upto = places
+    return [(int(first[a]), int(last[b])) for a, b in _runs(marked) if upto[b] - before[a] >= WORD_LETTERS * min_words]
+
+
+def span_cuts(places: np.ndarray, marked: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Character spans of the stretches of marked content spans with enough words, up to the next word."""
+    out: list[list[int]] = []
+    for first, last, a, b in places[:, marked].T.tolist():
+        if out and a <= out[-1][3]:
+            out[-1][1], out[-1][3] = last, b
+        else:
+            out.append([first, last, a, b])
+    return [(first, last) for first, last, a, b in out if b - a >= max(min_words, LONG_WORDS)]
+
+
+def _marks(min_words: int):
+    """Of one pack, what is cut from each text that loses something."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        info = next(r for r in rows if r["kind"] == 1)
+        digests, n_all = np.frombuffer(info["a"], np.uint64), np.array(info["n_all"], np.int64)
+        rank = np.repeat(np.array(info["ranks"], np.int64), n_all)
+        returned = [r for r in rows if r["kind"] == 0]
+        kinds, lowest = _lowest(
+            np.concatenate([digests, *(np.cumsum(_numbers(r["a"]), dtype=np.uint64) for r in returned)]), np.concatenate([rank, *(_numbers(r["b"], np.int64) for r in returned)]))
+        marked = np.unpackbits(np.frombuffer(info["b"], np.uint8), count=len(digests)).astype(bool)
+        some = digests != 0
+        marked[some] |= lowest[np.searchsorted(kinds, digests[some])] < rank[some]
+        places = _unsqueezed(info["c"], 4)
+        ids, keys, starts, ends = [], [], [], []
+        for i, (n, begin, end) in enumerate(zip(info["n_units"], np.cumsum(n_all) - n_all, np.cumsum(n_all), strict=True)):
+            at = np.flatnonzero(marked[begin:end])
+            if not len(at):
+                continue
+            mine = places[:, begin:end]
+            cuts = merged(unit_cuts(mine[:, :n], at[at < n], min_words) + span_cuts(mine[:, n:], at[at >= n] - n, min_words))
+            if cuts:
+                ids.append(info["ids"][i])
+                keys.append(info["keys"][16 * i:16 * i + 16])
+                starts.append([a for a, _ in cuts])
+                ends.append([b for _, b in cuts])
+        ints = pa.list_(pa.int32())
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, ints), pa.array(ends, ints)], names=["id", "key", "starts", "ends"])
+
+    return run
 
 
 def amount(text: str) -> float:
@@ -222,36 +287,6 @@ def amount(text: str) -> float:
     return len(bare.split()) + letters / WORD_LETTERS
 
 
-def cut_spans(text: str, marked: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Character spans of the runs of marked units with enough words, up to the next unit."""
-    places, flags = units(text), set(marked)
-    out, k = [], 0
-    while k < len(places):
-        if k not in flags:
-            k += 1
-            continue
-        first, words = k, 0
-        while k < len(places) and k in flags:
-            words += amount(text[places[k][0]:places[k][1]])
-            k += 1
-        if words >= min_words:
-            out.append((places[first][0], places[k][0] if k < len(places) else len(text)))
-    return out
-
-
-def long_spans(text: str, marked: list[int], min_words: int, memo: dict) -> list[tuple[int, int]]:
-    """Character spans of the runs of marked content spans with enough words, up to the next word."""
-    _, starts, ends, _ = content_spans([_hashed(text, memo)])
-    runs: list[list[int]] = []
-    for a, b in zip(starts[sorted(marked)].tolist(), ends[sorted(marked)].tolist(), strict=True):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = b
-        else:
-            runs.append([a, b])
-    places = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-    return [(places[a], places[b]) for a, b in runs if b - a >= max(min_words, LONG_WORDS)]
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans in order, those that touch as one."""
     out: list[tuple[int, int]] = []
@@ -271,34 +306,39 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     null text stays null. A text of nothing but repeated passages becomes empty.
     """
     bound_batches(df.sparkSession)
-    keyed = df.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
-    told = keyed.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_RANK)).alias("rank"), F.col("_key").alias("key"), F.col(text).alias("text"))
+    id_, key = (free_name(df, n) for n in ("id", "key"))
+    # A text is known by its id and 128 bits of its digest; texts that agree in both lose the same.
+    keyed = df.withColumns({id_: F.col(f"`{doc_id}`").cast("long"), key: F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))})
+    told = keyed.where(F.col(f"`{text}`") != "").select(
+        F.coalesce(F.col(id_), F.lit(LAST_RANK)).alias("rank"), F.col(id_).alias("id"), F.col(key).alias("key"), F.col(f"`{text}`").alias("text"))
     packs = written(told.mapInArrow(_unit_packs, _PACKED), "units")
     total = packs.agg(F.sum("total")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, total / RANGE_UNITS)))))
     shared = packs.mapInArrow(_by_range(bits), _PACKED).groupBy("part").applyInArrow(_shared_digests, _PACKED)
-    marks = shared.unionByName(packs).groupBy("pack").applyInArrow(_marks, "_key bigint, _units array<int>, _spans array<int>").dropDuplicates(["_key"])
-    joined = keyed.join(marks, "_key", "left").drop("_key")
+    marks = written(shared.unionByName(packs).groupBy("pack").applyInArrow(_marks(min_words), "id bigint, key binary, starts array<int>, ends array<int>").groupBy("id", "key").agg(
+        F.first("starts").alias("starts"), F.first("ends").alias("ends")), "cuts").toDF(id_, key, *(free_name(df, n) for n in ("starts", "ends")))
+    starts, ends = marks.columns[2:]
+    # Sent to the texts where there are few cuts in all, else joined by key and salt.
+    few = (marks.agg(F.sum(F.size(starts))).first()[0] or 0) <= FEW_CUTS
+    joined = lookup(keyed, marks, [id_, key], F.col(key), "left", FEW_CUTS if few else 0)
+    none = F.array().cast("array<int>")
 
     def make():
-        memo = _Digests()
-
-        def compute(rows):
-            texts, starts, ends = [], [], []
-            for row in rows:
-                value, marked, more = row["text"], row["units"], row["spans"]
-                spans = cut_spans(value, marked, min_words) if value and marked else []
-                spans = merged(spans + long_spans(value, more, min_words, memo)) if value and more else spans
-                if spans:
-                    edges = [0, *(x for span in spans for x in span), len(value)]
-                    value = "".join(value[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).rstrip()
-                texts.append(value)
-                starts.append([a for a, _ in spans])
-                ends.append([b for _, b in spans])
-            return {text: texts, "removed_starts": starts, "removed_ends": ends}
+        def compute(column: pa.Array):
+            values, begins, stops = (pc.struct_field(column, n) for n in ("text", "starts", "ends"))
+            losing = np.flatnonzero(pc.list_value_length(begins).to_numpy(zero_copy_only=False) > 0)
+            if not len(losing):
+                return {text: values, "removed_starts": begins, "removed_ends": stops}, None
+            picked = pa.array(losing)
+            left = []
+            for value, a, b in zip(values.take(picked).to_pylist(), begins.take(picked).to_pylist(), stops.take(picked).to_pylist(), strict=True):
+                left.append("".join(value[x:y] for x, y in zip([0, *b], [*a, len(value)], strict=True)).rstrip())
+            mask = np.zeros(len(values), bool)
+            mask[losing] = True
+            return {text: pc.replace_with_mask(values, pa.array(mask), pa.array(left, values.type)), "removed_starts": begins, "removed_ends": stops}, None
 
         return compute
 
-    source = joined.withColumn("_pair", F.struct(F.col(f"`{text}`").alias("text"), F.col("_units").alias("units"), F.col("_spans").alias("spans"))).drop("_units", "_spans")
-    out = per_row(source, "_pair", f"{text} string,removed_starts array<int>,removed_ends array<int>", make).drop("_pair")
-    return out.select(*df.columns, *(c for c in ("removed_starts", "removed_ends") if c not in df.columns))
+    source = F.struct(F.col(f"`{text}`").alias("text"), F.coalesce(F.col(starts), none).alias("starts"), F.coalesce(F.col(ends), none).alias("ends"))
+    out = per_batch(joined, source, f"{text} string,removed_starts array<int>,removed_ends array<int>", make)
+    return out.select(*other_columns(df, "removed_starts", "removed_ends"), "removed_starts", "removed_ends")

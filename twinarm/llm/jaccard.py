@@ -14,8 +14,8 @@ Steps and what they move:
    repeated ones go back to where they came from.
 3. There they are ordered, and a text keeps its prefix and its repeated shingles, which
    are all that a verification needs.
-4. Shingles of few texts give all their pairs. For shingles of many texts, each text is
-   paired with some pivots; texts that pivots did not bring into the group's largest
+4. Shingles of few texts give all their pairs. At its rarest shingles of many texts each
+   text is paired with some pivots; texts that pivots did not bring into the group's largest
    component are then paired with all its others that pass a filter on marked bits. No
    link is lost: pairs that are left out are connected already.
 """
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import bound_batches, per_row, written
+from twinarm.llm.common import bound_batches, free_name, lookup, per_row, written
 from twinarm.llm.components import components
 
 SHINGLE = 5
@@ -45,7 +45,11 @@ DENSE = 64
 #: Texts of a shingle up to which all pairs are taken.
 SMALL_GROUP = 24
 PIVOTS = 8
+#: Shingles of a text, the rarest first, at which it is paired with pivots; the pass after that takes in all of them.
+PIVOT_GRAMS = 4
 MEMO_ENTRIES = 400_000
+#: Ids of 8 bytes up to which they are sent to all tasks.
+FEW_IDS = 1_000_000
 #: Bytes of a shingle's digest.
 DIGEST_BYTES = 6
 #: Bits that mark the repeated shingles of a text.
@@ -297,9 +301,12 @@ def links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     few_entries = entries.join(few.select("gram"), "gram")
     many_entries = entries.join(many.select("gram"), "gram")
     pivot = many.select("gram", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p")).select("gram", "p.node", "p.n", "p.at")
+    # A text meets the pivots of a few shingles only: those of the others are mostly the same texts.
+    met = many_entries.groupBy("node", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, PIVOT_GRAMS).alias("e")).select(
+        "node", "n", F.inline("e"))
     pairs = written(
         _pairs(few_entries, few_entries, percent, F.expr("l.node < r.node")).unionByName(
-            _pairs(many_entries, pivot, percent, F.expr("l.node != r.node"))).distinct(), "pairs")
+            _pairs(met, pivot, percent, F.expr("l.node != r.node"))).distinct(), "pairs")
     found = written(_verified(pairs, texts, percent), "links")
     roots = None if found.isEmpty() else components(found)
     if many.isEmpty():
@@ -355,21 +362,25 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
 
     Of alike rows with the same doc_id one stays, of rows with the same doc_id and text
     too; rows with a null doc_id all stay, as they cannot be told apart.
+
+    Texts are not moved where the ids to drop, and the ids that several rows have, are few
+    enough to be sent to them; beyond that rows are joined by id and salt.
     """
     rows = shingle_table(df, text, doc_id, percent, size)
-    found = written(_components(rows, percent).where(F.col("doc_id") == F.col("component_id")).where(F.col("node") == F.col("chosen")).select(
-        F.col("doc_id").alias(doc_id), F.col("node").alias("_node")).distinct(), "kept")
-    often = rows.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
-    often = written(often, "often")
-    named = df.where(F.col(doc_id).isNotNull())
-    once = named.join(found.join(often, doc_id, "left_anti").select(doc_id), doc_id, "left_semi")
+    found = written(_components(rows, percent).where(F.col("doc_id").isNotNull()).select(
+        "doc_id", "node", ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("chosen"))).alias("stays")), "kept")
+    # Ids with one row that goes, and ids that several rows have.
+    told = written(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("stays").alias("some")).where("rows > 1 or not some"), "told")
+    id_, node, rows_, some, empty = (free_name(df, n) for n in ("id", "node", "rows", "some", "empty"))
+    marked = lookup(df.withColumn(id_, F.col(f"`{doc_id}`").cast("long")), told.toDF(id_, rows_, some), [id_], F.length(f"`{text}`"), "left", FEW_IDS)
+    once = marked.where(F.col(rows_).isNull())
 
     def make():
-        return lambda texts: {"_node": [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]}
-
-    # Rows whose doc_id others have too are told apart by their words.
-    repeated = per_row(named.join(often, doc_id, "left_semi").withColumn("_text", F.col(f"`{text}`")), "_text", "_node binary", make).drop("_text")
-    repeated = repeated.join(found, [doc_id, "_node"], "left_semi")
-    empty = F.when(F.col("_node") == F.lit(xxhash.xxh3_128_digest(b"")), F.col(f"`{text}`"))
-    repeated = repeated.withColumn("_empty", empty).dropDuplicates([doc_id, "_node", "_empty"])
-    return once.select(df.columns).unionByName(repeated.select(df.columns)).unionByName(df.where(F.col(doc_id).isNull()))
+        return lambda texts: {node: [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]}
+
+    # Rows whose id others have too are told apart by their words.
+    several = per_row(marked.where((F.col(rows_) > 1) & F.col(some)), text, f"{node} binary", make)
+    chosen = found.where("stays").groupBy("doc_id", "node").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias(id_), F.col("node").alias(node))
+    several = several.join(chosen, [id_, node], "left_semi")
+    several = several.withColumn(empty, F.when(F.col(node) == F.lit(xxhash.xxh3_128_digest(b"")), F.col(f"`{text}`"))).dropDuplicates([id_, node, empty])
+    return once.select(df.columns).unionByName(several.select(df.columns))

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from twinarm.operators import ranks, scan, sequence
+from twinarm.operators import ranks, scan, sequence, survival
+from twinarm.operators.sequence import collapse, first_row
 
 DATA = [
     (1, 1, None, None), (1, 2, "a", None), (1, 3, None, None), (1, 4, "b", None), (1, 5, None, None),
@@ -105,3 +106,39 @@ def test_no_window_over_the_whole_table(spark):
         for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines():
             if "Window [" in line:  # rows are windowed per chunk; only chunk totals over groups
                 assert "_chunk" in line or "_rows" in line
+
+
+def test_first_known_number_without_a_sort(spark):
+    """Numbers in an order of fixed width are aggregated by hash; the order may be one column or a packed pair, with missing first."""
+    df = spark.createDataFrame(
+        [(1, None, 5, 2.5, None), (1, 3, -4, None, 7), (1, 3, -5, 1.5, 8), (2, -1, 0, None, None), (2, -1, 9, 4.0, 1)], "s int, a int, b int, v double, w int")
+    for order in (["a", "b"], ["b"]):
+        out = collapse(df, subject="s", order_by=order, cols=["v", "w"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "Sort" not in plan
+    assert {r["s"]: (r["v"], r["w"]) for r in collapse(df, subject="s", order_by=["a", "b"], cols=["v", "w"]).collect()} == {1: (2.5, 8), 2: (4.0, 1)}
+    assert {r["s"]: (r["v"], r["w"]) for r in first_row(df, subject="s", order_by=["a", "b"]).collect()} == {1: (2.5, None), 2: (None, None)}
+    assert "Sort" not in first_row(df, subject="s", order_by=["a", "b"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_totals_without_a_join_by_group(spark):
+    """Ranks, curves and tests join only chunk offsets, sent to all tasks, and count whole groups right across chunks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(400).select(
+            "id", F.when(F.col("id") < 300, "hot").alias("g"), (F.col("id") % 90).cast("double").alias("t"), (F.col("id") % 3 == 0).cast("int").alias("e"),
+            (F.col("id") % 2).cast("int").alias("arm"))
+        points = ranks.normal_plot(df, "t", tie=["id"], by=["g"])
+        curve = survival.kaplan_meier(df, time="t", event="e", by=["g"])
+        test = survival.logrank(df, time="t", event="e", arm="arm", arms=[0, 1], by=["g"])
+        for frame in (points, curve, test):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert {(r["g"], r["n"]) for r in points.collect()} == {("hot", 300), (None, 100)}
+        first = {r["g"]: r["at_risk"] for r in curve.where("time = 0").collect()}
+        assert first == {"hot": 300, None: 100}
+        assert {r["g"]: r["observed_0"] + r["observed_1"] for r in test.collect()} == {"hot": 100, None: 34}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from twinarm.operators.joins import lookup_join, one_per_key, spread_join, study_day
+from twinarm.operators.joins import heavy_keys, lookup_join, one_per_key, spread_join, study_day
 from twinarm.sources import sinks, tables
 
 
@@ -61,10 +61,33 @@ def test_hot_key_join_equals_plain_join(spark):
     left = spark.range(3000).select(key.cast("long").alias("k"), "id")
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner", "left_semi"):
-        spread = spread_join(left, right, ["k"], how, hot_rows=500)
+        spread = spread_join(left, right, ["k"], how)
         plain = left.join(right, ["k"], how)
         assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
-    assert "Broadcast" in spread_join(left, right, ["k"], hot_rows=500)._jdf.queryExecution().toString()
+    heavy, blank = heavy_keys(left, ["k"])
+    zero = spark.range(1).select(F.xxhash64(F.lit(0).cast("long")).alias("h")).first()["h"]
+    assert dict(heavy) == {zero: 3} and blank  # a third of the rows: three of eight partitions' shares
+    assert heavy_keys(left.where("k > 0"), ["k"]) == ([], False) and heavy_keys(left.limit(0), ["k"]) == ([], False)
+
+
+def test_hot_key_join_reads_each_side_once(spark, tmp_path):
+    """One join by key and salt, each file scanned once, only marked lookup rows repeated, and the hot key spread over tasks."""
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
+    spark.range(6000).select(key.alias("k"), "id").write.parquet(f"{tmp_path}/left")
+    spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(f"{tmp_path}/right")
+    left, right = spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = spread_join(left, right, ["k"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and plan.count("SortMergeJoin") == 1 and plan.count("Union") == 0
+        assert "hashpartitioning(k" in plan and "_salt" in plan
+        spread = joined.where("k = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spread > 1 and joined.count() == 6000
 
 
 def test_study_day_counts_from_first_date(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from twinarm.functions.columns import fixed, p_text
 from twinarm.operators.exact import fisher_levels
+from twinarm.operators.joins import spread_join
 from twinarm.operators.ranks import quantiles, rank_sum
 from twinarm.operators.reshape import to_long
 from twinarm.operators.scan import join_groups, strata
@@ -95,12 +96,10 @@ def scale_scores(items: DataFrame, *, by: Sequence[str], score: str = "score", o
 
 def with_both_arms(df: DataFrame, *, arm: str, by: Sequence[str], least: int = 2) -> DataFrame:
     """Rows of the strata that hold at least ``least`` different arms."""
-    enough = df.groupBy(*by).agg(F.count_distinct(arm).alias("_arms")).where(F.col("_arms") >= least)
-    marked = enough.select(*[F.col(k).alias(f"_r_{k}") for k in by])
-    test = F.lit(True)
-    for k in by:
-        test = test & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return df.join(marked, test, "left_semi")
+    # As a struct, a missing stratum is one like any other.
+    marked = df.withColumn("_stratum", F.struct(*[F.col(k) for k in by]))
+    enough = marked.groupBy("_stratum").agg(F.count_distinct(arm).alias("_arms")).where(F.col("_arms") >= least).select("_stratum")
+    return spread_join(marked, enough, ["_stratum"], "left_semi").drop("_stratum")
 
 
 @dataclass(frozen=True)

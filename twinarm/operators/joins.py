@@ -1,9 +1,10 @@
 """Joins on one key, with guards against fan-out and against hot keys.
 
 Lookups come from the caller and may be as long as the subject list, so Spark
-picks the join by measured size. Only keys that hold a large share of the rows are
-taken out and joined to a broadcast of their own few lookup rows, so a hot key is
-never shuffled into one task.
+picks the join by measured size. A summary with a fixed number of counters per task
+finds the keys that hold more than one shuffle partition's share of the rows. Their rows
+are dealt out by a salt and only their lookup rows are repeated, once per salt; the
+join itself is one, and reads each side once.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from twinarm.functions.columns import col
 
-HOT_ROWS = 500_000
-MOST_HEAVY = 1000
+#: Counters of the summary for each shuffle partition; a key with more than its share of the rows cannot escape them.
+COUNTERS = 64
+MOST_COUNTERS = 100_000
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -41,40 +43,49 @@ def one_per_key(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return checked.select(*keys, *[F.col("_rest")[c].alias(c) for c in rest])
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and 1/1000 of all rows, at most 1000 of them; None without any.
+def heavy_keys(df: DataFrame, keys: Sequence[str], *, parts: int | None = None) -> tuple[list[tuple[int, int]], bool]:
+    """(digest, salts) of the keys that hold more than 1/``parts`` of the rows, and whether rows with a missing key do.
 
-    One counting pass over the key columns, combined before the shuffle.
+    One pass over the key columns: each task sums up what it sees in a fixed number of
+    counters, and the summaries are merged. At most ``parts`` keys can be that heavy; a
+    key gets a salt for each such share of the rows it holds.
     """
-    counts = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    large = counts.orderBy(F.desc("count")).limit(MOST_HEAVY).collect()
-    if not large:
-        return None
-    rows = df.count()
-    large = [tuple(r[k] for k in keys) for r in large if r["count"] * MOST_HEAVY >= rows]
-    return df.sparkSession.createDataFrame(large, df.select(*keys).schema) if large else None
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = _known(keys)
+    told = df.select(F.when(known, F.xxhash64(*keys)).alias("_hash")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("_hash").alias("known"),
+        F.expr(f"approx_top_k(_hash, {parts}, {min(MOST_COUNTERS, COUNTERS * parts)})").alias("top")).first()
+    n = told["n"]
+    found = [(t["item"], -(-t["count"] * parts // n)) for t in told["top"] or [] if t["item"] is not None and t["count"] * parts > n]
+    return found, (n - told["known"]) * parts > n
+
+
+def _known(keys: Sequence[str]) -> Column:
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).isNotNull()
+    return test
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join to a table with at most one row per key, whatever share of ``left`` a key holds.
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, parts: int | None = None) -> DataFrame:
+    """Join to a table with at most one row per key, whatever share of ``left`` a key, or a missing key, holds.
 
-    The rows of hot keys meet a broadcast of at most 1000 lookup rows, rows with a
-    missing key meet none; all others join as usual.
+    Rows of a heavy key are dealt out by a salt from their content and input split, so a
+    repeated task deals them alike. Lookup rows of such keys are repeated once per
+    salt: at most twice as many as there are shuffle partitions.
     """
     keys = list(keys)
-    heavy = heavy_keys(left, keys, hot_rows)
-    if heavy is None:
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy, blank = heavy_keys(left, keys, parts=parts)
+    if not heavy and not blank:
         return left.join(right, keys, how)
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    # A missing key matches nothing; such rows need no shuffle and may be the hottest of all.
-    blank = left.where(~known).join(F.broadcast(right.limit(0)), keys, how)
-    left, heavy = left.where(known), heavy.where(known)
-    marks = F.broadcast(heavy)
-    few = right.join(marks, keys, "left_semi")
-    hot = left.join(marks, keys, "left_semi").join(F.broadcast(few), keys, how)
-    return left.join(marks, keys, "left_anti").join(right, keys, how).unionByName(hot).unionByName(blank)
+    marks = F.broadcast(left.sparkSession.createDataFrame(heavy, "_hash bigint, _salts int"))
+    dealt = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in left.columns]), F.spark_partition_id())
+    some = left.withColumn("_hash", F.xxhash64(*keys)).join(marks, "_hash", "left").withColumn(
+        "_salt", F.pmod(dealt, F.when(_known(keys), F.coalesce("_salts", F.lit(1))).otherwise(F.lit(parts))).cast("int")).drop("_hash", "_salts")
+    repeated = right.withColumn("_hash", F.xxhash64(*keys)).join(marks, "_hash", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hash", "_salts")
+    return some.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str | Sequence[str], *, how: str = "left") -> DataFrame:

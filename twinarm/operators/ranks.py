@@ -89,8 +89,7 @@ def normal_plot(df: DataFrame, c: str, *, tie: Sequence[str], by: Sequence[str]
     df, keys = strata(df.where(F.col(c).isNotNull()), by)
     order = [F.col(c), *[F.col(t) for t in tie]]
     chunked = range_chunks(df.select(*keys, c, *tie), [*keys, *order])
-    ranked = running_sums(chunked, by=keys, order_by=order, sums={"position": F.lit(1)})
-    ranked = join_groups(ranked, chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    ranked = running_sums(chunked, by=keys, order_by=order, sums={"position": F.lit(1)}, totals={"n": F.lit(1)})
     shift = F.when(F.col("n") <= 10, 3.0 / 8).otherwise(0.5)
     point = (F.col("position") - shift) / (F.col("n") + 1 - 2 * shift)
     return ranked.select(

@@ -41,31 +41,37 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def running_sums(
-    chunked: DataFrame, *, by: Sequence[str], order_by: Sequence[str | Column], sums: Mapping[str, str | Column]
+    chunked: DataFrame, *, by: Sequence[str], order_by: Sequence[str | Column], sums: Mapping[str, str | Column],
+    totals: Mapping[str, str | Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums within ``by`` along ``order_by``, one column per entry.
+    """Inclusive running sums within ``by`` along ``order_by``, one column per entry, and sums over the whole group.
 
-    ``chunked`` comes from ``range_chunks`` on (by, order_by), whose key is unique.
+    ``chunked`` comes from ``range_chunks`` on (by, order_by), whose key is unique. A
+    group's total is what its chunk holds plus the offsets before and after it, so no row
+    is joined or shuffled by group.
     """
-    by = list(by)
+    by, whole = list(by), dict(totals or {})
     inside = (
         Window.partitionBy(CHUNK, *by).orderBy(*[col(o) for o in order_by])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = chunked.select("*", *[F.sum(col(e)).over(inside).alias(n) for n, e in sums.items()])
-    totals = chunked.groupBy(CHUNK, *by).agg(*[F.sum(col(e)).alias(f"_t_{n}") for n, e in sums.items()])
-    earlier = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        CHUNK, *by, F.count(F.lit(1)).over(earlier).alias("_before"),
-        *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
-    ).where("_before > 0")
-    # Only the first group of a chunk can have begun earlier: at most one row per chunk.
+    group = Window.partitionBy(CHUNK, *by)
+    local = chunked.select(
+        "*", *[F.sum(col(e)).over(inside).alias(n) for n, e in sums.items()], *[F.sum(col(e)).over(group).alias(n) for n, e in whole.items()])
+    pieces = chunked.groupBy(CHUNK, *by).agg(*[F.sum(col(e)).alias(f"_t_{n}") for n, e in {**sums, **whole}.items()])
+    chunks = Window.partitionBy(*(by or [F.lit(0)]))
+    earlier = chunks.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    both = lambda e: F.coalesce(e.over(earlier), F.lit(0)) + F.coalesce(e.over(later), F.lit(0))
+    offsets = pieces.select(
+        CHUNK, *by, (both(F.count(F.lit(1))) if whole else F.count(F.lit(1)).over(earlier)).alias("_others"),
+        *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums], *[both(F.sum(f"_t_{n}")).alias(f"_o_{n}") for n in whole],
+    ).where("_others > 0").drop("_others")
+    # Only the first and the last group of a chunk can reach beyond it: at most two rows per chunk.
     joined = join_groups(local, F.broadcast(offsets), [CHUNK, *by])
-    kept = [c for c in local.columns if c not in sums]
+    kept = [c for c in local.columns if c not in sums and c not in whole]
     return joined.select(
-        *kept, *[(F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums]
+        *kept, *[(F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in (*sums, *whole)]
     )
 
 

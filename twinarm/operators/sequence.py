@@ -8,14 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinarm.functions.columns import col
-from twinarm.operators.joins import HOT_ROWS
 from twinarm.operators.scan import CHUNK, join_groups, largest_group, range_chunks
 
 
+HOT_ROWS = 500_000
+#: Bits of the types whose values can be packed into one whole number (fixed values).
+WIDTHS = {"tinyint": 8, "smallint": 16, "int": 32, "date": 32, "bigint": 64, "timestamp": 64}
+
+
 def _order(order_by: Sequence[str | Column]) -> Column:
     return F.struct(*[col(o) for o in order_by])
 
 
+def _place(df: DataFrame, order_by: Sequence[str]) -> Column:
+    """The order as one value of fixed width where the columns fit into 64 bits, else as a struct.
+
+    A buffer of fixed width lets numbers be aggregated by hash, without a sort. A missing
+    order comes first, as the lowest number of its type.
+    """
+    kinds = dict(df.dtypes)
+    widths = [WIDTHS.get(kinds.get(o, "")) for o in order_by]
+    if None in widths or sum(widths) > 64:
+        return _order(order_by)
+    out = None
+    for name, width in zip(order_by, widths):
+        value = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kinds[name], lambda c: c)(F.col(name)).cast("bigint")
+        value = F.coalesce(value, F.lit(-(1 << (width - 1))).cast("bigint"))
+        # Later columns count from zero up, below the bits of the earlier ones.
+        out = value if out is None else F.shiftleft(out, width).bitwiseOR(value + F.lit(1 << (width - 1)))
+    return out
+
+
 def _local_fill(c: str, keys: list[str], order_by: list[str], direction: str) -> Column:
     # Both directions are running frames: looking ahead is a running frame of the reversed order,
     # because Spark evaluates a frame that ends at the last row anew for every row.
@@ -94,7 +117,7 @@ def collapse(df: DataFrame, *, subject: str | Sequence[str], order_by: Sequence[
     """
     keys = [subject] if isinstance(subject, str) else list(subject)
     names = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
-    place = _order(order_by)
+    place = _place(df, order_by)
     return df.groupBy(*keys).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in names]
     )
@@ -103,15 +126,15 @@ def collapse(df: DataFrame, *, subject: str | Sequence[str], order_by: Sequence[
 def first_row(df: DataFrame, *, subject: str | Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The first whole row per subject, missing values kept."""
     keys = [subject] if isinstance(subject, str) else list(subject)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _order(order_by)).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    place = _place(df, order_by)
+    # The order is total, so every column is taken from the same row.
+    return df.groupBy(*keys).agg(*[F.min_by(c, place).alias(c) for c in df.columns if c not in keys]).select(*df.columns)
 
 
 def first_value(df: DataFrame, *, subject: str | Sequence[str], order_by: Sequence[str], c: str, skip_missing: bool = False) -> DataFrame:
     """(subject, first value of ``c``), optionally the first known one."""
     keys = [subject] if isinstance(subject, str) else list(subject)
-    place = _order(order_by)
+    place = _place(df, order_by)
     if skip_missing:
         place = F.when(F.col(c).isNotNull(), place)
     return df.groupBy(*keys).agg(F.min_by(c, place).alias(c))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from twinarm.functions.columns import fixed
 from twinarm.functions.tails import chi2_p
-from twinarm.operators.scan import join_groups, range_chunks, running_sums, strata
+from twinarm.operators.scan import range_chunks, running_sums, strata
 from twinarm.sources.tables import apply_overrides
 
 Z975 = 1.959963984540054  # normal quantile of the 95% interval
@@ -60,8 +60,7 @@ def kaplan_meier(df: DataFrame, *, time: str, event: str, by: Sequence[str] = ()
     )
     chunked = range_chunks(counts, [*keys, "time"])
     left = F.col("events") + F.col("censored")
-    ran = running_sums(chunked, by=keys, order_by=["time"], sums={"_gone": left})
-    ran = join_groups(ran, chunked.groupBy(*keys).agg(F.sum(left).alias("_all_rows")), keys)
+    ran = running_sums(chunked, by=keys, order_by=["time"], sums={"_gone": left}, totals={"_all_rows": left})
     ran = ran.withColumn("at_risk", F.col("_all_rows") - F.col("_gone") + left)
     d, n = F.col("events"), F.col("at_risk")
     ended = F.when(d == n, 1).otherwise(0)
@@ -119,9 +118,9 @@ def logrank(df: DataFrame, *, time: str, event: str, arm: str, arms: Sequence, b
         *[F.sum(inside[i] * F.col(event)).alias(f"_d{i}") for i in range(len(arms))],
     )
     chunked = range_chunks(counts, [*keys, "time"])
-    ran = running_sums(chunked, by=keys, order_by=["time"], sums={f"_g{i}": f"_m{i}" for i in range(len(arms))})
-    whole = chunked.groupBy(*keys).agg(*[F.sum(f"_m{i}").alias(f"_w{i}") for i in range(len(arms))])
-    ran = join_groups(ran, whole, keys)
+    each = range(len(arms))
+    ran = running_sums(
+        chunked, by=keys, order_by=["time"], sums={f"_g{i}": f"_m{i}" for i in each}, totals={f"_w{i}": f"_m{i}" for i in each})
     risk = [(F.col(f"_w{i}") - F.col(f"_g{i}") + F.col(f"_m{i}")).cast("double") for i in range(len(arms))]
     n, d = _add(risk), _add([F.col(f"_d{i}") for i in range(len(arms))])
     ran = ran.select(*keys, *[risk[i].alias(f"_n{i}") for i in range(len(arms))], *[f"_d{i}" for i in range(len(arms))],

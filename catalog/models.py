@@ -242,7 +242,7 @@ E["firth_one_binary_covariate"] = Entry(
         SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(v0) AS std_error FROM w UNION ALL SELECT 'arm', b1 - b0, sqrt(v0 + v1) FROM w""",
     digits("estimate", "std_error"),
 )
-FIRTH_COLS = digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", "odds_ratio", "or_low", "or_high", places=5)
+FIRTH_COLS = digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", places=5) | digits("odds_ratio", "or_low", "or_high", places=3)
 
 
 def firth_tables(source: str, tables: str, response: str, models: dict[str, list[str]]) -> str:

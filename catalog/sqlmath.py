@@ -189,8 +189,9 @@ def reml_select(prefix: str = "r", by: str = "", extra: str = "") -> str:
 
 # --- penalised logistic regression: inner maximum and root search ------------------------------
 
-NEWTON_STEPS = 40
-ROOT_ROUNDS = 10
+NEWTON_STEPS = 45
+DAMPING = 0.7  # scoring steps overshoot where the penalty leads
+ROOT_ROUNDS = 12
 FAR = 24  # points of the first look for a limit, a quarter of the Wald half-width apart
 HALF_WIDTH = 1.959963984540054
 DROP = 3.841458820694124
@@ -233,7 +234,7 @@ def penalised_climb(name: str, points: str, patterns: str, p: int) -> list[str]:
         f"""{name}_s(key, rid, fixed, it, b, value, info) AS (
             SELECT key, rid, fixed, 0, b, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE[]) FROM {name}_p
             UNION ALL
-            SELECT key, rid, fixed, it + 1, list_transform(range(1, {p + 1}), lambda r: b[r] + d[r] * least(1, 5 / greatest(5, list_max(list_transform(d, lambda v: abs(v)))))), value, info
+            SELECT key, rid, fixed, it + 1, list_transform(range(1, {p + 1}), lambda r: b[r] + {DAMPING} * d[r] * least(1, 5 / greatest(5, list_max(list_transform(d, lambda v: abs(v)))))), value, info
             FROM (SELECT key, rid, fixed, it, b, value, [{cells}] AS info, [{steps}] AS d
               FROM (SELECT key, rid, fixed, it, b, {scores}, {', '.join(f'any_value(i{i}{j}) AS i{i}{j}' for i, j in pairs)},
                   sum(e * eta - n * (greatest(eta, 0) + ln(1 + exp(-abs(eta))))) + 0.5 * ln(any_value(det)) AS value
@@ -252,7 +253,7 @@ def firth_sql(source: str, *, columns, where: str, response: str, by: str = "",
 
     The limits of an interval are where twice the fall of the profiled likelihood reaches
     the 95% point. Each is first looked for on a line of points, then by false position on the
-    square root of the fall; each point has its own inner maximum over the other coefficients.
+    square root of the fall, where an end that stays counts half; each point has its own inner maximum over the other coefficients.
     """
     p, x = len(columns), prefix
     key = f"coalesce(CAST({by} AS VARCHAR), '~')" if by else "'~'"
@@ -278,18 +279,20 @@ def firth_sql(source: str, *, columns, where: str, response: str, by: str = "",
     at = f"b[j + 1] + side * se[j + 1] * {HALF_WIDTH} * k / 4"
     out += penalised_climb(f"{x}_far", f"SELECT key, {number} + k AS rid, j AS fixed, {put(at)} AS b FROM {sides}, range(1, {FAR + 1}) g(k)", f"{x}_pat", p)
     fall = "sqrt(greatest(2 * (top - value), 0))"
-    goal = f"sqrt({DROP})"
-    out.append(f"""{x}_b0 AS MATERIALIZED (SELECT key, j, side, coalesce(max(v) FILTER (NOT beyond), any_value(start)) AS low, coalesce(max(f) FILTER (NOT beyond), 0) AS low_fall,
-          min(v) FILTER (beyond) AS high, min(f) FILTER (beyond) AS high_fall
-        FROM (SELECT key, r.fixed AS j, side, side * r.b[r.fixed + 1] AS v, {fall} AS f, {fall} >= {goal} AS beyond, side * t.b[r.fixed + 1] AS start
+    gap = f"{fall} - sqrt({DROP})"
+    out.append(f"""{x}_b0 AS MATERIALIZED (SELECT key, j, side, coalesce(max(v) FILTER (f < 0), any_value(start)) AS low, coalesce(max(f) FILTER (f < 0), -sqrt({DROP})) AS low_gap,
+          min(v) FILTER (f >= 0) AS high, min(f) FILTER (f >= 0) AS high_gap, 0 AS last
+        FROM (SELECT key, r.fixed AS j, side, side * r.b[r.fixed + 1] AS v, {gap} AS f, side * t.b[r.fixed + 1] AS start
           FROM {x}_far r JOIN {x}_top t USING (key), (VALUES (-1), (1)) s(side) WHERE r.rid // {FAR + 1} % 2 = (side + 1) // 2) GROUP BY key, j, side)""")
     for k in range(ROOT_ROUNDS):
-        guess = f"(low + (high - low) * ({goal} - low_fall) / (high_fall - low_fall))"
+        guess = "(low - (high - low) * low_gap / (high_gap - low_gap))"
         out += penalised_climb(
             f"{x}_r{k}", f"SELECT key, j * 2 + (side + 1) // 2 AS rid, j AS fixed, {put(f'side * {guess}')} AS b FROM {x}_b{k} JOIN {x}_top USING (key)", f"{x}_pat", p)
-        out.append(f"""{x}_b{k + 1} AS MATERIALIZED (SELECT key, j, side, CASE WHEN f < {goal} THEN v ELSE low END AS low, CASE WHEN f < {goal} THEN f ELSE low_fall END AS low_fall,
-              CASE WHEN f >= {goal} THEN v ELSE high END AS high, CASE WHEN f >= {goal} THEN f ELSE high_fall END AS high_fall, side * v AS at
-            FROM (SELECT a.*, a.side * r.b[a.j + 1] AS v, {fall} AS f FROM {x}_b{k} a JOIN {x}_r{k} r ON a.key = r.key AND r.rid = a.j * 2 + (a.side + 1) // 2 JOIN {x}_top t ON a.key = t.key))""")
+        # An end that stays twice counts half, so both ends close in.
+        out.append(f"""{x}_b{k + 1} AS MATERIALIZED (SELECT key, j, side, CASE WHEN f < 0 THEN v ELSE low END AS low, CASE WHEN f < 0 THEN f WHEN last = 1 THEN low_gap / 2 ELSE low_gap END AS low_gap,
+              CASE WHEN f >= 0 THEN v ELSE high END AS high, CASE WHEN f >= 0 THEN f WHEN last = -1 THEN high_gap / 2 ELSE high_gap END AS high_gap,
+              CASE WHEN f < 0 THEN -1 ELSE 1 END AS last, side * v AS at
+            FROM (SELECT a.*, a.side * r.b[a.j + 1] AS v, {gap} AS f FROM {x}_b{k} a JOIN {x}_r{k} r ON a.key = r.key AND r.rid = a.j * 2 + (a.side + 1) // 2 JOIN {x}_top t ON a.key = t.key))""")
     out.append(f"""{x}_fit AS MATERIALIZED (SELECT t.key, term, t.b[c.j + 1] AS estimate, se[c.j + 1] AS std_error, lo.at AS ci_low, hi.at AS ci_high,
           greatest(2 * (top - z.value), 0) AS chi_square, n, events, top AS penalised_loglik
         FROM {x}_top t, {x}_name c JOIN {x}_null z ON z.key = t.key AND z.rid = c.j JOIN {x}_b{ROOT_ROUNDS} lo ON lo.key = t.key AND lo.j = c.j AND lo.side = -1

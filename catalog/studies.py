@@ -8,7 +8,7 @@ from catalog import fixtures as x
 from catalog import sqlmath
 from catalog.comparisons import SHARES, g_sql, moments, rank_sql, welch_sql
 from catalog.fixtures import Entry, digits
-from catalog.models import KM, MM_COLS, cox_table_sql, firth_tables, newton_cox
+from catalog.models import FIRTH_COLS, KM, MM_COLS, cox_table_sql, firth_tables, newton_cox
 from twinarm.functions.fixed_values import GENDER_LEVELS, VISIT_CODES
 from twinarm.operators.design import design_columns, variables
 from twinarm.operators.mmrm import arm_contrasts
@@ -146,7 +146,7 @@ E["study_penalised_models"] = Entry(
     firth_tables("rare", f"""{STUDY}, rare AS (SELECT user_id, any_value(arm) AS arm, CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS status,
         max(CASE WHEN event_type = 'signup' THEN CAST(20 + user_id % 10 AS DOUBLE) END) AS Integration FROM study GROUP BY user_id)""",
         "status", {"No Covariates": ["arm"], "With Covariates": ["arm", "Integration"]}),
-    digits("estimate", "std_error", "ci_low", "ci_high", "chi_square", "p", "penalised_loglik", "odds_ratio", "or_low", "or_high", places=5),
+    FIRTH_COLS,
 )
 E["study_change_waterfall"] = Entry(
     lambda s, d: change.waterfall(change.change_frame(x.study_visits(s, d), arm_names={1: "Active", 0: "Control"}, **CODED)),

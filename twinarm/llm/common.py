@@ -84,10 +84,10 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of a few megabytes, so that what is made from them stays small too."""
     for batch in batches:
-        rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ MIN_WORDS = 8
 WINDOW, LONG_WORDS = 10, 24
 #: Digests for each range of them.
 RANGE_UNITS = 500_000
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
+#: Bytes of texts whose units are held at once.
+PACK_BYTES = 2_000_000
 #: Cuts up to which they are sent to all tasks: 8 bytes each, and 40 for each text that loses some.
 FEW_CUTS = 1_000_000
 #: Letters that stand for a word in scripts without spaces, so that runs of 40 of them are long enough too.
@@ -143,11 +146,12 @@ def _unit_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     (of units in fifths of a word, counted over the units alone).
     """
     memo, number = _Digests(), TaskContext.get().partitionId() << 32
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, PACK_BYTES):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         owner, starts, ends, found = content_spans([_hashed(t, memo) for t in texts])
         edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-        told, again, n_units, n_all, places = [], [], [], [], []
+        told, again, places = array("Q"), bytearray(), array("i")
+        n_units, n_all = [], []
         for i, text in enumerate(texts):
             seen: dict[int, int] = {}
             before, parts = len(told), units(text)
@@ -159,7 +163,7 @@ def _unit_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 again.append(bool(words) and digest in seen)
                 seen[digest] = 0
                 size = round(WORD_LETTERS * amount(text[a:b]))
-                places.append((a, parts[k + 1][0] if k + 1 < len(parts) else len(text), upto, upto + size))
+                places.extend((a, parts[k + 1][0] if k + 1 < len(parts) else len(text), upto, upto + size))
                 upto += size
             seen = {}
             mine = slice(edges[i], edges[i + 1])
@@ -169,12 +173,12 @@ def _unit_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # One that overlaps the first of its kind is no second one.
                 again.append(seen.setdefault(digest, b) <= a)
                 told.append(digest)
-                places.append((at[a], at[b], a, b))
+                places.extend((at[a], at[b], a, b))
             n_units.append(len(parts))
             n_all.append(len(told) - before)
         yield pa.RecordBatch.from_pylist([_row(
-            kind=1, pack=number, total=len(told), a=np.array(told, np.uint64).tobytes(), b=np.packbits(np.array(again, bool)).tobytes(),
-            c=_squeezed(np.array(places, np.int32).reshape(-1, 4).T), ranks=batch.column("rank").to_pylist(), ids=batch.column("id").to_pylist(),
+            kind=1, pack=number, total=len(told), a=told.tobytes(), b=np.packbits(np.frombuffer(again, bool)).tobytes(),
+            c=_squeezed(np.frombuffer(places, np.int32).reshape(-1, 4).T), ranks=batch.column("rank").to_pylist(), ids=batch.column("id").to_pylist(),
             keys=b"".join(batch.column("key").to_pylist()), n_units=n_units, n_all=n_all)], _ARROW)
         number += 1
 

@@ -87,13 +87,16 @@ E["rank_sum_control_first"] = Entry(
     f"""WITH li AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS arm FROM lineitem),
         {rank_sql('li', 'l_quantity', 'l_returnflag', 0)} SELECT * FROM r""", RANK,
 )
+# The exact p where both arms are below 50 and untied, from the counts of ``sqlmath.rank_counts_sql``.
+RANK_FROM = "r LEFT JOIN ways ON n1 = m AND n0 = n AND n1 < 50 AND n0 < 50 AND tie_term = 0"
+RANK_P = """CASE WHEN counts IS NULL THEN p ELSE least(1, 2 * CAST(list_sum(CASE WHEN w > n1 * n0 / 2.0 THEN counts[CAST(w AS BIGINT) + 1:]
+            ELSE counts[1:CAST(w AS BIGINT) + 1] END) AS DOUBLE) / CAST(list_sum(counts) AS DOUBLE)) END"""
 E["rank_sum_exact_small"] = Entry(
     lambda s, d: ranks.rank_sum(x.long(s, d), "y", arm="arm", by=["period"], method="exact_if_small").select("period", "n1", "n0", "w", "p", "method"),
     f"""WITH RECURSIVE {x.LONG}, {rank_sql('long', 'y', 'period')}, small AS (SELECT n1 AS m, n0 AS n FROM r WHERE n1 < 50 AND n0 < 50 AND tie_term = 0),
         {', '.join(m.rank_counts_sql('small'))}
-        SELECT period, n1, n0, w, CASE WHEN counts IS NULL THEN p ELSE least(1, 2 * CAST(list_sum(CASE WHEN w > n1 * n0 / 2.0 THEN counts[CAST(w AS BIGINT) + 1:]
-            ELSE counts[1:CAST(w AS BIGINT) + 1] END) AS DOUBLE) / CAST(list_sum(counts) AS DOUBLE)) END AS p, CASE WHEN counts IS NULL THEN 'normal' ELSE 'exact' END AS method
-        FROM r LEFT JOIN ways ON n1 = m AND n0 = n AND n1 < 50 AND n0 < 50 AND tie_term = 0""",
+        SELECT period, n1, n0, w, {RANK_P} AS p, CASE WHEN counts IS NULL THEN 'normal' ELSE 'exact' END AS method
+        FROM {RANK_FROM}""",
     digits("w", "p"),
 )
 E["fisher_exact_2x2"] = Entry(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as x
 from catalog import sqlmath
-from catalog.comparisons import SHARES, g_sql, moments, rank_sql, welch_sql
+from catalog.comparisons import GCOLS, RANK_FROM, RANK_P, SHARES, g_sql, moments, rank_sql, welch_sql
 from catalog.fixtures import Entry, digits
-from catalog.models import FIRTH_COLS, KM, MM_COLS, cox_table_sql, firth_tables, newton_cox
+from catalog.models import FIRTH_COLS, KM, LR_COLS, MM_COLS, cox_table_sql, firth_tables, logrank_sql, newton_cox
+from catalog.rows import _normal_sql
 from twinarm.functions.fixed_values import GENDER_LEVELS, VISIT_CODES
 from twinarm.operators.design import design_columns, variables
 from twinarm.operators.mmrm import arm_contrasts
@@ -178,3 +179,67 @@ E["study_scale_tests"] = Entry(
         FROM mo JOIN r USING (scale, visit)""",
     digits("mean1", "sd1", "mean0", "sd0", "w", "p") | SHARES,
 )
+
+
+def rare_people(s, d):
+    return rare_event.binary_frame(x.study_visits(s, d), **CODED)
+
+
+RARE = f"{STUDY}, rare_events AS (SELECT user_id, any_value(arm) AS arm, CASE WHEN user_id % 7 = 0 THEN 0 ELSE 1 END AS event FROM study GROUP BY user_id)"
+E["study_exact_test"] = Entry(
+    lambda s, d: rare_event.exact_test(rare_people(s, d)),
+    f"""WITH RECURSIVE {RARE}, cells AS (SELECT 0 AS one, count(CASE WHEN arm = 0 AND event = 0 THEN 1 END) AS n00, count(CASE WHEN arm = 0 AND event = 1 THEN 1 END) AS n01,
+            count(CASE WHEN arm = 1 AND event = 0 THEN 1 END) AS n10, count(CASE WHEN arm = 1 AND event = 1 THEN 1 END) AS n11 FROM rare_events),
+        {', '.join(sqlmath.odds_ratio_sql('cells', 'one'))} SELECT * EXCLUDE (one) FROM odds""",
+    digits("p", "odds_ratio", "ci_low", "ci_high"),
+)
+E["study_event_effect_size"] = Entry(
+    lambda s, d: rare_event.effect_size(rare_people(s, d)), f"WITH {RARE}, {g_sql('rare_events', 'event', '')} SELECT * FROM gg", GCOLS,
+)
+RISK_TIMES = [0, 10, 20, 60, 180]
+E["study_risk_table"] = Entry(
+    lambda s, d: time_to_event.at_risk(survival_people(s, d), RISK_TIMES),
+    f"""WITH {STUDY}, {FRAME}, a AS (SELECT DISTINCT arm FROM survival), t(time) AS (VALUES {', '.join(f'({float(v)})' for v in RISK_TIMES)})
+        SELECT a.arm, CAST(t.time AS DOUBLE) AS time, count(CASE WHEN s.time >= t.time THEN 1 END) AS at_risk,
+          count(CASE WHEN s.time <= t.time AND event = 1 THEN 1 END) AS events_so_far, count(CASE WHEN s.time <= t.time AND event = 0 THEN 1 END) AS censored_so_far
+        FROM a CROSS JOIN t JOIN survival s ON s.arm = a.arm GROUP BY ALL""",
+)
+E["study_arm_test"] = Entry(
+    lambda s, d: time_to_event.arm_test(survival_people(s, d)), f"WITH {STUDY}, {FRAME}, {logrank_sql('survival', '')}", LR_COLS,
+)
+
+
+def dosed_people(s, d):
+    return analysis_rows(s, d).select("subject", "arm", "study_day").distinct()
+
+
+E["study_day_summary"] = Entry(
+    lambda s, d: ancillary.study_day_summary(dosed_people(s, d)),
+    f"""WITH {STUDY}, {ANALYSIS} SELECT arm, count(*) AS n, count(study_day) AS n_nonnull, avg(study_day) AS mean, stddev_samp(study_day) AS sd, median(study_day) AS median,
+          quantile_cont(study_day, 0.75) - quantile_cont(study_day, 0.25) AS iqr FROM people GROUP BY arm""",
+    digits("mean", "sd", "median", "iqr"),
+)
+E["study_day_balance"] = Entry(
+    lambda s, d: ancillary.study_day_balance(dosed_people(s, d)).select("test", "difference", "statistic", "p", "smd"),
+    f"""WITH RECURSIVE {STUDY}, {ANALYSIS}, dosed AS (SELECT 0 AS one, * FROM people), {welch_sql('dosed', 'study_day', '')}, {rank_sql('dosed', 'study_day', 'one')},
+        small AS (SELECT n1 AS m, n0 AS n FROM r WHERE n1 < 50 AND n0 < 50 AND tie_term = 0), {', '.join(sqlmath.rank_counts_sql('small'))}
+        SELECT 'Welch t-test' AS test, w.difference, t AS statistic, p, w.difference / sqrt((var1 + var0) / 2) AS smd FROM w, mom
+        UNION ALL SELECT 'Wilcoxon rank-sum', NULL, w, {RANK_P}, NULL FROM {RANK_FROM}""",
+    digits("difference", "statistic", "p", "smd"),
+)
+E["study_scale_points"] = Entry(
+    lambda s, d: ancillary.scale_plots(ancillary.scale_frame(x.study_visits(s, d), arm_codes=x.ARM_CODES))[0].withColumn("subject", F.col("subject").cast("long")),
+    f"WITH {STUDY}, sc AS (" + " UNION ALL ".join(
+        f"SELECT user_id AS subject, arm, '{scale}' AS scale, ({NAMES})[slot + 1] AS visit, round(value % 10, 0) AS sample FROM study WHERE {test}"
+        for scale, test in ITEM.items()) + f"""),
+        ordered AS (SELECT *, row_number() OVER w AS position, count(*) OVER (PARTITION BY scale, visit, arm) AS n FROM sc WHERE sample IS NOT NULL
+          WINDOW w AS (PARTITION BY scale, visit, arm ORDER BY sample, subject)),
+        points AS (SELECT *, (position - CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END) / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END) AS probability FROM ordered)
+        SELECT scale, visit, arm, subject, position, n, probability, theoretical, sample FROM ({_normal_sql('probability')})""",
+    digits("probability", "theoretical", "sample"),
+)
+E["study_prep_change_waterfall"] = Entry(
+    lambda s, d: change.waterfall(change.change_frame(x.study_visits(s, d), arm_names={1: "Active", 0: "Control"}, **CODED), "prep_change"),
+    E["study_change_waterfall"].sql.replace("ORDER BY post - base DESC, user_id", "ORDER BY post - prep DESC NULLS LAST, user_id"),
+    digits("change", "prep_change"),
+)

@@ -179,3 +179,18 @@ def test_counts_keep_missing_groups(spark, rows):
     (s,) = rows(describe.group_stats(df, "k"))
     assert (s["n"], s["n_nonnull"], s["mean"]) == (3, 2, 0.5)
     assert rows(describe.totals(df, {"t": "k"}, by=["c"]), "c") == [{"c": "a", "t": 1}, {"c": None, "t": 0}]
+
+
+def test_summaries_read_their_source_once(spark, rows, tmp_path):
+    """Quantiles, moments and extremes come from one count of the values; a group without known values and one far from zero are right."""
+    data = [("a", 1e9 + v) for v in (1.0, 2.0, 2.0, 5.0)] + [("a", None), (None, 3.0), ("b", None)]
+    spark.createDataFrame(data, "g string, y double").write.parquet(f"{tmp_path}/y")
+    df = spark.read.parquet(f"{tmp_path}/y")
+    found = {r["g"]: r for r in rows(describe.group_stats(df, "y", by=["g"]))}
+    assert [(found[g]["n"], found[g]["n_nonnull"]) for g in ("a", None, "b")] == [(5, 4), (1, 1), (1, 0)]
+    assert found["a"]["mean"] == 1e9 + 2.5 and found["a"]["sd"] == pytest.approx(math.sqrt(3.0), rel=1e-12) and found["a"]["median"] == 1e9 + 2
+    assert found[None]["sd"] is None and found[None]["mean"] == 3.0 and found["b"]["mean"] is found["b"]["median"] is None
+    five = {r["g"]: r for r in rows(describe.five_numbers(df, "y", by=["g"]))}
+    assert (five["a"]["minimum"], five["a"]["maximum"], five["a"]["n_missing"], five["b"]["n_missing"]) == (1e9 + 1, 1e9 + 5, 1, 1)
+    for frame in (describe.group_stats(df, "y", by=["g"]), describe.five_numbers(df, "y", by=["g"])):
+        assert "FileScan" not in frame._jdf.queryExecution().executedPlan().toString()  # the written counts are all that is read

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from twinarm.functions.columns import fixed, p_text
 from twinarm.operators.exact import fisher_levels
 from twinarm.operators.joins import spread_join
-from twinarm.operators.ranks import quantiles, rank_sum
+from twinarm.operators.ranks import moments, quantiles, rank_sum, value_counts
 from twinarm.operators.reshape import to_long
 from twinarm.operators.scan import join_groups, strata
 from twinarm.session import materialise
@@ -47,24 +47,18 @@ def missing_counts(df: DataFrame, cols: Sequence[str], *, by: Sequence[str] = ()
 def five_numbers(df: DataFrame, c: str, *, by: Sequence[str] = ()) -> DataFrame:
     """Minimum, quartiles, maximum, mean, and the number of missing values."""
     df, keys = strata(df, by)
-    plain = df.groupBy(*keys).agg(
-        F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("mean"),
-        F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"),
-    )
-    q = quantiles(df, c, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys)
-    both = join_groups(plain, q, keys)
-    return both.select(*by, "minimum", "q1", "median", "mean", "q3", "maximum", "n_missing")
+    counts = value_counts(df, c, keys)
+    q = quantiles(df, c, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys, counts=counts)
+    both = join_groups(moments(counts, keys), q, keys)
+    return both.select(*by, "minimum", "q1", "median", "mean", "q3", "maximum", (F.col("n") - F.col("n_nonnull")).alias("n_missing"))
 
 
 def group_stats(df: DataFrame, c: str, *, by: Sequence[str] = (), kind: int = 7) -> DataFrame:
     """Rows, known values, mean, SD, median and interquartile range per group."""
     df, keys = strata(df, by)
-    plain = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count(c).alias("n_nonnull"),
-        F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"),
-    )
-    q = quantiles(df, c, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys, kind=kind)
-    both = join_groups(plain, q, keys)
+    counts = value_counts(df, c, keys)
+    q = quantiles(df, c, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys, kind=kind, counts=counts)
+    both = join_groups(moments(counts, keys), q, keys)
     return both.select(*by, "n", "n_nonnull", "mean", "sd", "median", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 

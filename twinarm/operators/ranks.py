@@ -22,19 +22,44 @@ def _amount(weight: str | None, test: Column | None = None) -> Column:
     return F.sum(weight if test is None else F.when(test, F.col(weight)).otherwise(0))
 
 
+def value_counts(df: DataFrame, c: str, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Written counts of each value, the missing one included, in range chunks of (group, value): all that quantiles and moments need."""
+    return range_chunks(df.groupBy(*keys, F.col(c).alias("_v")).agg(_amount(weight).alias("_n")), [*keys, "_v"])
+
+
+def moments(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, known values, mean, SD and extremes per group from ``value_counts``.
+
+    Squares are taken from the mean of a chunk's part of the group and put together from
+    there, so a mean far from zero costs no digits.
+    """
+    inside, group = Window.partitionBy(CHUNK, *keys), Window.partitionBy(*keys)
+    v, known = F.col("_v").cast("double"), F.when(F.col("_v").isNotNull(), F.col("_n"))
+    local = counts.withColumn("_mean", F.sum(F.col("_n") * v).over(inside) / F.sum(known).over(inside))
+    pieces = local.groupBy(CHUNK, *keys).agg(
+        F.sum("_n").alias("_rows"), F.coalesce(F.sum(known), F.lit(0)).alias("_known"), F.max("_mean").alias("_mean"),
+        F.sum(F.col("_n") * F.pow(v - F.col("_mean"), F.lit(2.0))).alias("_squares"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    pieces = pieces.withColumn("_centre", F.sum(F.col("_known") * F.col("_mean")).over(group) / F.nullif(F.sum("_known").over(group), F.lit(0)))
+    squares = F.sum(F.col("_squares") + F.col("_known") * F.pow(F.col("_mean") - F.col("_centre"), F.lit(2.0)))
+    n = F.sum("_known")
+    return pieces.groupBy(*keys).agg(
+        F.sum("_rows").alias("n"), n.alias("n_nonnull"), F.max("_centre").alias("mean"), F.when(n > 1, F.sqrt(squares / (n - 1))).alias("sd"),
+        F.min("_low").alias("minimum"), F.max("_high").alias("maximum"))
+
+
 def quantiles(df: DataFrame, c: str, probs: Mapping[str, float], *, by: Sequence[str] = (), kind: int = 7,
-              weight: str | None = None) -> DataFrame:
+              weight: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Exact quantiles per group, one column per entry of ``probs``, and ``n_known``.
 
     ``kind`` 7 interpolates linearly between order statistics, 2 averages at
     jumps. Works on value counts, so no group is held in one task. ``weight``
-    names a column of counts when the rows are already counted.
+    names a column of counts when the rows are already counted; ``counts`` are those of ``value_counts``
+    where they have been made.
     """
     if kind not in (2, 7):
         raise ValueError("kind must be 2 or 7")
     df, keys = strata(df, by)
-    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("_v")).agg(_amount(weight).alias("_n"))
-    chunked = range_chunks(counts, [*keys, "_v"])
+    chunked = value_counts(df.where(F.col(c).isNotNull()), c, keys, weight) if counts is None else counts.where(F.col("_v").isNotNull())
     pieces = chunked.groupBy(CHUNK, *keys).agg(F.sum("_n").alias("_rows"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinarm.functions import columns as c
 from twinarm.functions import fixed_values as v
 from twinarm.functions import tails
-from twinarm.functions.hypergeometric import Network, Table, log_binomial
+from twinarm.functions.hypergeometric import FarTail, Network, Table, log_binomial, network_paths
 from twinarm.functions.normal import normal_quantile
 from twinarm.functions.rank_exact import exact_rank_p, rank_sum_counts
 
@@ -177,3 +177,36 @@ def test_rank_sum_distribution():
         counts[sum(pick) - m * (m + 1) // 2] += 1
     assert np.array_equal(rank_sum_counts(m, n), counts)
     assert exact_rank_p(0, 3, 4) == pytest.approx(2 / 35)
+
+
+def levels_of(rows, ones):
+    """A network of these levels and the log probability of its column total."""
+    rows, ones = np.asarray(rows, float), np.asarray(ones, float)
+    share = ones.sum() / rows.sum()
+    net = Network(rows, share, float(log_binomial(rows, ones, share).sum()) + 1e-7)
+    return net, float(log_binomial(rows.sum(), ones.sum(), share))
+
+
+def children(net, place, left, lp, first, last):
+    wide = np.maximum(last - first + 1, 0).astype(int)
+    node = np.repeat(np.arange(len(left)), wide)
+    x = first[node] + np.arange(len(node)) - np.repeat(np.cumsum(wide) - wide, wide)
+    return left[node] - x, lp[node] + log_binomial(net.rows[place], x, net.share)
+
+
+def test_far_tail_against_network():
+    """The integral gives what walking all likelier tables gives, its bound is one, and their number is foretold."""
+    for rows, ones in (([260, 265, 270, 275, 280], [105, 150, 125, 155, 128]), ([600, 3000, 4000, 5000], [20, 160, 240, 340])):
+        net, whole = levels_of(rows, ones)
+        left, lp, paths, total = np.array([float(sum(ones))]), np.zeros(1), 0, 0.0
+        for place in range(len(rows) - 1):
+            first, last = net.inner(place, left, lp)
+            total += float((np.exp(lp - whole) * net.outer(place, left, first, last)).sum())
+            paths = len(left)
+            if place < len(rows) - 2:
+                left, lp = children(net, place, left, lp, first, last)
+        tail = FarTail(rows, sum(ones), net.share, net.most, whole)
+        assert math.exp(tail.log_bound) * tail.share(0, tail.terms) == pytest.approx(total, rel=1e-3)
+        assert math.exp(tail.log_bound) * (tail.share(0, 100) + tail.share(100, tail.terms)) == pytest.approx(total, rel=1e-3)
+        assert math.exp(tail.log_bound) > total
+        assert network_paths(rows, net.share, net.most) == pytest.approx(paths, rel=0.1)

@@ -5,6 +5,9 @@ size until what follows is beyond double precision; so a table of 1e10 subjects
 million terms, a block at a time. Probabilities of a level's count are those of a
 binomial with the common share, in the saddle-point form, which keeps its digits at
 any count.
+
+Tables of three levels and more are walked by a ``Network``. ``FarTail``
+is for those far out on large counts, where the likelier tables are too many to be walked.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import numpy as np
 SLACK = 1e-7  # relative slack when comparing table probabilities
 BLOCK = 8192
 REACH = 45.0  # terms below exp(-REACH) of the largest are beyond the precision of a sum
+TURN = 150  # the integral of a far tail ends at this many saddle points, and fades out on its last part
+PERIOD = 30.0  # its sum repeats where the weights have fallen to exp(-PERIOD)
 _SMALL = np.array([0.0] + [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 17)])
 
 
@@ -283,3 +288,73 @@ class Network:
                 at[todo] += side * len(steps)
                 todo = todo[(terms[:, -1] > 1e-18 * total[todo]) & (terms[:, -1] > 0)]
         return total
+
+
+def window(n: float, share: float, depth: float) -> tuple[int, int]:
+    """First and last count of ``n`` whose binomial log probability is at most ``depth`` below the largest."""
+    top = int(min(n, math.floor((n + 1) * share)))
+    bound = float(log_binomial(n, top, share)) - depth
+    ends = []
+    for end in (0, int(n)):
+        near, far = top, end
+        if float(log_binomial(n, far, share)) >= bound:
+            ends.append(far)
+            continue
+        while abs(far - near) > 1:
+            mid = (near + far) // 2
+            near, far = (mid, far) if float(log_binomial(n, mid, share)) >= bound else (near, mid)
+        ends.append(near)
+    return ends[0], ends[1]
+
+
+def network_paths(rows: Sequence[int], share: float, most: float) -> float:
+    """About how many paths a network holds before its last two levels: the volume of the likelier tables there."""
+    n = np.asarray(rows, float)
+    tops = float(log_binomial(n, np.floor((n + 1) * share), share).sum())
+    size = len(n) - 2
+    spread = 0.5 * (np.log(n[:size] * share * (1 - share)).sum() + math.log(n[size:].sum() / n.sum()))
+    return math.exp(min(700.0, spread + 0.5 * size * math.log(2 * math.pi * max(tops - most, 0.5)) - math.lgamma(size / 2 + 1)))
+
+
+class FarTail:
+    """Sum of the probabilities of all tables no likelier than one far out, by inverting their Laplace transform.
+
+    With L the log probability of a table over that bound, the sum over L <= 0 of exp(L) is the integral, along a
+    line of real part s between 0 and 1, of the sum of exp(s L) over all tables, over 1 - s. That sum is one
+    coefficient of a product of one polynomial a level, so the work follows the reach of a level and not the
+    number of tables. On the real line, s times L bounds it from above: ``log_bound`` is a bound of ln p for every s.
+    """
+
+    def __init__(self, rows: Sequence[int], column: int, share: float, most: float, whole: float):
+        n = np.asarray(rows, float)
+        tops = log_binomial(n, np.minimum(n, np.floor((n + 1) * share)), share)
+        self.depth, self.scale = float(tops.sum()) - most, most - whole
+        self.s = min(0.5, (len(n) - 1) / (2 * max(self.depth, 1.0)))
+        ends = [window(r, share, 25.0 / self.s) for r in n]
+        self.parts = [log_binomial(r, np.arange(a, b + 1), share) - t for r, (a, b), t in zip(n, ends, tops)]
+        spread = math.sqrt(n.sum() * share * (1 - share) / self.s)
+        self.length = 1 << math.ceil(math.log2(max(7.5 * spread, *(len(p) for p in self.parts), 2)))
+        shift = (column - sum(a for a, _ in ends)) % self.length
+        self.turn = np.exp(2j * math.pi * (np.arange(self.length) * shift % self.length) / self.length) / self.length
+        self.log_bound = self.scale + self.s * self.depth + math.log(max(self.tables(self.s).real, 5e-324))
+        # The step repeats the sum at a distance beyond which it has vanished on both sides.
+        self.step = 2 * math.pi / max(PERIOD / self.s, (self.depth + PERIOD) / (1 - self.s))
+        self.terms = math.ceil(TURN * self.s / self.step)
+
+    def tables(self, s: complex) -> complex:
+        """Sum over all tables of exp(s L), from the largest possible L on."""
+        product = self.turn
+        for part in self.parts:
+            product = product * np.fft.fft(np.exp(s * part), self.length)
+        return complex(product.sum())
+
+    def share(self, first: int, last: int) -> float:
+        """What the terms first..last - 1 of the integral's sum add to p, over exp(log_bound)."""
+        total = 0.0
+        for k in range(first, min(last, self.terms)):
+            s = complex(self.s, k * self.step)
+            at = (k / self.terms - 0.4) / 0.6  # a smooth end, so that the cut leaves no ripples
+            fade = 1.0 if at <= 0 else 1 / (1 + math.exp(max(-700.0, min(700.0, 1 / (1 - at) - 1 / at))))
+            term = np.exp(s * self.depth + self.scale - self.log_bound) * self.tables(s) / (1 - s)
+            total += fade * term.real * (0.5 if k == 0 else 1.0)
+        return total * self.step / math.pi

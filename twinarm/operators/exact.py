@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.functions.hypergeometric import SLACK, Network, Table, log_binomial
+from twinarm.functions.hypergeometric import SLACK, FarTail, Network, Table, log_binomial, network_paths
 from twinarm.functions.tails import chi2_p
 from twinarm.operators.scan import strata
 from twinarm.session import materialise
 
 PATHS = 20_000  # paths that a task makes at once; from there on they are shared among tasks
+FAR_PATHS = 100_000_000  # tables with more paths than this, and p below FAR_P for certain, are integrated
+FAR_P = 1e-12
+FAR_TERMS = 16  # terms of such an integral that go out as one row
 PATH_DIGITS = 9  # paths that agree to so many decimals of ln P are one
 REPLICATES = 20_000  # random tables, if asked for
 BLOCK = 500
@@ -50,7 +53,9 @@ def fisher_levels(
     """Test of a category with any levels by a 0/1 arm: one p per stratum, by the ``method`` asked for.
 
     ``exact`` covers all tables with the same margins by a network: tasks extend
-    paths by a level at a time, and where there are many Spark merges those that meet in a node and deals them out anew. ``random`` takes p from
+    paths by a level at a time, and where there are many Spark merges those that meet in a node and deals them out anew. Where the
+    likelier tables are too many to be walked and p is at most ``FAR_P`` by a proven bound, p comes from the integral of ``FarTail``,
+    about five digits of so small a number. ``random`` takes p from
     ``replicates`` random tables with these margins, drawn in blocks over tasks, and
     ``chi_square`` from the limit distribution. The method is a column of the result; it
     is ``none`` (p = 1) where only one table is possible. ``most_levels``, if given, makes
@@ -129,6 +134,13 @@ def _through_network(tables: DataFrame, keys: list[str]) -> DataFrame:
                 "_paths": pa.array(paths, pa.float64())}
         return pa.RecordBatch.from_arrays([*(made.get(f, taken.column(f)) for f in fields), share], names=[*fields, "share"])
 
+    def far(head: dict) -> FarTail | None:
+        """The integral for a table whose network is too large, if p is surely negligible beside 1."""
+        if network_paths(head["_rows"], head["_share"], head["_most"]) <= FAR_PATHS:
+            return None
+        tail = FarTail(head["_rows"], round(head["_share"] * head["n"]), head["_share"], head["_most"], head["_whole"])
+        return tail if tail.log_bound < np.log(FAR_P) else None
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table, places = batch.column("_table").to_numpy(), batch.column("_place").to_numpy()
@@ -138,13 +150,23 @@ def _through_network(tables: DataFrame, keys: list[str]) -> DataFrame:
                 head = batch.slice(int(one[0]), 1).to_pylist()[0]
                 net, total = Network(head["_rows"], head["_share"], head["_most"]), 0.0
                 left, lp, paths = (batch.column(c).to_numpy()[mine].astype(float) for c in ("_left", "_lp", "_paths"))
+                if place < 0:  # terms of an integral, whose first ones stand for the column
+                    tail = far(head)
+                    total = sum(tail.share(int(k), int(k) + FAR_TERMS) for k in left)
+                    yield row(batch, one, 0, [0], [0.0], [0.0], pa.array([float(total * np.exp(tail.log_bound))]))
+                    continue
+                if place == 0 and len(head["_rows"]) > 2:
+                    if (tail := far(head)) is not None:
+                        at = np.arange(0, tail.terms, FAR_TERMS)
+                        yield row(batch, np.repeat(one, len(at)), -1, at, np.zeros(len(at)), np.ones(len(at)), pa.nulls(len(at), pa.float64()))
+                        left = left[:0]
                 while len(left):
                     first, last = net.inner(place, left, lp)
+                    wide = np.maximum(last - first + 1, 0).astype(int)
+                    ends = np.cumsum(wide)
                     total += float((paths * np.exp(lp - head["_whole"]) * net.outer(place, left, first, last)).sum())
                     if place == len(head["_rows"]) - 2:
                         break  # the last level takes what is left: what is inside is likelier than the observed table
-                    wide = np.maximum(last - first + 1, 0).astype(int)
-                    ends = np.cumsum(wide)
                     place, on = place + 1, ends[-1] <= PATHS
                     for rows in [np.arange(len(left))] if on else np.split(np.arange(len(left)), np.flatnonzero(np.diff(ends // PATHS)) + 1):
                         node = np.repeat(rows, wide[rows])
@@ -174,7 +196,7 @@ def _through_network(tables: DataFrame, keys: list[str]) -> DataFrame:
         nodes = met.groupBy("_table", "_place", "_left", "_near").agg(F.min("_lp").alias("_lp"), F.sum("_paths").alias("_paths"), *told).select(*fields)
     if shares is None:
         return tables.select(*names, F.lit(None).cast("double").alias("p"))
-    return shares.groupBy(*names).agg(F.least(F.sum("share"), F.lit(1.0)).alias("p"))
+    return shares.groupBy(*names).agg(F.greatest(F.least(F.sum("share"), F.lit(1.0)), F.lit(0.0)).alias("p"))
 
 
 def _random_tables(tables: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:

@@ -19,6 +19,7 @@ PATHS = 20_000  # paths that a task makes at once; from there on they are shared
 FAR_PATHS = 100_000_000  # tables with more paths than this, and p below FAR_P for certain, are integrated
 FAR_P = 1e-12
 FAR_TERMS = 16  # terms of such an integral that go out as one row
+LEAST_LOG = -746.0  # ln of less than the smallest double
 PATH_DIGITS = 9  # paths that agree to so many decimals of ln P are one
 REPLICATES = 20_000  # random tables, if asked for
 BLOCK = 500
@@ -55,7 +56,7 @@ def fisher_levels(
     ``exact`` covers all tables with the same margins by a network: tasks extend
     paths by a level at a time, and where there are many Spark merges those that meet in a node and deals them out anew. Where the
     likelier tables are too many to be walked and p is at most ``FAR_P`` by a proven bound, p comes from the integral of ``FarTail``,
-    about five digits of so small a number. ``random`` takes p from
+    about five digits of so small a number; below the smallest double it is 0. ``random`` takes p from
     ``replicates`` random tables with these margins, drawn in blocks over tasks, and
     ``chi_square`` from the limit distribution. The method is a column of the result; it
     is ``none`` (p = 1) where only one table is possible. ``most_levels``, if given, makes
@@ -156,7 +157,10 @@ def _through_network(tables: DataFrame, keys: list[str]) -> DataFrame:
                     yield row(batch, one, 0, [0], [0.0], [0.0], pa.array([float(total * np.exp(tail.log_bound))]))
                     continue
                 if place == 0 and len(head["_rows"]) > 2:
-                    if (tail := far(head)) is not None:
+                    # No more tables than this, none likelier than the observed one.
+                    if head["_most"] - head["_whole"] + np.log1p(np.array(head["_rows"][:-1], float)).sum() < LEAST_LOG:
+                        left = left[:0]
+                    elif (tail := far(head)) is not None:
                         at = np.arange(0, tail.terms, FAR_TERMS)
                         yield row(batch, np.repeat(one, len(at)), -1, at, np.zeros(len(at)), np.ones(len(at)), pa.nulls(len(at), pa.float64()))
                         left = left[:0]

@@ -210,3 +210,20 @@ def test_far_tail_against_network():
         assert math.exp(tail.log_bound) * (tail.share(0, 100) + tail.share(100, tail.terms)) == pytest.approx(total, rel=1e-3)
         assert math.exp(tail.log_bound) > total
         assert network_paths(rows, net.share, net.most) == pytest.approx(paths, rel=0.1)
+
+
+def test_last_levels_by_running_sums():
+    """Looking up the splits of the last two levels adds what summing the tails of every child adds."""
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        rows = np.sort(rng.integers(5, 90, 4))
+        seen = np.array([rng.integers(0, r + 1) for r in rows])
+        if seen.sum() in (0, rows.sum()):
+            continue
+        net, whole = levels_of(rows, seen)
+        left, lp = np.array([float(seen.sum())]), np.zeros(1)
+        left, lp = children(net, 0, left, lp, *net.inner(0, left, lp))
+        first, last = net.inner(1, left, lp)
+        further = children(net, 1, left, lp, first, last)
+        plain = float((np.exp(further[1] - whole) * net.outer(2, further[0], *net.inner(2, *further))).sum())
+        assert net.tail_of_last_three(left, lp, np.full(len(left), math.exp(-whole)), first, last) == pytest.approx(plain, rel=1e-9, abs=1e-300)

@@ -220,3 +220,14 @@ def test_tables_less_likely_than_a_double(spark, rows):
     none, near = rows(exact.fisher_levels(df, level="level", arm="arm", by=["stratum"], weight="n"), "stratum")
     assert time.monotonic() - start < 60
     assert (none["method"], none["p"]) == ("exact", 0.0) and 0.1 < near["p"] < 1
+
+
+def test_large_counts_near_the_limit(spark, rows):
+    """Tens of millions of likelier tables before the last two levels are walked, dealt out to tasks."""
+    df = counted_levels(spark, ((15660, 15930, 16200, 15990, 15690), (7830, 7950, 7980, 8040, 7950)),
+                        ((1000000, 1001000, 1002000, 1003000), (500000, 500500, 501900, 501500)))
+    start = time.monotonic()
+    found = rows(exact.fisher_levels(df, level="level", arm="arm", by=["stratum"], weight="n"), "stratum")
+    assert time.monotonic() - start < 90
+    limit = rows(exact.fisher_levels(df, level="level", arm="arm", by=["stratum"], weight="n", method="chi_square"), "stratum")
+    assert [r["p"] for r in found] == [pytest.approx(r["p"], rel=2e-3) for r in limit]

@@ -6,7 +6,7 @@ million terms, a block at a time. Probabilities of a level's count are those of
 binomial with the common share, in the saddle-point form, which keeps its digits at
 any count.
 
-Tables of three levels and more are walked by a ``Network``. ``FarTail``
+Tables of three levels and more are walked by a ``Network``, its last levels from running sums. ``FarTail``
 is for those far out on large counts, where the likelier tables are too many to be walked.
 """
 
@@ -20,6 +20,7 @@ import numpy as np
 SLACK = 1e-7  # relative slack when comparing table probabilities
 BLOCK = 8192
 REACH = 45.0  # terms below exp(-REACH) of the largest are beyond the precision of a sum
+DEPTH = 60.0  # running sums reach this far below the lowest bound they are asked for
 TURN = 150  # the integral of a far tail ends at this many saddle points, and fades out on its last part
 PERIOD = 30.0  # its sum repeats where the weights have fallen to exp(-PERIOD)
 _SMALL = np.array([0.0] + [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 17)])
@@ -289,6 +290,47 @@ class Network:
                 todo = todo[(terms[:, -1] > 1e-18 * total[todo]) & (terms[:, -1] > 0)]
         return total
 
+    def window(self, level: int, depth: float) -> tuple[int, int]:
+        """First and last count of a level whose log probability is at most ``depth`` below the largest."""
+        return window(self.rows[level], self.share, depth)
+
+    def tail_of_last_three(self, left: np.ndarray, lp: np.ndarray, weight: np.ndarray, first: np.ndarray, last: np.ndarray) -> float:
+        """What the tables beyond nodes three levels before the end add, from their counts first..last on.
+
+        Children that have the same left over split it over the same two levels: those splits are listed once, by
+        rising probability from both ends with running sums, and a child looks up where it crosses the bound.
+        ``weight`` is the number of paths over the probability of the column total.
+        """
+        place = len(self.rows) - 3
+        some = last >= first
+        if not some.any():
+            return 0.0
+        left, lp, weight, first, last = (a[some] for a in (left, lp, weight, first, last))
+        start = int(first.min())
+        own = log_binomial(self.rows[place], np.arange(start, int(last.max()) + 1), self.share)
+        tops = [float(log_binomial(n, np.floor((n + 1) * self.share), self.share)) for n in self.rows[place + 1:]]
+        lowest = self.most - float(lp.max()) - float(own.max()) - DEPTH
+        (a0, a1), (b0, b1) = (self.window(place + 1 + i, max(tops[i], 0.0) + tops[1 - i] - lowest + 1) for i in (0, 1))
+        one = log_binomial(self.rows[place + 1], np.arange(a0, a1 + 1), self.share)
+        other = log_binomial(self.rows[place + 2], np.arange(b0, b1 + 1), self.share)[::-1]
+        total = 0.0
+        for rest in range(int((left - last).min()), int((left - first).max()) + 1):
+            x = left - rest
+            mine = np.flatnonzero((x >= first) & (x <= last))
+            low, high = max(a0, rest - b1), min(a1, rest - b0)
+            if not len(mine) or low > high:
+                continue
+            split = one[low - a0:high + 1 - a0] + other[low + b1 - rest:high + 1 + b1 - rest]
+            top = int(split.argmax())
+            sums = np.exp(split)
+            rising, falling = split[:top + 1], split[:top:-1]
+            below, above = (np.concatenate([[0.0], np.cumsum(side)]) for side in (sums[:top + 1], sums[:top:-1]))
+            further = lp[mine] + own[(x[mine] - start).astype(int)]
+            bound = self.most - further
+            found = below[np.searchsorted(rising, bound, "right")] + above[np.searchsorted(falling, bound, "right")]
+            total += float((weight[mine] * np.exp(further) * found).sum())
+        return total
+
 
 def window(n: float, share: float, depth: float) -> tuple[int, int]:
     """First and last count of ``n`` whose binomial log probability is at most ``depth`` below the largest."""

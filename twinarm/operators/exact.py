@@ -16,6 +16,7 @@ from twinarm.operators.scan import strata
 from twinarm.session import materialise
 
 PATHS = 20_000  # paths that a task makes at once; from there on they are shared among tasks
+DEALT_PATHS = 5_000_000  # paths that one task finishes without dealing them out
 FAR_PATHS = 100_000_000  # tables with more paths than this, and p below FAR_P for certain, are integrated
 FAR_P = 1e-12
 FAR_TERMS = 16  # terms of such an integral that go out as one row
@@ -164,13 +165,22 @@ def _through_network(tables: DataFrame, keys: list[str]) -> DataFrame:
                         at = np.arange(0, tail.terms, FAR_TERMS)
                         yield row(batch, np.repeat(one, len(at)), -1, at, np.zeros(len(at)), np.ones(len(at)), pa.nulls(len(at), pa.float64()))
                         left = left[:0]
+                came = place
                 while len(left):
                     first, last = net.inner(place, left, lp)
                     wide = np.maximum(last - first + 1, 0).astype(int)
                     ends = np.cumsum(wide)
+                    # Many paths into few nodes: the last levels are listed once a node.
+                    closing = place == len(head["_rows"]) - 3 and ends[-1] > max(PATHS, 8 * ((left - first).max() - (left - last).min() + 1))
+                    if closing and place > came and ends[-1] > DEALT_PATHS:
+                        yield row(batch, np.repeat(one, len(left)), place, left, lp, paths, pa.nulls(len(left), pa.float64()))
+                        break
                     total += float((paths * np.exp(lp - head["_whole"]) * net.outer(place, left, first, last)).sum())
                     if place == len(head["_rows"]) - 2:
                         break  # the last level takes what is left: what is inside is likelier than the observed table
+                    if closing:
+                        total += net.tail_of_last_three(left, lp, paths * np.exp(-head["_whole"]), first, last)
+                        break
                     place, on = place + 1, ends[-1] <= PATHS
                     for rows in [np.arange(len(left))] if on else np.split(np.arange(len(left)), np.flatnonzero(np.diff(ends // PATHS)) + 1):
                         node = np.repeat(rows, wide[rows])

@@ -203,3 +203,50 @@ def test_duplicates_of_an_empty_table(spark):
     assert exact_dedup.mark_duplicates(docs(spark, [])).count() == 0
     single = exact_dedup.mark_duplicates(docs(spark, [(None, None, None)])).collect()
     assert [tuple(r)[:4] for r in single] == [(None, None, 1, True)]
+
+
+PAIRS = [(i, f"text {i % 300:03d}", None) for i in range(600)] + [(600 + i, f"alone {i}", None) for i in range(100)] + [(800 + i, "often", None) for i in range(200)]
+
+
+def broadcast_parts(df):
+    """The parts of a plan that are sent whole to all tasks, each as the lines below its broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    return ["\n".join(lines[i:next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]) for i, line in enumerate(lines) if "BroadcastExchange" in line]
+
+
+def test_many_groups_are_not_broadcast(spark, monkeypatch):
+    """Beyond ``broadcast_groups`` only the few keys with many rows are sent to all tasks, though Spark takes all groups to be small."""
+    monkeypatch.setattr(exact_dedup, "HEAVY_KEYS", 10)
+    out = exact_dedup.mark_duplicates(docs(spark, PAIRS).repartition(4), broadcast_groups=0)
+    sent = broadcast_parts(out)
+    assert sent and all("Generate" not in part and "last_id" not in part for part in sent)
+    assert by_id(out, "doc_id", "keep_id", "group_size", "text_sha256") == duplicates_by_hand([(i, t) for i, t, _ in PAIRS])[0]
+
+
+def test_a_group_goes_to_several_tasks_only_where_it_is_large(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY_KEYS", 10)
+    seen = []
+    explode = F.explode
+    monkeypatch.setattr(F, "explode", lambda c: seen.append(c) or explode(c))
+    rows = spark.range(300).select(F.col("id").alias("row"), F.when(F.col("id") < 200, 1000).otherwise(F.col("id")).cast("long").alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = exact_dedup._joined(rows, groups, ["k"], "n", "left", 0)
+    assert sorted((r["row"], r["n"]) for r in out.collect()) == [(i, 200 if i < 200 else 1) for i in range(300)]
+    assert len(groups.select("k", explode(seen[0])).collect()) == 100 + exact_dedup.SALTS
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_bytes_decide_where_digests_agree(spark, monkeypatch, most):
+    """With a digest of few values most different texts share one, and with the moduli the fingerprint too."""
+    monkeypatch.setattr(exact_dedup, "_digest", lambda value: F.unhex(F.substring(F.sha2(value, 256), 1, 1)))
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(50, None), (51, ""), (52, LONG), (53, LONG), (54, LONG[:-1] + "?")]
+    out = exact_dedup.mark_duplicates(docs(spark, [(i, t, None) for i, t in rows]).repartition(3), piece_bytes=5000, moduli=(3, 2), broadcast_groups=most)
+    assert by_id(out, "doc_id", "keep_id", "group_size") == sorted((r[:3] for r in duplicates_by_hand(rows)[0]), key=repr)
+
+
+def test_bits_let_all_candidates_through(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 1 << 18)
+    told = spark.range(20_000).select("id", exact_dedup._digest(F.col("id").cast("string").cast("binary")).alias("sha"))
+    found = {r["id"] for r in exact_dedup._sieved(told, told.where("id % 5 = 0").select(F.col("sha").alias("last_sha"))).collect()}
+    assert found >= set(range(0, 20_000, 5)) and len(found) < 4000 + 0.05 * 16_000

@@ -4,19 +4,22 @@ The fingerprint of a text is the value of the polynomial with its bytes as coeff
 modulo two primes. That of two parts in a row is the first one's times the base to the
 length of the second, plus the second one's; so chunks are hashed side by side, and those
 of a very long text in different tasks. Texts with the same fingerprint and length are
-then compared with one of them, piece by piece; where they differ after all, the
-comparison goes on among those left. Nothing but fingerprints and candidate texts moves.
+then compared with one of them: those of another SHA-256 differ, of the others all bytes
+are compared, piece by piece; where texts differ after all, the comparison goes on among
+those left. Nothing but fingerprints and candidate texts moves, one a digest from each task.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinarm.llm.common import lookup, per_batch, written
+from twinarm.llm.common import per_batch, written
 
 #: Primes below 2**31 and the bases of the polynomials (fixed values).
 MODULI = (2147483647, 2147483629)
@@ -28,6 +31,12 @@ CHUNKS_AT_ONCE = 4096
 PIECE_BYTES = 1 << 20
 #: Rows of a group that are compared in one task.
 GROUP_ROWS = 512
+#: A key with more than one in so many rows is dealt out to SALTS tasks.
+HEAVY_KEYS = 1000
+SALTS = 64
+#: Bits for each group in the table that tells which texts may belong to one, and bits at most (16 MB).
+BITS_EACH = 32
+MOST_BITS = 1 << 27
 
 
 def combine(left: int, right: int, right_bytes: int, base: int, modulus: int) -> int:
@@ -100,7 +109,7 @@ def fingerprints(df: DataFrame, text: str, doc_id: str, piece_bytes: int = PIECE
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     told = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), value.alias("value")).withColumns({
-        "sha": F.unhex(F.sha2("value", 256)), "n_bytes": F.octet_length("value").cast("long")})
+        "sha": _digest(F.col("value")), "n_bytes": F.octet_length("value").cast("long")})
 
     def make():
         hasher = Hasher(moduli, bases)
@@ -133,28 +142,81 @@ def fingerprints(df: DataFrame, text: str, doc_id: str, piece_bytes: int = PIECE
     return short.select("doc_id", "sha", "n_bytes", *hashes).unionByName(long).select("doc_id", "sha", "n_bytes", key.alias("fingerprint"))
 
 
+def _digest(bytes_: Column) -> Column:
+    return F.unhex(F.sha2(bytes_, 256))
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str, most: int) -> DataFrame:
+    """Join ``groups``, one row per key, to the written ``rows``; ``size`` has the number of rows of a key. Keys are compared null-safe.
+
+    Up to ``most`` groups are sent to the rows. More are shuffled with them by key and never
+    broadcast, however small Spark takes them to be. Of a key that has more than one in
+    ``HEAVY_KEYS`` rows the group is repeated, and its rows are dealt out; such keys are few.
+    """
+    on = lambda names: functools.reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in names))
+    columns = [*(F.col(f"r.{c}") for c in rows.columns), *(F.col(f"g.{c}") for c in groups.columns if c not in keys)]
+    if groups.count() <= most:
+        return rows.alias("r").join(F.broadcast(groups).alias("g"), on(keys), how).select(*columns)
+    heavy = F.col(size) > rows.count() // HEAVY_KEYS
+    marks = groups.where(heavy).select(*keys, F.lit(SALTS).alias("salts"))
+    salt = F.when(F.col("g.salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("r.row"), F.lit(SALTS)).cast("int"))
+    dealt = rows.alias("r").join(F.broadcast(marks).alias("g"), on(keys), "left").select("r.*", salt.alias("salt"))
+    repeated = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(heavy, F.lit(SALTS - 1)).otherwise(F.lit(0)))))
+    return dealt.alias("r").join(repeated.hint("merge").alias("g"), on([*keys, "salt"]), how).select(*columns)
+
+
+def _sieved(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose ``sha`` is the ``last_sha`` of a group, and a few others, as a table of bits for their hashes tells; at most ``MOST_BITS`` bits are sent to the rows."""
+    bits = min(MOST_BITS.bit_length() - 1, max((BITS_EACH * groups.count()).bit_length(), 16))
+    place = lambda sha: F.shiftrightunsigned(F.xxhash64(sha), 64 - bits)
+    bucket, bit = (lambda sha: F.shiftright(place(sha), 15)), (lambda sha: place(sha).bitwiseAND(F.lit((1 << 15) - 1)))
+    table = groups.groupBy(bucket("last_sha").alias("bucket")).agg(F.bitmap_construct_agg(bit("last_sha")).alias("bits"))
+    told = rows.withColumns({"bucket": bucket("sha"), "bit": bit("sha")}).join(F.broadcast(table), "bucket")
+    is_set = F.expr("bit_get(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
+    return told.where(is_set).select(*rows.columns)
+
+
 def _grouped(prints: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups of two rows or more: their number of rows, and the id, digest and row of the one with the largest id."""
+    """Groups of two rows or more: their number of rows, the id, digest and row of the one with the largest id, and whether digests differ."""
     last = F.max(F.struct("doc_id", "sha", "row"))
-    return written(prints.groupBy(*keys).agg(F.count("*").alias("texts"), last.alias("last")).where("texts > 1").select(
-        *keys, "texts", F.col("last.doc_id").alias("last_id"), F.col("last.sha").alias("last_sha"), F.col("last.row").alias("last_row")), "groups")
+    return written(prints.groupBy(*keys).agg(F.count("*").alias("texts"), last.alias("last"), (F.min("sha") != F.max("sha")).alias("mixed")).where("texts > 1").select(
+        *keys, "texts", F.col("last.doc_id").alias("last_id"), F.col("last.sha").alias("last_sha"), F.col("last.row").alias("last_row"), "mixed"), "groups")
 
 
-def _different(df: DataFrame, prints: DataFrame, groups: DataFrame, keys: list[str], text: str, doc_id: str, piece_bytes: int, most: int) -> DataFrame:
-    """(doc_id, sha) of the texts that are not byte for byte the last one of their group."""
-    members = lookup(prints, groups.select(*keys, "texts", "last_id", "last_sha"), keys, F.col("row"), most=most)
-    members = written(members.groupBy("doc_id", "sha", *keys, "texts", "last_id", "last_sha").agg(F.count("*").alias("copies")), "members")
+def _unlike(df: DataFrame, groups: DataFrame, text: str, piece_bytes: int) -> DataFrame:
+    """Digests of groups, of which some text differs from another in a byte. Each task sends on one text a digest, or the least and largest of different ones."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    told = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), value.alias("value")).withColumn("sha", F.unhex(F.sha2("value", 256)))
-    texts = lookup(told, members, ["doc_id", "sha"], F.length("value"), most=most)
-    cut = _pieces(texts, F.col("value"), piece_bytes).drop("value", "after")
-    # A large group is dealt out; each part gets its own copy of the text that the others are compared with.
-    parts = F.ceil(F.col("texts") / F.lit(GROUP_ROWS)).cast("int")
-    is_last = F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("sha") == F.col("last_sha"))
-    others = cut.where(~is_last).withColumn("part", F.pmod(F.xxhash64("doc_id", "sha"), parts).cast("int"))
-    last = cut.where(is_last).select(*keys, "no", F.col("piece").alias("other"), parts.alias("parts")).dropDuplicates([*keys, "no"])
-    last = last.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return written(others.join(last, [*keys, "no", "part"]).where(F.col("piece") != F.col("other")).select("doc_id", "sha").distinct(), "different")
+    told = _sieved(df.select(value.alias("value")).withColumn("sha", _digest(F.col("value"))), groups)
+    cut = _pieces(told, F.col("value"), piece_bytes).select("sha", "no", "piece")
+    ends = cut.groupBy("sha", "no").agg(F.min("piece").alias("least"), F.max("piece").alias("largest"))
+    return written(ends.where(F.col("least") != F.col("largest")).select("sha").distinct(), "unlike")
+
+
+def _different(df: DataFrame, prints: DataFrame, groups: DataFrame, keys: list[str], text: str, doc_id: str, piece_bytes: int, most: int) -> DataFrame:
+    """(doc_id, sha, copies) of the texts that are not byte for byte the last one of their group.
+
+    Those with another digest are not; of those with the same one all bytes are compared.
+    """
+    members = lambda of: _joined(prints, of.select(*keys, "texts", "last_id", "last_sha"), keys, "texts", "inner", most)
+    found = members(groups.where("mixed")).where(F.col("sha") != F.col("last_sha")).groupBy("doc_id", "sha").agg(F.count("*").alias("copies"))
+    unlike = _unlike(df, groups, text, piece_bytes)
+    if not unlike.isEmpty():  # one digest of different texts
+        alike = members(groups.join(unlike, F.col("last_sha") == F.col("sha"), "left_semi")).where(F.col("sha") == F.col("last_sha"))
+        alike = written(alike.groupBy("doc_id", "sha", *keys, "texts", "last_id").agg(F.count("*").alias("copies")), "members")
+        value = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+        told = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), value.alias("value")).withColumn("sha", _digest(F.col("value")))
+        on = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.sha") == F.col("g.sha"))
+        texts = told.alias("r").join(alike.hint("merge").alias("g"), on).select("g.*", "r.value")
+        cut = _pieces(texts, F.col("value"), piece_bytes).drop("value", "after")
+        # A large group is dealt out; each part gets its own copy of the text that the others are compared with.
+        parts = F.ceil(F.col("texts") / F.lit(GROUP_ROWS)).cast("int")
+        is_last = F.col("doc_id").eqNullSafe(F.col("last_id"))
+        others = cut.where(~is_last).withColumn("part", F.pmod(F.xxhash64("doc_id", "sha"), parts).cast("int"))
+        last = cut.where(is_last).select(*keys, "no", F.col("piece").alias("other"), parts.alias("parts")).dropDuplicates([*keys, "no"])
+        last = last.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        apart = others.join(last, [*keys, "no", "part"]).where(F.col("piece") != F.col("other"))
+        found = found.unionByName(apart.select("doc_id", "sha", "copies").distinct())
+    return written(found, "different")
 
 
 def mark_duplicates(
@@ -166,7 +228,7 @@ def mark_duplicates(
     Texts are equal if they are byte for byte the same; a null text is an empty one. Of
     equal texts the row with the largest doc_id stays (``keep_id``); a null id is smaller than
     any other, and of rows with the same id one stays. ``group_size`` counts rows. Groups
-    of up to ``broadcast_groups`` are sent to the rows; more are joined in a salted shuffle.
+    of up to ``broadcast_groups`` are sent to the rows; more are joined in a shuffle.
     """
     prints = written(fingerprints(df, text, doc_id, piece_bytes, moduli, bases).withColumns({"row": F.monotonically_increasing_id(), "round": F.lit(0)}), "fingerprints")
     keys = ["fingerprint", "n_bytes", "round"]
@@ -177,11 +239,11 @@ def mark_duplicates(
         if different.isEmpty():
             break
         step += 1
-        marked = lookup(prints, different.withColumn("apart", F.lit(True)), ["doc_id", "sha"], F.col("row"), "left", broadcast_groups)
-        prints = written(marked.withColumn("round", F.when(F.col("apart"), F.lit(step)).otherwise(F.col("round"))).drop("apart"), "fingerprints")
+        marked = _joined(prints, different, ["doc_id", "sha"], "copies", "left", broadcast_groups)
+        prints = written(marked.withColumn("round", F.when(F.col("copies").isNotNull(), F.lit(step)).otherwise(F.col("round"))).drop("copies"), "fingerprints")
         groups = _grouped(prints, keys)
         todo = groups.where(F.col("round") == step)
-    found = lookup(prints, groups.drop("last_sha"), keys, F.col("row"), "left", broadcast_groups)
+    found = _joined(prints, groups.drop("last_sha", "mixed"), keys, "texts", "left", broadcast_groups)
     return found.select(
         "doc_id", F.when(F.col("texts").isNull(), F.col("doc_id")).otherwise(F.col("last_id")).alias("keep_id"),
         F.coalesce("texts", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("last_row"), F.lit(True)).alias("kept"),
